@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from glyphmill.llm.bpe import op10_bpe
 from glyphmill.llm.exact_dedup import OP1_SQL, op1_exact_dedup
 from glyphmill.llm.line_dedup import OP9_SQL, op9_line_dedup
 from glyphmill.llm.mixing import op8_mixing
+from glyphmill.llm.webp import op2_media
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_media": op2_media,
     "op8_mixing": op8_mixing,
     "op9_line_dedup": op9_line_dedup,
+    "op10_bpe": op10_bpe,
 }
 ORACLE_SQL = {"op1_exact_dedup": OP1_SQL, "op9_line_dedup": OP9_SQL}

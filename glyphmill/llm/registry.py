@@ -7,11 +7,13 @@ from glyphmill.llm.exact_dedup import OP1_SQL, op1_exact_dedup
 from glyphmill.llm.line_dedup import OP9_SQL, op9_line_dedup
 from glyphmill.llm.mixing import op8_mixing
 from glyphmill.llm.pii import op6_pii
+from glyphmill.llm.quality import op4_quality
 from glyphmill.llm.webp import op2_media
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_media": op2_media,
+    "op4_quality": op4_quality,
     "op6_pii": op6_pii,
     "op8_mixing": op8_mixing,
     "op9_line_dedup": op9_line_dedup,

@@ -21,8 +21,10 @@ _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package's code to the executors, once for each application."""
+    """Send this package's code to the executors, once for each application, and keep Arrow batches of texts small."""
     sc = spark.sparkContext
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":  # the default; texts are long
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     if sc.applicationId in _shipped:
         return
     _shipped.add(sc.applicationId)

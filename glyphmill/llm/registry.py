@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from glyphmill.llm.bpe import op10_bpe
 from glyphmill.llm.exact_dedup import OP1_SQL, op1_exact_dedup
+from glyphmill.llm.lattice import op3_lattice
 from glyphmill.llm.line_dedup import OP9_SQL, op9_line_dedup
 from glyphmill.llm.mixing import op8_mixing
 from glyphmill.llm.pii import op6_pii
@@ -13,6 +14,7 @@ from glyphmill.llm.webp import op2_media
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_media": op2_media,
+    "op3_lattice": op3_lattice,
     "op4_quality": op4_quality,
     "op6_pii": op6_pii,
     "op8_mixing": op8_mixing,

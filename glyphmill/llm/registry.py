@@ -7,6 +7,7 @@ from glyphmill.llm.exact_dedup import OP1_SQL, op1_exact_dedup
 from glyphmill.llm.lattice import op3_lattice
 from glyphmill.llm.line_dedup import OP9_SQL, op9_line_dedup
 from glyphmill.llm.mixing import op8_mixing
+from glyphmill.llm.near_dedup import op7_near_dedup
 from glyphmill.llm.pii import op6_pii
 from glyphmill.llm.quality import op4_quality
 from glyphmill.llm.webp import op2_media
@@ -17,6 +18,7 @@ QUERIES = {
     "op3_lattice": op3_lattice,
     "op4_quality": op4_quality,
     "op6_pii": op6_pii,
+    "op7_near_dedup": op7_near_dedup,
     "op8_mixing": op8_mixing,
     "op9_line_dedup": op9_line_dedup,
     "op10_bpe": op10_bpe,

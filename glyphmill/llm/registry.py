@@ -10,6 +10,7 @@ from glyphmill.llm.mixing import op8_mixing
 from glyphmill.llm.near_dedup import op7_near_dedup
 from glyphmill.llm.pii import op6_pii
 from glyphmill.llm.quality import op4_quality
+from glyphmill.llm.substring_dedup import op5_substring
 from glyphmill.llm.webp import op2_media
 
 QUERIES = {
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_media": op2_media,
     "op3_lattice": op3_lattice,
     "op4_quality": op4_quality,
+    "op5_substring": op5_substring,
     "op6_pii": op6_pii,
     "op7_near_dedup": op7_near_dedup,
     "op8_mixing": op8_mixing,

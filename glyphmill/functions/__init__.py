@@ -1 +1 @@
-
+"""Column functions: lexicons, text, tokens, language."""

@@ -1,4 +1,9 @@
 """Queries by name, and the SQL that checks them."""
 
-QUERIES = {}
-ORACLE_SQL = {}
+from __future__ import annotations
+
+from glyphmill.plans import detector_queries
+
+_MODULES = [detector_queries]
+QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
+ORACLE_SQL = {k: v for m in _MODULES for k, v in m.ORACLE_SQL.items()}

@@ -167,19 +167,19 @@ def nfkc(s: pd.Series) -> pd.Series:
 
 
 def canonical_text(c: Column) -> Column:
-    """NFKC, without bibliography, cleaned, white space collapsed."""
-    return F.trim(F.regexp_replace(clean_academic(split_references(nfkc(c))["main"]), r"\s+", " "))
+    """Without bibliography, cleaned, white space collapsed. ``c``: a column that already went through ``nfkc``, which can't be part of a lambda."""
+    return F.trim(F.regexp_replace(clean_academic(split_references(c)["main"]), r"\s+", " "))
 
 
-WIKI = [(r"(?s)<!--.*?-->", ""), (r"(?s)<ref[^>/]*/>", ""), (r"(?s)<ref[^>]*>.*?</ref>", ""), *[(r"\{\{[^{}]*\}\}", "")] * 6, *[(r"(?s)\{\|[^{}]*?\|\}", "")] * 3, (r"\[\[(?:File|Image|Berkas|Gambar|Kategori|Category):[^\[\]]*\]\]", "")]
+WIKI = [(r"(?s)<!--.*?-->", ""), (r"(?s)<ref[^>]*?/>|<ref[^>]*>.*?</ref>", ""), *[(r"\{\{[^{}]*\}\}", "")] * 6, *[(r"(?s)\{\|[^{}]*?\|\}", "")] * 3, (r"\[\[(?:File|Image|Berkas|Gambar|Kategori|Category):[^\[\]]*\]\]", "")]
+WIKI_LINE = [(r"^=+\s*(.*?)\s*=+$", "$1"), (r"\[\[[^\[\]|]*\|([^\[\]]*)\]\]", "$1"), (r"\[\[([^\[\]|]*)\]\]", "$1"), (r"\[https?://\S+ ([^\]]*)\]", "$1"), (r"https?://\S+", ""), (r"'{2,}", ""), (r"\s+", " ")]
 
 
 def clean_wikitext(c: Column) -> Column:
-    text = chain(c, WIKI)
-    kept = F.filter(F.split(text, "\n"), lambda x: ~F.regexp_like(F.trim(x), F.lit(r"^[*#;:|!}]")) & ~F.regexp_like(F.trim(x), F.lit(r"^=+.*=+$")))
-    text = F.array_join(kept, "\n")
-    text = chain(text, [(r"\[\[[^\[\]|]*\|([^\[\]]*)\]\]", "$1"), (r"\[\[([^\[\]]*)\]\]", "$1"), (r"\[https?://\S+ ([^\]]*)\]", "$1"), (r"'{2,}", ""), ("<[^>]+>", "")])
-    return F.trim(F.regexp_replace(F.regexp_replace(text, r"[ \t]+", " "), r"\n{3,}", "\n\n"))
+    """Plain text of wiki mark-up: lists, tables, templates and media go, headings and labels stay; one line each."""
+    lines = F.transform(F.split(chain(c, WIKI), "\n"), lambda x: F.trim(x))
+    lines = F.filter(lines, lambda x: (x != "") & ~F.regexp_like(x, F.lit(r"^[*#;:|!}]")))
+    return F.array_join(F.filter(F.transform(lines, lambda x: F.trim(chain(x, WIKI_LINE))), lambda x: x != ""), "\n")
 
 
 def alternation(terms: Sequence[str]) -> str:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -13,3 +14,11 @@ def spread(df: DataFrame) -> DataFrame:
     """Deal rows out evenly where the input has fewer partitions than the cluster has cores; else leave it as it is."""
     n = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
+def kept(df: DataFrame, **columns) -> DataFrame:
+    """``df`` with columns that are computed once a row, however often later expressions use them.
+
+    The planner otherwise puts an expression in the place of each use, also inside lambdas.
+    """
+    return df.select(*df.columns, F.inline(F.array(F.struct(*(c.alias(k) for k, c in columns.items())))))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from glyphmill.llm.common import fold, materialize, read, text_of
 
 #: The most frequent words of the training part that are broadcast with their scores; all others are joined.
-HEAD_WORDS = 50_000
+HEAD_WORDS = 100_000
 #: Weight of the vocabulary's own scores, in pieces, against the corpus's expected counts.
 PRIOR_PIECES = 10_000.0
 #: Rounds of expectation over all training words.
@@ -24,6 +25,8 @@ SPLIT = str.maketrans("\t\n\x0b\x0c\r", "     ")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 PRIME = np.uint64(0x100000001B3)
 SLICE_CHARS = 1 << 19
+#: Characters up to which products of piece probabilities stay far from underflow.
+LINEAR = 24
 #: Distinct words that a task counts before it passes them on.
 TABLE_WORDS = 300_000
 
@@ -33,6 +36,14 @@ def words_of(text: str) -> list[str]:
     return [w for w in text.translate(LOWER).translate(SPLIT).split(" ") if w]
 
 
+LOWER_BYTES = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+
+
+def word_bytes(text: bytes) -> list[bytes]:
+    """The same words in UTF-8; bytes.split() cuts at just the six bytes."""
+    return text.translate(LOWER_BYTES).split()
+
+
 def pieces_of(model_path: str) -> tuple[list[str], np.ndarray]:
     """Pieces of a sentencepiece file and the natural log of their weights, from the file's scores.
 
@@ -137,6 +148,8 @@ class Lattice:
         """Expected uses of each piece over all segmentations of the rows, each counted ``times``."""
         arcs = self.arcs(codes)
         spelt = self.unknown(codes, arcs, log_p)
+        if codes.shape[1] <= LINEAR:
+            return self.expected_short(codes, times, log_p, arcs, spelt)
         alpha, beta = self.forward(codes, arcs, log_p, spelt), self.backward(codes, arcs, log_p, spelt)
         total = alpha[:, -1:]
         padded = np.append(log_p, -np.inf)
@@ -153,6 +166,34 @@ class Lattice:
                 out[self.bytes_at[b]] += w[i, j]
         return out
 
+    def expected_short(self, codes: np.ndarray, times: np.ndarray, log_p: np.ndarray, arcs: list[np.ndarray], spelt: np.ndarray) -> np.ndarray:
+        """The same by sums of products, for words too short for them to vanish."""
+        rows, n = codes.shape
+        p = np.append(np.exp(log_p), 0.0)
+        bare = np.isfinite(spelt)
+        ways = [p[ids] for ids in arcs]
+        ways[0] = ways[0] + np.where(bare, np.exp(spelt), 0.0)
+        alpha, beta = np.zeros((n + 1, rows)), np.zeros((n + 1, rows))
+        ways = [np.ascontiguousarray(w.T) for w in ways]
+        alpha[0] = beta[n] = 1
+        for j in range(1, n + 1):
+            for k in range(1, min(j, len(ways)) + 1):
+                alpha[j] += alpha[j - k] * ways[k - 1][j - k]
+            i = n - j
+            for k in range(1, min(n - i, len(ways)) + 1):
+                beta[i] += ways[k - 1][i] * beta[i + k]
+        scale = times / alpha[n]
+        out = np.zeros(self.n + 1)
+        for k, ids in enumerate(arcs, 1):
+            w = alpha[:-k] * ways[k - 1] * beta[k:] * scale
+            if k == 1 and bare.any():
+                for i, j in zip(*np.nonzero(bare), strict=True):
+                    for b in chr(int(codes[i, j])).encode("utf-8", "replace"):
+                        out[self.bytes_at[b]] += w[j, i]
+                w = np.where(bare.T, 0.0, w)
+            out += np.bincount(ids.T.reshape(-1) % (self.n + 1), w.reshape(-1), self.n + 1)
+        return out[: self.n]
+
     def log_prob(self, codes: np.ndarray, log_p: np.ndarray) -> np.ndarray:
         arcs = self.arcs(codes)
         return self.forward(codes, arcs, log_p, self.unknown(codes, arcs, log_p))[:, -1]
@@ -178,16 +219,13 @@ def word_counts(docs: DataFrame) -> DataFrame:
         words = [*train, *(w for w in every if w not in train)]
         for a in range(0, len(words), 50_000):
             part = words[a : a + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([train.get(w, 0) for w in part], pa.int64())], names=["word", "c"])
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()).cast(pa.string()), pa.array([train.get(w, 0) for w in part], pa.int64())], names=["word", "c"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         train, every = Counter(), set()
         for b in batches:
-            for t, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if t:
-                    train.update(words_of(text))
-                else:
-                    every.update(words_of(text))
+            for t, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), strict=True):
+                (train if t else every).update(word_bytes(text))
                 if len(train) + len(every) > TABLE_WORDS:
                     yield from flushed(train, every)
                     train, every = Counter(), set()
@@ -270,35 +308,38 @@ def lattice_scores(df: DataFrame, train: DataFrame, model_path: str, id_col: str
 
     table = materialize(counts.mapInArrow(score, "word string, c bigint, lp double"), "word-scores")
     head_rows = table.where("c > 1").orderBy(F.desc("c"), "word").limit(head_words).collect()
-    head = spark.sparkContext.broadcast({r["word"]: (r["c"], r["lp"]) for r in head_rows})
+    head = spark.sparkContext.broadcast(([r["word"].encode() for r in head_rows], [r["c"] for r in head_rows], [r["lp"] for r in head_rows]))
     low = n_all + 0.5 * (v_all + 1)
     of_count = lambda c: math.log10((c + 0.5) / low)
     end_base, known_end = of_count(ends), int(ends > 0)
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = {w: (int(c > 0), of_count(c), lp) for w, (c, lp) in head.value.items()}
+        words, counts_, logs = head.value
+        number = dict(zip(words, range(len(words)), strict=True)).get
+        # One more entry, of zeros, for words that aren't in the head: number -1.
+        base_of = np.append([of_count(c) for c in counts_], 0.0)
+        log_of, seen = np.append(logs, 0.0), np.append(np.array(counts_) > 0, False)
         names = ["_row", "_id", "_train", "word", "times", "n_tokens", "n_known", "base", "score"]
-        types = [pa.int64(), pa.null(), pa.bool_(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+        none = repeat(-1)
         for batch in batches:
-            out: list[tuple] = []
-            types[1] = batch.column(1).type
-            for row, id_, trained, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                words = Counter(words_of(text))
-                n, k, b, s = 1, known_end, end_base, end
-                for w, t in words.items():
-                    n += t
-                    if x := known.get(w):
-                        k += t * x[0]
-                        b += t * x[1]
-                        s += t * x[2]
-                    else:
-                        out.append((row, None, None, w, t, 0, 0, 0.0, 0.0))
-                out.append((row, id_, trained, None, 0, n, k, b, s))
-                if len(out) > 50_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
-                    out = []
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
+            n = batch.num_rows
+            rows = batch.column(0).to_numpy()
+            totals, rest_row, rest_word, rest_times = np.zeros((4, n)), [], [], []
+            for i, text in enumerate(batch.column(3).cast(pa.binary()).to_pylist()):
+                tokens = word_bytes(text)
+                at = np.fromiter(map(number, tokens, none), np.int64, len(tokens))
+                totals[:, i] = len(tokens) + 1, seen[at].sum() + known_end, base_of[at].sum() + end_base, log_of[at].sum() + end
+                if len(rare := np.flatnonzero(at < 0)):
+                    found = Counter([tokens[j] for j in rare.tolist()])
+                    rest_row += [rows[i]] * len(found)
+                    rest_word += found
+                    rest_times += found.values()
+            m = len(rest_word)
+            none_of = lambda t: pa.nulls(m, t)
+            zeros = np.zeros(m, np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.nulls(n, pa.string()), pa.array(np.zeros(n, np.int64)), pa.array(totals[0].astype(np.int64)), pa.array(totals[1].astype(np.int64)), pa.array(totals[2]), pa.array(totals[3])], names=names)
+            if m:
+                yield pa.RecordBatch.from_arrays([pa.array(rest_row, pa.int64()), none_of(batch.column(1).type), none_of(pa.bool_()), pa.array(rest_word, pa.binary()).cast(pa.string()), pa.array(rest_times, pa.int64()), pa.array(zeros), pa.array(zeros), pa.array(zeros.astype(float)), pa.array(zeros.astype(float))], names=names)
 
     numbered = base.withColumn("_row", F.monotonically_increasing_id())
     kind = df.schema[id_col].dataType.simpleString()

@@ -26,17 +26,17 @@ MEET = 2000
 BROADCAST_IDS = 1_000_000
 
 
-def windows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each string of LENGTH bytes in each text: the text's number, its start, and its anchor.
+def windows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each string of LENGTH bytes in each text: the text's number, its start, its anchor and its place in all texts joined.
 
     The anchor is the least hash of the ANCHOR-byte strings inside, so equal strings have equal
-    anchors, and neighbours mostly share theirs.
+    anchors, and neighbours mostly share theirs. The last array holds the hashes by place.
     """
     size = np.array([len(t) for t in texts], np.int64)
     data = np.frombuffer(b"".join(texts), np.uint8)
     empty = np.empty(0, np.int64)
     if len(data) < LENGTH:
-        return empty, empty, np.empty(0, np.uint64)
+        return empty, empty, np.empty(0, np.uint64), empty, np.empty(0, np.uint64)
     h = {1: mixed(data.astype(np.uint64) + np.uint64(1))}
     for k in (1, 2, 4, 8):
         a = h[k]
@@ -45,7 +45,7 @@ def windows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             del h[k]
     long, short = h[16], h[8]
     n = len(data) - ANCHOR + 1
-    least = mixed(long[:n] * np.uint64(0xD6E8FEB86659FD93) + short[16 : 16 + n])
+    least = strings = mixed(long[:n] * np.uint64(0xD6E8FEB86659FD93) + short[16 : 16 + n])
     width = 1
     while width * 2 <= RUN:
         least = np.minimum(least[: len(least) - width], least[width:])
@@ -56,7 +56,7 @@ def windows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     text = np.repeat(np.arange(len(texts)), size)[: len(least)]
     at = np.arange(len(least)) - start[text]
     inside = at + LENGTH <= size[text]
-    return text[inside], at[inside], least[inside]
+    return text[inside], at[inside], least[inside], np.flatnonzero(inside), strings
 
 
 def runs(text: np.ndarray, at: np.ndarray, anchor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -72,6 +72,14 @@ def runs(text: np.ndarray, at: np.ndarray, anchor: np.ndarray) -> tuple[np.ndarr
     return f, np.minimum(RUN, end - f)
 
 
+def anchor_offsets(place: np.ndarray, count: np.ndarray, anchor: np.ndarray, strings: np.ndarray) -> np.ndarray:
+    """Where in each run's context its anchor begins; -1 if it is there more than once."""
+    at = place[:, None] + np.arange(2 * RUN)
+    found = (strings[np.minimum(at, len(strings) - 1)] == anchor[:, None]) & (np.arange(2 * RUN) < (count + RUN - 1)[:, None])
+    first = found.argmax(1)
+    return np.where((found.sum(1) == 1) & (first >= count - 1), first, -1)
+
+
 def slices(texts: list[bytes], most: int = SLICE_BYTES) -> Iterator[tuple[int, list[bytes]]]:
     start, total = 0, 0
     for i, t in enumerate(texts):
@@ -83,19 +91,31 @@ def slices(texts: list[bytes], most: int = SLICE_BYTES) -> Iterator[tuple[int, l
         yield start, texts[start:]
 
 
-def shared_windows(contexts: list[bytes], doc: np.ndarray) -> np.ndarray:
+def shared_windows(contexts: list[bytes], doc: np.ndarray, anchor: np.ndarray, at: np.ndarray) -> np.ndarray:
     """For each context a bit mask of its windows that also start in a context of a smaller document.
 
-    One suffix array over all contexts, a separator after each; suffixes with LENGTH equal bytes
-    stand together in it.
+    One suffix array over all contexts, a separator after each. Every window holds its context's
+    anchor, so where that is there once (``at`` 0 or more) it stands as one symbol of its own in
+    place of its bytes, the same for equal anchors. Suffixes of equal windows stand together.
     """
     data: list[int] = []
     owner, offset = [], []
+    symbols: dict[int, int] = {}
     for i, c in enumerate(contexts):
-        owner += [i] * (len(c) + 1)
-        offset += range(len(c) + 1)
-        data += [x + 1 for x in c]
-        data.append(0)
+        o, n = int(at[i]), len(c)
+        begin = len(data)
+        if o < 0:
+            data += c
+            places = range(n)
+        else:
+            data += c[:o]
+            data.append(symbols.setdefault(int(anchor[i]), 256 + len(symbols)))
+            data += c[o + ANCHOR :]
+            places = [*range(o + 1), *range(o + ANCHOR, n)]
+        data.append(-1)
+        owner += [i] * (len(data) - begin)
+        offset += places
+        offset.append(n)
     mask = np.zeros(len(contexts), np.int64)
     last, run = None, []
 
@@ -130,7 +150,7 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     2. Every string has an anchor (``windows``). Anchors are dealt out by value, packed; each chunk of
        documents gets back those that it shares with another document. A task sees 5 bytes for each
        distinct anchor and chunk, however many documents have it.
-    3. Chunks cut out the contexts of shared anchors. Equal contexts of an anchor are a class; its
+    3. Chunks cut out the contexts of shared anchors. Equal contexts of an anchor (128 bits of hash) are a class; its
        smallest document keeps them, all others lose them: a combined aggregation.
     4. Classes of one anchor meet and a suffix array over them (``suffix_array``) finds the strings
        that the smallest document of a class shares with a smaller one. An anchor with more than MEET
@@ -178,7 +198,7 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         for b in batches:
             chunks = b.column(0).to_numpy()
             for a, texts in slices(b.column(2).to_pylist()):
-                text, _, anchor = windows(texts)
+                text, _, anchor, _, _ = windows(texts)
                 if not len(text):
                     continue
                 keep = np.concatenate([[True], (text[1:] != text[:-1]) | (anchor[1:] != anchor[:-1])])
@@ -233,7 +253,7 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         # One sorted array: bucket in front of the 40 bits.
         wanted = np.sort(np.concatenate([v + (np.uint64(b) << np.uint64(40)) for b, v in known.items()]))
         for a, part in slices(texts):
-            text, at, anchor = windows(part)
+            text, at, anchor, place, strings = windows(part)
             first, count = runs(text, at, anchor)
             if not len(first):
                 continue
@@ -246,26 +266,30 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 continue
             t, s, n = text[first], at[first], count
             out = [part[x][y : y + z + LENGTH - 1] for x, y, z in zip(t.tolist(), s.tolist(), n.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(anchor[first].view(np.int64)), pa.array(ids[a + t].astype(np.int64)), pa.array(s), pa.array(n), pa.array(out, pa.binary())], names=["h", "id", "start", "n", "context"])
+            off = anchor_offsets(place[first], n, anchor[first], strings)
+            yield pa.RecordBatch.from_arrays([pa.array(anchor[first].view(np.int64)), pa.array(ids[a + t].astype(np.int64)), pa.array(s), pa.array(n), pa.array(off), pa.array(out, pa.binary())], names=["h", "id", "start", "n", "off", "context"])
 
     texts = originals.select("chunk", "id", F.lit(None).cast("bigint").alias("bucket"), F.col("text").alias("data"))
     asked = shared.select("chunk", F.lit(None).cast("bigint").alias("id"), "bucket", F.col("packed").alias("data"))
-    contexts = materialize(by_group(texts.unionByName(asked), ["chunk"], cut, "h bigint, id bigint, start bigint, n bigint, context binary"), "contexts")
-    classes = contexts.groupBy("h", "context").agg(F.min("id").alias("low"), F.max("id").alias("high"))
-    classes = materialize(classes.withColumn("c", F.xxhash64("context")), "classes")
+    cuts = by_group(texts.unionByName(asked), ["chunk"], cut, "h bigint, id bigint, start bigint, n bigint, off bigint, context binary")
+    contexts = materialize(cuts.withColumn("c", F.xxhash64("context")), "contexts")
+    # A class is named by its anchor's and its bytes' hash, 128 bits together; bytes move only where classes meet.
+    classes = materialize(contexts.groupBy("h", "c").agg(F.min("id").alias("low"), F.max("id").alias("high")), "classes")
     per = classes.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
-    together = classes.join(per, "h")
+    meeting = classes.join(per, "h").select("h", "c", "low", "k")
+    bytes_of = contexts.select("h", "c", F.col("id").alias("low"), "off", "context").join(meeting, ["h", "c", "low"])
+    together = materialize(bytes_of.groupBy("h", "c", "low", "k").agg(F.first("context").alias("context"), F.first("off").alias("off")), "meeting")
 
     def sort(key: tuple, rows: pa.Table) -> Iterator[pa.RecordBatch]:
         h, c = rows.column("h").to_numpy(), rows.column("c").to_numpy()
-        doc, context = rows.column("low").to_numpy(), rows.column("context").to_pylist()
+        doc, context, off = rows.column("low").to_numpy(), rows.column("context").to_pylist(), rows.column("off").to_numpy()
         order = np.argsort(h, kind="stable")
         edge = np.flatnonzero(np.concatenate([[True], h[order][1:] != h[order][:-1]]))
         batch: list[int] = []
         done = np.zeros(len(h), np.int64)
 
         def flush() -> None:
-            done[batch] = shared_windows([context[i] for i in batch], doc[batch])
+            done[batch] = shared_windows([context[i] for i in batch], doc[batch], h[batch], off[batch])
 
         for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(h)], strict=True):
             batch += order[a:b].tolist()
@@ -279,15 +303,18 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             yield pa.RecordBatch.from_arrays([pa.array(h[got]), pa.array(c[got]), pa.array(done[got])], names=["h", "c", "mask"])
 
     few = together.where(F.col("k") <= MEET).withColumn("part", F.pmod(F.col("h"), F.lit(max(1, total // (16 << 20)))))
-    masks = by_group(few.select("part", "h", "c", "low", "context"), ["part"], sort, "h bigint, c bigint, mask bigint")
+    masks = by_group(few.select("part", "h", "c", "low", "off", "context"), ["part"], sort, "h bigint, c bigint, mask bigint")
     each = F.explode(F.sequence(F.lit(0), F.octet_length("context") - LENGTH))
     strings = together.where(F.col("k") > MEET).select("h", "c", "low", "context", each.alias("o")).withColumn("w", F.md5(F.substring("context", F.col("o") + 1, F.lit(LENGTH))))
     firsts = strings.groupBy("h", "w").agg(F.min("low").alias("least"))
     more = strings.join(firsts, ["h", "w"]).where("low > least").groupBy("h", "c").agg(F.expr("bit_or(shiftleft(1L, cast(o AS int)))").alias("mask"))
     verdicts = classes.select("h", "c", "low", "high").join(masks.unionByName(more), ["h", "c"], "left").where("mask IS NOT NULL OR low < high")
-    hits = contexts.select("h", F.xxhash64("context").alias("c"), "id", "start", "n").join(verdicts, ["h", "c"])
+    hits = contexts.select("h", "c", "id", "start", "n").join(verdicts, ["h", "c"])
     whole = F.when(F.col("id") > F.col("low"), F.expr("shiftleft(1L, cast(n AS int)) - 1")).otherwise(F.coalesce("mask", F.lit(0)))
     covered = hits.withColumn("mask", whole).where("mask <> 0").select(F.pmod(F.xxhash64("id"), F.lit(n_chunks)).alias("chunk"), "id", "start", "mask")
+    covered = materialize(covered, "covered")
+    touched = covered.select("id", F.lit(True).alias("cut")).distinct()
+    touched = F.broadcast(touched) if touched.count() <= BROADCAST_IDS else touched
 
     def finish(key: tuple, rows: pa.Table) -> Iterator[pa.RecordBatch]:
         mask = np.array([-1 if x is None else x for x in rows.column("mask").to_pylist()])
@@ -330,9 +357,17 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.binary()), pa.array(d, pa.list_(span))], names=["id", "n_bytes", "kept", "spans"])
 
     null = lambda t: F.lit(None).cast(t)
-    left = docs.select("chunk", "id", null("bigint").alias("start"), null("bigint").alias("mask"), "text", F.coalesce("copy", F.lit(False)).alias("copy"))
+    marked = docs.join(touched, "id", "left")
+    left = marked.where("cut AND copy IS NULL").select("chunk", "id", null("bigint").alias("start"), null("bigint").alias("mask"), "text", F.lit(False).alias("copy"))
     right = covered.select("chunk", "id", "start", "mask", null("binary").alias("text"), null("boolean").alias("copy"))
-    result = by_group(left.unionByName(right), ["chunk"], finish, "id bigint, n_bytes bigint, kept binary, spans array<struct<start:bigint,end:bigint>>")
+    schema = "id bigint, n_bytes bigint, kept binary, spans array<struct<start:bigint,end:bigint>>"
+    changed = by_group(left.unionByName(right), ["chunk"], finish, schema)
+    # Copies lose all, documents without a covered byte nothing: they need no dealing out.
+    size = F.octet_length("text").cast("bigint")
+    gone = F.col("copy").isNotNull() & (size >= LENGTH)
+    whole_span = F.array(F.struct(F.lit(0).cast("bigint").alias("start"), size.alias("end")))
+    rest = marked.where("cut IS NULL OR copy IS NOT NULL").select("id", size.alias("n_bytes"), F.when(gone, F.lit(b"")).otherwise(F.col("text")).alias("kept"), F.when(gone, whole_span).otherwise(F.array().cast("array<struct<start:bigint,end:bigint>>")).alias("spans"))
+    result = changed.unionByName(rest)
     return result.select(F.when(F.col("id") < (1 << 63) - 1, F.col("id")).alias(id_col), "n_bytes", "kept", "spans")
 
 

@@ -161,9 +161,14 @@ def fnv1a32(c: Column) -> Column:
     return F.lower(F.lpad(F.hex(step), 8, "0"))
 
 
-@F.pandas_udf("string")
-def nfkc(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
+def nfkc(c: Column) -> Column:
+    """Unicode NFKC, which has no built-in function."""
+
+    @F.pandas_udf("string")
+    def normalize(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
+
+    return normalize(c)
 
 
 def canonical_text(c: Column) -> Column:

@@ -36,20 +36,24 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars"))
 
 
-def n_words() -> F.Column:
+def n_words():
     return F.size(X.space_words(F.coalesce("text", F.lit(""))))
 
 
 #: A date and a licence by rule, as the tables have none.
-DATE = F.concat(F.lit("20"), F.lpad((F.col("doc_id") % 6 + 18).cast("string"), 2, "0"), F.lit("-06-01"))
-LICENSE = F.element_at(F.array(*map(F.lit, ("CC BY 4.0", "Unknown", " proprietary ", "CC0", "CC BY-SA 3.0"))), (F.col("doc_id") % 5 + 1).cast("int"))
+def DATE():
+    return F.concat(F.lit("20"), F.lpad((F.col("doc_id") % 6 + 18).cast("string"), 2, "0"), F.lit("-06-01"))
+
+
+def LICENSE():
+    return F.element_at(F.array(*map(F.lit, ("CC BY 4.0", "Unknown", " proprietary ", "CC0", "CC BY-SA 3.0"))), (F.col("doc_id") % 5 + 1).cast("int"))
 GATED_SQL = f"""SELECT *, CASE WHEN list_contains(['', 'unknown', 'n/a', 'all rights reserved', 'proprietary'], lower(trim(lic))) THEN 'license' WHEN dt >= '2022-01-01' THEN 'date' WHEN NOT nw BETWEEN 50 AND 3000 THEN 'length' END AS dropped
 FROM (SELECT *, ['CC BY 4.0', 'Unknown', ' proprietary ', 'CC0', 'CC BY-SA 3.0'][doc_id % 5 + 1] AS lic, '20' || lpad(CAST(doc_id % 6 + 18 AS VARCHAR), 2, '0') || '-06-01' AS dt, len({SPACE_WORDS}) AS nw FROM documents)"""
 
 
 @query("C01_C04_gates", f"SELECT dropped, count(*) AS n FROM ({GATED_SQL}) GROUP BY dropped")
 def gates(spark, sf_dir):
-    rows = docs(spark, sf_dir).select("doc_id", LICENSE.alias("lic"), DATE.alias("dt"), n_words().alias("nw"))
+    rows = docs(spark, sf_dir).select("doc_id", LICENSE().alias("lic"), DATE().alias("dt"), n_words().alias("nw"))
     return C.gate(rows, "lic", "dt", "nw").groupBy("dropped").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -149,7 +153,6 @@ def coalesced(spark, sf_dir):
 
 
 # Evaluation: quality is the positive class and a deterministic score stands for a detector.
-SCORE = (F.crc32(F.col("doc_id").cast("string")) % 101 + F.col("n_chars") % 7).cast("int")
 SCORED = "SELECT doc_id, lang, quality = 1 AS pos, n_chars % 101 + n_chars % 7 AS score, CASE WHEN n_chars < 300 THEN 'short' WHEN n_chars < 1500 THEN 'middle' ELSE 'long' END AS bucket FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL"
 RATES = "CAST(count(*) FILTER (pos AND hit) AS BIGINT) AS tp, count(*) FILTER (NOT pos AND hit) AS fp, count(*) FILTER (NOT pos AND NOT hit) AS tn, count(*) FILTER (pos AND NOT hit) AS fn"
 DERIVED = "round((tp + tn) / nullif(tp + fp + tn + fn, 0), 6) AS accuracy, round(tp / nullif(tp + fp, 0), 6) AS precision, round(tp / nullif(tp + fn, 0), 6) AS recall, round(fp / nullif(fp + tn, 0), 6) AS fpr, round(fn / nullif(tp + fn, 0), 6) AS fnr, round(2 * tp / nullif(2 * tp + fp + fn, 0), 6) AS f1"

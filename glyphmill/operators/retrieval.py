@@ -1,0 +1,94 @@
+"""Topic profiles, candidate relevance, cosine; extractive summary scores; fusion of two scores."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from glyphmill.functions import lexicon as L
+from glyphmill.functions import text as X
+
+TOPICS, ANCHORS = 6, 2
+TIER_QUALITY = {"Jurnal/paper": 1.0, "Wikipedia/Wikidata": 0.92, "Umum": 0.85}
+
+
+def content_tokens(c: Column) -> Column:
+    return F.filter(X.words(c), lambda t: (F.length(t) >= 4) & ~t.isin(L.ID_FW + L.EN_FW))
+
+
+def term_rows(sents: DataFrame) -> DataFrame:
+    """doc_id, pos, term: one row for each content token of (doc_id, pos, sent)."""
+    return sents.select("doc_id", "pos", F.explode(content_tokens(F.col("sent"))).alias("term"))
+
+
+def profile(terms: DataFrame) -> DataFrame:
+    """Tf, df, idf, score, rank of the terms of each document, and which are topics and anchors.
+
+    Both aggregations and all windows are by document, so the rows are dealt out once.
+    """
+    doc = W.partitionBy("doc_id")
+    per = terms.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.count_distinct("pos").alias("df"))
+    n = terms.groupBy("doc_id").agg((F.max("pos") + 1).alias("n"))
+    per = per.join(n, "doc_id").withColumn("idf", F.log((F.col("n") + 1) / (F.col("df") + 0.5)) / F.log(F.col("n") + 1))
+    top = F.max("idf").over(doc)
+    per = per.withColumn("score", F.col("tf") * (1 + 0.5 * F.when(top > 0, F.col("idf") / top).otherwise(0.0)))
+    fits = (F.col("tf") >= F.when(F.col("n") >= 6, 2).otherwise(1)) & ~F.regexp_like("term", F.lit("^[0-9]+$"))
+    per = per.withColumn("fits", fits).withColumn("rank", F.row_number().over(doc.orderBy(F.desc("fits"), F.desc(F.round("score", 9)), "term")))
+    topic = F.col("fits") & (F.col("rank") <= TOPICS)
+    per = per.withColumn("topic", topic)
+    long_topics = F.sum((F.col("topic") & (F.length("term") >= 6)).cast("int")).over(doc)
+    pool = F.col("topic") & ((long_topics < 2) | (F.length("term") >= 6))
+    place = F.sum(pool.cast("int")).over(doc.orderBy("rank").rowsBetween(W.unboundedPreceding, 0))
+    return per.withColumn("anchor", pool & (place <= ANCHORS))
+
+
+def cosine(a: Column, b: Column) -> Column:
+    """0 where a norm is 0."""
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q), F.lit(0.0), lambda s, v: s + v)
+    norm = F.sqrt(dot(a, a) * dot(b, b))
+    return F.when(norm > 0, dot(a, b) / norm).otherwise(0.0)
+
+
+def sentence_rows(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", F.posexplode(X.sentences(F.coalesce("text", F.lit("")))).alias("pos", "sent"))
+
+
+ORPHAN_STRONG = ["namun", "tetapi", "sedangkan", "sedangkanpun", "namun demikian", "oleh karena itu", "karena itu", "dengan demikian", "oleh sebab itu", "akan tetapi", "melainkan", "sebaliknya", "sehingga", "maka dari itu"]
+ORPHAN_LEADERS = ["selain itu", "selain", "menurut", "hal ini", "keadaan ini", "hal tersebut", "keadaan tersebut", "hal itu", "keadaan itu", "diketahui bahwa", "terlihat bahwa", "tampak bahwa", "ternyata", "sebab", "masih", "kemudian"]
+
+
+def orphan(sent: Column) -> Column:
+    """How much a sentence leans on the one before it, by its first words."""
+    ws = F.filter(F.split(F.lower(F.regexp_replace(sent, "^[^A-Za-zÀ-Þ]+", "")), "[^a-zÀ-ÞĀ-ſà-ÿ]+"), lambda x: x != "")
+    head = F.array_join(F.slice(ws, 1, 3), " ")
+    hit = lambda terms: F.exists(F.array(*map(F.lit, terms)), lambda t: (head == t) | head.startswith(F.concat(t, F.lit(" "))))
+    return F.when(hit(ORPHAN_STRONG), 0.95).when(hit(ORPHAN_LEADERS), 0.55).when(F.get(ws, F.lit(1)).isin("ini", "itu", "tersebut"), 0.7).otherwise(0.0)
+
+
+def summary_scores(sents: DataFrame) -> DataFrame:
+    """M01-M04, M06, M07 (without the genericness part) and M09 for (doc_id, pos, sent): topic, density, total, rank, keep."""
+    doc = W.partitionBy("doc_id")
+    sents = sents.withColumn("n", F.count(F.lit(1)).over(doc))
+    terms = sents.select("doc_id", "pos", "n", F.explode(content_tokens(F.col("sent"))).alias("term"))
+    terms = terms.withColumn("f", F.count(F.lit(1)).over(W.partitionBy("doc_id", "term")))
+    per = terms.groupBy("doc_id", "pos").agg(F.avg(F.col("f") * F.log(1 + F.col("n") / (1 + F.col("f")))).alias("topic"), F.avg((F.col("f") <= 2).cast("double")).alias("density"))
+    out = sents.join(per, ["doc_id", "pos"], "left").fillna(0.0, ["topic", "density"])
+    share = lambda c: F.when(F.max(c).over(doc) > 0, F.col(c) / F.max(c).over(doc)).otherwise(0.0)
+    out = out.withColumns({"topic": share("topic"), "density": share("density")})
+    place = F.when(F.col("pos") == 0, 0.25).when(F.col("pos") == F.col("n") - 1, 0.18).when(F.col("pos") == 1, 0.08).otherwise(0.0)
+    words = X.count_words(F.col("sent"))
+    penalty = F.when((words < 6) | (words > 40), 0.15).otherwise(0.0)
+    total = 0.34 * F.col("topic") + 0.22 * F.col("density") + 0.10 * place - penalty - orphan(F.col("sent"))
+    out = out.withColumn("exact", total).withColumn("total", X.js_round_to(F.col("exact"), 3))
+    keep = F.greatest(F.when(F.col("n") >= 10, 3).otherwise(2), F.least(F.lit(5), X.js_round(F.col("n") / 5)))
+    return out.withColumns({"rank": F.row_number().over(doc.orderBy(F.desc("total"), "pos")), "keep": keep.cast("int")})
+
+
+def fuse(local: Column, cap: Column, external: Column, confidence: Column, coverage: Column, knows_language: Column) -> Column:
+    """the weighted blend of two scores, lifted by 5 at most over the capped local one, 15 to 98."""
+    base = F.when(confidence == "tinggi", 0.45).when(confidence == "sedang", 0.30).otherwise(0.15)
+    weight = base * F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(coverage, F.lit(1.0)))) * F.when(knows_language, 1.0).otherwise(0.5)
+    capped = F.least(local, F.coalesce(cap, local))
+    clamp = lambda x: F.greatest(F.lit(15), F.least(F.lit(98), X.js_round(x))).cast("int")
+    return F.when(external.isNull(), clamp(capped)).otherwise(clamp(F.least(capped * (1 - weight) + external * weight, capped + 5)))

@@ -1,0 +1,128 @@
+"""Retrieval, summary, fusion and rewriting columns over the driver's tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from glyphmill.functions import lexicon as L
+from glyphmill.functions import text as X
+from glyphmill.operators import metrics as M
+from glyphmill.operators import retrieval as R
+from glyphmill.plans import detector_sql as S
+from glyphmill.plans.fixtures import DOCUMENTS_SQL, documents
+from glyphmill.sources.tables import read
+from glyphmill.streaming.scoring import event_windows
+
+QUERIES, ORACLE_SQL = {}, {}
+STOP = S.array(L.ID_FW + L.EN_FW)
+SENTS = f"{DOCUMENTS_SQL}, x AS (SELECT doc_id, {S.sentences(chr(116) + '0')} AS ss FROM (SELECT doc_id, coalesce(text, '') AS t0 FROM d)), y AS (SELECT doc_id, unnest(ss) AS sent, generate_subscripts(ss, 1) - 1 AS pos, len(ss) AS n FROM x)"
+TERMS = f"{SENTS}, z AS (SELECT doc_id, pos, n, unnest([t FOR t IN {S.words('sent')} IF length(t) >= 4 AND NOT list_contains({STOP}, t)]) AS term FROM y)"
+
+
+def query(name, sql=None):
+    def keep(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return keep
+
+
+PROFILE = f"""WITH {TERMS}, m AS (SELECT doc_id, max(pos) + 1 AS n FROM z GROUP BY doc_id), p AS (SELECT doc_id, term, count(*) AS tf, count(DISTINCT pos) AS df FROM z GROUP BY ALL),
+i AS (SELECT p.*, n, ln((n + 1) / (df + 0.5)) / ln(n + 1) AS idf FROM p JOIN m USING (doc_id)),
+s AS (SELECT *, tf * (1 + 0.5 * CASE WHEN max(idf) OVER (PARTITION BY doc_id) > 0 THEN idf / max(idf) OVER (PARTITION BY doc_id) ELSE 0 END) AS score, tf >= CASE WHEN n >= 6 THEN 2 ELSE 1 END AND NOT regexp_matches(term, '^[0-9]+$') AS fits FROM i),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY fits DESC, round(score, 9) DESC, term) AS rank FROM s),
+t AS (SELECT *, fits AND rank <= 6 AS topic, sum(CAST(fits AND rank <= 6 AND length(term) >= 6 AS INT)) OVER (PARTITION BY doc_id) AS longs FROM r),
+u AS (SELECT *, topic AND (longs < 2 OR length(term) >= 6) AS pool FROM t),
+a AS (SELECT *, pool AND sum(CAST(pool AS INT)) OVER (PARTITION BY doc_id ORDER BY rank ROWS UNBOUNDED PRECEDING) <= 2 AS anchor FROM u)
+SELECT doc_id, term, tf, df, round(idf, 6) AS idf, round(score, 6) AS score, CAST(rank AS INT) AS rank, anchor FROM a WHERE topic"""
+
+
+@query("R01_R04_topic_profile", PROFILE)
+def topics(spark, sf_dir):
+    per = R.profile(R.term_rows(R.sentence_rows(documents(spark, sf_dir))))
+    return per.where("topic").select("doc_id", "term", "tf", "df", F.round("idf", 6).alias("idf"), F.round("score", 6).alias("score"), "rank", "anchor")
+
+
+COS = "list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
+
+
+@query("R08_cosine", f"SELECT a.vec_id AS q, b.vec_id AS v, round({COS}, 6) AS sim FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0 AND b.vec_id <> a.vec_id")
+def cosine(spark, sf_dir):
+    e = read(spark, sf_dir, "embeddings")
+    asked = F.broadcast(e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("x")))
+    return e.join(asked, F.col("q") != F.col("vec_id")).select("q", F.col("vec_id").alias("v"), F.round(R.cosine(F.col("x"), F.col("embedding")), 6).alias("sim"))
+
+
+RANKED = f"SELECT a.vec_id AS q, a.label = b.label AS same, row_number() OVER (PARTITION BY a.vec_id ORDER BY round({COS}, 9) DESC, b.vec_id) AS rank FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0 AND b.vec_id <> a.vec_id"
+
+
+@query("X10_X11_rank_quality", f"SELECT q, round(count(*) FILTER (rank <= 3 AND same) / 3, 6) AS p3, round(count(*) FILTER (rank <= 10 AND same) / 10, 6) AS p10, round(count(*) FILTER (rank <= 10 AND same) / nullif(count(*) FILTER (same), 0), 6) AS recall FROM ({RANKED}) GROUP BY q")
+def rank_quality(spark, sf_dir):
+    e = read(spark, sf_dir, "embeddings")
+    asked = F.broadcast(e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("x"), F.col("label").alias("ql")))
+    pairs = e.join(asked, F.col("q") != F.col("vec_id")).withColumn("sim", F.round(R.cosine(F.col("x"), F.col("embedding")), 9))
+    ranked = pairs.withColumn("rank", F.row_number().over(W.partitionBy("q").orderBy(F.desc("sim"), "vec_id")))
+    out = M.rank_quality(ranked, "q", "rank", F.col("ql") == F.col("label"), F.col("ql") != F.col("label"))
+    return out.select("q", *(F.round(c, 6).alias(c) for c in ("p3", "p10", "recall")))
+
+
+@query("R13_R15_source_filter_order", "SELECT page_id, host, tier, CAST(row_number() OVER (ORDER BY rel DESC, tier, page_id) AS INT) AS place FROM (SELECT page_id, regexp_extract(url, '//([^/]+)', 1) AS host, page_id % 3 AS tier, floor((page_id * 37 % 101) / 100 * 100 + 0.5) / 100 AS rel FROM pages WHERE url IS NOT NULL AND html IS NOT NULL)")
+def ordered(spark, sf_dir):
+    p = read(spark, sf_dir, "pages").where("url IS NOT NULL AND html IS NOT NULL")
+    rel = X.js_round_to((F.col("page_id") * 37 % 101) / 100, 2)
+    p = p.select("page_id", F.regexp_extract("url", "//([^/]+)", 1).alias("host"), (F.col("page_id") % 3).alias("tier"), rel.alias("rel"))
+    return p.select("page_id", "host", "tier", F.row_number().over(W.orderBy(F.desc("rel"), "tier", "page_id")).alias("place"))
+
+
+ORPHAN = "array_to_string(list_slice(ws, 1, 3), ' ')"
+HIT = lambda terms: f"len([t FOR t IN {S.array(terms)} IF head = t OR starts_with(head, t || ' ')]) > 0"
+SUMMARY = f"""WITH {TERMS}, f AS (SELECT *, count(*) OVER (PARTITION BY doc_id, term) AS f FROM z), g AS (SELECT doc_id, pos, avg(f * ln(1 + n / (1 + f))) AS topic, avg(CAST(f <= 2 AS DOUBLE)) AS density FROM f GROUP BY ALL),
+h AS (SELECT y.doc_id, y.pos, y.n, y.sent, coalesce(topic, 0) AS topic, coalesce(density, 0) AS density, [w FOR w IN regexp_split_to_array(lower(regexp_replace(sent, '^[^A-Za-zÀ-Þ]+', '')), '[^a-zÀ-ÞĀ-ſà-ÿ]+') IF w <> ''] AS ws FROM y LEFT JOIN g USING (doc_id, pos)),
+k AS (SELECT *, {ORPHAN} AS head, CASE WHEN max(topic) OVER w > 0 THEN topic / max(topic) OVER w ELSE 0 END AS t, CASE WHEN max(density) OVER w > 0 THEN density / max(density) OVER w ELSE 0 END AS dn FROM h WINDOW w AS (PARTITION BY doc_id)),
+o AS (SELECT *, CASE WHEN {HIT(R.ORPHAN_STRONG)} THEN 0.95 WHEN {HIT(R.ORPHAN_LEADERS)} THEN 0.55 WHEN ws[2] IN ('ini', 'itu', 'tersebut') THEN 0.7 ELSE 0 END AS orphan, CASE WHEN {S.count_words('sent')} < 6 OR {S.count_words('sent')} > 40 THEN 0.15 ELSE 0 END AS pen,
+  CASE WHEN pos = 0 THEN 0.25 WHEN pos = n - 1 THEN 0.18 WHEN pos = 1 THEN 0.08 ELSE 0 END AS place FROM k),
+q AS (SELECT *, round(0.34::DOUBLE * t + 0.22::DOUBLE * dn + 0.10::DOUBLE * place - pen - orphan, 6) AS exact FROM o)
+SELECT doc_id, CAST(pos AS INT) AS pos, exact, CAST(greatest(CASE WHEN n >= 10 THEN 3 ELSE 2 END, least(5, floor(n / 5 + 0.5))) AS INT) AS keep FROM q"""
+
+
+@query("M01_M09_summary_scores", SUMMARY)
+def summary(spark, sf_dir):
+    return R.summary_scores(R.sentence_rows(documents(spark, sf_dir))).select("doc_id", "pos", F.round("exact", 6).alias("exact"), "keep")
+
+
+@query("F13_fusion", "SELECT *, CAST(CASE WHEN ext IS NULL THEN greatest(15, least(98, floor(capped + 0.5))) ELSE greatest(15, least(98, floor(least(capped * (1 - w) + ext * w, capped + 5) + 0.5))) END AS INT) AS fused FROM (SELECT doc_id, least(loc, coalesce(cap, loc)) AS capped, ext, CASE conf WHEN 'tinggi' THEN 0.45::DOUBLE WHEN 'sedang' THEN 0.30::DOUBLE ELSE 0.15::DOUBLE END * cov * CASE WHEN known THEN 1::DOUBLE ELSE 0.5::DOUBLE END AS w FROM (SELECT doc_id, 15 + n_chars % 84 AS loc, CASE WHEN n_chars < 300 THEN 45 END AS cap, CASE WHEN doc_id % 7 > 0 THEN (doc_id * 31) % 100 END AS ext, ['rendah', 'sedang', 'tinggi'][doc_id % 3 + 1] AS conf, (doc_id % 5 + 1) / 5 AS cov, lang = 'en' AS known FROM documents))".replace("SELECT *, CAST(CASE", "SELECT doc_id, CAST(CASE"))
+def fusion(spark, sf_dir):
+    i, n = F.col("doc_id"), F.col("n_chars")
+    conf = F.element_at(F.array(*map(F.lit, ("rendah", "sedang", "tinggi"))), (i % 3 + 1).cast("int"))
+    fused = R.fuse(15 + n % 84, F.when(n < 300, 45), F.when(i % 7 > 0, i * 31 % 100), conf, (i % 5 + 1) / 5, F.col("lang") == "en")
+    return read(spark, sf_dir, "documents").select("doc_id", fused.alias("fused"))
+
+
+@query("H03_sentence_cleanup", f"WITH {DOCUMENTS_SQL}, t AS (SELECT doc_id, trim(regexp_replace(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g'), ' ([,.;:!?])', '\\1', 'g')) AS s FROM d) SELECT doc_id, upper(left(s, 1)) || substr(s, 2) AS out FROM t")
+def cleanup(spark, sf_dir):
+    d = documents(spark, sf_dir).select("doc_id", F.trim(F.regexp_replace(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " "), " ([,.;:!?])", "$1")).alias("s"))
+    return d.select("doc_id", F.concat(F.upper(F.left("s", F.lit(1))), F.substring("s", 2, 1 << 30)).alias("out"))
+
+
+@query("P06_latest_event", "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id")
+def latest(spark, sf_dir):
+    return read(spark, sf_dir, "events").groupBy("user_id").agg(F.max("event_id").alias("event_id"), F.max_by("event_type", "event_id").alias("event_type"))
+
+
+@query("ST_event_windows", "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def windows(spark, sf_dir):
+    return event_windows(read(spark, sf_dir, "events")).select(F.col("window.start").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query("IO07_resume_append", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def resume(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id").join(read(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti")
+
+
+@query("IO08_keyed_replace", "SELECT d.doc_id, coalesce('label ' || l.quality, d.source) AS source FROM documents d LEFT JOIN labels l USING (doc_id)")
+def replace(spark, sf_dir):
+    lab = read(spark, sf_dir, "labels").select("doc_id", F.concat(F.lit("label "), F.col("quality").cast("string")).alias("new"))
+    return read(spark, sf_dir, "documents").join(lab, "doc_id", "left").select("doc_id", F.coalesce("new", "source").alias("source"))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphmill.llm import quality
-from glyphmill.llm.bpe import bpe_decode, bpe_encode, default_tokenizer
+from glyphmill.llm.bpe import bpe_encode, default_tokenizer
 from glyphmill.llm.common import SPACE, materialize, read, ship, text_of
 from glyphmill.llm.line_dedup import line_dedup
 from glyphmill.llm.mixing import mix
@@ -61,8 +61,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, ids, n_tokens, and whether the ids decode to the text."""
     ship(spark)
-    path = default_tokenizer()
-    coded = bpe_decode(bpe_encode(docs, path), path, out_col="_decoded")
+    coded = bpe_encode(docs, default_tokenizer(), decoded_col="_decoded")
     return coded.select("doc_id", "lang", "source", "ids", F.size("ids").cast("bigint").alias("n_tokens"), (F.col("_decoded") == text_of()).alias("exact"))
 
 

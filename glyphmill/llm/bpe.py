@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import heapq
 import json
 from collections.abc import Iterator
@@ -20,7 +21,8 @@ from glyphmill.llm.common import read, text_of
 
 #: Fixed value: the pre-tokenisation pattern of the byte-level format.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-WORDS_KEPT = 600_000
+#: Pieces in a table before a new one begins; the one before stays at hand.
+WORDS_KEPT = 150_000
 SLICE_BYTES = 2 << 20
 
 
@@ -213,12 +215,18 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[str, int] = {}  # of a piece that follows a space
-        self.word: dict[str, int] = {}  # of a word of the pattern, or an added token
+        """Begin a new table; the one so far is still looked up, and what is found there moves over."""
+        self.old = getattr(self, "table", {}), getattr(self, "flat", None), getattr(self, "start", None), getattr(self, "size", None)
+        #: By what follows a space: the number of its list of ids; after a space of its own: of a word of the pattern as it is, or an added token.
+        self.table: dict[str, int] = {}
         self.flat = np.empty(1 << 16, np.int32)
         self.used = 0
         self.start, self.size, self.count = np.empty(1 << 12, np.int64), np.empty(1 << 12, np.int64), 0
 
+    def ids(self, key: str) -> list[int]:
+        i = self.table[key]
+        return self.flat[self.start[i] : self.start[i] + self.size[i]].tolist()
+
     def add(self, found: list[list[int]]) -> range:
         """Room for lists of ids; their numbers."""
         size = np.fromiter(map(len, found), np.int64, len(found))
@@ -231,24 +239,27 @@ class Encoder:
         self.used, self.count = need, count
         return numbers
 
-    def learn_words(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self.word]
-        plain = [w for w in new if w not in self.bpe.added]
-        self.word.update(zip(plain, self.add(self.bpe.encode_words([w.encode("utf-8", "replace") for w in plain])), strict=True))
-        special = [w for w in new if w in self.bpe.added]
-        self.word.update(zip(special, self.add([[self.bpe.added[w]] for w in special]), strict=True))
-
-    def learn_pieces(self, pieces: list[str]) -> None:
-        edge = {p for p in pieces if not p or p[0].isspace() or p[-1].isspace()}
-        self.index.update(dict.fromkeys(edge, -1))
-        pieces = [p for p in pieces if p not in edge]
-        words = [self.bpe.words.findall(" " + p) for p in pieces]
-        self.learn_words(set(chain.from_iterable(words)))
-        ids = lambda w: self.flat[self.start[i := self.word[w]] : self.start[i] + self.size[i]].tolist()
-        single = [(p, self.word[w[0]]) for p, w in zip(pieces, words, strict=True) if len(w) == 1]
-        self.index.update(single)
-        more = [(p, [t for x in w for t in ids(x)]) for p, w in zip(pieces, words, strict=True) if len(w) != 1]
-        self.index.update(zip([p for p, _ in more], self.add([x for _, x in more]), strict=True))
+    def learn(self, keys: set[str]) -> None:
+        """Put keys into the table that aren't there."""
+        new = keys.difference(self.table)
+        table, flat, start, size = self.old
+        if moved := [k for k in new if table.get(k, -1) >= 0]:
+            at = [table[k] for k in moved]
+            self.table.update(zip(moved, self.add([flat[start[i] : start[i] + size[i]].tolist() for i in at]), strict=True))
+            new.difference_update(moved)
+        edge = {k for k in new if not k or k[0] != " " and (k[0].isspace() or k[-1].isspace())}
+        self.table.update(dict.fromkeys(edge, -1))
+        new = list(new - edge)
+        words = [[k] if k[0] == " " else self.bpe.words.findall(" " + k) for k in new]
+        single = [(k, w[0]) for k, w in zip(new, words, strict=True) if len(w) == 1]
+        special = [(k, w[1:]) for k, w in single if k[0] == " " and w[1:] in self.bpe.added]
+        self.table.update(zip([k for k, _ in special], self.add([[self.bpe.added[w]] for _, w in special]), strict=True))
+        plain = [(k, w[1:] if k[0] == " " else w) for k, w in single if not (k[0] == " " and w[1:] in self.bpe.added)]
+        self.table.update(zip([k for k, _ in plain], self.add(self.bpe.encode_words([w.encode("utf-8", "replace") for _, w in plain])), strict=True))
+        more = [(k, [w[1:] if w[0] == " " and len(w) > 1 else " " + w for w in ws]) for k, ws in zip(new, words, strict=True) if len(ws) > 1]
+        if more:
+            self.learn(set(chain.from_iterable(ws for _, ws in more)))
+            self.table.update(zip([k for k, _ in more], self.add([[t for w in ws for t in self.ids(w)] for _, ws in more]), strict=True))
 
     def words(self, text: str) -> list[str]:
         b = self.bpe
@@ -261,27 +272,27 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids and the number of ids of each text."""
-        if len(self.index) + len(self.word) > self.kept:
+        if len(self.table) > self.kept:
             self.clear()
         cut = [t.split(" ") for t in texts]
-        self.learn_pieces(list(set(chain.from_iterable(x[1:] for x in cut)).difference(self.index)))
+        self.learn(set(chain.from_iterable(x[1:] for x in cut)))
         heads: list[list[str]] = []  # words of the pattern
         tails: list[np.ndarray] = []  # numbers of the pieces that each follow a space
-        find = self.index.__getitem__
+        find = self.table.__getitem__
         for t, x in zip(texts, cut, strict=True):
             at = np.fromiter(map(find, x[1:]), np.int64, len(x) - 1)
             if (len(at) and at.min() < 0) or any(s in t for s in self.bpe.added):
-                heads.append(self.words(t))
+                heads.append([" " + w for w in self.words(t)])
                 tails.append(at[:0])
             else:
-                heads.append(self.words(x[0]))
+                heads.append([" " + w for w in self.words(x[0])])
                 tails.append(at)
-        self.learn_words(set(chain.from_iterable(heads)))
+        self.learn(set(chain.from_iterable(heads)))
         h, t = np.array([len(x) for x in heads], np.int64), np.array([len(x) for x in tails], np.int64)
         at = np.empty(int(h.sum() + t.sum()), np.int64)
         both = np.stack([h, t], 1).reshape(-1)
         in_tail = np.repeat(np.arange(len(both)) % 2 == 1, both)
-        at[~in_tail] = np.fromiter(map(self.word.__getitem__, chain.from_iterable(heads)), np.int64, int(h.sum()))
+        at[~in_tail] = np.fromiter(map(self.table.__getitem__, chain.from_iterable(heads)), np.int64, int(h.sum()))
         at[in_tail] = np.concatenate(tails) if tails else 0
         size = self.size[at]
         cum = np.cumsum(size)
@@ -320,29 +331,55 @@ def load(path: str) -> bytes:
         return f.read()
 
 
-def bpe_encode(df: DataFrame, tokenizer_path: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
+def list_array(ids: np.ndarray, size: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(ids))
+
+
+def text_array(bpe: Bpe, ids: np.ndarray, size: np.ndarray) -> pa.Array:
+    """The texts that lists of ids stand for; bytes that aren't UTF-8 become U+FFFD."""
+    whole = decode(bpe, ids).tobytes()
+    ends = np.concatenate([[0], np.cumsum(bpe.length[ids])])[np.concatenate([[0], np.cumsum(size)]).astype(np.int64)]
+    try:
+        whole.decode()
+        text = pa.StringArray.from_buffers(len(size), pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(whole))
+        text.validate(full=True)
+        return text
+    except (UnicodeDecodeError, pa.ArrowInvalid):
+        return pa.array([whole[i:j].decode("utf-8", "replace") for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], pa.string())
+
+
+def bpe_encode(df: DataFrame, tokenizer_path: str, text_col: str = "text", ids_col: str = "ids", decoded_col: str | None = None) -> DataFrame:
     """``df`` with the array ``ids_col`` (replaced if it is there): the text's token ids.
 
+    With ``decoded_col`` the ids are decoded again in the same pass, into that column.
+
     The file is read on the driver and broadcast (its size is the vocabulary's). Tokens are those
     of the format's own library without added special tokens; an added token's string inside a
     text gives its id. Null texts count as empty; empty texts have no ids. Rows are kept as they
-    are, repeated ones too; an empty table stays empty. Memory: a table of ``WORDS_KEPT`` words
-    and one batch; the words of a batch are encoded once however often they occur.
+    are, repeated ones too; an empty table stays empty. Memory: two tables of ``WORDS_KEPT`` pieces
+    and one batch; the pieces of a batch are encoded once however often they occur.
     """
     spec = df.sparkSession.sparkContext.broadcast(load(tokenizer_path))
-    base = df.drop(ids_col).withColumn("_bpe_text", text_of(text_col))
-    schema = T.StructType([*df.drop(ids_col).schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType()))])
+    new = [ids_col, decoded_col] if decoded_col else [ids_col]
+    kinds = [T.ArrayType(T.IntegerType()), T.StringType()]
+    base = df.drop(*new)
+    schema = T.StructType([*base.schema.fields, *(T.StructField(c, k) for c, k in zip(new, kinds, strict=False))])
+    base = base.select(*base.columns, F.coalesce(df[text_col], F.lit("")).alias("_bpe_text")) if text_col in new else base.withColumn("_bpe_text", text_of(text_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(_bpe(spec.value))
+        bpe = _bpe(spec.value)
+        encoder = Encoder(bpe)
+        gc.disable()  # many short lists, no cycles
         for batch in batches:
             text = batch.column(batch.num_columns - 1)
             rest = batch.select(range(batch.num_columns - 1))
             for a, b in slices(pa.compute.binary_length(text).to_numpy(zero_copy_only=False), SLICE_BYTES):
                 ids, size = encoder.encode(text[a:b].to_pylist())
-                offsets = pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32))
-                lists = pa.ListArray.from_arrays(offsets, pa.array(ids))
-                yield pa.RecordBatch.from_arrays([*rest.slice(a, b - a).columns, lists], names=[*rest.schema.names, ids_col])
+                made = [list_array(ids, size)]
+                if decoded_col:
+                    made.append(text_array(bpe, ids.astype(np.int64), size))
+                yield pa.RecordBatch.from_arrays([*rest.slice(a, b - a).columns, *made], names=[*rest.schema.names, *new])
+        gc.enable()
 
     return base.mapInArrow(run, schema)
 
@@ -364,20 +401,8 @@ def bpe_decode(df: DataFrame, tokenizer_path: str, ids_col: str = "ids", out_col
             rest = batch.select(range(batch.num_columns - 1))
             sizes = pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
             for a, b in slices(sizes, SLICE_BYTES // 4):
-                part, size = lists[a:b], sizes[a:b]
-                ids = part.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-                data = decode(bpe, ids)
-                per_id = np.concatenate([[0], np.cumsum(bpe.length[ids])])
-                ends = per_id[np.concatenate([[0], np.cumsum(size)]).astype(np.int64)]
-                whole = data.tobytes()
-                try:
-                    whole.decode()
-                    bounds = pa.py_buffer(ends.astype(np.int32))
-                    text = pa.StringArray.from_buffers(b - a, bounds, pa.py_buffer(whole))
-                    text.validate(full=True)
-                except (UnicodeDecodeError, pa.ArrowInvalid):
-                    text = pa.array([whole[i:j].decode("utf-8", "replace") for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], pa.string())
-                yield pa.RecordBatch.from_arrays([*rest.slice(a, b - a).columns, text], names=[*rest.schema.names, out_col])
+                ids = lists[a:b].flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([*rest.slice(a, b - a).columns, text_array(bpe, ids, sizes[a:b])], names=[*rest.schema.names, out_col])
 
     return base.mapInArrow(run, schema)
 
@@ -391,7 +416,7 @@ def default_tokenizer() -> str:
 def op10_bpe(spark: SparkSession, sf_dir: str, tokenizer_path: str | None = None) -> DataFrame:
     path = tokenizer_path or default_tokenizer()
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = bpe_decode(bpe_encode(docs, path).drop("text"), path)
+    coded = bpe_encode(docs, path, decoded_col="decoded")
     return coded.select(
         "doc_id",
         F.size("ids").cast("bigint").alias("n_tokens"),

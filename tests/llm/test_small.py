@@ -147,6 +147,8 @@ def test_bpe_against_the_library(docs, none):
     for i, x in enumerate(TEXTS):
         ids = t.encode(x or "", add_special_tokens=False).ids
         assert got[i]["ids"] == ids and got[i]["decoded"] == t.decode(ids, skip_special_tokens=False)
+    both = {r["doc_id"]: r for r in bpe.bpe_encode(docs, path, decoded_col="decoded").collect()}
+    assert all(both[i]["ids"] == got[i]["ids"] and both[i]["decoded"] == got[i]["decoded"] for i in got)
     e = bpe.Encoder(bpe.Bpe(bpe.load(path)), kept=5)
     odd = ["a<|endoftext|>b  \n\n x", "it's we'll 12,3 \x00\x01", " " * 50, "aaaa" * 300, "tail ", "\n a\t b"] * 2
     for x in odd:

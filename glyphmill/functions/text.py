@@ -211,7 +211,8 @@ def substring_hits(low: Column, terms: Sequence[str]) -> Column:
 def ngrams(tokens: Column, n: int) -> Column:
     last = F.size(tokens) - n
     at = F.when(last >= 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0)))).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: F.array_join(F.slice(tokens, i + 1, n), " "))
+    # Element by element: slice() would copy the whole array at each position.
+    return F.transform(at, lambda i: F.concat_ws(" ", *(F.get(tokens, i + j) for j in range(n))))
 
 
 def diversity(tokens: Column, n: int) -> Column:

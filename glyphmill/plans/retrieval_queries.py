@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from glyphmill.functions import lexicon as L
 from glyphmill.functions import text as X
+from glyphmill.operators import greedy as G
 from glyphmill.operators import metrics as M
 from glyphmill.operators import retrieval as R
 from glyphmill.plans import detector_sql as S
@@ -126,3 +127,21 @@ def resume(spark, sf_dir):
 def replace(spark, sf_dir):
     lab = read(spark, sf_dir, "labels").select("doc_id", F.concat(F.lit("label "), F.col("quality").cast("string")).alias("new"))
     return read(spark, sf_dir, "documents").join(lab, "doc_id", "left").select("doc_id", F.coalesce("new", "source").alias("source"))
+
+
+@query("M10_M12_greedy_summary")
+def greedy(spark, sf_dir):
+    scored = R.summary_scores(R.sentence_rows(documents(spark, sf_dir)))
+    return G.pick_sentences(scored.select("doc_id", "pos", "sent", F.array_distinct(X.words(F.col("sent"))).alias("words"), "total", "keep"))
+
+
+@query("R14_greedy_dedupe")
+def candidates(spark, sf_dir):
+    p = read(spark, sf_dir, "pages")
+    rows = p.select((F.col("page_id") % 5).alias("q"), "page_id", F.regexp_extract("url", "//([^/?]+)", 1).alias("host"), X.title_key(F.regexp_extract("html", "<title>([^<]*)</title>", 1)).alias("title"))
+    return G.dedupe_candidates(rows, "q", "page_id", ["host", "title"])
+
+
+@query("K09_chunks")
+def chunks(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", G.pack(X.sentences(F.coalesce("text", F.lit("")))).alias("chunks"))

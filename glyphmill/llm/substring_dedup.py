@@ -95,16 +95,19 @@ def shared_windows(contexts: list[bytes], doc: np.ndarray, anchor: np.ndarray, a
     """For each context a bit mask of its windows that also start in a context of a smaller document.
 
     One suffix array over all contexts, a separator after each. Every window holds its context's
-    anchor, so where that is there once (``at`` 0 or more) it stands as one symbol of its own in
-    place of its bytes, the same for equal anchors. Suffixes of equal windows stand together.
+    anchor, so where that is there once (``at`` 0 or more) in every context of the anchor, it stands
+    as one symbol of its own in place of its bytes, the same for equal anchors. If one context has
+    it more than once, all contexts of the anchor stay bytes: a symbol and bytes would not compare
+    equal. So suffixes of equal windows stand together.
     """
+    repeated = {a for a, o in zip(anchor.tolist(), at.tolist(), strict=True) if o < 0}
     data: list[int] = []
     owner, offset = [], []
     symbols: dict[int, int] = {}
     for i, c in enumerate(contexts):
         o, n = int(at[i]), len(c)
         begin = len(data)
-        if o < 0:
+        if int(anchor[i]) in repeated:
             data += c
             places = range(n)
         else:

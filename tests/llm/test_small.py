@@ -139,6 +139,33 @@ def test_substring_dedup(spark, docs, none):
     assert substring_dedup.substring_dedup(none).count() == 0
 
 
+def without_repeats(rows):
+    """Brute force: by id, what is left of each text once every 50 bytes that an earlier id has are gone."""
+    seen, left = {}, {}
+    for i, t in sorted(rows):
+        b = t.encode()
+        gone = bytearray(len(b))
+        for s in range(len(b) - 49):
+            if seen.setdefault(b[s : s + 50], i) < i:
+                gone[s : s + 50] = b"\1" * 50
+        left[i] = bytes(x for x, g in zip(b, gone) if not g)
+    return left
+
+
+def test_substring_dedup_of_rules_before_a_common_tail(spark, docs):
+    rng = random.Random(11)
+    say = lambda n: "".join(rng.choices("abcdefghij klmnop", k=n))
+    # The rules whose 24 bytes have the least hashes: they are anchors of the strings that hold them.
+    rules = sorted(map(chr, range(33, 127)), key=lambda c: substring_dedup.windows([c.encode() * 50])[4][0])[:6]
+    rows = []
+    for k in range(60):
+        rule, tail = rules[k % 6], say(60)
+        for n in (24, rng.choice([25, 30, 40])):
+            rows.append((len(rows), say(40) + rule * n + tail + say(rng.randrange(40))))
+    got = {r["doc_id"]: bytes(r["kept"]) for r in substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == without_repeats(rows)
+
+
 def test_bpe_against_the_library(docs, none):
     tokenizers = pytest.importorskip("tokenizers")
     path = bpe.default_tokenizer()

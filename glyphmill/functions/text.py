@@ -234,6 +234,18 @@ CITE = r"(?i)\[\d+(?:\s*[-–,]\s*\d+)*\]|\([^()]{0,50}?\b(?:19|20)\d{2}[a-z]?\)
 PROPER = r"\s[A-ZÀ-Þ][a-zà-ÿ]+"
 
 
+#: As the summary reads them: a number with its unit, and spans of one to three capitalised words.
+NUMBER_UNIT = r"(?i)\d+(?:[.,]\d+)?\s*(?:%|persen|gram|kg|mg|ml|cc|ton|cm|mm|hari|bulan|tahun|minggu|jam|hektar|orang|ekor|unit|item|rupiah)?"
+NAMES = r"\b(\p{Lu}\p{Ll}{2,}(?:\s+\p{Lu}\p{Ll}{2,}){0,2})\b"
+
+
+def summary_entities(sent: Column, low: Column) -> Column:
+    """Numbers with units (over one character) and names in lower case, without names that are words of ``low``."""
+    numbers = F.filter(extract(sent, NUMBER_UNIT), lambda x: F.length(x) > 1)
+    names = F.filter(F.transform(extract(sent, ascii_bounds(NAMES)), lambda x: F.lower(x)), lambda x: ~F.array_contains(low, x))
+    return F.concat(F.transform(numbers, lambda x: F.lower(x)), names)
+
+
 def language_exclusions(clean: Column) -> Column:
     names = extract(clean, B0 + r"[A-ZÀ-Þ][a-zà-ÿ]+(?:\s+[A-ZÀ-Þ][a-zà-ÿ]+)+")
     parts = F.flatten(F.transform(names, lambda m: F.filter(F.split(F.lower(m), "[^a-zà-ÿ]+"), lambda x: x != "")))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from glyphmill.functions import lexicon as L
 from glyphmill.functions import text as X
+from glyphmill.sources.tables import kept
 
 TOPICS, ANCHORS = 6, 2
 TIER_QUALITY = {"Jurnal/paper": 1.0, "Wikipedia/Wikidata": 0.92, "Umum": 0.85}
@@ -50,8 +51,13 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norm > 0, dot(a, b) / norm).otherwise(0.0)
 
 
-def sentence_rows(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.posexplode(X.sentences(F.coalesce("text", F.lit("")))).alias("pos", "sent"))
+def sentence_rows(docs: DataFrame, counts: bool = False) -> DataFrame:
+    """doc_id, pos, sent; on demand also ``counts``, the sentences in each paragraph of the document."""
+    text = F.coalesce("text", F.lit(""))
+    if not counts:
+        return docs.select("doc_id", F.posexplode(X.sentences(text)).alias("pos", "sent"))
+    size = lambda p: F.when(F.size(X.sentences(p)) > 0, F.size(X.sentences(p))).otherwise(F.size(X.sentences(p, 4, True)))
+    return kept(docs.select("doc_id", "text"), counts=F.transform(X.paragraphs(text), size)).select("doc_id", "counts", F.posexplode(X.sentences(text)).alias("pos", "sent"))
 
 
 ORPHAN_STRONG = ["namun", "tetapi", "sedangkan", "sedangkanpun", "namun demikian", "oleh karena itu", "karena itu", "dengan demikian", "oleh sebab itu", "akan tetapi", "melainkan", "sebaliknya", "sehingga", "maka dari itu"]

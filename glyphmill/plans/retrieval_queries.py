@@ -131,8 +131,8 @@ def replace(spark, sf_dir):
 
 @query("M10_M12_greedy_summary")
 def greedy(spark, sf_dir):
-    scored = R.summary_scores(R.sentence_rows(documents(spark, sf_dir)))
-    return G.pick_sentences(scored.select("doc_id", "pos", "sent", F.array_distinct(X.words(F.col("sent"))).alias("words"), "total", "keep"))
+    scored = R.summary_scores(R.sentence_rows(documents(spark, sf_dir), counts=True))
+    return G.pick_sentences(scored.select("doc_id", "pos", "sent", F.array_distinct(R.content_tokens(F.col("sent"))).alias("words"), "total", "keep", "counts", R.orphan(F.col("sent")).alias("orphan")))
 
 
 @query("R14_greedy_dedupe")

@@ -118,6 +118,18 @@ ORACLE_SQL["K07_ngram_diversity"] = ORACLE_SQL["K07_ngram_diversity"].replace("S
 QUERIES["T03_split_references"] = lambda spark, sf_dir: documents(spark, sf_dir).select("doc_id", X.split_references(N()).alias("s")).select("doc_id", "s.*")
 ORACLE_SQL["T03_split_references"] = references_sql()
 
+
+
+def summary_entities(spark, sf_dir):
+    """K18 as the summary has it: by sentence, numbers with units and names that the text never has in lower case."""
+    docs = kept(documents(spark, sf_dir).select("doc_id", X.sentences(N()).alias("ss")).where(F.size("ss") > 0), low=F.array_distinct(F.flatten(F.transform("ss", lambda s: X.extract(s, "[a-zà-ÿ]{4,}")))))
+    return docs.select("doc_id", F.transform("ss", lambda s: X.summary_entities(s, F.col("low"))).alias("entities"))
+
+
+QUERIES["K18_summary_entities"] = summary_entities
+ORACLE_SQL["K18_summary_entities"] = f"""WITH {DOCUMENTS_SQL}, a AS (SELECT doc_id, {S.sentences(T0)} AS ss FROM d), b AS (SELECT *, list_distinct(flatten([regexp_extract_all(s, '[a-zà-ÿ]{{4,}}') FOR s IN ss])) AS low FROM a)
+SELECT doc_id, [list_concat([lower(m) FOR m IN regexp_extract_all(s, {q(X.NUMBER_UNIT)}) IF length(m) > 1], [lower(m) FOR m IN regexp_extract_all(s, {q(X.NAMES)}) IF NOT list_contains(low, lower(m))]) FOR s IN ss] AS entities FROM b WHERE len(ss) > 0"""
+
 QUERIES["IO14_strip_tags"] = lambda spark, sf_dir: read(spark, sf_dir, "pages").select("page_id", X.strip_tags(F.coalesce("html", F.lit(""))).alias("out"))
 ORACLE_SQL["IO14_strip_tags"] = f"SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(coalesce(html, ''), '<[^>]+>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&'), '{BS}s+', ' ', 'g')) AS out FROM pages"
 

@@ -161,6 +161,22 @@ def fnv1a32(c: Column) -> Column:
     return F.lower(F.lpad(F.hex(step), 8, "0"))
 
 
+def fnv1a32_whole(c: Column) -> Column:
+    """FNV-1a over all UTF-16 units, 8 hex digits. The running product has no built-in function that is linear in time."""
+
+    @F.pandas_udf("string")
+    def digest(s: pd.Series) -> pd.Series:
+        def one(x: str) -> str:
+            h = 2166136261
+            for u in memoryview(x.encode("utf-16-le", "surrogatepass")).cast("H"):
+                h = (h ^ u) * 16777619 & 0xFFFFFFFF
+            return f"{h:08x}"
+
+        return s.map(lambda x: None if x is None else one(x))
+
+    return digest(c)
+
+
 def nfkc(c: Column) -> Column:
     """Unicode NFKC, which has no built-in function."""
 

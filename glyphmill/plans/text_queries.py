@@ -138,6 +138,11 @@ QUERIES["T06_clean_wikitext"] = lambda spark, sf_dir: spark.createDataFrame([(1,
 ORACLE_SQL["T06_clean_wikitext"] = "SELECT * FROM (VALUES (1, 'Kota adalah ibukota Jawa.' || chr(10) || 'Judul' || chr(10) || 'Isi teks akhir'), (2, '')) v(id, out)"
 QUERIES["T05_canonical_text"] = lambda spark, sf_dir: documents(spark, sf_dir).withColumn("text", X.nfkc(N())).select("doc_id", X.canonical_text(C()).alias("out"))
 
+# T08 and T12 above cut texts, as their SQL does; these take all of the text.
+QUERIES["T08_title_key_whole"] = lambda spark, sf_dir: documents(spark, sf_dir).select("doc_id", X.title_key(N()).alias("out"))
+ORACLE_SQL["T08_title_key_whole"] = f"WITH {DOCUMENTS_SQL} SELECT doc_id, trim(regexp_replace(lower({T0}), '[^a-z0-9à-ÿ]+', ' ', 'g')) AS out FROM d"
+QUERIES["T12_fnv1a32_whole"] = lambda spark, sf_dir: documents(spark, sf_dir).select("doc_id", X.fnv1a32_whole(N()).alias("out"))
+
 
 def inverted(spark, sf_dir):
     """IO13: word positions as a map, and the text that they give back."""

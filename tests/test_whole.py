@@ -18,7 +18,7 @@ def test_summary_entities(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
-@pytest.mark.parametrize("name", ["K18_summary_entities"])
+@pytest.mark.parametrize("name", ["K18_summary_entities", "T08_title_key_whole"])
 def test_whole_query_matches_sql(spark, duck, name):  # noqa: F811
     df = registry.QUERIES[name](spark, SF)
     found = duck.execute(registry.ORACLE_SQL[name])
@@ -36,3 +36,20 @@ def test_summary_takes_one_sentence_a_paragraph_and_swaps_orphans(spark):
     few = df.where("doc_id = 2 AND pos < 3").withColumn("counts", F.array(F.lit(3)))
     assert greedy.pick_sentences(few).count() == 3
     assert greedy.paragraph_of([2, 1], 3) == [0, 0, 1] and greedy.paragraph_of([2, 2], 3) == [0, 0, 0]
+
+
+def fnv(text):
+    h = 0x811C9DC5
+    b = text.encode("utf-16-le")
+    for i in range(0, len(b), 2):
+        h = (h ^ int.from_bytes(b[i : i + 2], "little")) * 0x01000193 % 2**32
+    return f"{h:08x}"
+
+
+def test_hash_and_key_of_whole_texts(spark, tmp_path):
+    texts = ["a" * 200 + "x", "a" * 200 + "y", "", "é🎉", "hello", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = {r["doc_id"]: r["out"] for r in registry.QUERIES["T12_fnv1a32_whole"](spark, str(tmp_path)).collect()}
+    assert [rows[i] for i in range(6)] == [fnv(t or "") for t in texts] and rows[0] != rows[1] and rows[4] == "4f9f2cab"
+    keys = {r["doc_id"]: r["out"] for r in registry.QUERIES["T08_title_key_whole"](spark, str(tmp_path)).collect()}
+    assert keys[0] == texts[0] and keys[1] == texts[1]

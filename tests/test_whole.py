@@ -1,10 +1,12 @@
 """Operators that do the whole of what their name says."""
 
 import os
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from glyphmill.functions import text as X
 from glyphmill.operators import greedy
 from glyphmill.plans import registry
@@ -53,3 +55,22 @@ def test_hash_and_key_of_whole_texts(spark, tmp_path):
     assert [rows[i] for i in range(6)] == [fnv(t or "") for t in texts] and rows[0] != rows[1] and rows[4] == "4f9f2cab"
     keys = {r["doc_id"]: r["out"] for r in registry.QUERIES["T08_title_key_whole"](spark, str(tmp_path)).collect()}
     assert keys[0] == texts[0] and keys[1] == texts[1]
+
+
+def test_pipeline_drops_planted_lines_and_keeps_others(spark):
+    """The line stage under its own ratio and floor, against brute force."""
+    rows = []
+    for source, n, planted in (("a", 40, 13), ("b", 40, 12), ("c", 20, 9), (None, 30, 30)):
+        for i in range(n):
+            lines = [f"only {source} {i}", "often but rarely enough" if i % 4 == 0 else "", "  planted line \t" if i < planted else f"other {i}"]
+            rows.append((len(rows), "\n".join(lines), "en", source, 0))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = {r["doc_id"]: r for r in corpus_pipeline.drop_lines(spark, df, "").collect()}
+    docs, held = Counter(r[3] for r in rows), Counter()
+    for _, t, _, s, _ in rows:
+        held.update((s, x) for x in {y.strip(" \t\r") for y in t.split("\n")} - {""})
+    gone = {k for k, n in held.items() if n >= corpus_pipeline.LINE_DOCS and n > corpus_pipeline.LINE_RATIO * docs[k[0]]}
+    assert gone == {("a", "planted line"), (None, "planted line")}
+    for i, t, _, s, _ in rows:
+        want = "\n".join(x for x in t.split("\n") if (s, x.strip(" \t\r")) not in gone)
+        assert (got[i]["text"], got[i]["n_chars"]) == (want, len(want))

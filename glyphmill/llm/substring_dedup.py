@@ -161,21 +161,21 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     5. Documents get their covered stretches and are cut.
 
     Chunks are by the hash of the id and have CHUNK_BYTES on average. Ids are whole numbers. Null
-    texts count as empty. Rows that repeat an id are one document: they never cover each other's
-    bytes by themselves, and each gets what the first in hash order gives it only if texts are
-    equal; a null id is larger than every id. Other columns aren't read; empty tables stay empty.
+    texts count as empty. Rows that repeat an id are one document in the order of documents: they
+    never cover each other's bytes, and each loses what its own text repeats of smaller ids (rows
+    of one id are told apart by 64 bits of their texts' hash); a null id is larger than every id. Other columns aren't read; empty tables stay empty.
     """
     spark = df.sparkSession
-    base = df.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit((1 << 63) - 1)).alias("id"), text_of(text_col).cast("binary").alias("text"))
+    base = df.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit((1 << 63) - 1)).alias("id"), text_of(text_col).cast("binary").alias("text")).withColumn("t", F.xxhash64("text"))
     total = int(base.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0])
     n_chunks = max(1, total // CHUNK_BYTES)
     n_buckets = max(1, total * 5 // ((RUN + 1) // 2) // BUCKET_BYTES)
-    digests = base.select("id", F.sha2("text", 256).alias("sha"), F.octet_length("text").alias("n"))
+    digests = base.select("id", "t", F.sha2("text", 256).alias("sha"), F.octet_length("text").alias("n"))
     least = digests.groupBy("sha", "n").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    copies = materialize(digests.join(least, ["sha", "n"]).where("id > low").select("id", F.lit(True).alias("copy")).distinct(), "copies")
+    copies = materialize(digests.join(least, ["sha", "n"]).where("id > low").select("id", "t", F.lit(True).alias("copy")).distinct(), "copies")
     copies = F.broadcast(copies) if copies.count() <= BROADCAST_IDS else copies
-    docs = base.join(copies, "id", "left").withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(n_chunks)))
-    originals = docs.where("copy IS NULL").select("chunk", "id", "text")
+    docs = base.join(copies, ["id", "t"], "left").withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(n_chunks)))
+    originals = docs.where("copy IS NULL").select("chunk", "id", "t", "text")
 
     def placed(anchor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bucket and 40 bits within it."""
@@ -252,6 +252,7 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             return
         at_docs = np.flatnonzero(is_doc)
         ids = np.array(rows.column("id").to_pylist(), object)[at_docs]
+        own = np.array(rows.column("t").to_pylist(), object)[at_docs]
         texts = [data[i] for i in at_docs.tolist()]
         # One sorted array: bucket in front of the 40 bits.
         wanted = np.sort(np.concatenate([v + (np.uint64(b) << np.uint64(40)) for b, v in known.items()]))
@@ -270,11 +271,11 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             t, s, n = text[first], at[first], count
             out = [part[x][y : y + z + LENGTH - 1] for x, y, z in zip(t.tolist(), s.tolist(), n.tolist(), strict=True)]
             off = anchor_offsets(place[first], n, anchor[first], strings)
-            yield pa.RecordBatch.from_arrays([pa.array(anchor[first].view(np.int64)), pa.array(ids[a + t].astype(np.int64)), pa.array(s), pa.array(n), pa.array(off), pa.array(out, pa.binary())], names=["h", "id", "start", "n", "off", "context"])
+            yield pa.RecordBatch.from_arrays([pa.array(anchor[first].view(np.int64)), pa.array(ids[a + t].astype(np.int64)), pa.array(own[a + t].astype(np.int64)), pa.array(s), pa.array(n), pa.array(off), pa.array(out, pa.binary())], names=["h", "id", "t", "start", "n", "off", "context"])
 
-    texts = originals.select("chunk", "id", F.lit(None).cast("bigint").alias("bucket"), F.col("text").alias("data"))
-    asked = shared.select("chunk", F.lit(None).cast("bigint").alias("id"), "bucket", F.col("packed").alias("data"))
-    cuts = by_group(texts.unionByName(asked), ["chunk"], cut, "h bigint, id bigint, start bigint, n bigint, off bigint, context binary")
+    texts = originals.select("chunk", "id", "t", F.lit(None).cast("bigint").alias("bucket"), F.col("text").alias("data"))
+    asked = shared.select("chunk", F.lit(None).cast("bigint").alias("id"), F.lit(None).cast("bigint").alias("t"), "bucket", F.col("packed").alias("data"))
+    cuts = by_group(texts.unionByName(asked), ["chunk"], cut, "h bigint, id bigint, t bigint, start bigint, n bigint, off bigint, context binary")
     contexts = materialize(cuts.withColumn("c", F.xxhash64("context")), "contexts")
     # A class is named by its anchor's and its bytes' hash, 128 bits together; bytes move only where classes meet.
     classes = materialize(contexts.groupBy("h", "c").agg(F.min("id").alias("low"), F.max("id").alias("high")), "classes")
@@ -312,21 +313,21 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     firsts = strings.groupBy("h", "w").agg(F.min("low").alias("least"))
     more = strings.join(firsts, ["h", "w"]).where("low > least").groupBy("h", "c").agg(F.expr("bit_or(shiftleft(1L, cast(o AS int)))").alias("mask"))
     verdicts = classes.select("h", "c", "low", "high").join(masks.unionByName(more), ["h", "c"], "left").where("mask IS NOT NULL OR low < high")
-    hits = contexts.select("h", "c", "id", "start", "n").join(verdicts, ["h", "c"])
+    hits = contexts.select("h", "c", "id", "t", "start", "n").join(verdicts, ["h", "c"])
     whole = F.when(F.col("id") > F.col("low"), F.expr("shiftleft(1L, cast(n AS int)) - 1")).otherwise(F.coalesce("mask", F.lit(0)))
-    covered = hits.withColumn("mask", whole).where("mask <> 0").select(F.pmod(F.xxhash64("id"), F.lit(n_chunks)).alias("chunk"), "id", "start", "mask")
+    covered = hits.withColumn("mask", whole).where("mask <> 0").select(F.pmod(F.xxhash64("id"), F.lit(n_chunks)).alias("chunk"), "id", "t", "start", "mask")
     covered = materialize(covered, "covered")
-    touched = covered.select("id", F.lit(True).alias("cut")).distinct()
+    touched = covered.select("id", "t", F.lit(True).alias("cut")).distinct()
     touched = F.broadcast(touched) if touched.count() <= BROADCAST_IDS else touched
 
     def finish(key: tuple, rows: pa.Table) -> Iterator[pa.RecordBatch]:
         mask = np.array([-1 if x is None else x for x in rows.column("mask").to_pylist()])
-        ids = rows.column("id").to_numpy()
+        ids, own = rows.column("id").to_numpy(), rows.column("t").to_numpy()
         start = rows.column("start").to_numpy(zero_copy_only=False)
         text, copy = rows.column("text").to_pylist(), rows.column("copy").to_pylist()
-        of: dict[int, list[int]] = {}
+        of: dict[tuple[int, int], list[int]] = {}
         for i in np.flatnonzero(mask >= 0).tolist():
-            of.setdefault(int(ids[i]), []).append(i)
+            of.setdefault((int(ids[i]), int(own[i])), []).append(i)
         out = []
         for i in np.flatnonzero(mask < 0).tolist():
             t = text[i]
@@ -334,7 +335,7 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             if copy[i] and len(t) >= LENGTH:
                 gone[0], gone[-1] = 1, -1
             elif not copy[i]:
-                for j in of.get(int(ids[i]), ()):
+                for j in of.get((int(ids[i]), int(own[i])), ()):
                     m, s = int(mask[j]), int(start[j])
                     while m:
                         o = (m & -m).bit_length() - 1
@@ -360,9 +361,9 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.binary()), pa.array(d, pa.list_(span))], names=["id", "n_bytes", "kept", "spans"])
 
     null = lambda t: F.lit(None).cast(t)
-    marked = docs.join(touched, "id", "left")
-    left = marked.where("cut AND copy IS NULL").select("chunk", "id", null("bigint").alias("start"), null("bigint").alias("mask"), "text", F.lit(False).alias("copy"))
-    right = covered.select("chunk", "id", "start", "mask", null("binary").alias("text"), null("boolean").alias("copy"))
+    marked = docs.join(touched, ["id", "t"], "left")
+    left = marked.where("cut AND copy IS NULL").select("chunk", "id", "t", null("bigint").alias("start"), null("bigint").alias("mask"), "text", F.lit(False).alias("copy"))
+    right = covered.select("chunk", "id", "t", "start", "mask", null("binary").alias("text"), null("boolean").alias("copy"))
     schema = "id bigint, n_bytes bigint, kept binary, spans array<struct<start:bigint,end:bigint>>"
     changed = by_group(left.unionByName(right), ["chunk"], finish, schema)
     # Copies lose all, documents without a covered byte nothing: they need no dealing out.

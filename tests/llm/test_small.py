@@ -166,6 +166,15 @@ def test_substring_dedup_of_rules_before_a_common_tail(spark, docs):
     assert got == without_repeats(rows)
 
 
+def test_substring_dedup_tells_rows_of_one_id_apart(spark, docs):
+    rng = random.Random(5)
+    a, b, c, d = ("".join(rng.choices("abcdefghij", k=120)) for _ in range(4))
+    rows = [(1, a), (None, a), (None, b), (None, "x" + a[:70] + c), (2, c), (2, a), (2, d), (2, a[20:90] + d[:30]), (3, d)]
+    got = substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    kept = sorted((r["doc_id"] or 9, r["n_bytes"], bytes(r["kept"]).decode()) for r in got)
+    assert kept == sorted([(1, 120, a), (9, 120, ""), (9, 120, b), (9, 191, "x"), (2, 120, c), (2, 120, ""), (2, 120, d), (2, 100, d[:30]), (3, 120, "")])
+
+
 def test_bpe_against_the_library(docs, none):
     tokenizers = pytest.importorskip("tokenizers")
     path = bpe.default_tokenizer()

@@ -27,7 +27,7 @@ RUNS = re.compile(r"[a-zß-öø-ÿ]+|[A-ZÀ-ÖØ-Þ]+|[0-9]+|(.)\1*", re.S)
 
 def shape(word: str) -> str:
     """Letters as a or A, digits as 0, other characters as they are, each run once."""
-    return RUNS.sub(lambda m: "a" if (c := m.group()[0]).islower() else "A" if c.isupper() else "0" if "0" <= c <= "9" else c, word[:256])[:24]
+    return RUNS.sub(lambda m: "a" if (c := m.group()[0]).islower() else "A" if c.isupper() else "0" if "0" <= c <= "9" else c, word)
 
 
 class Featurizer:

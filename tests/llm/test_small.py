@@ -230,6 +230,14 @@ def test_quality():
     assert 0 <= m.score(of("")) <= 1 and quality.fit([of("a")], np.array([1])).score(of("b")) > 0.5
 
 
+def test_shapes_are_of_whole_words():
+    long = "aB1-" * 100
+    assert quality.shape(long) == "aA0-" * 100 and quality.shape("x" * 500 + "Y") == "aA"
+    of = quality.Featurizer()
+    # One word each, the same but for the last letter's case: they share the word's feature alone.
+    assert len(of(long + "a")) == 2 and len(set(of(long + "a").tolist()) & set(of(long + "A").tolist())) == 1
+
+
 def test_quality_columns(spark, docs, none):
     labels = spark.createDataFrame([(5, 1), (6, 1), (9, 0), (11, 0), (11, 1), (99, None)], "doc_id bigint, quality int")
     model = quality.learn(docs, labels)

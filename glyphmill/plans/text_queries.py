@@ -8,7 +8,7 @@ from glyphmill.functions import lexicon as L
 from glyphmill.functions import text as X
 from glyphmill.plans import detector_sql as S
 from glyphmill.plans.detector_sql import q
-from glyphmill.plans.fixtures import DOCUMENTS_SQL, documents
+from glyphmill.plans.fixtures import DOCUMENTS_SQL, documents, quoted
 from glyphmill.sources.tables import kept, read
 
 SQL_W = S.words("coalesce(text, '')")
@@ -136,6 +136,11 @@ ORACLE_SQL["IO14_strip_tags"] = f"SELECT page_id, trim(regexp_replace(replace(re
 _WIKI = "'''Kota''' <!-- x -->adalah [[ibu kota|ibukota]] [[Jawa]].<ref name=a>b</ref> {{Info|{{x}}}}\n* daftar\n== Judul ==\n{| class=x\n| a\n|}\n[[Berkas:a.jpg]] Isi [https://x.org teks] akhir https://y.org."
 QUERIES["T06_clean_wikitext"] = lambda spark, sf_dir: spark.createDataFrame([(1, _WIKI), (2, "")], "id int, text string").select("id", X.clean_wikitext(C()).alias("out"))
 ORACLE_SQL["T06_clean_wikitext"] = "SELECT * FROM (VALUES (1, 'Kota adalah ibukota Jawa.' || chr(10) || 'Judul' || chr(10) || 'Isi teks akhir'), (2, '')) v(id, out)"
+_WIKI_ROW = (8_999_999_999, _WIKI)
+_WIKI_LINES = f"[trim(x) FOR x IN string_split({S.replaced(T0, X.WIKI)}, chr(10))]"
+_WIKI_KEPT = f"[trim({S.replaced('x', X.WIKI_LINE)}) FOR x IN {_WIKI_LINES} IF x <> '' AND NOT regexp_matches(x, '^[*#;:|!}}]')]"
+QUERIES["T06_clean_wikitext_documents"] = lambda spark, sf_dir: documents(spark, sf_dir).unionByName(spark.createDataFrame([_WIKI_ROW], "doc_id bigint, text string").coalesce(1)).select("doc_id", X.clean_wikitext(N()).alias("out"))
+ORACLE_SQL["T06_clean_wikitext_documents"] = f"WITH {DOCUMENTS_SQL}, e AS (FROM d UNION ALL SELECT {_WIKI_ROW[0]}, {quoted(_WIKI)}) SELECT doc_id, array_to_string([y FOR y IN {_WIKI_KEPT} IF y <> ''], chr(10)) AS out FROM e"
 QUERIES["T05_canonical_text"] = lambda spark, sf_dir: documents(spark, sf_dir).withColumn("text", X.nfkc(N())).select("doc_id", X.canonical_text(C()).alias("out"))
 
 # T08 and T12 above cut texts, as their SQL does; these take all of the text.

@@ -20,7 +20,7 @@ def test_summary_entities(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
-@pytest.mark.parametrize("name", ["K18_summary_entities", "T08_title_key_whole"])
+@pytest.mark.parametrize("name", ["K18_summary_entities", "T08_title_key_whole", "T06_clean_wikitext_documents"])
 def test_whole_query_matches_sql(spark, duck, name):  # noqa: F811
     df = registry.QUERIES[name](spark, SF)
     found = duck.execute(registry.ORACLE_SQL[name])

@@ -82,6 +82,7 @@ class Bpe:
         split = "|".join(regex.escape(s) for s in sorted(added, key=len, reverse=True))
         self.split = regex.compile(f"({split})") if split else None
         self.words = regex.compile(PATTERN)
+        self.white = regex.compile(r"^\s|\s$|^$")  # white space as the pattern has it, which str.isspace() does not
 
     def guess(self, word: bytes) -> list[int]:
         """Longest match from the left."""
@@ -224,9 +225,15 @@ class Encoder:
         self.start, self.size, self.count = np.empty(1 << 12, np.int64), np.empty(1 << 12, np.int64), 0
 
     def ids(self, key: str) -> list[int]:
-        i = self.table[key]
+        i = self.number(key)
         return self.flat[self.start[i] : self.start[i] + self.size[i]].tolist()
 
+    def number(self, key: str) -> int:
+        """Of a piece that has ids; one that only shows white space at an edge has none."""
+        if (i := self.table[key]) < 0:
+            raise ValueError(f"no ids are known for {key!r}")
+        return i
+
     def add(self, found: list[list[int]]) -> range:
         """Room for lists of ids; their numbers."""
         size = np.fromiter(map(len, found), np.int64, len(found))
@@ -247,7 +254,7 @@ class Encoder:
             at = [table[k] for k in moved]
             self.table.update(zip(moved, self.add([flat[start[i] : start[i] + size[i]].tolist() for i in at]), strict=True))
             new.difference_update(moved)
-        edge = {k for k in new if not k or k[0] != " " and (k[0].isspace() or k[-1].isspace())}
+        edge = {k for k in new if not k or k[0] != " " and self.bpe.white.search(k)}
         self.table.update(dict.fromkeys(edge, -1))
         new = list(new - edge)
         words = [[k] if k[0] == " " else self.bpe.words.findall(" " + k) for k in new]
@@ -292,7 +299,7 @@ class Encoder:
         at = np.empty(int(h.sum() + t.sum()), np.int64)
         both = np.stack([h, t], 1).reshape(-1)
         in_tail = np.repeat(np.arange(len(both)) % 2 == 1, both)
-        at[~in_tail] = np.fromiter(map(self.table.__getitem__, chain.from_iterable(heads)), np.int64, int(h.sum()))
+        at[~in_tail] = np.fromiter(map(self.number, chain.from_iterable(heads)), np.int64, int(h.sum()))
         at[in_tail] = np.concatenate(tails) if tails else 0
         size = self.size[at]
         cum = np.cumsum(size)

@@ -192,6 +192,25 @@ def test_bpe_against_the_library(docs, none):
     assert bpe.bpe_encode(none, path).count() == 0
 
 
+def test_bpe_on_every_control_and_space_character():
+    tokenizers = pytest.importorskip("tokenizers")
+    path = bpe.default_tokenizer()
+    t = tokenizers.Tokenizer.from_file(path)
+    rng = random.Random(3)
+    odd = [chr(c) for c in (*range(33), *range(0x7F, 0xA1), 0xAD, 0x1680, 0x180E, *range(0x2000, 0x2010), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF)]
+    pool = [*odd, *odd, *"abXYZ019.,'!-é中🎉ß", *[" "] * 60, "'s", "'ll", " the", "<|endoftext|>", "ing"]
+    e = bpe.Encoder(bpe.Bpe(bpe.load(path)), kept=3000)
+    for _ in range(400):
+        texts = ["".join(rng.choices(pool, k=rng.randrange(25))) for _ in range(20)] + ["a .\x1fb"]
+        ids, size = e.encode(texts)
+        ends = np.cumsum(size).tolist()
+        for x, a, b in zip(texts, [0, *ends], ends):
+            assert ids[a:b].tolist() == t.encode(x, add_special_tokens=False).ids, x
+    e.table["edge"] = -1
+    with pytest.raises(ValueError):
+        e.number("edge")
+
+
 def test_lattice_sums_all_segmentations():
     pieces, w = lattice.pieces_of(lattice.default_pieces())
     table, ids = lattice.Lattice(pieces), {p: i for i, p in enumerate(pieces)}

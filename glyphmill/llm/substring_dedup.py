@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphmill.llm.common import materialize, read, text_of
 from glyphmill.llm.shingles import mixed
 from glyphmill.llm.stream import by_group
-from glyphmill.llm.suffix_array import suffix_array
+from glyphmill.llm.suffix_array import expanded, suffix_array, suffix_arrays
 
 LENGTH = 50
 ANCHOR = 24
@@ -21,8 +21,11 @@ RUN = LENGTH - ANCHOR + 1
 SLICE_BYTES = 1 << 20
 CHUNK_BYTES = 4 << 20
 BUCKET_BYTES = 8 << 20
-#: Contexts of one anchor that meet in one task; anchors with more are compared string by string, across tasks.
-MEET = 2000
+#: Classes of contexts that one suffix array takes; groups with more are dealt out by longer common strings.
+MEET = 1000
+#: Width of the cells of anchor offsets that such groups are dealt out by, level after level; cells of 1 have one class a group.
+CELLS = (4, 1)
+MEET_BYTES = 2 << 20
 BROADCAST_IDS = 1_000_000
 
 
@@ -80,68 +83,149 @@ def anchor_offsets(place: np.ndarray, count: np.ndarray, anchor: np.ndarray, str
     return np.where((found.sum(1) == 1) & (first >= count - 1), first, -1)
 
 
-def slices(texts: list[bytes], most: int = SLICE_BYTES) -> Iterator[tuple[int, list[bytes]]]:
-    start, total = 0, 0
+def slices(texts: list[bytes], most: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
+    """Texts in portions of about ``most`` bytes: number of the text, offset in it, bytes.
+
+    A longer text comes in parts that overlap by LENGTH - 1 bytes, so each string is in just one.
+    """
+    most = most or SLICE_BYTES
+    owner, offset, held, total = [], [], [], 0
     for i, t in enumerate(texts):
-        if i > start and total + len(t) > most:
-            yield start, texts[start:i]
-            start, total = i, 0
-        total += len(t)
-    if start < len(texts):
-        yield start, texts[start:]
-
-
-def shared_windows(contexts: list[bytes], doc: np.ndarray, anchor: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """For each context a bit mask of its windows that also start in a context of a smaller document.
-
-    One suffix array over all contexts, a separator after each. Every window holds its context's
-    anchor, so where that is there once (``at`` 0 or more) in every context of the anchor, it stands
-    as one symbol of its own in place of its bytes, the same for equal anchors. If one context has
-    it more than once, all contexts of the anchor stay bytes: a symbol and bytes would not compare
-    equal. So suffixes of equal windows stand together.
+        for o in range(0, max(1, len(t) - LENGTH + 1), most):
+            part = t[o : o + most + LENGTH - 1]
+            if held and total + len(part) > most:
+                yield np.array(owner), np.array(offset), held
+                owner, offset, held, total = [], [], [], 0
+            owner.append(i)
+            offset.append(o)
+            held.append(part)
+            total += len(part)
+    if held:
+        yield np.array(owner), np.array(offset), held
+
+
+def sorted_suffixes(data: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Suffix arrays of strings, many of like length at a time; single long ones by themselves."""
+    if int(size.max()) * 16 > len(data):
+        ends = np.cumsum(size).tolist()
+        parts = [np.array(suffix_array(data[e - n : e].tolist())) + e - n for e, n in zip(ends, size.tolist(), strict=True)]
+        return np.concatenate(parts)
+    return suffix_arrays(data, size)
+
+
+def shared_windows(contexts: list[bytes], doc: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """For each context a bit mask of its windows that also start in a context of its group with a smaller document.
+
+    ``group`` is ascending. The contexts of a group, a separator after each, are one string; its
+    suffix array puts suffixes of equal windows side by side. The strings of a task are sorted
+    together, longest first, in portions.
     """
-    repeated = {a for a, o in zip(anchor.tolist(), at.tolist(), strict=True) if o < 0}
-    data: list[int] = []
-    owner, offset = [], []
-    symbols: dict[int, int] = {}
-    for i, c in enumerate(contexts):
-        o, n = int(at[i]), len(c)
-        begin = len(data)
-        if int(anchor[i]) in repeated:
-            data += c
-            places = range(n)
-        else:
-            data += c[:o]
-            data.append(symbols.setdefault(int(anchor[i]), 256 + len(symbols)))
-            data += c[o + ANCHOR :]
-            places = [*range(o + 1), *range(o + ANCHOR, n)]
-        data.append(-1)
-        owner += [i] * (len(data) - begin)
-        offset += places
-        offset.append(n)
     mask = np.zeros(len(contexts), np.int64)
-    last, run = None, []
-
-    def close() -> None:
-        if len(run) > 1:
-            low = min(doc[owner[p]] for p in run)
-            for p in run:
-                if doc[owner[p]] > low:
-                    mask[owner[p]] |= 1 << offset[p]
-
-    for p in suffix_array(data):
-        i, o = owner[p], offset[p]
-        if o + LENGTH > len(contexts[i]):
+    size = np.array([len(c) for c in contexts], np.int64) + 1
+    first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+    count = np.diff(np.append(first, len(group)))
+    whole = np.add.reduceat(size, first)
+    by = np.argsort(-whole, kind="stable")
+    portion = np.cumsum(whole[by]) // MEET_BYTES
+    for k in np.unique(portion).tolist():
+        mine = by[portion == k]
+        at = expanded(first[mine], count[mine])
+        n = size[at]
+        text = np.frombuffer(b"\0".join([contexts[i] for i in at.tolist()]) + b"\0", np.uint8)
+        data = text.astype(np.int64) + 1
+        data[np.cumsum(n) - 1] = 0
+        owner = np.repeat(np.arange(len(at)), n)
+        offset = np.arange(len(data)) - np.repeat(np.cumsum(n) - n, n)
+        p = sorted_suffixes(data, whole[mine])
+        p = p[offset[p] + LENGTH < n[owner[p]]]
+        if not len(p):
             continue
-        w = contexts[i][o : o + LENGTH]
-        if w != last:
-            close()
-            run, last = [], w
-        run.append(p)
-    close()
+        same = np.concatenate([[False], group[at[owner[p[1:]]]] == group[at[owner[p[:-1]]]]])
+        eight = np.lib.stride_tricks.as_strided(text.view(), (len(text) - 7, 8), (1, 1))
+        for o in (*range(0, LENGTH - 8, 8), LENGTH - 8):
+            x = np.ascontiguousarray(eight[p + o]).view(np.uint64)[:, 0]
+            same[1:] &= x[1:] == x[:-1]
+        run = np.flatnonzero(~same)
+        of_run = np.cumsum(~same) - 1
+        who = at[owner[p]]
+        late = doc[who] > np.minimum.reduceat(doc[who], run)[of_run]
+        mask += np.bincount(who[late], 2.0 ** offset[p[late]], len(contexts)).astype(np.int64)  # every bit once
     return mask
 
 
+def cells(contexts: list[bytes], anchor: np.ndarray, off: np.ndarray, width: int) -> list[tuple[int, int, int, int, int, bytes]]:
+    """Contexts of one anchor cut by where their windows have it: number, first window, windows, 64 bits of group, anchor's offset, bytes.
+
+    Windows with the anchor at offsets of one cell (``width`` of them) have a longer string around
+    the anchor in common, the core. Equal windows have the anchor at one offset and one core, so they meet in
+    the cell and core's group. Where a context has the anchor more than once, each window goes by
+    the first one inside it.
+    """
+    out = []
+    for i, c in enumerate(contexts):
+        n = len(c) - LENGTH + 1
+        if off[i] >= 0:
+            first = [int(off[i]) - o for o in range(n)]
+            begin = [o for o in range(n) if not o or first[o] // width != first[o - 1] // width]
+        else:
+            strings = np.flatnonzero(windows([c])[4] == anchor[i])
+            first = [int(strings[np.searchsorted(strings, o)]) - o for o in range(n)]
+            begin = list(range(n))
+        for a, b in zip(begin, [*begin[1:], n], strict=True):
+            cell = first[a] // width * width
+            core = c[a + first[a] - cell : a + first[a] + LENGTH + 1 - min(RUN, cell + width)]
+            h = xxhash.xxh3_64_intdigest(core, seed=int(anchor[i]) & (1 << 64) - 1 ^ cell * RUN + width)
+            out.append((i, a, b - a, h - (1 << 63), first[a], c[a : b + LENGTH - 1]))
+    return out
+
+
+def masks(classes: DataFrame, widths: tuple[int, ...] = CELLS) -> DataFrame:
+    """(h, c, mask): windows of each class that a smaller document has in another class of its group.
+
+    Columns of ``classes``: group h, class c, smallest document low, off (the anchor's place, -1 if
+    it is there more than once), anchor, context, and the group's number of classes k (over 1). Groups of up to MEET classes get a suffix array; a larger one's contexts
+    are cut into cells, which are classes of smaller groups in turn.
+    """
+    few_bytes, many = classes.agg(F.coalesce(F.sum(F.when(F.col("k") <= MEET, F.octet_length("context"))), F.lit(0)), F.coalesce(F.max(F.col("k") > MEET), F.lit(False))).first()
+
+    def sort(key: tuple, rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        h = rows.column("h").to_numpy()
+        order = np.argsort(h, kind="stable")
+        context = rows.column("context").to_pylist()
+        h, c, low = h[order], rows.column("c").to_numpy()[order], rows.column("low").to_numpy()[order]
+        done = shared_windows([context[i] for i in order.tolist()], low, h)
+        got = np.flatnonzero(done)
+        if len(got):
+            yield pa.RecordBatch.from_arrays([pa.array(h[got]), pa.array(c[got]), pa.array(done[got])], names=["h", "c", "mask"])
+
+    parts = max(1, int(few_bytes) // MEET_BYTES)
+    few = classes.where(F.col("k") <= MEET).withColumn("part", F.pmod(F.xxhash64("h"), F.lit(parts)))
+    found = by_group(few.select("part", "h", "c", "low", "context"), ["part"], sort, "h bigint, c bigint, mask bigint", parts)
+    if not many or not widths:
+        return found
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            anchor = b.column("anchor").to_numpy()
+            got = cells(b.column("context").to_pylist(), anchor.view(np.uint64), b.column("off").to_numpy(), widths[0])
+            if got:
+                i, start, n, group, off, sub = zip(*got, strict=True)
+                at = np.array(i)
+                yield pa.RecordBatch.from_arrays([*(b.column(x).take(pa.array(at)) for x in ("h", "c", "low")), pa.array(start, pa.int64()), pa.array(n, pa.int64()), pa.array(group, pa.int64()), pa.array(off, pa.int64()), pa.array(anchor[at]), pa.array(sub, pa.binary())], names=["h", "c", "low", "start", "n", "g", "off", "anchor", "context"])
+
+    schema = "h bigint, c bigint, low bigint, start bigint, n bigint, g bigint, off bigint, anchor bigint, context binary"
+    big = classes.where(F.col("k") > MEET).select("h", "c", "low", "off", "anchor", "context")
+    subs = materialize(big.mapInArrow(cut, schema).withColumn("d", F.xxhash64("context")), "cells")
+    lower = subs.groupBy(F.col("g").alias("h"), F.col("d").alias("c")).agg(F.min("low").alias("low"), F.min_by("off", "low").alias("off"), F.min("anchor").alias("anchor"), F.min("context").alias("context"))
+    lower = materialize(lower, "cell-classes")
+    several = lower.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    below = lower.select(F.col("h").alias("g"), F.col("c").alias("d"), F.col("low").alias("least")).join(masks(materialize(lower.join(several, "h"), "meeting-cells"), widths[1:]).select(F.col("h").alias("g"), F.col("c").alias("d"), "mask"), ["g", "d"], "left")
+    met = subs.select("h", "c", "low", "start", "n", "g", "d").join(below, ["g", "d"])
+    whole = F.when(F.col("low") > F.col("least"), F.expr("shiftleft(1L, cast(n AS int)) - 1")).otherwise(F.coalesce("mask", F.lit(0)))
+    up = met.withColumn("mask", whole).where("mask <> 0").groupBy("h", "c").agg(F.expr("bit_or(shiftleft(mask, cast(start AS int)))").alias("mask"))
+    return found.unionByName(up)
+
+
 def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of ``df``: id, ``n_bytes``, ``kept`` (binary), ``spans`` (array of removed (start, end) in bytes, maximal).
 
@@ -155,9 +239,10 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
        distinct anchor and chunk, however many documents have it.
     3. Chunks cut out the contexts of shared anchors. Equal contexts of an anchor (128 bits of hash) are a class; its
        smallest document keeps them, all others lose them: a combined aggregation.
-    4. Classes of one anchor meet and a suffix array over them (``suffix_array``) finds the strings
-       that the smallest document of a class shares with a smaller one. An anchor with more than MEET
-       classes goes string by string through an aggregation instead, which has no hot task.
+    4. Classes of one anchor meet and a suffix array over them (``suffix_arrays``) finds the strings
+       that the smallest document of a class shares with a smaller one. Where an anchor has more than
+       MEET classes, strings meet by the anchor's place in them and by what is around it (``cells``),
+       so that its contexts spread over many suffix arrays and no task has them all.
     5. Documents get their covered stretches and are cut.
 
     Chunks are by the hash of the id and have CHUNK_BYTES on average. Ids are whole numbers. Null
@@ -200,7 +285,7 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
         for b in batches:
             chunks = b.column(0).to_numpy()
-            for a, texts in slices(b.column(2).to_pylist()):
+            for owner, _, texts in slices(b.column(2).to_pylist()):
                 text, _, anchor, _, _ = windows(texts)
                 if not len(text):
                     continue
@@ -208,7 +293,7 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 order = np.lexsort((anchor[keep], text[keep]))
                 text, anchor = text[keep][order], anchor[keep][order]
                 once = np.concatenate([[True], (text[1:] != text[:-1]) | (anchor[1:] != anchor[:-1])])  # once a document
-                held.append((chunks[a : a + len(texts)][text[once]], anchor[once]))
+                held.append((chunks[owner[text[once]]], anchor[once]))
                 many += int(once.sum())
                 if many > 1_500_000:
                     yield from flush()
@@ -256,7 +341,7 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         texts = [data[i] for i in at_docs.tolist()]
         # One sorted array: bucket in front of the 40 bits.
         wanted = np.sort(np.concatenate([v + (np.uint64(b) << np.uint64(40)) for b, v in known.items()]))
-        for a, part in slices(texts):
+        for owner, offset, part in slices(texts):
             text, at, anchor, place, strings = windows(part)
             first, count = runs(text, at, anchor)
             if not len(first):
@@ -271,7 +356,7 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             t, s, n = text[first], at[first], count
             out = [part[x][y : y + z + LENGTH - 1] for x, y, z in zip(t.tolist(), s.tolist(), n.tolist(), strict=True)]
             off = anchor_offsets(place[first], n, anchor[first], strings)
-            yield pa.RecordBatch.from_arrays([pa.array(anchor[first].view(np.int64)), pa.array(ids[a + t].astype(np.int64)), pa.array(own[a + t].astype(np.int64)), pa.array(s), pa.array(n), pa.array(off), pa.array(out, pa.binary())], names=["h", "id", "t", "start", "n", "off", "context"])
+            yield pa.RecordBatch.from_arrays([pa.array(anchor[first].view(np.int64)), pa.array(ids[owner[t]].astype(np.int64)), pa.array(own[owner[t]].astype(np.int64)), pa.array(s + offset[t]), pa.array(n), pa.array(off), pa.array(out, pa.binary())], names=["h", "id", "t", "start", "n", "off", "context"])
 
     texts = originals.select("chunk", "id", "t", F.lit(None).cast("bigint").alias("bucket"), F.col("text").alias("data"))
     asked = shared.select("chunk", F.lit(None).cast("bigint").alias("id"), F.lit(None).cast("bigint").alias("t"), "bucket", F.col("packed").alias("data"))
@@ -282,37 +367,8 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     per = classes.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
     meeting = classes.join(per, "h").select("h", "c", "low", "k")
     bytes_of = contexts.select("h", "c", F.col("id").alias("low"), "off", "context").join(meeting, ["h", "c", "low"])
-    together = materialize(bytes_of.groupBy("h", "c", "low", "k").agg(F.first("context").alias("context"), F.first("off").alias("off")), "meeting")
-
-    def sort(key: tuple, rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        h, c = rows.column("h").to_numpy(), rows.column("c").to_numpy()
-        doc, context, off = rows.column("low").to_numpy(), rows.column("context").to_pylist(), rows.column("off").to_numpy()
-        order = np.argsort(h, kind="stable")
-        edge = np.flatnonzero(np.concatenate([[True], h[order][1:] != h[order][:-1]]))
-        batch: list[int] = []
-        done = np.zeros(len(h), np.int64)
-
-        def flush() -> None:
-            done[batch] = shared_windows([context[i] for i in batch], doc[batch], h[batch], off[batch])
-
-        for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(h)], strict=True):
-            batch += order[a:b].tolist()
-            if len(batch) > 500:
-                flush()
-                batch = []
-        if batch:
-            flush()
-        got = np.flatnonzero(done)
-        if len(got):
-            yield pa.RecordBatch.from_arrays([pa.array(h[got]), pa.array(c[got]), pa.array(done[got])], names=["h", "c", "mask"])
-
-    few = together.where(F.col("k") <= MEET).withColumn("part", F.pmod(F.col("h"), F.lit(max(1, total // (16 << 20)))))
-    masks = by_group(few.select("part", "h", "c", "low", "off", "context"), ["part"], sort, "h bigint, c bigint, mask bigint")
-    each = F.explode(F.sequence(F.lit(0), F.octet_length("context") - LENGTH))
-    strings = together.where(F.col("k") > MEET).select("h", "c", "low", "context", each.alias("o")).withColumn("w", F.md5(F.substring("context", F.col("o") + 1, F.lit(LENGTH))))
-    firsts = strings.groupBy("h", "w").agg(F.min("low").alias("least"))
-    more = strings.join(firsts, ["h", "w"]).where("low > least").groupBy("h", "c").agg(F.expr("bit_or(shiftleft(1L, cast(o AS int)))").alias("mask"))
-    verdicts = classes.select("h", "c", "low", "high").join(masks.unionByName(more), ["h", "c"], "left").where("mask IS NOT NULL OR low < high")
+    together = materialize(bytes_of.groupBy("h", "c", "low", "k").agg(F.first("context").alias("context"), F.first("off").alias("off")).withColumn("anchor", F.col("h")), "meeting")
+    verdicts = classes.select("h", "c", "low", "high").join(masks(together), ["h", "c"], "left").where("mask IS NOT NULL OR low < high")
     hits = contexts.select("h", "c", "id", "t", "start", "n").join(verdicts, ["h", "c"])
     whole = F.when(F.col("id") > F.col("low"), F.expr("shiftleft(1L, cast(n AS int)) - 1")).otherwise(F.coalesce("mask", F.lit(0)))
     covered = hits.withColumn("mask", whole).where("mask <> 0").select(F.pmod(F.xxhash64("id"), F.lit(n_chunks)).alias("chunk"), "id", "t", "start", "mask")

@@ -121,6 +121,18 @@ def test_suffix_array():
         assert suffix_array.suffix_array(s) == sorted(range(len(s)), key=lambda i: s[i:])
 
 
+def test_suffix_arrays_of_many_strings():
+    for _ in range(400):
+        strings = [[RNG.randrange(RNG.choice([1, 2, 3, 5])) for _ in range(RNG.randrange(1, 40))] for _ in range(RNG.randrange(1, 8))]
+        if RNG.random() < 0.3:
+            strings = [(s[:5] * 8)[: RNG.randrange(1, 41)] for s in strings]
+        size = np.array([len(s) for s in strings])
+        got, at = suffix_array.suffix_arrays(np.array([c for s in strings for c in s]), size), 0
+        for s in strings:
+            assert (got[at : at + len(s)] - at).tolist() == sorted(range(len(s)), key=lambda i: s[i:])
+            at += len(s)
+
+
 def test_substring_dedup(spark, docs, none):
     extra = [(200, "y" * 200), (201, "y" * 90 + "z" * 60), (202, "q" + "z" * 55), (203, BASE[30:130] + "!" + BASE[:70])]
     every = docs.select("doc_id", "text").unionByName(spark.createDataFrame(extra, "doc_id bigint, text string"))
@@ -166,6 +178,33 @@ def test_substring_dedup_of_rules_before_a_common_tail(spark, docs):
     assert got == without_repeats(rows)
 
 
+def periodic(rng, n):
+    """Pairs of texts that repeat one unit of 20 to 60 bytes, starting at different places, between other bytes."""
+    say = lambda k: "".join(rng.choices("abcdefghij klmnop", k=k))
+    rows = []
+    for _ in range(n):
+        unit = say(rng.randrange(20, 61))
+        for _ in range(2):
+            a = rng.randrange(len(unit))
+            rows.append((len(rows), say(rng.randrange(30)) + (unit * 9)[a : a + rng.randrange(40, 200)] + say(rng.randrange(30))))
+    return rows
+
+
+@pytest.mark.parametrize("meet", [substring_dedup.MEET, 1])
+def test_substring_dedup_of_periodic_texts(spark, docs, monkeypatch, meet):
+    monkeypatch.setattr(substring_dedup, "MEET", meet)  # 1: every group is dealt out by cells
+    rows = periodic(random.Random(13), 2000)
+    got = {r["doc_id"]: bytes(r["kept"]) for r in substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    want = without_repeats(rows)
+    assert [i for i in want if got[i] != want[i]] == []
+
+
+def test_slices_hold_every_string_once():
+    texts = [b"", b"x" * 49, b"ab" * 300, b"c", bytes(range(256)) * 4]
+    found = [(int(i), int(o) + k) for owner, offset, parts in substring_dedup.slices(texts, 100) for i, o, p in zip(owner, offset, parts) for k in range(len(p) - 49)]
+    assert sorted(found) == [(i, k) for i, t in enumerate(texts) for k in range(len(t) - 49)]
+
+
 def test_substring_dedup_tells_rows_of_one_id_apart(spark, docs):
     rng = random.Random(5)
     a, b, c, d = ("".join(rng.choices("abcdefghij", k=120)) for _ in range(4))

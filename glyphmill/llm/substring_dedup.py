@@ -22,33 +22,43 @@ SLICE_BYTES = 1 << 20
 CHUNK_BYTES = 4 << 20
 BUCKET_BYTES = 8 << 20
 #: Classes of contexts that one suffix array takes; groups with more are dealt out by longer common strings.
-MEET = 1000
+MEET = 2000
 #: Width of the cells of anchor offsets that such groups are dealt out by, level after level; cells of 1 have one class a group.
 CELLS = (4, 1)
-MEET_BYTES = 2 << 20
+MEET_BYTES = 1 << 20
+ODD = 0x9E3779B97F4A7C15
 BROADCAST_IDS = 1_000_000
 
 
-def windows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For each string of LENGTH bytes in each text: the text's number, its start, its anchor and its place in all texts joined.
+def hashes(data: np.ndarray, length: int) -> np.ndarray:
+    """64 bits for each string of ``length`` bytes: polynomials of powers of two, joined, and mixed at the end."""
+    part, have, out, n = data.astype(np.uint64) + np.uint64(1), 1, None, 0
+    while True:
+        if length & have:
+            if out is None:
+                out = part
+            else:  # the longer part goes in front
+                whole = len(data) - n - have + 1
+                out = part[:whole] * np.uint64(ODD ** (have + n) % (1 << 64)) + out[have : have + whole]
+            n += have
+        if 2 * have > length:
+            return mixed(out)
+        part = part[: len(part) - have] * np.uint64(ODD**have % (1 << 64)) + part[have:]
+        have *= 2
+
+
+def windows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each string of LENGTH bytes in each text: the text's number, its start and its anchor.
 
     The anchor is the least hash of the ANCHOR-byte strings inside, so equal strings have equal
-    anchors, and neighbours mostly share theirs. The last array holds the hashes by place.
+    anchors, and neighbours mostly share theirs. The last array holds those hashes by place in all texts joined.
     """
     size = np.array([len(t) for t in texts], np.int64)
     data = np.frombuffer(b"".join(texts), np.uint8)
     empty = np.empty(0, np.int64)
     if len(data) < LENGTH:
-        return empty, empty, np.empty(0, np.uint64), empty, np.empty(0, np.uint64)
-    h = {1: mixed(data.astype(np.uint64) + np.uint64(1))}
-    for k in (1, 2, 4, 8):
-        a = h[k]
-        h[2 * k] = mixed(a[: len(a) - k] * np.uint64(0x9E3779B97F4A7C15) + a[k:])
-        if k < 8:
-            del h[k]
-    long, short = h[16], h[8]
-    n = len(data) - ANCHOR + 1
-    least = strings = mixed(long[:n] * np.uint64(0xD6E8FEB86659FD93) + short[16 : 16 + n])
+        return empty, empty, np.empty(0, np.uint64), np.empty(0, np.uint64)
+    least = strings = hashes(data, ANCHOR)
     width = 1
     while width * 2 <= RUN:
         least = np.minimum(least[: len(least) - width], least[width:])
@@ -59,7 +69,7 @@ def windows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     text = np.repeat(np.arange(len(texts)), size)[: len(least)]
     at = np.arange(len(least)) - start[text]
     inside = at + LENGTH <= size[text]
-    return text[inside], at[inside], least[inside], np.flatnonzero(inside), strings
+    return text[inside], at[inside], least[inside], strings
 
 
 def runs(text: np.ndarray, at: np.ndarray, anchor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -75,14 +85,6 @@ def runs(text: np.ndarray, at: np.ndarray, anchor: np.ndarray) -> tuple[np.ndarr
     return f, np.minimum(RUN, end - f)
 
 
-def anchor_offsets(place: np.ndarray, count: np.ndarray, anchor: np.ndarray, strings: np.ndarray) -> np.ndarray:
-    """Where in each run's context its anchor begins; -1 if it is there more than once."""
-    at = place[:, None] + np.arange(2 * RUN)
-    found = (strings[np.minimum(at, len(strings) - 1)] == anchor[:, None]) & (np.arange(2 * RUN) < (count + RUN - 1)[:, None])
-    first = found.argmax(1)
-    return np.where((found.sum(1) == 1) & (first >= count - 1), first, -1)
-
-
 def slices(texts: list[bytes], most: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
     """Texts in portions of about ``most`` bytes: number of the text, offset in it, bytes.
 
@@ -116,9 +118,10 @@ def sorted_suffixes(data: np.ndarray, size: np.ndarray) -> np.ndarray:
 def shared_windows(contexts: list[bytes], doc: np.ndarray, group: np.ndarray) -> np.ndarray:
     """For each context a bit mask of its windows that also start in a context of its group with a smaller document.
 
-    ``group`` is ascending. The contexts of a group, a separator after each, are one string; its
-    suffix array puts suffixes of equal windows side by side. The strings of a task are sorted
-    together, longest first, in portions.
+    ``group`` is ascending. Windows whose hash no other window of the group has are left out. What
+    stays of a group's contexts, a separator after each stretch, is one string; its suffix array puts
+    the suffixes of equal windows side by side, and neighbours' bytes are compared. The strings of a
+    task are sorted together, longest first, in portions.
     """
     mask = np.zeros(len(contexts), np.int64)
     size = np.array([len(c) for c in contexts], np.int64) + 1
@@ -132,58 +135,68 @@ def shared_windows(contexts: list[bytes], doc: np.ndarray, group: np.ndarray) ->
         at = expanded(first[mine], count[mine])
         n = size[at]
         text = np.frombuffer(b"\0".join([contexts[i] for i in at.tolist()]) + b"\0", np.uint8)
-        data = text.astype(np.int64) + 1
-        data[np.cumsum(n) - 1] = 0
         owner = np.repeat(np.arange(len(at)), n)
-        offset = np.arange(len(data)) - np.repeat(np.cumsum(n) - n, n)
-        p = sorted_suffixes(data, whole[mine])
-        p = p[offset[p] + LENGTH < n[owner[p]]]
-        if not len(p):
+        offset = np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)
+        begin = np.flatnonzero(offset + LENGTH < n[owner])
+        key = mixed(hashes(text, LENGTH)[begin] ^ group[at[owner[begin]]].view(np.uint64))
+        order = np.argsort(key)
+        twice = key[order[1:]] == key[order[:-1]]
+        shared = np.zeros(len(begin), bool)
+        shared[order[1:][twice]] = shared[order[:-1][twice]] = True
+        begin = begin[shared]
+        if not len(begin):
             continue
-        same = np.concatenate([[False], group[at[owner[p[1:]]]] == group[at[owner[p[:-1]]]]])
-        eight = np.lib.stride_tricks.as_strided(text.view(), (len(text) - 7, 8), (1, 1))
+        edge = np.flatnonzero(np.concatenate([[True], np.diff(begin) > 1]))
+        length = np.diff(np.append(edge, len(begin))) + LENGTH  # of each stretch and its separator
+        place = expanded(begin[edge], length)
+        ends = np.cumsum(length) - 1
+        data = text[place].astype(np.int64) + 1
+        data[ends] = 0
+        left = np.repeat(ends, length) - np.arange(len(data))  # bytes up to the separator
+        of = group[at[owner[begin[edge]]]]
+        string = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+        p = sorted_suffixes(data, np.add.reduceat(length, string))
+        p = place[p[left[p] >= LENGTH]]
+        who = at[owner[p]]
+        same = np.concatenate([[False], group[who[1:]] == group[who[:-1]]])
+        eight = np.lib.stride_tricks.as_strided(text, (len(text) - 7, 8), (1, 1))
         for o in (*range(0, LENGTH - 8, 8), LENGTH - 8):
             x = np.ascontiguousarray(eight[p + o]).view(np.uint64)[:, 0]
             same[1:] &= x[1:] == x[:-1]
         run = np.flatnonzero(~same)
-        of_run = np.cumsum(~same) - 1
-        who = at[owner[p]]
-        late = doc[who] > np.minimum.reduceat(doc[who], run)[of_run]
+        late = doc[who] > np.minimum.reduceat(doc[who], run)[np.cumsum(~same) - 1]
         mask += np.bincount(who[late], 2.0 ** offset[p[late]], len(contexts)).astype(np.int64)  # every bit once
     return mask
 
 
-def cells(contexts: list[bytes], anchor: np.ndarray, off: np.ndarray, width: int) -> list[tuple[int, int, int, int, int, bytes]]:
-    """Contexts of one anchor cut by where their windows have it: number, first window, windows, 64 bits of group, anchor's offset, bytes.
+def cells(contexts: list[bytes], anchor: np.ndarray, width: int) -> list[tuple[int, int, int, int, bytes]]:
+    """Contexts of one anchor cut by where their windows have it: number, first window, windows, 64 bits of group, bytes.
 
-    Windows with the anchor at offsets of one cell (``width`` of them) have a longer string around
-    the anchor in common, the core. Equal windows have the anchor at one offset and one core, so they meet in
-    the cell and core's group. Where a context has the anchor more than once, each window goes by
-    the first one inside it.
+    Windows whose first anchor is at offsets of one cell (``width`` of them) have a longer string around
+    it in common, the core. Equal windows have the anchor at one offset and one core, so they meet in
+    the cell and core's group. Neighbours go together while their anchor is the same one.
     """
     out = []
     for i, c in enumerate(contexts):
         n = len(c) - LENGTH + 1
-        if off[i] >= 0:
-            first = [int(off[i]) - o for o in range(n)]
-            begin = [o for o in range(n) if not o or first[o] // width != first[o - 1] // width]
-        else:
-            strings = np.flatnonzero(windows([c])[4] == anchor[i])
-            first = [int(strings[np.searchsorted(strings, o)]) - o for o in range(n)]
-            begin = list(range(n))
+        found = np.flatnonzero(hashes(np.frombuffer(c, np.uint8), ANCHOR) == anchor[i])
+        at = found[np.searchsorted(found, np.arange(n))]
+        first = (at - np.arange(n)).tolist()
+        at = at.tolist()
+        begin = [o for o in range(n) if not o or at[o] != at[o - 1] or first[o] // width != first[o - 1] // width]
         for a, b in zip(begin, [*begin[1:], n], strict=True):
             cell = first[a] // width * width
-            core = c[a + first[a] - cell : a + first[a] + LENGTH + 1 - min(RUN, cell + width)]
-            h = xxhash.xxh3_64_intdigest(core, seed=int(anchor[i]) & (1 << 64) - 1 ^ cell * RUN + width)
-            out.append((i, a, b - a, h - (1 << 63), first[a], c[a : b + LENGTH - 1]))
+            core = c[at[a] - cell : at[a] + LENGTH + 1 - min(RUN, cell + width)]
+            h = xxhash.xxh3_64_intdigest(core, seed=int(anchor[i]) ^ (cell * RUN + width))
+            out.append((i, a, b - a, h - (1 << 63), c[a : b + LENGTH - 1]))
     return out
 
 
 def masks(classes: DataFrame, widths: tuple[int, ...] = CELLS) -> DataFrame:
     """(h, c, mask): windows of each class that a smaller document has in another class of its group.
 
-    Columns of ``classes``: group h, class c, smallest document low, off (the anchor's place, -1 if
-    it is there more than once), anchor, context, and the group's number of classes k (over 1). Groups of up to MEET classes get a suffix array; a larger one's contexts
+    Columns of ``classes``: group h, class c, smallest document low, anchor, context, and the group's
+    number of classes k (over 1). Groups of up to MEET classes get a suffix array; a larger one's contexts
     are cut into cells, which are classes of smaller groups in turn.
     """
     few_bytes, many = classes.agg(F.coalesce(F.sum(F.when(F.col("k") <= MEET, F.octet_length("context"))), F.lit(0)), F.coalesce(F.max(F.col("k") > MEET), F.lit(False))).first()
@@ -207,16 +220,16 @@ def masks(classes: DataFrame, widths: tuple[int, ...] = CELLS) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             anchor = b.column("anchor").to_numpy()
-            got = cells(b.column("context").to_pylist(), anchor.view(np.uint64), b.column("off").to_numpy(), widths[0])
+            got = cells(b.column("context").to_pylist(), anchor.view(np.uint64), widths[0])
             if got:
-                i, start, n, group, off, sub = zip(*got, strict=True)
+                i, start, n, group, sub = zip(*got, strict=True)
                 at = np.array(i)
-                yield pa.RecordBatch.from_arrays([*(b.column(x).take(pa.array(at)) for x in ("h", "c", "low")), pa.array(start, pa.int64()), pa.array(n, pa.int64()), pa.array(group, pa.int64()), pa.array(off, pa.int64()), pa.array(anchor[at]), pa.array(sub, pa.binary())], names=["h", "c", "low", "start", "n", "g", "off", "anchor", "context"])
+                yield pa.RecordBatch.from_arrays([*(b.column(x).take(pa.array(at)) for x in ("h", "c", "low")), pa.array(start, pa.int64()), pa.array(n, pa.int64()), pa.array(group, pa.int64()), pa.array(anchor[at]), pa.array(sub, pa.binary())], names=["h", "c", "low", "start", "n", "g", "anchor", "context"])
 
-    schema = "h bigint, c bigint, low bigint, start bigint, n bigint, g bigint, off bigint, anchor bigint, context binary"
-    big = classes.where(F.col("k") > MEET).select("h", "c", "low", "off", "anchor", "context")
+    schema = "h bigint, c bigint, low bigint, start bigint, n bigint, g bigint, anchor bigint, context binary"
+    big = classes.where(F.col("k") > MEET).select("h", "c", "low", "anchor", "context")
     subs = materialize(big.mapInArrow(cut, schema).withColumn("d", F.xxhash64("context")), "cells")
-    lower = subs.groupBy(F.col("g").alias("h"), F.col("d").alias("c")).agg(F.min("low").alias("low"), F.min_by("off", "low").alias("off"), F.min("anchor").alias("anchor"), F.min("context").alias("context"))
+    lower = subs.groupBy(F.col("g").alias("h"), F.col("d").alias("c")).agg(F.min("low").alias("low"), F.min("anchor").alias("anchor"), F.min("context").alias("context"))
     lower = materialize(lower, "cell-classes")
     several = lower.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
     below = lower.select(F.col("h").alias("g"), F.col("c").alias("d"), F.col("low").alias("least")).join(masks(materialize(lower.join(several, "h"), "meeting-cells"), widths[1:]).select(F.col("h").alias("g"), F.col("c").alias("d"), "mask"), ["g", "d"], "left")
@@ -286,7 +299,7 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         for b in batches:
             chunks = b.column(0).to_numpy()
             for owner, _, texts in slices(b.column(2).to_pylist()):
-                text, _, anchor, _, _ = windows(texts)
+                text, _, anchor, _ = windows(texts)
                 if not len(text):
                     continue
                 keep = np.concatenate([[True], (text[1:] != text[:-1]) | (anchor[1:] != anchor[:-1])])
@@ -342,7 +355,7 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         # One sorted array: bucket in front of the 40 bits.
         wanted = np.sort(np.concatenate([v + (np.uint64(b) << np.uint64(40)) for b, v in known.items()]))
         for owner, offset, part in slices(texts):
-            text, at, anchor, place, strings = windows(part)
+            text, at, anchor, _ = windows(part)
             first, count = runs(text, at, anchor)
             if not len(first):
                 continue
@@ -355,19 +368,18 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 continue
             t, s, n = text[first], at[first], count
             out = [part[x][y : y + z + LENGTH - 1] for x, y, z in zip(t.tolist(), s.tolist(), n.tolist(), strict=True)]
-            off = anchor_offsets(place[first], n, anchor[first], strings)
-            yield pa.RecordBatch.from_arrays([pa.array(anchor[first].view(np.int64)), pa.array(ids[owner[t]].astype(np.int64)), pa.array(own[owner[t]].astype(np.int64)), pa.array(s + offset[t]), pa.array(n), pa.array(off), pa.array(out, pa.binary())], names=["h", "id", "t", "start", "n", "off", "context"])
+            yield pa.RecordBatch.from_arrays([pa.array(anchor[first].view(np.int64)), pa.array(ids[owner[t]].astype(np.int64)), pa.array(own[owner[t]].astype(np.int64)), pa.array(s + offset[t]), pa.array(n), pa.array(out, pa.binary())], names=["h", "id", "t", "start", "n", "context"])
 
     texts = originals.select("chunk", "id", "t", F.lit(None).cast("bigint").alias("bucket"), F.col("text").alias("data"))
     asked = shared.select("chunk", F.lit(None).cast("bigint").alias("id"), F.lit(None).cast("bigint").alias("t"), "bucket", F.col("packed").alias("data"))
-    cuts = by_group(texts.unionByName(asked), ["chunk"], cut, "h bigint, id bigint, t bigint, start bigint, n bigint, off bigint, context binary")
+    cuts = by_group(texts.unionByName(asked), ["chunk"], cut, "h bigint, id bigint, t bigint, start bigint, n bigint, context binary")
     contexts = materialize(cuts.withColumn("c", F.xxhash64("context")), "contexts")
     # A class is named by its anchor's and its bytes' hash, 128 bits together; bytes move only where classes meet.
     classes = materialize(contexts.groupBy("h", "c").agg(F.min("id").alias("low"), F.max("id").alias("high")), "classes")
     per = classes.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
     meeting = classes.join(per, "h").select("h", "c", "low", "k")
-    bytes_of = contexts.select("h", "c", F.col("id").alias("low"), "off", "context").join(meeting, ["h", "c", "low"])
-    together = materialize(bytes_of.groupBy("h", "c", "low", "k").agg(F.first("context").alias("context"), F.first("off").alias("off")).withColumn("anchor", F.col("h")), "meeting")
+    bytes_of = contexts.select("h", "c", F.col("id").alias("low"), "context").join(meeting, ["h", "c", "low"])
+    together = materialize(bytes_of.groupBy("h", "c", "low", "k").agg(F.first("context").alias("context")).withColumn("anchor", F.col("h")), "meeting")
     verdicts = classes.select("h", "c", "low", "high").join(masks(together), ["h", "c"], "left").where("mask IS NOT NULL OR low < high")
     hits = contexts.select("h", "c", "id", "t", "start", "n").join(verdicts, ["h", "c"])
     whole = F.when(F.col("id") > F.col("low"), F.expr("shiftleft(1L, cast(n AS int)) - 1")).otherwise(F.coalesce("mask", F.lit(0)))

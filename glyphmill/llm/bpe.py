@@ -82,7 +82,7 @@ class Bpe:
         split = "|".join(regex.escape(s) for s in sorted(added, key=len, reverse=True))
         self.split = regex.compile(f"({split})") if split else None
         self.words = regex.compile(PATTERN)
-        self.white = regex.compile(r"^\s|\s$|^$")  # white space as the pattern has it, which str.isspace() does not
+        self.white = frozenset(regex.findall(r"\s", "".join(map(chr, range(0x10000 - 0x2800)))))  # as the pattern has it, which str.isspace() does not; none is higher
 
     def guess(self, word: bytes) -> list[int]:
         """Longest match from the left."""
@@ -254,7 +254,8 @@ class Encoder:
             at = [table[k] for k in moved]
             self.table.update(zip(moved, self.add([flat[start[i] : start[i] + size[i]].tolist() for i in at]), strict=True))
             new.difference_update(moved)
-        edge = {k for k in new if not k or k[0] != " " and self.bpe.white.search(k)}
+        white = self.bpe.white
+        edge = {k for k in new if not k or k[0] != " " and (k[0] in white or k[-1] in white)}
         self.table.update(dict.fromkeys(edge, -1))
         new = list(new - edge)
         words = [[k] if k[0] == " " else self.bpe.words.findall(" " + k) for k in new]

@@ -57,23 +57,38 @@ def ascii_lower(c: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; one of our own only where the session names none (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.glyphmill.shared.dir", None)
+    """The folder that all executors share: the session's ``spark.checkpoint.dir``, else the context's checkpoint folder.
+
+    Tables never go to a folder of one machine, so a session with neither is an error.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        there = spark.sparkContext._jsc.sc().getCheckpointDir()
+        found = there.get() if there.isDefined() else None
     if not found:
-        found = tempfile.mkdtemp(prefix="glyphmill-")
-        spark.conf.set("spark.glyphmill.shared.dir", found)
+        raise ValueError("no shared folder: set spark.checkpoint.dir or call setCheckpointDir")
     return found
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Write ``df`` once as a table in the shared folder and read it back.
 
     The lineage ends there, so a lost executor costs a reread and not a recomputation,
     and several consumers share one computation.
     """
     path = f"{shared_dir(df.sparkSession)}/glyphmill/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.option("compression", codec).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._glyphmill_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables that ``materialize`` wrote; nothing that is still to run may depend on them."""
+    for df in tables:
+        if path := getattr(df, "_glyphmill_path", None):
+            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def fold(id_col: str = "doc_id") -> Column:

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import materialize, read, text_of
+from glyphmill.llm.common import discard, materialize, read, text_of
 from glyphmill.llm.shingles import mixed
 from glyphmill.llm.stream import by_group
 from glyphmill.llm.suffix_array import expanded, suffix_array, suffix_arrays
@@ -192,12 +192,12 @@ def cells(contexts: list[bytes], anchor: np.ndarray, width: int) -> list[tuple[i
     return out
 
 
-def masks(classes: DataFrame, widths: tuple[int, ...] = CELLS) -> DataFrame:
+def masks(classes: DataFrame, tables: list[DataFrame], widths: tuple[int, ...] = CELLS) -> DataFrame:
     """(h, c, mask): windows of each class that a smaller document has in another class of its group.
 
     Columns of ``classes``: group h, class c, smallest document low, anchor, context, and the group's
     number of classes k (over 1). Groups of up to MEET classes get a suffix array; a larger one's contexts
-    are cut into cells, which are classes of smaller groups in turn.
+    are cut into cells, which are classes of smaller groups in turn. What is written on the way is added to ``tables``.
     """
     few_bytes, many = classes.agg(F.coalesce(F.sum(F.when(F.col("k") <= MEET, F.octet_length("context"))), F.lit(0)), F.coalesce(F.max(F.col("k") > MEET), F.lit(False))).first()
 
@@ -232,7 +232,9 @@ def masks(classes: DataFrame, widths: tuple[int, ...] = CELLS) -> DataFrame:
     lower = subs.groupBy(F.col("g").alias("h"), F.col("d").alias("c")).agg(F.min("low").alias("low"), F.min("anchor").alias("anchor"), F.min("context").alias("context"))
     lower = materialize(lower, "cell-classes")
     several = lower.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
-    below = lower.select(F.col("h").alias("g"), F.col("c").alias("d"), F.col("low").alias("least")).join(masks(materialize(lower.join(several, "h"), "meeting-cells"), widths[1:]).select(F.col("h").alias("g"), F.col("c").alias("d"), "mask"), ["g", "d"], "left")
+    meeting = materialize(lower.join(several, "h"), "meeting-cells")
+    tables += [subs, lower, meeting]
+    below = lower.select(F.col("h").alias("g"), F.col("c").alias("d"), F.col("low").alias("least")).join(masks(meeting, tables, widths[1:]).select(F.col("h").alias("g"), F.col("c").alias("d"), "mask"), ["g", "d"], "left")
     met = subs.select("h", "c", "low", "start", "n", "g", "d").join(below, ["g", "d"])
     whole = F.when(F.col("low") > F.col("least"), F.expr("shiftleft(1L, cast(n AS int)) - 1")).otherwise(F.coalesce("mask", F.lit(0)))
     up = met.withColumn("mask", whole).where("mask <> 0").groupBy("h", "c").agg(F.expr("bit_or(shiftleft(mask, cast(start AS int)))").alias("mask"))
@@ -373,18 +375,21 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     texts = originals.select("chunk", "id", "t", F.lit(None).cast("bigint").alias("bucket"), F.col("text").alias("data"))
     asked = shared.select("chunk", F.lit(None).cast("bigint").alias("id"), F.lit(None).cast("bigint").alias("t"), "bucket", F.col("packed").alias("data"))
     cuts = by_group(texts.unionByName(asked), ["chunk"], cut, "h bigint, id bigint, t bigint, start bigint, n bigint, context binary")
-    contexts = materialize(cuts.withColumn("c", F.xxhash64("context")), "contexts")
+    contexts = materialize(cuts.withColumn("c", F.xxhash64("context")), "contexts", "zstd")
+    discard(shared)
     # A class is named by its anchor's and its bytes' hash, 128 bits together; bytes move only where classes meet.
     classes = materialize(contexts.groupBy("h", "c").agg(F.min("id").alias("low"), F.max("id").alias("high")), "classes")
     per = classes.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
     meeting = classes.join(per, "h").select("h", "c", "low", "k")
     bytes_of = contexts.select("h", "c", F.col("id").alias("low"), "context").join(meeting, ["h", "c", "low"])
     together = materialize(bytes_of.groupBy("h", "c", "low", "k").agg(F.first("context").alias("context")).withColumn("anchor", F.col("h")), "meeting")
-    verdicts = classes.select("h", "c", "low", "high").join(masks(together), ["h", "c"], "left").where("mask IS NOT NULL OR low < high")
+    tables = [contexts, classes, together]
+    verdicts = classes.select("h", "c", "low", "high").join(masks(together, tables), ["h", "c"], "left").where("mask IS NOT NULL OR low < high")
     hits = contexts.select("h", "c", "id", "t", "start", "n").join(verdicts, ["h", "c"])
     whole = F.when(F.col("id") > F.col("low"), F.expr("shiftleft(1L, cast(n AS int)) - 1")).otherwise(F.coalesce("mask", F.lit(0)))
     covered = hits.withColumn("mask", whole).where("mask <> 0").select(F.pmod(F.xxhash64("id"), F.lit(n_chunks)).alias("chunk"), "id", "t", "start", "mask")
     covered = materialize(covered, "covered")
+    discard(*tables)  # what follows reads the covered stretches and the texts
     touched = covered.select("id", "t", F.lit(True).alias("cut")).distinct()
     touched = F.broadcast(touched) if touched.count() <= BROADCAST_IDS else touched
 

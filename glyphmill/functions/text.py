@@ -270,3 +270,13 @@ def language_exclusions(clean: Column) -> Column:
 
 def in_set(x: Column, terms: Sequence[str]) -> Column:
     return x.isin(list(terms))
+
+
+def working_language(language: Column, majority: Column) -> Column:
+    """What later steps take the text for: Indonesian or English, else what more of its function words are."""
+    return F.when(language.isin("id", "en"), language).otherwise(majority)
+
+
+def utf16_length(c: Column) -> Column:
+    """Length in UTF-16 units: characters outside the basic plane count twice."""
+    return F.length(c) + F.regexp_count(c, F.lit(r"[\x{10000}-\x{10FFFF}]"))

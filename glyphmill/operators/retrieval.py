@@ -89,12 +89,3 @@ def summary_scores(sents: DataFrame) -> DataFrame:
     out = out.withColumn("exact", total).withColumn("total", X.js_round_to(F.col("exact"), 3))
     keep = F.greatest(F.when(F.col("n") >= 10, 3).otherwise(2), F.least(F.lit(5), X.js_round(F.col("n") / 5)))
     return out.withColumns({"rank": F.row_number().over(doc.orderBy(F.desc("total"), "pos")), "keep": keep.cast("int")})
-
-
-def fuse(local: Column, cap: Column, external: Column, confidence: Column, coverage: Column, knows_language: Column) -> Column:
-    """the weighted blend of two scores, lifted by 5 at most over the capped local one, 15 to 98."""
-    base = F.when(confidence == "tinggi", 0.45).when(confidence == "sedang", 0.30).otherwise(0.15)
-    weight = base * F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(coverage, F.lit(1.0)))) * F.when(knows_language, 1.0).otherwise(0.5)
-    capped = F.least(local, F.coalesce(cap, local))
-    clamp = lambda x: F.greatest(F.lit(15), F.least(F.lit(98), X.js_round(x))).cast("int")
-    return F.when(external.isNull(), clamp(capped)).otherwise(clamp(F.least(capped * (1 - weight) + external * weight, capped + 5)))

@@ -94,25 +94,12 @@ def summary(spark, sf_dir):
     return R.summary_scores(R.sentence_rows(documents(spark, sf_dir))).select("doc_id", "pos", F.round("exact", 6).alias("exact"), "keep")
 
 
-@query("F13_fusion", "SELECT *, CAST(CASE WHEN ext IS NULL THEN greatest(15, least(98, floor(capped + 0.5))) ELSE greatest(15, least(98, floor(least(capped * (1 - w) + ext * w, capped + 5) + 0.5))) END AS INT) AS fused FROM (SELECT doc_id, least(loc, coalesce(cap, loc)) AS capped, ext, CASE conf WHEN 'tinggi' THEN 0.45::DOUBLE WHEN 'sedang' THEN 0.30::DOUBLE ELSE 0.15::DOUBLE END * cov * CASE WHEN known THEN 1::DOUBLE ELSE 0.5::DOUBLE END AS w FROM (SELECT doc_id, 15 + n_chars % 84 AS loc, CASE WHEN n_chars < 300 THEN 45 END AS cap, CASE WHEN doc_id % 7 > 0 THEN (doc_id * 31) % 100 END AS ext, ['rendah', 'sedang', 'tinggi'][doc_id % 3 + 1] AS conf, (doc_id % 5 + 1) / 5 AS cov, lang = 'en' AS known FROM documents))".replace("SELECT *, CAST(CASE", "SELECT doc_id, CAST(CASE"))
-def fusion(spark, sf_dir):
-    i, n = F.col("doc_id"), F.col("n_chars")
-    conf = F.element_at(F.array(*map(F.lit, ("rendah", "sedang", "tinggi"))), (i % 3 + 1).cast("int"))
-    fused = R.fuse(15 + n % 84, F.when(n < 300, 45), F.when(i % 7 > 0, i * 31 % 100), conf, (i % 5 + 1) / 5, F.col("lang") == "en")
-    return read(spark, sf_dir, "documents").select("doc_id", fused.alias("fused"))
-
-
 @query("H03_sentence_cleanup", f"WITH {DOCUMENTS_SQL}, t AS (SELECT doc_id, trim(regexp_replace(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g'), ' ([,.;:!?])', '\\1', 'g')) AS s FROM d) SELECT doc_id, upper(left(s, 1)) || substr(s, 2) AS out FROM t")
 def cleanup(spark, sf_dir):
     d = documents(spark, sf_dir).select("doc_id", F.trim(F.regexp_replace(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " "), " ([,.;:!?])", "$1")).alias("s"))
     return d.select("doc_id", F.concat(F.upper(F.left("s", F.lit(1))), F.substring("s", 2, 1 << 30)).alias("out"))
 
 
-@query("P06_latest_event", "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id")
-def latest(spark, sf_dir):
-    return read(spark, sf_dir, "events").groupBy("user_id").agg(F.max("event_id").alias("event_id"), F.max_by("event_type", "event_id").alias("event_type"))
-
-
 @query("ST_event_windows", "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def windows(spark, sf_dir):
     return event_windows(read(spark, sf_dir, "events")).select(F.col("window.start").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))

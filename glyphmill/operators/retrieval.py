@@ -51,41 +51,6 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norm > 0, dot(a, b) / norm).otherwise(0.0)
 
 
-def sentence_rows(docs: DataFrame, counts: bool = False) -> DataFrame:
-    """doc_id, pos, sent; on demand also ``counts``, the sentences in each paragraph of the document."""
-    text = F.coalesce("text", F.lit(""))
-    if not counts:
-        return docs.select("doc_id", F.posexplode(X.sentences(text)).alias("pos", "sent"))
-    size = lambda p: F.when(F.size(X.sentences(p)) > 0, F.size(X.sentences(p))).otherwise(F.size(X.sentences(p, 4, True)))
-    return kept(docs.select("doc_id", "text"), counts=F.transform(X.paragraphs(text), size)).select("doc_id", "counts", F.posexplode(X.sentences(text)).alias("pos", "sent"))
-
-
-ORPHAN_STRONG = ["namun", "tetapi", "sedangkan", "sedangkanpun", "namun demikian", "oleh karena itu", "karena itu", "dengan demikian", "oleh sebab itu", "akan tetapi", "melainkan", "sebaliknya", "sehingga", "maka dari itu"]
-ORPHAN_LEADERS = ["selain itu", "selain", "menurut", "hal ini", "keadaan ini", "hal tersebut", "keadaan tersebut", "hal itu", "keadaan itu", "diketahui bahwa", "terlihat bahwa", "tampak bahwa", "ternyata", "sebab", "masih", "kemudian"]
-
-
-def orphan(sent: Column) -> Column:
-    """How much a sentence leans on the one before it, by its first words."""
-    ws = F.filter(F.split(F.lower(F.regexp_replace(sent, "^[^A-Za-zÀ-Þ]+", "")), "[^a-zÀ-ÞĀ-ſà-ÿ]+"), lambda x: x != "")
-    head = F.array_join(F.slice(ws, 1, 3), " ")
-    hit = lambda terms: F.exists(F.array(*map(F.lit, terms)), lambda t: (head == t) | head.startswith(F.concat(t, F.lit(" "))))
-    return F.when(hit(ORPHAN_STRONG), 0.95).when(hit(ORPHAN_LEADERS), 0.55).when(F.get(ws, F.lit(1)).isin("ini", "itu", "tersebut"), 0.7).otherwise(0.0)
-
-
-def summary_scores(sents: DataFrame) -> DataFrame:
-    """M01-M04, M06, M07 (without the genericness part) and M09 for (doc_id, pos, sent): topic, density, total, rank, keep."""
-    doc = W.partitionBy("doc_id")
-    sents = sents.withColumn("n", F.count(F.lit(1)).over(doc))
-    terms = sents.select("doc_id", "pos", "n", F.explode(content_tokens(F.col("sent"))).alias("term"))
-    terms = terms.withColumn("f", F.count(F.lit(1)).over(W.partitionBy("doc_id", "term")))
-    per = terms.groupBy("doc_id", "pos").agg(F.avg(F.col("f") * F.log(1 + F.col("n") / (1 + F.col("f")))).alias("topic"), F.avg((F.col("f") <= 2).cast("double")).alias("density"))
-    out = sents.join(per, ["doc_id", "pos"], "left").fillna(0.0, ["topic", "density"])
-    share = lambda c: F.when(F.max(c).over(doc) > 0, F.col(c) / F.max(c).over(doc)).otherwise(0.0)
-    out = out.withColumns({"topic": share("topic"), "density": share("density")})
-    place = F.when(F.col("pos") == 0, 0.25).when(F.col("pos") == F.col("n") - 1, 0.18).when(F.col("pos") == 1, 0.08).otherwise(0.0)
-    words = X.count_words(F.col("sent"))
-    penalty = F.when((words < 6) | (words > 40), 0.15).otherwise(0.0)
-    total = 0.34 * F.col("topic") + 0.22 * F.col("density") + 0.10 * place - penalty - orphan(F.col("sent"))
-    out = out.withColumn("exact", total).withColumn("total", X.js_round_to(F.col("exact"), 3))
-    keep = F.greatest(F.when(F.col("n") >= 10, 3).otherwise(2), F.least(F.lit(5), X.js_round(F.col("n") / 5)))
-    return out.withColumns({"rank": F.row_number().over(doc.orderBy(F.desc("total"), "pos")), "keep": keep.cast("int")})
+def sentence_rows(docs: DataFrame) -> DataFrame:
+    """doc_id, pos, sent."""
+    return docs.select("doc_id", F.posexplode(X.sentences(F.coalesce("text", F.lit("")))).alias("pos", "sent"))

@@ -78,22 +78,6 @@ def ordered(spark, sf_dir):
     return p.select("page_id", "host", "tier", F.row_number().over(W.orderBy(F.desc("rel"), "tier", "page_id")).alias("place"))
 
 
-ORPHAN = "array_to_string(list_slice(ws, 1, 3), ' ')"
-HIT = lambda terms: f"len([t FOR t IN {S.array(terms)} IF head = t OR starts_with(head, t || ' ')]) > 0"
-SUMMARY = f"""WITH {TERMS}, f AS (SELECT *, count(*) OVER (PARTITION BY doc_id, term) AS f FROM z), g AS (SELECT doc_id, pos, avg(f * ln(1 + n / (1 + f))) AS topic, avg(CAST(f <= 2 AS DOUBLE)) AS density FROM f GROUP BY ALL),
-h AS (SELECT y.doc_id, y.pos, y.n, y.sent, coalesce(topic, 0) AS topic, coalesce(density, 0) AS density, [w FOR w IN regexp_split_to_array(lower(regexp_replace(sent, '^[^A-Za-zÀ-Þ]+', '')), '[^a-zÀ-ÞĀ-ſà-ÿ]+') IF w <> ''] AS ws FROM y LEFT JOIN g USING (doc_id, pos)),
-k AS (SELECT *, {ORPHAN} AS head, CASE WHEN max(topic) OVER w > 0 THEN topic / max(topic) OVER w ELSE 0 END AS t, CASE WHEN max(density) OVER w > 0 THEN density / max(density) OVER w ELSE 0 END AS dn FROM h WINDOW w AS (PARTITION BY doc_id)),
-o AS (SELECT *, CASE WHEN {HIT(R.ORPHAN_STRONG)} THEN 0.95 WHEN {HIT(R.ORPHAN_LEADERS)} THEN 0.55 WHEN ws[2] IN ('ini', 'itu', 'tersebut') THEN 0.7 ELSE 0 END AS orphan, CASE WHEN {S.count_words('sent')} < 6 OR {S.count_words('sent')} > 40 THEN 0.15 ELSE 0 END AS pen,
-  CASE WHEN pos = 0 THEN 0.25 WHEN pos = n - 1 THEN 0.18 WHEN pos = 1 THEN 0.08 ELSE 0 END AS place FROM k),
-q AS (SELECT *, round(0.34::DOUBLE * t + 0.22::DOUBLE * dn + 0.10::DOUBLE * place - pen - orphan, 6) AS exact FROM o)
-SELECT doc_id, CAST(pos AS INT) AS pos, exact, CAST(greatest(CASE WHEN n >= 10 THEN 3 ELSE 2 END, least(5, floor(n / 5 + 0.5))) AS INT) AS keep FROM q"""
-
-
-@query("M01_M09_summary_scores", SUMMARY)
-def summary(spark, sf_dir):
-    return R.summary_scores(R.sentence_rows(documents(spark, sf_dir))).select("doc_id", "pos", F.round("exact", 6).alias("exact"), "keep")
-
-
 @query("H03_sentence_cleanup", f"WITH {DOCUMENTS_SQL}, t AS (SELECT doc_id, trim(regexp_replace(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g'), ' ([,.;:!?])', '\\1', 'g')) AS s FROM d) SELECT doc_id, upper(left(s, 1)) || substr(s, 2) AS out FROM t")
 def cleanup(spark, sf_dir):
     d = documents(spark, sf_dir).select("doc_id", F.trim(F.regexp_replace(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " "), " ([,.;:!?])", "$1")).alias("s"))
@@ -116,12 +100,6 @@ def replace(spark, sf_dir):
     return read(spark, sf_dir, "documents").join(lab, "doc_id", "left").select("doc_id", F.coalesce("new", "source").alias("source"))
 
 
-@query("M10_M12_greedy_summary")
-def greedy(spark, sf_dir):
-    scored = R.summary_scores(R.sentence_rows(documents(spark, sf_dir), counts=True))
-    return G.pick_sentences(scored.select("doc_id", "pos", "sent", F.array_distinct(R.content_tokens(F.col("sent"))).alias("words"), "total", "keep", "counts", R.orphan(F.col("sent")).alias("orphan")))
-
-
 @query("R14_greedy_dedupe")
 def candidates(spark, sf_dir):
     p = read(spark, sf_dir, "pages")

@@ -13,7 +13,7 @@ from glyphmill.functions import lexicon as L
 
 WORD = r"[\p{L}\p{N}']+"
 #: Word boundaries over ASCII, as Java's own are wider.
-B0, B1 = r"(?:(?<![0-9A-Za-z_])(?=[0-9A-Za-z_])|(?<=[0-9A-Za-z_])(?![0-9A-Za-z_]))", r"(?:(?<![0-9A-Za-z_])(?=[0-9A-Za-z_])|(?<=[0-9A-Za-z_])(?![0-9A-Za-z_]))"
+B0 = B1 = r"(?:(?<![0-9A-Za-z_])(?=[0-9A-Za-z_])|(?<=[0-9A-Za-z_])(?![0-9A-Za-z_]))"
 
 
 def js_round(c: Column) -> Column:
@@ -38,7 +38,7 @@ def chain(c: Column, steps: Sequence[tuple[str, str]]) -> Column:
     return c
 
 
-#: (pattern, replacement) in order; look-ahead is written out as captures, so both engines read them alike.
+#: Fixed values: (pattern, replacement) in order; look-ahead is written out as captures, so both engines read them alike.
 MARKDOWN = [
     (r"```(?:\w*\n)?([\s\S]*?)```", "$1"),
     (r"`([^`\n]*)`", "$1"),
@@ -59,6 +59,7 @@ MARKDOWN = [
     (r"[ \t]+\n", "\n"),
     (r"\n{3,}", "\n\n"),
 ]
+#: Patterns of code, of citations and addresses, of wiki mark-up below.
 CODE = [(r"```[\s\S]*?```", " "), (r"`[^`\n]*`", " "), (r"(?m)^[ \t]{4,}\S.*$", " ")]
 CITED = [
     (r"\[\d+(\s*[-–,]\s*\d+)*\]", " "),
@@ -107,6 +108,11 @@ def sentences(c: Column, min_words: int = 4, by_space: bool = False) -> Column:
     return F.filter(F.transform(found, lambda s: F.trim(s)), lambda s: count(s) >= min_words)
 
 
+def sentences_after_marks(c: Column) -> Column:
+    """Cut where white space follows an end mark; nothing is left out but blanks."""
+    return F.filter(F.transform(F.split(F.regexp_replace(c, r"^\s+|\s+$", ""), r"(?<=[.!?])\s+"), lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")), lambda s: s != "")
+
+
 def paragraphs(c: Column) -> Column:
     return F.filter(F.transform(F.split(c, r"\n\s*\n"), lambda p: F.regexp_replace(p, r"^\s+|\s+$", "")), lambda p: p != "")
 

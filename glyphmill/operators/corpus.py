@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from glyphmill.operators.greedy import accept
+from glyphmill.sources.tables import numbered, written
+
+#: Licences that are none.
 BLOCKED = ["", "unknown", "n/a", "all rights reserved", "proprietary"]
 
 
@@ -22,7 +29,7 @@ def gate(df: DataFrame, license_col: str, date_col: str, words_col: str, before:
 
 def quota(df: DataFrame, cell: list[str], id_col: str, take: int, seed: int = 42) -> DataFrame:
     """The first ``take`` of each cell in seeded order."""
-    return df.withColumn("_r", F.row_number().over(W.partitionBy(*cell).orderBy(seeded(seed, id_col), id_col))).where(F.col("_r") <= take).drop("_r")
+    return numbered(df.withColumn("_o", seeded(seed, id_col)), "_o", "_r", cell).where(F.col("_r") < take).drop("_r", "_o")
 
 
 def exact_first(df: DataFrame, key: Column, id_col: str) -> DataFrame:
@@ -31,60 +38,126 @@ def exact_first(df: DataFrame, key: Column, id_col: str) -> DataFrame:
     return df.join(first, id_col, "left_semi")
 
 
-def near_pairs(sets: DataFrame, id_col: str = "id", set_col: str = "set", threshold: float = 0.8) -> DataFrame:
-    """C09 pairs (i < j, jaccard) of sets at least so alike.
+def near_classes(sets: DataFrame, id_col: str = "id", set_col: str = "set", threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
+    """Sets that are alike: (id, rep) of every non-empty set, and links (a, b, jaccard) between representatives, a < b.
 
-    Prefix filter: in one global order of elements two such sets share an element among the first
-    |s| - ceil(t |s|) + 1 of each, so only those are joined; sizes that can't reach the threshold
-    don't meet, and the sets verify. Elements are ordered by hash.
+    Equal sets (of 64-bit element hashes) are one class; its smallest id represents it, so copies never meet as
+    pairs. Elements of one class alone can't be shared. A set whose shared elements are too few for the threshold
+    has no link; of the others only the rarest shared elements are joined: in one order of elements two
+    such sets share one among the first |s| - ceil(t |s|) + 1 of each. Sizes that can't reach the
+    threshold don't meet, and the whole sets verify.
     """
-    s = sets.select(F.col(id_col).alias("i"), F.array_sort(F.transform(F.array_distinct(set_col), lambda x: F.xxhash64(x))).alias("h")).where(F.size("h") > 0)
-    keys = s.select("i", F.size("h").alias("n"), F.explode(F.slice("h", F.lit(1), (F.size("h") - F.ceil(F.size("h") * threshold) + 1).cast("int"))).alias("k"))
+    hashed = sets.select(F.col(id_col).alias("id"), F.array_sort(F.transform(F.array_distinct(set_col), lambda x: F.xxhash64(x))).alias("h")).where(F.size("h") > 0)
+    hashed = written(hashed.withColumn("c", F.sha2(F.to_json("h"), 256)), "sets")
+    classes = hashed.groupBy("c").agg(F.min("id").alias("rep"))
+    members = hashed.select("id", "c").join(classes, "c").select("id", "rep")
+    reps = hashed.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").select(F.col("id").alias("rep"), "h")
+    elements = reps.select("rep", F.size("h").alias("n"), F.explode("h").alias("x"))
+    shared = elements.groupBy("x").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    per = elements.join(shared, "x").groupBy("rep", "n").agg(F.array_sort(F.collect_list(F.struct("df", "x"))).alias("s"))
+    first = F.col("n") - F.ceil(F.col("n") * threshold) + 1 - (F.col("n") - F.size("s"))
+    keys = written(per.withColumn("m", first.cast("int")).where("m > 0").select("rep", "n", F.explode(F.slice("s", F.lit(1), F.col("m"))).alias("e")).select("rep", "n", F.col("e.x").alias("x")), "rare-elements")
     a, b = keys.alias("a"), keys.alias("b")
-    pairs = a.join(b, (F.col("a.k") == F.col("b.k")) & (F.col("a.i") < F.col("b.i")) & (F.col("a.n") >= threshold * F.col("b.n")) & (F.col("b.n") >= threshold * F.col("a.n"))).select(F.col("a.i").alias("i"), F.col("b.i").alias("j")).distinct()
-    full = pairs.join(s.select("i", F.col("h").alias("x")), "i").join(s.select(F.col("i").alias("j"), F.col("h").alias("y")), "j")
-    common = F.size(F.array_intersect("x", "y"))
-    return full.select("i", "j", (common / (F.size("x") + F.size("y") - common)).alias("jaccard")).where(F.col("jaccard") >= threshold)
+    fits = (F.col("a.x") == F.col("b.x")) & (F.col("a.rep") < F.col("b.rep")) & (F.col("a.n") >= threshold * F.col("b.n")) & (F.col("b.n") >= threshold * F.col("a.n"))
+    pairs = a.join(b, fits).select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b")).distinct()
+    full = pairs.join(reps.select(F.col("rep").alias("a"), F.col("h").alias("p")), "a").join(reps.select(F.col("rep").alias("b"), F.col("h").alias("q")), "b")
+    common = F.size(F.array_intersect("p", "q"))
+    return members, full.select("a", "b", (common / (F.size("p") + F.size("q") - common)).alias("jaccard")).where(F.col("jaccard") >= threshold)
+
+
+def near_pairs(sets: DataFrame, id_col: str = "id", set_col: str = "set", threshold: float = 0.8) -> DataFrame:
+    """Every pair (i, j, jaccard), i < j, of sets at least so alike: the links of ``near_classes`` with their members.
+
+    As many rows as there are pairs, m (m - 1) / 2 for m copies; where links are enough, use ``near_classes``.
+    """
+    members, links = near_classes(sets, id_col, set_col, threshold)
+    members, links = written(members, "members"), written(links, "links")
+    same = members.alias("a").join(members.alias("b"), (F.col("a.rep") == F.col("b.rep")) & (F.col("a.id") < F.col("b.id"))).select(F.col("a.id").alias("i"), F.col("b.id").alias("j"), F.lit(1.0).alias("jaccard"))
+    apart = links.join(members.select(F.col("rep").alias("a"), F.col("id").alias("x")), "a").join(members.select(F.col("rep").alias("b"), F.col("id").alias("y")), "b")
+    return same.unionByName(apart.select(F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "jaccard"))
+
+
+def conflict_keys(members: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, key): rows that are alike share a key: that of their class, or one for each link of their classes."""
+    classes = members.select("id", F.concat(F.lit("c:"), F.col("rep").cast("string")).alias("key"))
+    ends = links.withColumn("key", F.concat_ws(":", F.lit("l"), "a", "b"))
+    ends = ends.select(F.col("a").alias("rep"), "key").unionByName(ends.select(F.col("b").alias("rep"), "key"))
+    return classes.unionByName(members.join(ends, "rep").select("id", "key"))
+
 
+def greedy_kept(sets: DataFrame, id_col: str = "id", set_col: str = "set", threshold: float = 0.8) -> DataFrame:
+    """Ids that stay when, by ascending id, each id that stays removes the later ones that are like it; removed ones remove none."""
+    members, links = near_classes(sets, id_col, set_col, threshold)
+    keys = conflict_keys(written(members, "members"), links).groupBy("id").agg(F.collect_set("key").alias("keys"))
+    rows = sets.select(F.col(id_col).alias("id")).join(keys, "id", "left").select(F.lit(0).alias("all"), "id", F.coalesce("keys", F.array().cast("array<string>")).alias("keys"))
+    return accept(rows, "all", "id", "keys").select("id")
 
-def greedy_removed(pairs: DataFrame) -> DataFrame:
-    """C09 resolution: ids that a smaller id, itself not removed, removes.
 
-    Rounds decide every id all of whose smaller partners are decided: kept if each of them is removed,
-    removed if one is kept. The number of rounds is the longest chain of such dependencies; each
-    round is a join on the undecided pairs alone, written out to keep the lineage short.
+def two_sided(units: DataFrame, sets: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """Units that stay of (unit, id, text) rows: in order, a unit goes with all its sides if one is equal to, or like, a side of a unit that stayed.
+
+    ``sets`` has (id, set) of the sides. Equality is of trimmed texts. The seen sides are of all sources together.
     """
-    edges = pairs.select("i", "j").distinct()
-    kept = edges.select(F.col("i").alias("id")).distinct().join(edges.select(F.col("j").alias("id")).distinct(), "id", "left_anti")
-    removed = None
-    left = edges
-    while True:
-        gone = left.join(kept.withColumnRenamed("id", "i"), "i", "left_semi").select(F.col("j").alias("id")).distinct().checkpoint()
-        removed = gone if removed is None else removed.unionByName(gone).distinct()
-        left = left.join(gone.withColumnRenamed("id", "j"), "j", "left_anti").join(gone.withColumnRenamed("id", "i"), "i", "left_anti").join(kept.withColumnRenamed("id", "i"), "i", "left_anti").checkpoint()
-        if left.isEmpty():
-            return removed
-        kept = left.select(F.col("i").alias("id")).distinct().join(left.select(F.col("j").alias("id")).distinct(), "id", "left_anti").checkpoint()
+    members, links = near_classes(sets, "id", "set", threshold)
+    like = conflict_keys(written(members, "members"), links)
+    same = units.select("id", F.concat(F.lit("t:"), F.sha2(F.trim(F.coalesce("text", F.lit(""))), 256)).alias("key"))
+    keys = units.select("unit", "id").join(same.unionByName(like), "id").groupBy("unit").agg(F.collect_set("key").alias("keys"))
+    return accept(keys.withColumn("all", F.lit(0)), "all", "unit", "keys").select("unit")
 
 
 def split_units(df: DataFrame, stratum: list[str], unit: str, seed: int = 42) -> DataFrame:
     """60/20/20 by unit within strata, in seeded order; tiny strata lose their held-out parts to the floor."""
     units = df.select(*stratum, unit).distinct()
-    units = units.withColumn("_n", F.count(F.lit(1)).over(W.partitionBy(*stratum))).withColumn("_r", F.row_number().over(W.partitionBy(*stratum).orderBy(seeded(seed, unit), unit)))
+    count = units.groupBy(*stratum).agg(F.count(F.lit(1)).alias("_n"))
     part = F.greatest(F.lit(1), F.bround(F.col("_n") * 0.2, 0).cast("int"))
     part = F.when(part * 2 >= F.col("_n"), F.floor(F.col("_n") * 20 / 100).cast("int")).otherwise(part)
-    named = F.when(F.col("_r") <= part, "test").when(F.col("_r") <= part * 2, "dev").otherwise("train")
-    return df.join(units.withColumn("split", named).drop("_n", "_r"), [*stratum, unit])
+    placed = numbered(units.withColumn("_o", seeded(seed, unit)), "_o", "_r", stratum).join(F.broadcast(count.withColumn("_k", part)), stratum)
+    named = F.when(F.col("_r") < F.col("_k"), "test").when(F.col("_r") < F.col("_k") * 2, "dev").otherwise("train")
+    return df.join(placed.select(*stratum, unit, named.alias("split")), [*stratum, unit])
 
 
 def stride(df: DataFrame, order: str, k: int) -> DataFrame:
-    """C17: k rows evenly spaced in ``order``: those at round(i (n - 1) / (k - 1)), halves to even."""
+    """C17: k rows evenly spaced in ``order`` (whole numbers): those at round(i (n - 1) / (k - 1)), halves to even."""
     n = df.count()
     wanted = sorted({round(i * (n - 1) / (k - 1)) for i in range(k)}) if n >= k > 1 else list(range(n))
-    chosen = df.withColumn("_r", F.row_number().over(W.orderBy(order)) - 1)
-    return chosen.where(F.col("_r").isin(wanted)).drop("_r")
+    chosen = df.sparkSession.createDataFrame([(w,) for w in wanted], "_r bigint")
+    return numbered(df, order, "_r").join(F.broadcast(chosen), "_r", "left_semi").drop("_r")
 
 
 def digest(df: DataFrame, id_col: str) -> DataFrame:
-    """C14: SHA-256 of the sorted ids, one a line (a frozen evaluation set, small by design)."""
-    return df.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.col(id_col).cast("string"))), "\n"), 256).alias("digest"))
+    """C14: SHA-256 of the sorted ids, one a line.
+
+    The ids are sorted by range; one task then reads the ranges in turn and feeds the digest, which is
+    sequential by nature; it holds one batch. An empty table has the digest of nothing.
+    """
+    ordered = df.select(F.col(id_col).cast("string").alias("id")).orderBy("id").coalesce(1)
+
+    def feed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state, first = hashlib.sha256(), True
+        for b in batches:
+            ids = b.column(0).to_pylist()
+            if ids:
+                state.update((("" if first else "\n") + "\n".join(ids)).encode())
+                first = False
+        yield pa.RecordBatch.from_arrays([pa.array([state.hexdigest()])], names=["digest"])
+
+    return ordered.mapInArrow(feed, "digest string")
+
+
+def mixture_plan(n_human: Column, n_machine: Column, share: Column) -> Column:
+    """struct(h, m): the largest total whose machine part, round(share * total) with halves to even, fits both sides, two of each at least; null if none does."""
+    total = n_human + n_machine
+    m = lambda t: F.bround(share * t, 0).cast("int")
+    fits = lambda t: (m(t) <= n_machine) & (t - m(t) <= n_human) & (m(t) >= 2) & (t - m(t) >= 2)
+    best = F.when(total >= 4, F.array_max(F.filter(F.sequence(F.lit(4), F.greatest(total, F.lit(4))), fits)))
+    return F.when(best.isNotNull(), F.struct((best - m(best)).alias("h"), m(best).alias("m")))
+
+
+def mixture(human: Column, machine: Column, plan: Column) -> Column:
+    """The planned sentences as one text, those of the machine first; null without a plan."""
+    return F.when(plan.isNotNull(), F.array_join(F.concat(F.slice(machine, F.lit(1), F.coalesce(plan["m"], F.lit(0))), F.slice(human, F.lit(1), F.coalesce(plan["h"], F.lit(0)))), " "))
+
+
+def first_license(*candidates: Column) -> Column:
+    """C20: the first that is neither null nor empty, trimmed; else an empty text."""
+    return F.trim(F.coalesce(*(F.when(c != "", c) for c in candidates), F.lit("")))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from glyphmill.functions import lexicon as L
 from glyphmill.functions import text as X
 from glyphmill.operators import corpus as C
 from glyphmill.operators import metrics as M
@@ -13,7 +14,11 @@ from glyphmill.operators import validate as V
 from glyphmill.plans import detector_sql as S
 from glyphmill.plans.detector_sql import q
 from glyphmill.plans.fixtures import BASE, TEXTS, quoted
-from glyphmill.sources.tables import kept, read, spread
+from glyphmill.operators import retrieval as R
+from glyphmill.operators.rewrite import rescored
+from glyphmill.plans.detector_sql import LAYERS
+from glyphmill.plans.fixtures import DOCUMENTS_SQL
+from glyphmill.sources.tables import against, kept, numbered, read, spread, written
 
 BS = chr(92)
 SPACES = "regexp_split_to_array(coalesce(text, ''), '\\s+')"
@@ -96,6 +101,16 @@ def near(spark, sf_dir):
     return C.near_pairs(shingle_sets(spark, sf_dir)).select("i", "j", F.round("jaccard", 6).alias("jaccard"))
 
 
+#: Ids in order; one that is not gone removes its later partners.
+GREEDY = """e AS MATERIALIZED (SELECT i, list(j) AS js FROM {pairs} GROUP BY i), o AS MATERIALIZED (SELECT i, js, row_number() OVER (ORDER BY i) AS r FROM e),
+g(r, gone) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT o.r, CASE WHEN list_contains(gone, o.i) THEN gone ELSE list_distinct(list_concat(gone, js)) END FROM g JOIN o ON o.r = g.r + 1), z AS (SELECT arg_max(gone, r) AS gone FROM g)"""
+
+
+@query("C09_greedy_dedupe", f"WITH RECURSIVE np AS MATERIALIZED (FROM ({NEAR})), {GREEDY.format(pairs='np')} SELECT doc_id AS id FROM documents, z WHERE NOT list_contains(gone, doc_id)")
+def greedy(spark, sf_dir):
+    return C.greedy_kept(shingle_sets(spark, sf_dir))
+
+
 @query("C10_cross_source_pairs", f"SELECT p.i, p.j FROM ({NEAR}) p JOIN documents a ON a.doc_id = p.i JOIN documents b ON b.doc_id = p.j WHERE a.source IS DISTINCT FROM b.source")
 def cross(spark, sf_dir):
     source = read(spark, sf_dir, "documents").select("doc_id", "source")
@@ -104,6 +119,16 @@ def cross(spark, sf_dir):
     return p.where(~F.col("a").eqNullSafe(F.col("b"))).select("i", "j")
 
 
+TRIMMED = "regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g')"
+
+
+@query("C10_two_sided_dedupe", f"""WITH RECURSIVE np AS MATERIALIZED (SELECT i, j FROM ({NEAR}) UNION SELECT a.doc_id, b.doc_id FROM (SELECT doc_id, {TRIMMED} AS t FROM documents) a JOIN (SELECT doc_id, {TRIMMED} AS t FROM documents) b ON a.t = b.t AND a.doc_id < b.doc_id),
+up AS MATERIALIZED (SELECT DISTINCT i // 2 AS i, j // 2 AS j FROM np WHERE i // 2 <> j // 2), {GREEDY.format(pairs='up')} SELECT DISTINCT doc_id // 2 AS unit FROM documents, z WHERE NOT list_contains(gone, doc_id // 2)""")
+def two_sided(spark, sf_dir):
+    units = docs(spark, sf_dir).select(F.floor(F.col("doc_id") / 2).alias("unit"), F.col("doc_id").alias("id"), F.regexp_replace(F.coalesce("text", F.lit("")), r"^\s+|\s+$", "").alias("text"))
+    return C.two_sided(units, shingle_sets(spark, sf_dir))
+
+
 @query("C11_orphan_mates", "SELECT conv_id, turn FROM conversations WHERE conv_id IN (SELECT conv_id FROM conversations GROUP BY conv_id HAVING count(*) >= 2)")
 def orphans(spark, sf_dir):
     rows = read(spark, sf_dir, "conversations").select("conv_id", "turn")
@@ -121,8 +146,8 @@ def split(spark, sf_dir):
 
 @query("C13_sequential_ids", "SELECT doc_id, source || '-' || lpad(CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) AS VARCHAR), 4, '0') AS name FROM documents")
 def sequential(spark, sf_dir):
-    r = F.row_number().over(W.partitionBy("source").orderBy("doc_id"))
-    return docs(spark, sf_dir).select("doc_id", F.format_string("%s-%04d", "source", r).alias("name"))
+    placed = numbered(read(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id", by=["source"])
+    return placed.select("doc_id", F.format_string("%s-%04d", "source", F.col("place") + 1).alias("name"))
 
 
 @query("C14_digest", f"SELECT sha256(string_agg(CAST(doc_id AS VARCHAR), chr(10) ORDER BY CAST(doc_id AS VARCHAR))) AS digest FROM ({SPLIT}) WHERE split = 'test'")
@@ -140,29 +165,47 @@ def strided(spark, sf_dir):
     return C.stride(read(spark, sf_dir, "benchmark").select("item_id"), "item_id", 15).select("item_id")
 
 
-@query("C19_mixture", f"SELECT a.doc_id, array_to_string(list_concat(list_slice({S.sentences('a.text')}, 1, 3), list_slice({S.sentences('b.text')}, 1, 2)), ' ') AS mixed FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents) a JOIN (SELECT doc_id, coalesce(text, '') AS text FROM documents) b ON b.doc_id = a.doc_id + 1")
-def mixture(spark, sf_dir):
-    s = docs(spark, sf_dir).select("doc_id", X.sentences(F.coalesce("text", F.lit(""))).alias("s"))
+AFTER_MARKS = f"[x FOR x IN [{S.trimmed('y')} FOR y IN string_split(regexp_replace({S.trimmed('t')}, '([.!?]){BS}s+', '{BS}1' || chr(1), 'g'), chr(1))] IF x <> '']"
+SHARES = "[0.3::DOUBLE, 0.5::DOUBLE, 0.7::DOUBLE]"
+PLANNED = f"""WITH k AS (SELECT doc_id, {AFTER_MARKS} AS s FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)), b AS (SELECT a.doc_id, a.s AS h, b.s AS m, {SHARES}[a.doc_id % 3 + 1] AS f FROM k a JOIN k b ON b.doc_id = a.doc_id + 1),
+c AS (SELECT *, list_max([t FOR t IN range(4, len(h) + len(m) + 1) IF CAST(round_even(f * t, 0) AS INT) <= len(m) AND t - CAST(round_even(f * t, 0) AS INT) <= len(h) AND CAST(round_even(f * t, 0) AS INT) >= 2 AND t - CAST(round_even(f * t, 0) AS INT) >= 2]) AS t FROM b), d AS (SELECT *, CAST(round_even(f * t, 0) AS INT) AS nm, CAST(t - CAST(round_even(f * t, 0) AS INT) AS INT) AS nh FROM c)"""
+
+
+def planned(spark, sf_dir):
+    s = kept(docs(spark, sf_dir).select("doc_id", "text"), s=X.sentences_after_marks(F.coalesce("text", F.lit("")))).select("doc_id", "s")
     other = s.select((F.col("doc_id") - 1).alias("doc_id"), F.col("s").alias("t"))
-    return s.join(other, "doc_id").select("doc_id", F.array_join(F.concat(F.slice("s", 1, 3), F.slice("t", 1, 2)), " ").alias("mixed"))
+    share = F.get(F.array(F.lit(0.3), F.lit(0.5), F.lit(0.7)), (F.col("doc_id") % 3).cast("int"))
+    return kept(s.join(other, "doc_id"), plan=C.mixture_plan(F.size("s"), F.size("t"), share))
+
+
+@query("C18_mixture_plan", f"{PLANNED} SELECT doc_id, nh AS h, nm AS m FROM d")
+def mixture_plan(spark, sf_dir):
+    return planned(spark, sf_dir).select("doc_id", "plan.h", "plan.m")
+
+
+@query("C19_mixture", f"{PLANNED} SELECT doc_id, CASE WHEN t IS NOT NULL THEN array_to_string(list_concat(list_slice(m, 1, nm), list_slice(h, 1, nh)), ' ') END AS mixed FROM d")
+def mixture(spark, sf_dir):
+    return planned(spark, sf_dir).select("doc_id", C.mixture(F.col("s"), F.col("t"), F.col("plan")).alias("mixed"))
 
 
-@query("C20_license_coalesce", "SELECT doc_id, coalesce(nullif(lang, 'en'), nullif(source, 'src1'), 'none') AS lic FROM documents")
+@query("C20_license_coalesce", "SELECT doc_id, trim(coalesce(nullif(a, ''), nullif(b, ''), nullif(c, ''), '')) AS lic FROM (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN ' cc-by ' END AS a, CASE WHEN doc_id % 5 > 1 THEN CASE WHEN doc_id % 5 = 2 THEN '' ELSE 'open ' || lang END END AS b, CASE WHEN doc_id % 7 > 0 THEN source END AS c FROM documents)")
 def coalesced(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", F.coalesce(F.nullif("lang", F.lit("en")), F.nullif("source", F.lit("src1")), F.lit("none")).alias("lic"))
+    i = F.col("doc_id")
+    a, b, c = F.when(i % 3 == 0, "").when(i % 3 == 1, " cc-by "), F.when(i % 5 == 2, "").when(i % 5 > 2, F.concat(F.lit("open "), "lang")), F.when(i % 7 > 0, F.col("source"))
+    return docs(spark, sf_dir).select("doc_id", C.first_license(a, b, c).alias("lic"))
 
 
 # Evaluation: quality is the positive class and a deterministic score stands for a detector.
-SCORED = "SELECT doc_id, lang, quality = 1 AS pos, n_chars % 101 + n_chars % 7 AS score, CASE WHEN n_chars < 300 THEN 'short' WHEN n_chars < 1500 THEN 'middle' ELSE 'long' END AS bucket FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL"
+SCORED = "SELECT doc_id, lang, quality = 1 AS pos, n_chars % 101 + n_chars % 7 AS score, source AS genre, CASE WHEN nw < 50 THEN 'short' WHEN nw < 120 THEN 'middle' ELSE 'long' END AS bucket FROM (SELECT *, len(" + SPACE_WORDS + ") AS nw FROM documents) JOIN labels USING (doc_id) WHERE quality IS NOT NULL"
 RATES = "CAST(count(*) FILTER (pos AND hit) AS BIGINT) AS tp, count(*) FILTER (NOT pos AND hit) AS fp, count(*) FILTER (NOT pos AND NOT hit) AS tn, count(*) FILTER (pos AND NOT hit) AS fn"
 DERIVED = "round((tp + tn) / nullif(tp + fp + tn + fn, 0), 6) AS accuracy, round(tp / nullif(tp + fp, 0), 6) AS precision, round(tp / nullif(tp + fn, 0), 6) AS recall, round(fp / nullif(fp + tn, 0), 6) AS fpr, round(fn / nullif(tp + fn, 0), 6) AS fnr, round(2 * tp / nullif(2 * tp + fp + fn, 0), 6) AS f1"
 
 
 def scored(spark, sf_dir):
-    d = read(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
+    d = docs(spark, sf_dir).select("doc_id", "lang", "n_chars", F.col("source").alias("genre"), n_words().alias("nw"))
     lab = read(spark, sf_dir, "labels").where("quality IS NOT NULL").select("doc_id", (F.col("quality") == 1).alias("pos"))
-    bucket = F.when(F.col("n_chars") < 300, "short").when(F.col("n_chars") < 1500, "middle").otherwise("long")
-    return d.join(lab, "doc_id").select("doc_id", "lang", "pos", (F.col("n_chars") % 101 + F.col("n_chars") % 7).alias("score"), bucket.alias("bucket"))
+    bucket = F.when(F.col("nw") < 50, "short").when(F.col("nw") < 120, "middle").otherwise("long")
+    return d.join(lab, "doc_id").select("doc_id", "lang", "genre", "n_chars", "pos", (F.col("n_chars") % 101 + F.col("n_chars") % 7).alias("score"), bucket.alias("bucket"))
 
 
 def rounded(df):
@@ -174,12 +217,15 @@ def confusion(spark, sf_dir):
     return rounded(M.confusion(scored(spark, sf_dir), F.col("pos"), F.col("score") >= 50))
 
 
-@query("X05_slices", f"SELECT lang, bucket, *, {DERIVED} FROM (SELECT lang, bucket, {RATES} FROM (SELECT *, score >= 50 AS hit FROM ({SCORED})) GROUP BY GROUPING SETS ((), (lang), (bucket), (lang, bucket)))".replace("lang, bucket, *, round", "*, round"))
+SLICES = "GROUPING SETS ((), (lang), (genre), (bucket))"
+
+
+@query("X05_slices", f"SELECT *, {DERIVED} FROM (SELECT lang, genre, bucket, {RATES} FROM (SELECT *, score >= 50 AS hit FROM ({SCORED})) GROUP BY {SLICES})")
 def slices(spark, sf_dir):
     d = scored(spark, sf_dir).withColumn("hit", F.col("score") >= 50)
     n = F.count_if
     pos, hit = F.col("pos"), F.col("hit")
-    out = d.groupingSets([[], ["lang"], ["bucket"], ["lang", "bucket"]], "lang", "bucket").agg(n(pos & hit).alias("tp"), n(~pos & hit).alias("fp"), n(~pos & ~hit).alias("tn"), n(pos & ~hit).alias("fn"))
+    out = d.groupingSets([[], ["lang"], ["genre"], ["bucket"]], "lang", "genre", "bucket").agg(n(pos & hit).alias("tp"), n(~pos & hit).alias("fp"), n(~pos & ~hit).alias("tn"), n(pos & ~hit).alias("fn"))
     t, a, b, c = F.col("tp"), F.col("fp"), F.col("tn"), F.col("fn")
     d_ = F.try_divide
     return rounded(out.withColumns({"accuracy": d_(t + b, t + a + b + c), "precision": d_(t, t + a), "recall": d_(t, t + c), "fpr": d_(a, a + b), "fnr": d_(c, t + c), "f1": d_(2 * t, 2 * t + a + c)}))
@@ -190,12 +236,10 @@ def auc(spark, sf_dir):
     return rounded(M.auc(scored(spark, sf_dir), F.col("pos"), "score"))
 
 
-@query("X04_X06_baseline_quantiles", f"WITH x AS ({SCORED}) SELECT round(greatest(avg(CAST(pos AS INT)), 1 - avg(CAST(pos AS INT))), 6) AS majority, median(score) AS med, list_sort(list(score))[count(*) // 2 + 1] AS upper_median, list_sort(list(score))[CAST(floor(0.9 * count(*)) AS INT) + 1] AS q90 FROM x")
+@query("X04_X06_baseline_quantiles", f"WITH x AS ({SCORED}) SELECT round(1 - avg(CAST(pos AS INT)), 6) AS majority, median(score) AS med, list_sort(list(score))[count(*) // 2 + 1] AS upper_median, list_sort(list(score))[CAST(floor(0.9 * count(*)) AS INT) + 1] AS q90 FROM x")
 def baseline(spark, sf_dir):
     per = scored(spark, sf_dir)
-    share = F.avg(F.col("pos").cast("int"))
-    out = per.agg(F.round(F.greatest(share, 1 - share), 6).alias("majority"), F.percentile("score", 0.5).alias("med"), F.sort_array(F.collect_list("score")).alias("s"))
-    return out.select("majority", "med", F.get("s", F.floor(F.size("s") / 2).cast("int")).alias("upper_median"), F.get("s", F.floor(F.size("s") * 0.9).cast("int")).alias("q90"))
+    return per.agg(F.round(1 - F.avg(F.col("pos").cast("int")), 6).alias("majority")).crossJoin(M.quantiles(per, "score"))
 
 
 @query("X07_stratified_first", f"SELECT doc_id, lang, pos FROM (SELECT *, row_number() OVER (PARTITION BY lang, pos ORDER BY doc_id) AS r FROM ({SCORED})) WHERE r <= 5")
@@ -217,11 +261,60 @@ def dose(spark, sf_dir):
     return per.withColumn("rising", F.coalesce(F.col("m") > F.lag("m").over(W.orderBy("dose")), F.lit(True)))
 
 
-@query("X13_threshold_sweep", f"WITH x AS ({SCORED}), g AS (SELECT 20 + 5 * a AS lo, 60 + 5 * b AS hi FROM range(8) s(a), range(8) t(b)) SELECT lo, hi, count(*) FILTER (pos AND score >= lo) AS strong, count(*) FILTER (NOT pos AND score >= hi) AS wrong FROM g, x GROUP BY ALL")
+#: Lists of candidates: the twelve vectors nearest to each of the query set, in the order of their ids; relevance by label.
+NEAREST = """ca AS (SELECT q, ord, sem, relevance, relevance = 0 AND ord % 2 = 0 AS hard FROM (SELECT a.vec_id AS q, b.vec_id AS ord, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS sem, CASE WHEN a.label = b.label THEN 2 WHEN abs(a.label - b.label) = 1 THEN 1 ELSE 0 END AS relevance FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0 AND b.vec_id <> a.vec_id)
+ QUALIFY row_number() OVER (PARTITION BY q ORDER BY sem DESC, ord) <= 12)"""
+PER_QUERY = """SELECT {keys}, coalesce(count(*) FILTER (place <= 3 AND relevance >= 1) / nullif(count(*) FILTER (place <= 3), 0), 0) AS p3, coalesce(count(*) FILTER (place <= 10 AND relevance >= 1) / nullif(count(*) FILTER (place <= 10), 0), 0) AS p10, coalesce(count(*) FILTER (place <= 10 AND relevance >= 1) / nullif(count(*) FILTER (relevance >= 1), 0), 1) AS recall,
+ count(*) FILTER (place <= 3 AND relevance >= 1) / 3 AS fixed_p3, CASE WHEN count(*) >= 10 THEN count(*) FILTER (place <= 10 AND relevance >= 1) / 10 ELSE count(*) FILTER (relevance >= 1) / count(*) END AS fixed_p10, count(*) FILTER (place <= 10 AND relevance = 0) AS off_domain, count(*) FILTER (place <= 10 AND hard) AS hard10,
+ coalesce(count(*) FILTER (place <= 10 AND relevance >= 1 AND NOT hard) / nullif(count(*) FILTER (place <= 10 AND NOT hard), 0), 0) AS p10_without_hard FROM {of} GROUP BY {keys}"""
+
+
+def candidate_lists(spark, sf_dir):
+    e = read(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    asked = written(e.where("vec_id % 50 = 0").toDF("q", "x", "ql"), "asked")
+    met = against(e, asked).where("q <> vec_id").select("q", F.col("vec_id").alias("ord"), F.round(R.cosine(F.col("x"), F.col("embedding")), 6).alias("sem"), F.when(F.col("ql") == F.col("label"), 2).when(F.abs(F.col("ql") - F.col("label")) == 1, 1).otherwise(0).alias("relevance"))
+    # The planner keeps the first twelve of each task before it deals rows out by query.
+    near = met.withColumn("r", F.row_number().over(W.partitionBy("q").orderBy(F.desc("sem"), "ord"))).where("r <= 12").drop("r")
+    return near.withColumn("hard", (F.col("relevance") == 0) & (F.col("ord") % 2 == 0))
+
+
+def in_order(lists):
+    return lists.withColumn("place", F.row_number().over(W.partitionBy("q").orderBy("ord")))
+
+
+IN_ORDER = f"{NEAREST}, pl AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY ord) AS place FROM ca)"
+SIX = ", ".join(f"round({c}, 6) AS {c}" for c in ("p3", "p10", "recall", "fixed_p3", "fixed_p10"))
+
+
+@query("X10_X11_rank_quality", f"WITH {IN_ORDER}, pq AS ({PER_QUERY.format(keys='q', of='pl')}) SELECT q, {SIX}, off_domain, hard10, round(p10_without_hard, 6) AS p10_without_hard FROM pq")
+def rank_quality(spark, sf_dir):
+    return rounded(M.retrieval_quality(in_order(candidate_lists(spark, sf_dir))))
+
+
+@query("X10_macro_average", f"WITH {IN_ORDER}, pq AS ({PER_QUERY.format(keys='q', of='pl')}) SELECT count(*) AS queries, {', '.join(f'round(avg({c}), 6) AS {c}' for c in ('p3', 'p10', 'recall', 'fixed_p3', 'fixed_p10', 'p10_without_hard'))}, CAST(sum(off_domain) AS BIGINT) AS off_domain, CAST(sum(hard10) AS BIGINT) AS hard10 FROM pq")
+def macro_average(spark, sf_dir):
+    return rounded(M.macro(M.retrieval_quality(in_order(candidate_lists(spark, sf_dir)))))
+
+
+TIER = "CASE WHEN sem >= {h} THEN 0 WHEN sem >= {g} THEN 1 ELSE 2 END"
+ORDERED = "ORDER BY {t}, CASE WHEN {t} = 0 THEN -sem END, ord"
+
+
+@query("X12_rerank", f"WITH {NEAREST} SELECT q, ord, CAST(row_number() OVER (PARTITION BY q {ORDERED.format(t=TIER.format(g='0.30::DOUBLE', h='0.36::DOUBLE'))}) AS INT) AS place FROM ca")
+def rerank(spark, sf_dir):
+    order = M.rerank(F.lit(0.30), F.lit(0.36))
+    return candidate_lists(spark, sf_dir).select("q", "ord", F.row_number().over(W.partitionBy("q").orderBy(*order)).alias("place"))
+
+
+GATES, HIGHS = range(55, 71), range(68, 79)
+#: Similarities of the made vectors lie lower than a model's; they are scaled into the grid.
+SCALED = "sem + 0.32::DOUBLE"
+
+
+@query("X13_threshold_sweep", f"WITH {NEAREST}, cs AS (SELECT * REPLACE (round({SCALED}, 6) AS sem) FROM ca), gr AS (SELECT CAST(x AS INT) AS g, CAST(y AS INT) AS h FROM range({GATES.start}, {GATES.stop}) a(x), range({HIGHS.start}, {HIGHS.stop}) b(y)), pl AS (SELECT *, row_number() OVER (PARTITION BY g, h, q {ORDERED.format(t=TIER.format(g='g / 100', h='h / 100'))}) AS place FROM cs, gr), pq AS ({PER_QUERY.format(keys='g, h, q', of='pl')}) SELECT g, h, round(avg(fixed_p3), 6) AS p3, round(avg(fixed_p10), 6) AS p10, round(avg(recall), 6) AS recall FROM pq GROUP BY g, h ORDER BY round(avg(fixed_p10), 9) DESC, round(avg(fixed_p3), 9) DESC, g, h LIMIT 5")
 def sweep(spark, sf_dir):
-    per = scored(spark, sf_dir).groupBy("score").agg(F.count_if("pos").alias("p"), F.count_if(~F.col("pos")).alias("n"))  # as many rows as scores
-    grid = spark.range(8).select((F.col("id") * 5 + 20).alias("lo")).crossJoin(spark.range(8).select((F.col("id") * 5 + 60).alias("hi")))
-    return F.broadcast(grid).crossJoin(per).groupBy("lo", "hi").agg(F.sum(F.when(F.col("score") >= F.col("lo"), F.col("p")).otherwise(0)).alias("strong"), F.sum(F.when(F.col("score") >= F.col("hi"), F.col("n")).otherwise(0)).alias("wrong"))
+    lists = candidate_lists(spark, sf_dir).withColumn("sem", F.round(F.col("sem") + 0.32, 6))
+    return rounded(M.sweep(written(lists, "lists"), GATES, HIGHS))
 
 
 @query("X14_X15_distribution", f"SELECT pos, count(*) AS total, count(*) FILTER (score >= 45) AS review, count(*) FILTER (score < 45) AS safe, min(score) AS lo, max(score) AS hi, round(avg(score), 6) AS mean FROM ({SCORED}) GROUP BY pos")
@@ -233,7 +326,8 @@ def distribution(spark, sf_dir):
 # Agreement of three reviewers, by rule from the labels.
 REVIEWS = "SELECT doc_id AS item, r AS reviewer, s AS seq, CASE (doc_id * 7 + r * (doc_id % 3) + s) % 4 WHEN 0 THEN 'AI' WHEN 1 THEN 'Human' WHEN 2 THEN 'Uncertain' ELSE '' END AS verdict FROM labels, range(3) a(r), range(2) b(s) WHERE doc_id % 5 <> r"
 LAST = f"SELECT item, reviewer, arg_max(verdict, seq) AS verdict FROM ({REVIEWS}) WHERE verdict <> '' GROUP BY ALL"
-STATUS = f"SELECT item, count(*) AS n, count(DISTINCT verdict) AS kinds, min(verdict) AS one, CASE WHEN count(*) < 3 THEN 'partial' WHEN count(DISTINCT verdict) = 1 THEN 'agree' ELSE 'differ' END AS status FROM ({LAST}) GROUP BY item"
+STATUS = f"""SELECT l.doc_id AS item, count(verdict) AS n, count(DISTINCT verdict) AS kinds, min(verdict) AS one, CASE WHEN count(verdict) = 0 THEN 'none' WHEN count(verdict) < (SELECT count(DISTINCT reviewer) FROM ({REVIEWS})) THEN 'partial' WHEN count(DISTINCT verdict) = 1 THEN 'agree' ELSE 'differ' END AS status,
+ list(reviewer || ':' || verdict ORDER BY reviewer) FILTER (verdict IS NOT NULL) AS said FROM (SELECT DISTINCT doc_id FROM labels) l LEFT JOIN ({LAST}) v ON v.item = l.doc_id GROUP BY l.doc_id"""
 
 
 def reviews(spark, sf_dir):
@@ -242,9 +336,19 @@ def reviews(spark, sf_dir):
     return base.where("doc_id % 5 <> r").select(F.col("doc_id").alias("item"), F.col("r").alias("reviewer"), F.col("s").alias("seq"), F.when(v == 0, "AI").when(v == 1, "Human").when(v == 2, "Uncertain").otherwise("").alias("verdict"))
 
 
-@query("A01_A02_agreement", STATUS)
+def agreed(spark, sf_dir):
+    return M.agreement(reviews(spark, sf_dir), read(spark, sf_dir, "labels").select(F.col("doc_id").alias("item")))
+
+
+@query("A01_A02_agreement", f"SELECT item, n, kinds, one, status FROM ({STATUS})")
 def agree(spark, sf_dir):
-    return M.agreement(reviews(spark, sf_dir), 3)
+    return agreed(spark, sf_dir).select("item", "n", "kinds", "one", "status")
+
+
+@query("A04_disagreements", f"SELECT item, said FROM ({STATUS}) WHERE status = 'differ'")
+def disagreements(spark, sf_dir):
+    entries = F.transform(F.array_sort(F.map_entries("verdicts")), lambda e: F.concat(e["key"], F.lit(":"), e["value"]))
+    return agreed(spark, sf_dir).where("status = 'differ'").select("item", entries.alias("said"))
 
 
 @query("A03_agreement_rate", f"SELECT round(100 * count(*) FILTER (status = 'agree') / nullif(count(*) FILTER (status IN ('agree', 'differ')), 0), 1) AS rate, count(*) FILTER (status = 'partial') AS partial FROM ({STATUS})")
@@ -259,17 +363,43 @@ def adjudicate(spark, sf_dir):
     return agree(spark, sf_dir).select("item", F.when(F.col("kinds") == 1, F.col("one")).when(even, "Human").alias("final"), F.when(F.col("n") == 1, "tunggal").when(F.col("kinds") == 1, "sepakat").when(even, "wasit").otherwise("open").alias("basis"))
 
 
-@query("A06_review_queue", f"SELECT doc_id, row_number() OVER (ORDER BY doc_id % 10 <> 3, doc_id) AS place FROM labels WHERE doc_id NOT IN (SELECT item FROM ({STATUS}) WHERE status = 'agree')")
+PRIORITY = [17, 4, 400, 8, 23]
+
+
+@query("A06_review_queue", f"SELECT doc_id, CAST(row_number() OVER (ORDER BY coalesce(list_position({PRIORITY}, doc_id), 1000000), doc_id) AS INT) AS place FROM (SELECT DISTINCT doc_id FROM labels) WHERE doc_id NOT IN (SELECT item FROM ({STATUS}) WHERE status = 'agree')")
 def queue(spark, sf_dir):
     done = agree(spark, sf_dir).where("status = 'agree'").select(F.col("item").alias("doc_id"))
-    left = read(spark, sf_dir, "labels").select("doc_id").join(done, "doc_id", "left_anti")
-    return left.select("doc_id", F.row_number().over(W.orderBy(F.col("doc_id") % 10 != 3, "doc_id")).alias("place"))
+    return M.review_queue(read(spark, sf_dir, "labels").select("doc_id").distinct(), done, PRIORITY, "doc_id")
+
+
+#: Labelled lists by rule, from ten neighbours of each document: some have too few, empty titles, odd addresses, labels out of range.
+_LABELLED = """SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 'TEMPLATE' ELSE 'ok' END AS note, [{'source': CASE WHEN (doc_id + i) % 13 = 0 THEN '' ELSE source END, 'title': CASE WHEN (doc_id + i) % 17 = 0 THEN NULL ELSE 'T' || i END, 'url': CASE (doc_id + i) % 7 WHEN 0 THEN 'ftp://x' WHEN 1 THEN 'HTTP://x' ELSE 'https://x' END, 'relevance': CASE WHEN (doc_id + i) % 19 = 0 THEN 3 ELSE (doc_id + i) % 3 END, 'hard_negative': (doc_id + i) % 4 = 0} FOR i IN range(0, CASE WHEN doc_id % 9 = 0 THEN 8 ELSE 10 END)] AS cs FROM documents"""
+
 
+@query("A07_candidate_faults", f"""WITH l AS ({_LABELLED}), h AS (SELECT *, len([c FOR c IN cs IF c.hard_negative AND c.relevance = 0]) AS hn FROM l)
+SELECT doc_id, list_concat(list_concat(CASE WHEN len(cs) <> 10 THEN ['harus tepat 10 kandidat (sekarang ' || len(cs) || ').'] ELSE [] END, flatten([[y FOR y IN [CASE WHEN coalesce(cs[i].source, '') = '' THEN 'slot ' || i || ': source kosong.' END, CASE WHEN coalesce(cs[i].title, '') = '' THEN 'slot ' || i || ': title kosong.' END,
+ CASE WHEN NOT regexp_matches(coalesce(cs[i].url, ''), '(?i)^https?://') THEN 'slot ' || i || ': url harus diawali http(s).' END, CASE WHEN cs[i].relevance NOT IN (0, 1, 2) THEN 'slot ' || i || ': relevance harus 0/1/2.' END] IF y IS NOT NULL] FOR i IN range(1, len(cs) + 1)])), CASE WHEN hn < 2 THEN ['hard_negative ber-relevance 0 kurang (ada ' || hn || ', wajib ≥2).'] ELSE [] END) AS faults FROM h""")
+def candidate_faults(spark, sf_dir):
+    return labelled(spark, sf_dir).select("doc_id", M.candidate_faults(F.col("cs")).alias("faults"))
 
-@query("A07_A08_candidate_rows", "SELECT doc_id, list_filter([CASE WHEN quality IS NULL OR quality NOT IN (0, 1) THEN 'quality' END, CASE WHEN toxic IS NULL OR toxic <> 0 THEN 'toxic' END, CASE WHEN doc_id % 9 = 0 THEN 'template' END], lambda x: x IS NOT NULL) AS faults FROM labels")
-def candidates(spark, sf_dir):
-    bad = F.array(F.when(~F.coalesce(F.col("quality").isin(0, 1), F.lit(False)), "quality"), F.when(F.coalesce(F.col("toxic"), F.lit(1)) != 0, "toxic"), F.when(F.col("doc_id") % 9 == 0, "template"))
-    return read(spark, sf_dir, "labels").select("doc_id", F.array_compact(bad).alias("faults"))
+
+@query("A08_template_rows", "SELECT doc_id, doc_id % 11 = 0 OR regexp_matches(coalesce(text, ''), '(?i)template') AS template FROM documents")
+def templates(spark, sf_dir):
+    d = read(spark, sf_dir, "documents")
+    return d.select("doc_id", M.is_template(F.when(F.col("doc_id") % 11 == 0, "TEMPLATE").otherwise("ok"), F.col("text")).alias("template"))
+
+
+def labelled(spark, sf_dir):
+    i = F.col("doc_id")
+
+    def one(k):
+        t = i + k
+        return F.struct(
+            F.when(t % 13 == 0, "").otherwise(F.col("source")).alias("source"), F.when(t % 17 > 0, F.concat(F.lit("T"), k.cast("string"))).alias("title"), F.when(t % 7 == 0, "ftp://x").when(t % 7 == 1, "HTTP://x").otherwise("https://x").alias("url"),
+            F.when(t % 19 == 0, 3).otherwise(t % 3).cast("int").alias("relevance"), (t % 4 == 0).alias("hard_negative"),
+        )
+
+    return read(spark, sf_dir, "documents").select("doc_id", F.transform(F.sequence(F.lit(0), F.when(i % 9 == 0, 7).otherwise(9)), one).alias("cs"))
 
 
 # Validation: near-duplicate documents as original and revision, and the fixtures against altered ones.
@@ -287,27 +417,60 @@ def _re(terms: list[str], c: str) -> str:
     return f"len(regexp_extract_all(lower({c}), {q(BS + 'b(?:' + '|'.join(terms) + ')' + BS + 'b')}))"
 
 
-VALIDATED = f"""WITH {PAIRED}, t AS (SELECT *, {S.words('o')} AS ow, {S.words('r')} AS rw, regexp_extract_all(o, {q(S.NUMBER)}) AS onum, regexp_extract_all(r, {q(S.NUMBER)}) AS rnum FROM pairs),
+#: K17 by tokens: which are never in lower case and stand with a capital inside a sentence; runs of them in a sentence are cut into twos.
+def term_sql(text: str, name: str) -> str:
+    stop = S.array(L.CAP_FUNCTION_WORDS)
+    return f"""{name}c AS (SELECT id, unnest(string_split_regex({text}, '[.!?{BS}n]+')) AS c, generate_subscripts(string_split_regex({text}, '[.!?{BS}n]+'), 1) AS ci FROM pairs), {name}t AS (SELECT id, ci, unnest(regexp_extract_all(c, {q(V.TERM_TOKEN)})) AS t, generate_subscripts(regexp_extract_all(c, {q(V.TERM_TOKEN)}), 1) AS ti FROM {name}c),
+{name}l AS (SELECT *, lower(t) AS low, regexp_matches(t, '^{BS}p{{Lu}}') AS cap FROM {name}t), {name}w AS (SELECT id, low, bool_or(NOT cap) AS small, bool_or(cap AND ti > 1) AS inside FROM {name}l GROUP BY ALL), {name}g AS (SELECT l.*, NOT small AND inside AND length(low) >= 3 AND NOT list_contains({stop}, low) AS good FROM {name}l l JOIN {name}w USING (id, low)),
+{name}r AS (SELECT *, ti - row_number() OVER (PARTITION BY id, ci ORDER BY ti) AS run FROM {name}g WHERE good), {name}n AS (SELECT *, row_number() OVER (PARTITION BY id, ci, run ORDER BY ti) - 1 AS k FROM {name}r), {name}p AS (SELECT id, string_agg(low, ' ' ORDER BY ti) AS phrase FROM {name}n GROUP BY id, ci, run, k // 2),
+{name} AS (SELECT id, list(DISTINCT phrase) AS ts FROM {name}p GROUP BY id)"""
+
+
+SCORES_OF = LAYERS.replace(DOCUMENTS_SQL, "d AS (SELECT row_number() OVER () AS doc_id, t AS text FROM (SELECT o AS t FROM pairs UNION SELECT r FROM pairs))")
+VALIDATED = f"""WITH {PAIRED}, {term_sql('o', 'ot')}, {term_sql('r', 'rt')}, sr AS (FROM ({SCORES_OF} SELECT text, score FROM f)), t AS (SELECT pairs.*, {S.words('o')} AS ow, {S.words('r')} AS rw, regexp_extract_all(o, {q(S.NUMBER)}) AS onum, regexp_extract_all(r, {q(S.NUMBER)}) AS rnum, coalesce(ot.ts, []) AS oterm, coalesce(rt.ts, []) AS rterm, a.score AS osc, b.score AS rsc FROM pairs LEFT JOIN ot USING (id) LEFT JOIN rt USING (id) JOIN sr a ON a.text = o JOIN sr b ON b.text = r),
 u AS (SELECT *, len(ow) > 0 AND len(rw) > 0 AND len(rw) < 0.45 * len(ow) AS short, CASE WHEN len(list_distinct(list_concat(ow, rw))) = 0 THEN 1 ELSE len(list_intersect(list_distinct(ow), list_distinct(rw))) / len(list_distinct(list_concat(ow, rw))) END AS jac, [x FOR x IN rw IF NOT list_contains(ow, x)] AS fresh FROM t)
 SELECT id, short AS summary_like, round(jac, 6) AS jaccard, len([x FOR x IN onum IF len([y FOR y IN onum IF y = x]) > len([y FOR y IN rnum IF y = x])]) > 0 AS fail_numbers,
  len([x FOR x IN regexp_extract_all(o, {q(V.CITED)}) IF NOT contains(lower(r), lower(x))]) > 0 AS fail_citations, len([x FOR x IN regexp_extract_all(o, {q(V.LINKED)}) IF NOT contains(r, x)]) > 0 AS fail_doi_url,
- len([x FOR x IN regexp_extract_all(o, {q(V.QUOTED)}) IF NOT contains(r, x)]) > 0 AS fail_protected, jac < CASE WHEN short THEN 0.12 ELSE 0.45 END AS fail_meaning,
+ len([x FOR x IN regexp_extract_all(o, {q(V.QUOTED)}) IF NOT contains(r, x)]) > 0 AS fail_protected, len(oterm) >= 2 AND len(list_intersect(oterm, rterm)) < CASE WHEN short THEN 0.3::DOUBLE ELSE 0.7::DOUBLE END * len(oterm) AS fail_terminology, jac < CASE WHEN short THEN 0.12 ELSE 0.45 END AS fail_meaning,
  CASE WHEN short THEN {_re(V.NEGATION, 'r')} > {_re(V.NEGATION, 'o')} ELSE {_re(V.NEGATION, 'r')} <> {_re(V.NEGATION, 'o')} END AS fail_causality, {_re(V.HEDGES, 'o')} > 0 AND {_re(V.HEDGES, 'r')} = 0 AND NOT short AS fail_uncertainty,
- CASE WHEN len(rw) = 0 THEN true WHEN short THEN len([x FOR x IN fresh IF length(x) >= 4 AND NOT list_contains({S.array(V.LINK_WORDS)}, x)]) > 0.5 * len(rw) ELSE len(fresh) > 0.4 * len(rw) END AS fail_relevance FROM u"""
+ CASE WHEN len(rw) = 0 THEN true WHEN short THEN len([x FOR x IN fresh IF length(x) >= 4 AND NOT list_contains({S.array(V.LINK_WORDS)}, x)]) > 0.5 * len(rw) ELSE len(fresh) > 0.4 * len(rw) END AS fail_relevance, rsc > osc + 10 AS fail_regression FROM u"""
+
+
+@query("K17_terms", f"WITH {PAIRED}, {term_sql('o', 'ot')} SELECT id, list_sort(coalesce(ts, [])) AS terms FROM pairs LEFT JOIN ot USING (id)")
+def terms(spark, sf_dir):
+    return paired(spark, sf_dir).select("id", F.array_sort(V.terms(F.col("o"))).alias("terms"))
+
+
+def with_scores(spark, sf_dir):
+    p = written(paired(spark, sf_dir), "pairs")
+    score = written(rescored(p.select("o").unionAll(p.select("r"))), "scores")
+    return p.join(score.toDF("o", "osc"), "o").join(score.toDF("r", "rsc"), "r")
 
 
 @query("V01_V11_validate", VALIDATED)
 def validated(spark, sf_dir):
-    out = V.validate(paired(spark, sf_dir), "o", "r", checks=V.CHECKS[:-1])
-    return out.select("id", "summary_like", F.round("jaccard", 6).alias("jaccard"), *(f"fail_{c}" for c in V.CHECKS[:-1]))
+    out = V.validate(with_scores(spark, sf_dir), "o", "r", "osc", "rsc")
+    return out.select("id", "summary_like", F.round("jaccard", 6).alias("jaccard"), *(f"fail_{c}" for c in V.CHECKS))
 
 
-@query("V12_check_subset", f"SELECT id, NOT (fail_numbers OR fail_citations OR fail_doi_url OR fail_protected OR fail_meaning) AS pass FROM ({VALIDATED})")
+@query("V12_check_subset", f"SELECT id, NOT (fail_numbers OR fail_citations OR fail_doi_url OR fail_protected OR fail_terminology) AS rewrite_pass, NOT (fail_numbers OR fail_citations OR fail_doi_url OR fail_protected OR fail_terminology OR fail_meaning OR fail_causality OR fail_uncertainty OR fail_relevance) AS summary_pass FROM ({VALIDATED})")
 def subset(spark, sf_dir):
-    return V.validate(paired(spark, sf_dir), "o", "r", checks=V.REWRITE).select("id", "pass")
+    p = V.validate(paired(spark, sf_dir), "o", "r", checks=V.SUMMARY)
+    none = lambda checks: F.forall(F.array(*(F.col(f"fail_{c}") for c in checks)), lambda x: ~x)
+    return p.select("id", none(V.REWRITE).alias("rewrite_pass"), none(V.SUMMARY).alias("summary_pass"))
+
+
+FLAT = f"' ' || trim(regexp_replace({{}}, '{BS}s+', ' ', 'g')) || ' '"
+SOME = f"[x FOR x IN {S.sentences('r')} IF trim(x) <> ''][1:12]"
+
+
+@query("V14_support", f"WITH {PAIRED}, s AS (SELECT id, o, {SOME} AS ss FROM pairs), k AS (SELECT id, ss, [x FOR x IN ss IF contains({FLAT.format('o')}, {FLAT.format('x')})] AS kept FROM s) SELECT id, kept, CASE WHEN len(kept) < len(ss) THEN [{q(L.SHORTENED)}] ELSE []::VARCHAR[] END AS warnings FROM k")
+def support(spark, sf_dir):
+    whole, warnings = V.supported(X.sentences(F.col("r")), F.col("o"))
+    return paired(spark, sf_dir).select("id", whole.alias("kept"), warnings.alias("warnings"))
 
 
-@query("V13_V14_verbatim", f"WITH {PAIRED} SELECT id, len([x FOR x IN {S.sentences('r')} IF contains(trim(regexp_replace(o, '{BS}s+', ' ', 'g')), x)]) AS supported, len([x FOR x IN {S.sentences('r')} IF NOT contains(trim(regexp_replace(o, '{BS}s+', ' ', 'g')), x)]) = 0 AND len(list_distinct([lower(x) FOR x IN {S.sentences('r')}])) = len({S.sentences('r')}) AS verbatim FROM pairs")
+@query("V13_verbatim", f"WITH {PAIRED} SELECT id, len([x FOR x IN {S.sentences('r')} IF contains(trim(regexp_replace(o, '{BS}s+', ' ', 'g')), x)]) AS supported, len([x FOR x IN {S.sentences('r')} IF NOT contains(trim(regexp_replace(o, '{BS}s+', ' ', 'g')), x)]) = 0 AND len(list_distinct([lower(x) FOR x IN {S.sentences('r')}])) = len({S.sentences('r')}) AS verbatim FROM pairs")
 def verbatim(spark, sf_dir):
     p = paired(spark, sf_dir).withColumn("s", X.sentences(F.col("r"))).withColumn("t", F.trim(F.regexp_replace("o", r"\s+", " ")))
     return p.select("id", F.size(F.filter("s", lambda x: F.contains(F.col("t"), x))).cast("bigint").alias("supported"), V.verbatim(F.col("s"), F.col("t")).alias("verbatim"))

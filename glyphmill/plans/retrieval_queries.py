@@ -12,7 +12,7 @@ from glyphmill.operators import metrics as M
 from glyphmill.operators import retrieval as R
 from glyphmill.plans import detector_sql as S
 from glyphmill.plans.fixtures import DOCUMENTS_SQL, documents
-from glyphmill.sources.tables import read
+from glyphmill.sources.tables import against, read
 from glyphmill.streaming.scoring import event_windows
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -31,51 +31,14 @@ def query(name, sql=None):
     return keep
 
 
-PROFILE = f"""WITH {TERMS}, m AS (SELECT doc_id, max(pos) + 1 AS n FROM z GROUP BY doc_id), p AS (SELECT doc_id, term, count(*) AS tf, count(DISTINCT pos) AS df FROM z GROUP BY ALL),
-i AS (SELECT p.*, n, ln((n + 1) / (df + 0.5)) / ln(n + 1) AS idf FROM p JOIN m USING (doc_id)),
-s AS (SELECT *, tf * (1 + 0.5 * CASE WHEN max(idf) OVER (PARTITION BY doc_id) > 0 THEN idf / max(idf) OVER (PARTITION BY doc_id) ELSE 0 END) AS score, tf >= CASE WHEN n >= 6 THEN 2 ELSE 1 END AND NOT regexp_matches(term, '^[0-9]+$') AS fits FROM i),
-r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY fits DESC, round(score, 9) DESC, term) AS rank FROM s),
-t AS (SELECT *, fits AND rank <= 6 AS topic, sum(CAST(fits AND rank <= 6 AND length(term) >= 6 AS INT)) OVER (PARTITION BY doc_id) AS longs FROM r),
-u AS (SELECT *, topic AND (longs < 2 OR length(term) >= 6) AS pool FROM t),
-a AS (SELECT *, pool AND sum(CAST(pool AS INT)) OVER (PARTITION BY doc_id ORDER BY rank ROWS UNBOUNDED PRECEDING) <= 2 AS anchor FROM u)
-SELECT doc_id, term, tf, df, round(idf, 6) AS idf, round(score, 6) AS score, CAST(rank AS INT) AS rank, anchor FROM a WHERE topic"""
-
-
-@query("R01_R04_topic_profile", PROFILE)
-def topics(spark, sf_dir):
-    per = R.profile(R.term_rows(R.sentence_rows(documents(spark, sf_dir))))
-    return per.where("topic").select("doc_id", "term", "tf", "df", F.round("idf", 6).alias("idf"), F.round("score", 6).alias("score"), "rank", "anchor")
-
-
 COS = "list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
 
 
 @query("R08_cosine", f"SELECT a.vec_id AS q, b.vec_id AS v, round({COS}, 6) AS sim FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0 AND b.vec_id <> a.vec_id")
 def cosine(spark, sf_dir):
-    e = read(spark, sf_dir, "embeddings")
-    asked = F.broadcast(e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("x")))
-    return e.join(asked, F.col("q") != F.col("vec_id")).select("q", F.col("vec_id").alias("v"), F.round(R.cosine(F.col("x"), F.col("embedding")), 6).alias("sim"))
-
-
-RANKED = f"SELECT a.vec_id AS q, a.label = b.label AS same, row_number() OVER (PARTITION BY a.vec_id ORDER BY round({COS}, 9) DESC, b.vec_id) AS rank FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0 AND b.vec_id <> a.vec_id"
-
-
-@query("X10_X11_rank_quality", f"SELECT q, round(count(*) FILTER (rank <= 3 AND same) / 3, 6) AS p3, round(count(*) FILTER (rank <= 10 AND same) / 10, 6) AS p10, round(count(*) FILTER (rank <= 10 AND same) / nullif(count(*) FILTER (same), 0), 6) AS recall FROM ({RANKED}) GROUP BY q")
-def rank_quality(spark, sf_dir):
-    e = read(spark, sf_dir, "embeddings")
-    asked = F.broadcast(e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("x"), F.col("label").alias("ql")))
-    pairs = e.join(asked, F.col("q") != F.col("vec_id")).withColumn("sim", F.round(R.cosine(F.col("x"), F.col("embedding")), 9))
-    ranked = pairs.withColumn("rank", F.row_number().over(W.partitionBy("q").orderBy(F.desc("sim"), "vec_id")))
-    out = M.rank_quality(ranked, "q", "rank", F.col("ql") == F.col("label"), F.col("ql") != F.col("label"))
-    return out.select("q", *(F.round(c, 6).alias(c) for c in ("p3", "p10", "recall")))
-
-
-@query("R13_R15_source_filter_order", "SELECT page_id, host, tier, CAST(row_number() OVER (ORDER BY rel DESC, tier, page_id) AS INT) AS place FROM (SELECT page_id, regexp_extract(url, '//([^/]+)', 1) AS host, page_id % 3 AS tier, floor((page_id * 37 % 101) / 100 * 100 + 0.5) / 100 AS rel FROM pages WHERE url IS NOT NULL AND html IS NOT NULL)")
-def ordered(spark, sf_dir):
-    p = read(spark, sf_dir, "pages").where("url IS NOT NULL AND html IS NOT NULL")
-    rel = X.js_round_to((F.col("page_id") * 37 % 101) / 100, 2)
-    p = p.select("page_id", F.regexp_extract("url", "//([^/]+)", 1).alias("host"), (F.col("page_id") % 3).alias("tier"), rel.alias("rel"))
-    return p.select("page_id", "host", "tier", F.row_number().over(W.orderBy(F.desc("rel"), "tier", "page_id")).alias("place"))
+    e = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    met = against(e, e.where("vec_id % 50 = 0").toDF("q", "x"))
+    return met.where("q <> vec_id").select("q", F.col("vec_id").alias("v"), F.round(R.cosine(F.col("x"), F.col("embedding")), 6).alias("sim"))
 
 
 @query("H03_sentence_cleanup", f"WITH {DOCUMENTS_SQL}, t AS (SELECT doc_id, trim(regexp_replace(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g'), ' ([,.;:!?])', '\\1', 'g')) AS s FROM d) SELECT doc_id, upper(left(s, 1)) || substr(s, 2) AS out FROM t")
@@ -100,13 +63,6 @@ def replace(spark, sf_dir):
     return read(spark, sf_dir, "documents").join(lab, "doc_id", "left").select("doc_id", F.coalesce("new", "source").alias("source"))
 
 
-@query("R14_greedy_dedupe")
-def candidates(spark, sf_dir):
-    p = read(spark, sf_dir, "pages")
-    rows = p.select((F.col("page_id") % 5).alias("q"), "page_id", F.regexp_extract("url", "//([^/?]+)", 1).alias("host"), X.title_key(F.regexp_extract("html", "<title>([^<]*)</title>", 1)).alias("title"))
-    return G.dedupe_candidates(rows, "q", "page_id", ["host", "title"])
-
-
 @query("K09_chunks")
 def chunks(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", G.pack(X.sentences(F.coalesce("text", F.lit("")))).alias("chunks"))

@@ -161,13 +161,6 @@ def strip_tags(c: Column) -> Column:
 
 
 def fnv1a32(c: Column) -> Column:
-    """FNV-1a over code points (UTF-16 units inside the BMP), 8 hex digits."""
-    codes = F.transform(F.filter(F.split(c, ""), lambda x: x != ""), lambda x: F.ascii(x).cast("bigint"))
-    step = F.aggregate(codes, F.lit(2166136261).cast("bigint"), lambda h, x: (h.bitwiseXOR(x) * F.lit(16777619)).bitwiseAND(F.lit(0xFFFFFFFF)))
-    return F.lower(F.lpad(F.hex(step), 8, "0"))
-
-
-def fnv1a32_whole(c: Column) -> Column:
     """FNV-1a over all UTF-16 units, 8 hex digits. The running product has no built-in function that is linear in time."""
 
     @F.pandas_udf("string")
@@ -286,3 +279,8 @@ def working_language(language: Column, majority: Column) -> Column:
 def utf16_length(c: Column) -> Column:
     """Length in UTF-16 units: characters outside the basic plane count twice."""
     return F.length(c) + F.regexp_count(c, F.lit(r"[\x{10000}-\x{10FFFF}]"))
+
+
+def short_number(x: Column) -> Column:
+    """Two places, halves up, without zeros at the end."""
+    return F.regexp_replace(F.format_string("%.2f", js_round_to(x.cast("double"), 2)), r"\.?0+$", "")

@@ -50,19 +50,3 @@ def cleanup(spark, sf_dir):
 @query("ST_event_windows", "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def windows(spark, sf_dir):
     return event_windows(read(spark, sf_dir, "events")).select(F.col("window.start").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
-
-
-@query("IO07_resume_append", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
-def resume(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id").join(read(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti")
-
-
-@query("IO08_keyed_replace", "SELECT d.doc_id, coalesce('label ' || l.quality, d.source) AS source FROM documents d LEFT JOIN labels l USING (doc_id)")
-def replace(spark, sf_dir):
-    lab = read(spark, sf_dir, "labels").select("doc_id", F.concat(F.lit("label "), F.col("quality").cast("string")).alias("new"))
-    return read(spark, sf_dir, "documents").join(lab, "doc_id", "left").select("doc_id", F.coalesce("new", "source").alias("source"))
-
-
-@query("K09_chunks")
-def chunks(spark, sf_dir):
-    return documents(spark, sf_dir).select("doc_id", G.pack(X.sentences(F.coalesce("text", F.lit("")))).alias("chunks"))

@@ -61,7 +61,9 @@ SELECT doc_id, CASE WHEN pos < 1 OR {S.count_words('m')} < 50 THEN t ELSE m END
   CAST(CASE WHEN pos < 1 OR {S.count_words('m')} < 50 THEN 0 ELSE {S.count_words('r')} END AS INT) AS cut FROM e"""
 
 
-FNV_SQL = f"lpad(lower(to_hex(list_reduce(list_prepend(2166136261::BIGINT, [ascii(x)::BIGINT FOR x IN string_split({T0}, '') IF x <> '']), lambda h, x: (xor(h, x) * 16777619) & 4294967295))), 8, '0')"
+#: UTF-16 units: a character outside the basic plane is two.
+UNITS = f"flatten([CASE WHEN unicode(x) > 65535 THEN [55296 + ((unicode(x) - 65536) >> 10), 56320 + ((unicode(x) - 65536) & 1023)] ELSE [unicode(x)] END FOR x IN string_split({T0}, '') IF x <> ''])"
+FNV_SQL = f"lpad(lower(to_hex(list_reduce(list_prepend(2166136261::BIGINT, [y::BIGINT FOR y IN {UNITS}]), lambda h, x: (xor(h, x) * 16777619) & 4294967295))), 8, '0')"
 
 #: Query: ({column: Spark expression}, {column: SQL}). Each runs over documents and fixtures.
 TABLE = {
@@ -70,16 +72,17 @@ TABLE = {
     "T04_norm_text": (lambda: {"out": X.norm_text(N())}, {"out": f"trim(regexp_replace(lower({T0}), '{BS}s+', ' ', 'g'))"}),
     "T05_clean_collapse": (lambda: {"out": F.trim(F.regexp_replace(X.clean_academic(N()), r"\s+", " "))}, {"out": f"trim(regexp_replace({S.clean(T0)}, '{BS}s+', ' ', 'g'))"}),
     "T07_clean_str": (lambda: {"out": X.clean_str(C(), 40)}, {"out": f"left(trim(regexp_replace({T0}, '{BS}s+', ' ', 'g')), 40)"}),
-    "T08_title_key": (lambda: {"out": X.title_key(F.left(N(), F.lit(80)))}, {"out": f"trim(regexp_replace(lower(left({T0}, 80)), '[^a-z0-9à-ÿ]+', ' ', 'g'))"}),
+    "T08_title_key": (lambda: {"out": X.title_key(N())}, {"out": f"trim(regexp_replace(lower({T0}), '[^a-z0-9à-ÿ]+', ' ', 'g'))"}),
     "T09_escape_html": (lambda: {"out": X.escape_html(N())}, {"out": f"replace(replace(replace(replace(replace({T0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;')"}),
     "T10_format_bytes": (lambda: {"out": X.format_bytes(F.length(N()) * 700)}, {"out": f"CASE WHEN length({T0}) * 700 > 1048576 THEN printf('%.1f MB', length({T0}) * 700 / 1048576) ELSE printf('%d KB', greatest(1, CAST(floor(length({T0}) * 700 / 1024 + 0.5) AS BIGINT))) END"}),
     "T11_text_hash": (lambda: {"raw": F.sha2(N(), 256), "norm": F.sha2(X.norm_text(N()), 256), "stripped": F.sha2(F.trim(N()), 256)}, {"raw": f"sha256({T0})", "norm": f"sha256(trim(regexp_replace(lower({T0}), '{BS}s+', ' ', 'g')))", "stripped": f"sha256(trim({T0}))"}),
-    "T12_fnv1a32": (lambda: {"out": X.fnv1a32(F.left(N(), F.lit(200)))}, {"out": FNV_SQL.replace(T0, f"left({T0}, 200)")}),
+    "T12_fnv1a32": (lambda: {"out": X.fnv1a32(N())}, {"out": FNV_SQL}),
     "T13_snippet": (lambda: {"out": F.when(F.length(N()) > 800, F.concat(F.left(N(), F.lit(800)), F.lit("…"))).otherwise(N()), "n": F.size(X.space_words(N()))}, {"out": f"CASE WHEN length({T0}) > 800 THEN left({T0}, 800) || '…' ELSE {T0} END", "n": f"CAST(len({SQL_SPACE}) AS INT)"}),
     "T14_first_text": (lambda: {"out": F.get(F.filter(F.split(N(), "\n"), lambda x: F.trim(x) != ""), F.lit(0))}, {"out": f"[x FOR x IN string_split({T0}, chr(10)) IF trim(x) <> ''][1]"}),
     "K01_K02_words": (lambda: {"n": F.size(W()), "counted": X.count_words(N()), "by_space": F.size(X.space_words(N())), "joined": F.sha2(F.array_join(W(), " "), 256)}, {"n": f"CAST(len({SQL_W}) AS INT)", "counted": f"CAST({S.count_words(T0)} AS INT)", "by_space": f"CAST(len({SQL_SPACE}) AS INT)", "joined": f"sha256(array_to_string({SQL_W}, ' '))"}),
     "K03_split_sentences": (lambda: {"sents": X.sentences(N())}, {"sents": S.sentences(T0)}),
     "K04_sentence_variants": (lambda: {"by_space": X.sentences(N(), 4, True), "all_sents": X.sentences(N(), 0)}, {"by_space": S.sentences(T0, 4, True), "all_sents": S.sentences(T0, 0)}),
+    "K04_after_marks": (lambda: {"sents": X.sentences_after_marks(N())}, {"sents": f"[x FOR x IN [{S.trimmed('y')} FOR y IN string_split(regexp_replace({S.trimmed(T0)}, '([.!?]){BS}s+', '{BS}1' || chr(1), 'g'), chr(1))] IF x <> '']"}),
     "K05_paragraphs": (lambda: {"paras": X.paragraphs(N())}, {"paras": S.paragraphs(T0)}),
     "K06_content_tokens": (lambda: {"n": F.size(content(W())), "distinct_n": F.size(F.array_distinct(content(W())))}, {"n": f"CAST(len({SQL_CONTENT}) AS INT)", "distinct_n": f"CAST(len(list_distinct({SQL_CONTENT})) AS INT)"}),
     "K07_ngram_diversity": (lambda: {"bi": F.round(X.diversity(F.col("w"), 2), 6), "tri": F.round(X.diversity(F.col("w"), 3), 6)}, {"bi": f"round(CAST(len(list_distinct({sql_ngrams('w', 2)})) AS DOUBLE) / nullif(len({sql_ngrams('w', 2)}), 0), 6)", "tri": f"round(CAST(len(list_distinct({sql_ngrams('w', 3)})) AS DOUBLE) / nullif(len({sql_ngrams('w', 3)}), 0), 6)"}),
@@ -91,13 +94,9 @@ TABLE = {
     "K14_numbers": (lambda: {"numbers": X.extract(N(), X.NUMBER)}, {"numbers": f"regexp_extract_all({T0}, {q(S.NUMBER)})"}),
     "K15_citations": (lambda: {"cites": X.extract(N(), X.ascii_bounds(X.CITE)), "links": X.extract(N(), "(?i)https?://\\S+|" + X.B0 + "DOI:\\S+"), "quotes": X.extract(N(), '"[^"]+"|“[^”]+”|\'[^\']{4,}\'')}, {"cites": f"regexp_extract_all({T0}, {q(S.CITE)})", "links": f"regexp_extract_all({T0}, '(?i)https?://{BS}S+|{BS}bDOI:{BS}S+')", "quotes": f"regexp_extract_all({T0}, '\"[^\"]+\"|“[^”]+”|''[^'']{{4,}}''')"}),
     "K16_proper_nouns": (lambda: {"n": F.size(F.array_distinct(X.extract(N(), X.PROPER)))}, {"n": f"CAST(len(list_distinct(regexp_extract_all({T0}, '{BS}s[A-ZÀ-Þ][a-zà-ÿ]+'))) AS INT)"}),
-    "K18_entities": (lambda: {"units": X.extract(N(), r"\d+(?:[.,]\d+)?\s*(?:%|persen|kg|orang|tahun|hari)?")}, {"units": f"regexp_extract_all({T0}, '{BS}d+(?:[.,]{BS}d+)?{BS}s*(?:%|persen|kg|orang|tahun|hari)?')"}),
     "K20_openers": (lambda: {"openers": F.transform(X.sentences(N()), X.opener)}, {"openers": f"[{S.opener('x')} FOR x IN {S.sentences(T0)}]"}),
     "K21_sections": (lambda: {"sections": F.filter(F.array(*map(F.lit, L.SECTIONS)), lambda s: F.regexp_like(LOW(), F.concat(F.lit(X.B0), s, F.lit(X.B1))))}, {"sections": f"[x FOR x IN {S.array(L.SECTIONS)} IF regexp_matches(lower({T0}), '{BS}b' || x || '{BS}b')]"}),
     "L01_language_exclusions": (lambda: {"n": F.size(F.array_distinct(X.language_exclusions(N())))}, {"n": f"CAST(len(list_distinct(list_concat(flatten([[x FOR x IN regexp_split_to_array(lower(m), '[^a-zà-ÿ]+') IF x <> ''] FOR m IN regexp_extract_all({T0}, '{BS}b[A-ZÀ-Þ][a-zà-ÿ]+(?:{BS}s+[A-ZÀ-Þ][a-zà-ÿ]+)+')]), [lower(x) FOR x IN regexp_extract_all({T0}, '{BS}b[A-ZÀ-Þ]{{2,}}{BS}b')]))) AS INT)"}),
-    "IO01_text_gate": (lambda: {"out": F.left(F.trim(N()), F.lit(L.MAX_CHARS)), "accepted": F.size(X.space_words(N())) >= 5}, {"out": f"left(trim({T0}), {L.MAX_CHARS})", "accepted": f"len({SQL_SPACE}) >= 5"}),
-    "IO17_json_summary": (lambda: {"json": F.to_json(F.struct(F.col("doc_id").alias("id"), F.length(N()).alias("n")))}, {"json": f"'{{\"id\":' || doc_id || ',\"n\":' || length({T0}) || '}}'"}),
-    "P01_contract": (lambda: {"code": F.when(C().isNull() | (F.trim(C()) == ""), "empty").when(F.length(C()) > L.MAX_CHARS, "too_long").when(X.count_words(C()) < L.MIN_WORDS, "too_short").otherwise("ok")}, {"code": f"CASE WHEN text IS NULL OR trim(text) = '' THEN 'empty' WHEN length(text) > {L.MAX_CHARS} THEN 'too_long' WHEN {S.count_words('text')} < {L.MIN_WORDS} THEN 'too_short' ELSE 'ok' END"}),
 }
 
 
@@ -134,28 +133,9 @@ QUERIES["IO14_strip_tags"] = lambda spark, sf_dir: read(spark, sf_dir, "pages").
 ORACLE_SQL["IO14_strip_tags"] = f"SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(coalesce(html, ''), '<[^>]+>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&'), '{BS}s+', ' ', 'g')) AS out FROM pages"
 
 _WIKI = "'''Kota''' <!-- x -->adalah [[ibu kota|ibukota]] [[Jawa]].<ref name=a>b</ref> {{Info|{{x}}}}\n* daftar\n== Judul ==\n{| class=x\n| a\n|}\n[[Berkas:a.jpg]] Isi [https://x.org teks] akhir https://y.org."
-QUERIES["T06_clean_wikitext"] = lambda spark, sf_dir: spark.createDataFrame([(1, _WIKI), (2, "")], "id int, text string").select("id", X.clean_wikitext(C()).alias("out"))
-ORACLE_SQL["T06_clean_wikitext"] = "SELECT * FROM (VALUES (1, 'Kota adalah ibukota Jawa.' || chr(10) || 'Judul' || chr(10) || 'Isi teks akhir'), (2, '')) v(id, out)"
 _WIKI_ROW = (8_999_999_999, _WIKI)
 _WIKI_LINES = f"[trim(x) FOR x IN string_split({S.replaced(T0, X.WIKI)}, chr(10))]"
 _WIKI_KEPT = f"[trim({S.replaced('x', X.WIKI_LINE)}) FOR x IN {_WIKI_LINES} IF x <> '' AND NOT regexp_matches(x, '^[*#;:|!}}]')]"
-QUERIES["T06_clean_wikitext_documents"] = lambda spark, sf_dir: documents(spark, sf_dir).unionByName(spark.createDataFrame([_WIKI_ROW], "doc_id bigint, text string").coalesce(1)).select("doc_id", X.clean_wikitext(N()).alias("out"))
-ORACLE_SQL["T06_clean_wikitext_documents"] = f"WITH {DOCUMENTS_SQL}, e AS (FROM d UNION ALL SELECT {_WIKI_ROW[0]}, {quoted(_WIKI)}) SELECT doc_id, array_to_string([y FOR y IN {_WIKI_KEPT} IF y <> ''], chr(10)) AS out FROM e"
-QUERIES["T05_canonical_text"] = lambda spark, sf_dir: documents(spark, sf_dir).withColumn("text", X.nfkc(N())).select("doc_id", X.canonical_text(C()).alias("out"))
-
-# T08 and T12 above cut texts, as their SQL does; these take all of the text.
-QUERIES["T08_title_key_whole"] = lambda spark, sf_dir: documents(spark, sf_dir).select("doc_id", X.title_key(N()).alias("out"))
-ORACLE_SQL["T08_title_key_whole"] = f"WITH {DOCUMENTS_SQL} SELECT doc_id, trim(regexp_replace(lower({T0}), '[^a-z0-9à-ÿ]+', ' ', 'g')) AS out FROM d"
-QUERIES["T12_fnv1a32_whole"] = lambda spark, sf_dir: documents(spark, sf_dir).select("doc_id", X.fnv1a32_whole(N()).alias("out"))
-
-
-def inverted(spark, sf_dir):
-    """IO13: word positions as a map, and the text that they give back."""
-    docs = documents(spark, sf_dir).select("doc_id", F.posexplode(X.space_words(N())).alias("pos", "word"))
-    index = docs.groupBy("doc_id", "word").agg(F.collect_list("pos").alias("at"))
-    back = index.select("doc_id", "word", F.explode("at").alias("pos")).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "word"))).alias("ws"))
-    return back.select("doc_id", F.array_join(F.transform("ws", lambda x: x["word"]), " ").alias("out"))
-
-
-QUERIES["IO13_inverted_index"] = inverted
-ORACLE_SQL["IO13_inverted_index"] = f"WITH {DOCUMENTS_SQL} SELECT doc_id, array_to_string({SQL_SPACE}, ' ') AS out FROM d WHERE len({SQL_SPACE}) > 0"
+QUERIES["T06_clean_wikitext"] = lambda spark, sf_dir: documents(spark, sf_dir).unionByName(spark.createDataFrame([_WIKI_ROW], "doc_id bigint, text string").coalesce(1)).select("doc_id", X.clean_wikitext(N()).alias("out"))
+ORACLE_SQL["T06_clean_wikitext"] = f"WITH {DOCUMENTS_SQL}, e AS (FROM d UNION ALL SELECT {_WIKI_ROW[0]}, {quoted(_WIKI)}) SELECT doc_id, array_to_string([y FOR y IN {_WIKI_KEPT} IF y <> ''], chr(10)) AS out FROM e"
+QUERIES["T05_canonical_text"] = lambda spark, sf_dir: kept(documents(spark, sf_dir), t=X.nfkc(N())).select("doc_id", X.canonical_text(F.col("t")).alias("out"))

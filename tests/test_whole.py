@@ -1,14 +1,12 @@
 """Operators that do the whole of what their name says."""
 
 import os
-from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from glyphmill.functions import text as X
-from glyphmill.operators import greedy
+from glyphmill.operators import greedy, summary
 from glyphmill.plans import registry
 from tests.test_oracle import SF, duck, norm  # noqa: F401
 
@@ -20,7 +18,7 @@ def test_summary_entities(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
-@pytest.mark.parametrize("name", ["K18_summary_entities", "T08_title_key_whole", "T06_clean_wikitext_documents"])
+@pytest.mark.parametrize("name", ["K18_summary_entities", "T08_title_key", "T06_clean_wikitext", "T12_fnv1a32"])
 def test_whole_query_matches_sql(spark, duck, name):  # noqa: F811
     df = registry.QUERIES[name](spark, SF)
     found = duck.execute(registry.ORACLE_SQL[name])
@@ -30,14 +28,15 @@ def test_whole_query_matches_sql(spark, duck, name):  # noqa: F811
 
 
 def test_summary_takes_one_sentence_a_paragraph_and_swaps_orphans(spark):
-    rows = [(1, i, f"s{i}", [f"w{i}"], float(10 - i), 3, [3, 3, 2], 0.5 if i == 3 else 0.0) for i in range(8)]
-    rows += [(2, i, f"s{i}", ["same" if i < 3 else f"w{i}"], float(10 - i), 4, [8], 0.5) for i in range(8)]
-    df = spark.createDataFrame(rows, "doc_id bigint, pos int, sent string, words array<string>, total double, keep int, counts array<int>, orphan double")
-    got = {(r["doc_id"], r["pos"]) for r in greedy.pick_sentences(df).collect()}
-    assert got == {(1, 0), (1, 4), (1, 6), (2, 0), (2, 3), (2, 4), (2, 5)}
+    rows = [(1, i, f"s{i}", [f"w{i}"], float(10 - i), 3, [3, 3, 2], 0.5 if i == 3 else 0.0, 0.6) for i in range(8)]
+    rows += [(2, i, f"s{i}", ["same" if i < 3 else f"w{i}"], float(10 - i), 4, [8], 0.5, 0.0) for i in range(8)]
+    df = spark.createDataFrame(rows, "doc_id bigint, pos int, sent string, tokens array<string>, total double, keep int, counts array<int>, orphan double, generic double")
+    found = summary.pick(df).collect()
+    assert {(r["doc_id"], r["pos"]) for r in found} == {(1, 0), (1, 4), (1, 6), (2, 0), (2, 3), (2, 4), (2, 5)}
+    assert {(r["doc_id"], r["of"], r["generic_left"], r["orphan_left"]) for r in found} == {(1, 8, 3, 0), (2, 8, 0, 4)}
     few = df.where("doc_id = 2 AND pos < 3").withColumn("counts", F.array(F.lit(3)))
-    assert greedy.pick_sentences(few).count() == 3
-    assert greedy.paragraph_of([2, 1], 3) == [0, 0, 1] and greedy.paragraph_of([2, 2], 3) == [0, 0, 0]
+    assert summary.pick(few).count() == 3
+    assert summary.paragraph_of([2, 1], 3) == [0, 0, 1] and summary.paragraph_of([2, 2], 3) == [0, 0, 0]
 
 
 def fnv(text):
@@ -51,26 +50,7 @@ def fnv(text):
 def test_hash_and_key_of_whole_texts(spark, tmp_path):
     texts = ["a" * 200 + "x", "a" * 200 + "y", "", "é🎉", "hello", None]
     spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    rows = {r["doc_id"]: r["out"] for r in registry.QUERIES["T12_fnv1a32_whole"](spark, str(tmp_path)).collect()}
+    rows = {r["doc_id"]: r["out"] for r in registry.QUERIES["T12_fnv1a32"](spark, str(tmp_path)).collect()}
     assert [rows[i] for i in range(6)] == [fnv(t or "") for t in texts] and rows[0] != rows[1] and rows[4] == "4f9f2cab"
-    keys = {r["doc_id"]: r["out"] for r in registry.QUERIES["T08_title_key_whole"](spark, str(tmp_path)).collect()}
+    keys = {r["doc_id"]: r["out"] for r in registry.QUERIES["T08_title_key"](spark, str(tmp_path)).collect()}
     assert keys[0] == texts[0] and keys[1] == texts[1]
-
-
-def test_pipeline_drops_planted_lines_and_keeps_others(spark):
-    """The line stage under its own ratio and floor, against brute force."""
-    rows = []
-    for source, n, planted in (("a", 40, 13), ("b", 40, 12), ("c", 20, 9), (None, 30, 30)):
-        for i in range(n):
-            lines = [f"only {source} {i}", "often but rarely enough" if i % 4 == 0 else "", "  planted line \t" if i < planted else f"other {i}"]
-            rows.append((len(rows), "\n".join(lines), "en", source, 0))
-    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
-    got = {r["doc_id"]: r for r in corpus_pipeline.drop_lines(spark, df, "").collect()}
-    docs, held = Counter(r[3] for r in rows), Counter()
-    for _, t, _, s, _ in rows:
-        held.update((s, x) for x in {y.strip(" \t\r") for y in t.split("\n")} - {""})
-    gone = {k for k, n in held.items() if n >= corpus_pipeline.LINE_DOCS and n > corpus_pipeline.LINE_RATIO * docs[k[0]]}
-    assert gone == {("a", "planted line"), (None, "planted line")}
-    for i, t, _, s, _ in rows:
-        want = "\n".join(x for x in t.split("\n") if (s, x.strip(" \t\r")) not in gone)
-        assert (got[i]["text"], got[i]["n_chars"]) == (want, len(want))

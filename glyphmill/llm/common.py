@@ -2,44 +2,26 @@
 
 from __future__ import annotations
 
-import io
-import os
-import tempfile
-import uuid
-import zipfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glyphmill.sources import tables
+from glyphmill.sources.tables import discard, shared_dir
+from glyphmill.sources.tables import written as materialize
+
+__all__ = ["SPACE", "WORD", "UPPER", "ascii_lower", "discard", "fold", "materialize", "read", "shared_dir", "ship", "text_of"]
+
 #: Words are runs of anything but these six bytes.
 SPACE = r"\x20\x09-\x0D"
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-_shipped: set[str] = set()
-
-
 def ship(spark: SparkSession) -> None:
-    """Send this package's code to the executors, once for each application, and keep Arrow batches of texts small."""
-    sc = spark.sparkContext
+    """Send this package's code to the executors, and keep Arrow batches of texts small."""
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":  # the default; texts are long
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    if sc.applicationId in _shipped:
-        return
-    _shipped.add(sc.applicationId)
-    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    packed = io.BytesIO()
-    with zipfile.ZipFile(packed, "w") as z:
-        for folder, _, names in os.walk(top):
-            for name in names:
-                if name.endswith(".py"):
-                    path = os.path.join(folder, name)
-                    z.write(path, os.path.relpath(path, os.path.dirname(top)))
-    path = os.path.join(tempfile.mkdtemp(prefix="glyphmill-"), "glyphmill.zip")  # only the driver reads it; Spark serves it to the executors
-    with open(path, "wb") as f:
-        f.write(packed.getvalue())
-    sc.addPyFile(path)
+    tables.ship(spark)
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,41 +38,6 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, UPPER.lower())
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: the session's ``spark.checkpoint.dir``, else the context's checkpoint folder.
-
-    Tables never go to a folder of one machine, so a session with neither is an error.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        there = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = there.get() if there.isDefined() else None
-    if not found:
-        raise ValueError("no shared folder: set spark.checkpoint.dir or call setCheckpointDir")
-    return found
-
-
-def materialize(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
-    """Write ``df`` once as a table in the shared folder and read it back.
-
-    The lineage ends there, so a lost executor costs a reread and not a recomputation,
-    and several consumers share one computation.
-    """
-    path = f"{shared_dir(df.sparkSession)}/glyphmill/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._glyphmill_path = path
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Remove tables that ``materialize`` wrote; nothing that is still to run may depend on them."""
-    for df in tables:
-        if path := getattr(df, "_glyphmill_path", None):
-            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def fold(id_col: str = "doc_id") -> Column:
     """crc32 of the id as text, mod 5 (a null id counts as empty text)."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % 5

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import read
+from glyphmill.llm.common import materialize, read
 
 MAX_RATIO = 0.3
 MIN_PAGES = 3
-SALTS = 8
+#: Lists of boilerplate lines up to so many bytes together are broadcast; more are joined.
+BROADCAST_BYTES = 4 << 20
 #: Tags that end a line of a web page.
 BLOCK = r"(?i)<(?:/?(?:p|div|li|ul|ol|h[1-6]|article|section|nav|footer|header|table|tr|title|body|head|html)|br)(?:\s[^>]*)?/?>"
 SKIPPED = r"(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->"
@@ -21,11 +22,8 @@ def html_lines(html: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, BLOCK, "\n"), "<[^>]*>", "")
 
 
-def line_dedup(
-    df: DataFrame, id_col: str = "page_id", text_col: str = "text", host_col: str = "host",
-    max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, salts: int = SALTS,
-) -> DataFrame:
-    """All columns of ``df`` with the text cleaned, and ``n_lines``, ``n_dropped``.
+def line_dedup(df: DataFrame, id_col: str = "page_id", text_col: str = "text", host_col: str = "host", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+    """All columns of ``df`` with the text cleaned, and ``n_lines``, ``n_dropped``. ``df`` is read twice.
 
     A line is boilerplate of its host if at least ``min_pages`` pages of the host hold it and
     they are more than ``max_ratio`` of the host's pages. Lines compare trimmed of spaces, tabs
@@ -34,33 +32,35 @@ def line_dedup(
 
     Each page gives each line once, so counting needs no distinct; both counts combine on the
     map side. A host has fewer than (mean lines a page) / ``max_ratio`` boilerplate lines, which
-    bounds the list that a host carries whatever its size. Lists are repeated over ``salts`` and
-    pages join on host and salt, so that a host with a third of all pages spreads out.
+    bounds the list that a host carries whatever its size. The lists are written once; if they are
+    small they are broadcast and pages stay where they are, else pages join them by host, a join in which a
+    host with a third of all pages can be split.
 
     Null text: empty, no lines. Null host: a host of its own (the empty name). Repeated rows count
     as pages of their own. Empty tables give empty results. Columns of ``df`` named like the
-    result's two counts are replaced; names starting with ``_ld_`` are reserved.
+    result's two counts are replaced; names starting with ``_ld_`` are reserved. ``id_col`` is not read.
     """
     trim = lambda x: F.regexp_replace(x, r"^[ \t\r]+|[ \t\r]+$", "")
     host = F.coalesce(F.col(host_col), F.lit(""))
     raw = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")
     distinct = F.array_distinct(F.filter(F.transform(raw, trim), lambda x: x != ""))
-    pages = df.select(host.alias("_ld_host"), distinct.alias("_ld_lines"))
-    totals = pages.groupBy("_ld_host").agg(F.count(F.lit(1)).alias("_ld_pages"))
-    counts = pages.select("_ld_host", F.explode("_ld_lines").alias("_ld_line")).groupBy("_ld_host", "_ld_line").agg(F.count(F.lit(1)).alias("_ld_n"))
+    totals = df.groupBy(host.alias("_ld_host")).agg(F.count(F.lit(1)).alias("_ld_pages"))
+    counts = df.select(host.alias("_ld_host"), F.explode(distinct).alias("_ld_line")).groupBy("_ld_host", "_ld_line").agg(F.count(F.lit(1)).alias("_ld_n"))
     found = counts.where(F.col("_ld_n") >= min_pages).join(totals, "_ld_host").where(F.col("_ld_n") > max_ratio * F.col("_ld_pages"))
-    lists = found.groupBy("_ld_host").agg(F.collect_list("_ld_line").alias("_ld_drop"))
-    lists = lists.withColumn("_ld_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    salted = df.withColumns({"_ld_host": host, "_ld_salt": F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(salts)).cast("int")})
-    joined = salted.join(lists, ["_ld_host", "_ld_salt"], "left")
-    kept = F.filter(raw, lambda x: ~F.array_contains(F.col("_ld_drop"), trim(x)))
-    kept = F.when(F.col("_ld_drop").isNull(), raw).otherwise(kept)
-    filled = lambda a: F.size(F.filter(a, lambda x: trim(x) != ""))
-    joined = joined.withColumns({"_ld_raw": raw, "_ld_kept": kept})
+    lists = materialize(found.groupBy("_ld_host").agg(F.collect_list("_ld_line").alias("_ld_drop")), "boilerplate")
+    size = lists.agg(F.sum(F.octet_length(F.array_join("_ld_drop", "")) + F.octet_length("_ld_host") + 32)).first()[0]
+    lists = F.broadcast(lists) if (size or 0) <= BROADCAST_BYTES else lists
+    joined = df.withColumn("_ld_host", host).join(lists, "_ld_host", "left")
+    # Trimmed once a line; a page without a list keeps its text as it is.
+    lines = F.transform(raw, lambda x: F.struct(x.alias("x"), trim(x).alias("t")))
+    joined = joined.withColumn("_ld_lines", F.when(F.col("_ld_drop").isNotNull(), lines))
+    kept = F.filter("_ld_lines", lambda x: ~F.array_contains(F.col("_ld_drop"), x["t"]))
+    joined = joined.withColumn("_ld_kept", kept)
+    filled = F.when(F.col("_ld_drop").isNotNull(), F.size(F.filter("_ld_lines", lambda x: x["t"] != ""))).otherwise(F.size(F.filter(raw, lambda x: F.regexp_like(x, F.lit(r"[^ \t\r]")))))
     result = joined.withColumns({
-        "n_lines": filled(F.col("_ld_raw")),
-        "n_dropped": F.size("_ld_raw") - F.size("_ld_kept"),
-        text_col: F.array_join("_ld_kept", "\n"),
+        "n_lines": filled,
+        "n_dropped": F.when(F.col("_ld_drop").isNotNull(), F.size("_ld_lines") - F.size("_ld_kept")).otherwise(0),
+        text_col: F.when(F.col("_ld_drop").isNotNull(), F.array_join(F.transform("_ld_kept", lambda x: x["x"]), "\n")).otherwise(F.coalesce(F.col(text_col), F.lit(""))),
     })
     return result.select(*dict.fromkeys([*df.columns, "n_lines", "n_dropped"]))
 
@@ -70,9 +70,9 @@ def host_of(url: Column) -> Column:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page of ``pages``: what is left of its lines, without its site's boilerplate."""
+    """Every page of ``pages``: what is left of its lines, without its site's boilerplate. Mark-up is taken off once and written."""
     pages = read(spark, sf_dir, "pages").select("page_id", host_of(F.col("url")).alias("host"), html_lines(F.col("html")).alias("text"))
-    return line_dedup(pages).select("page_id", "host", "n_lines", "n_dropped", "text")
+    return line_dedup(materialize(pages, "lines")).select("page_id", "host", "n_lines", "n_dropped", "text")
 
 
 OP9_SQL = rf"""

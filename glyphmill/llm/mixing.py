@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import WORD, read, text_of
+from glyphmill.llm.common import WORD, materialize, read, text_of
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
@@ -16,7 +16,12 @@ BLOCK_TOKENS = 1024
 GOLDEN = 2654435769
 ROUND = 1 << 32
 CHUNK = 1 << 14
-RANGES = 1 << 12
+#: Rows that stand in one hash range of the line, about; a window sorts one range of one source.
+RANGE_ROWS = 200_000
+#: Cells of the schedule's circle; a cell holds the sources whose arcs meet it, mostly one.
+CELLS = 1 << 12
+#: Up to so many sources are broadcast; more are joined.
+BROADCAST_SOURCES = 20_000
 
 
 def targets(sizes: list[tuple[str | None, int]], weights=WEIGHTS, share: float = SHARE, max_repeats: float = MAX_REPEATS) -> list[tuple[str | None, int, float]]:
@@ -44,37 +49,22 @@ def targets(sizes: list[tuple[str | None, int]], weights=WEIGHTS, share: float =
     return [(s, n, float(out[i])) for i, (s, n) in enumerate(rows)]
 
 
-def mix(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-    weights=WEIGHTS, share: float = SHARE, max_repeats: int = MAX_REPEATS, block_tokens: int = BLOCK_TOKENS,
-) -> DataFrame:
-    """All columns of ``df`` with ``size``, ``source_size``, ``target``, ``taken``.
+def measured(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """``_mx_source``, ``_mx_key`` (MD5 of id and text), ``_mx_size`` (words) of every row, and its id."""
+    size = F.regexp_count(text_of(text_col), F.lit(WORD)).cast("bigint")
+    key = F.md5(F.concat_ws(":", F.col(id_col).cast("string"), F.md5(text_of(text_col))))
+    return df.select(F.col(id_col).alias("_mx_id"), F.col(source_col).alias("_mx_source"), key.alias("_mx_key"), size.alias("_mx_size"))
 
-    Every source's documents stand in the order of their id's MD5 on one line of words, cut into
-    blocks of equal length. Slot i of the schedule maps the golden-ratio point i * GOLDEN mod 2^32
-    through the cumulative targets to a source; the r-th slot of a source takes its block r, going
-    round at most ``max_repeats`` times. ``taken`` is the number of a document's words in the blocks
-    taken, repeats counted.
 
-    Blocks have ``block_tokens`` words, fewer if the mix has under 4,096 blocks (then 1/4,096 of it),
-    so a source misses its target by little more than one block. Positions on the line are sums over
-    hash ranges plus sums within a range, and slots are counted by chunk before they are ranked, so
-    no window holds a whole source. The driver sees one row per source.
+def taken_words(rows: DataFrame, weights=WEIGHTS, share: float = SHARE, max_repeats: int = MAX_REPEATS, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """For rows of ``measured`` (a table: it is read several times): _mx_source, _mx_key, _mx_taken, _mx_from, and the source's size and target.
 
-    Null text: size 0, taken 0. Null source: a source of its own, last. Repeated rows are documents of
-    their own. Empty tables give empty results. Columns named like the four new ones are replaced;
-    names starting with ``_mx_`` are reserved.
+    One row for each distinct (source, key); rows that repeat share what it takes alike (see ``mix``).
     """
-    new = {"size", "source_size", "target", "taken"}
-    size = F.regexp_count(text_of(text_col), F.lit(WORD)).cast("bigint")
-    key = F.md5(F.concat_ws(":", F.col(id_col).cast("string"), F.md5(text_of(text_col))))
-    base = df.withColumns({"_mx_size": size, "_mx_key": key})
-    narrow = base.select(F.col(source_col).alias("_mx_source"), "_mx_key", "_mx_size")
-    ranged = narrow.withColumn("_mx_range", (F.conv(F.substring("_mx_key", 1, 8), 16, 10).cast("bigint") * F.lit(RANGES) / F.lit(ROUND)).cast("int"))
-    by_range = ranged.groupBy("_mx_source", "_mx_range").agg(F.sum("_mx_size").alias("_mx_sum"))
-    spark = df.sparkSession
-    found = [(r[0], int(r[1])) for r in narrow.groupBy("_mx_source").agg(F.sum("_mx_size")).collect()]
-    plan = targets(found, weights, share, max_repeats)
+    spark = rows.sparkSession
+    found = [(r[0], int(r[1]), int(r[2])) for r in rows.groupBy("_mx_source").agg(F.sum("_mx_size"), F.count(F.lit(1))).collect()]
+    plan = targets([(s, n) for s, n, _ in found], weights, share, max_repeats)
+    ranges = max(1, -(-max([k for _, _, k in found], default=0) // RANGE_ROWS))
     total = sum(t for _, _, t in plan)
     block = int(max(1, min(block_tokens, total // 4096)))
     slots = int(-(-total // block))
@@ -84,10 +74,13 @@ def mix(
         cum += t
         edges.append((i, s, n, t, low, round(cum / total * ROUND) if total else 0, -(-n // block)))
     schema = "_mx_i int, _mx_source string, source_size bigint, target double, _mx_low bigint, _mx_high bigint, _mx_blocks bigint"
-    sources = F.broadcast(spark.createDataFrame(edges, schema))  # one row per source
-    # Slots: a source for each, its rank within the chunk, and what earlier chunks had of that source.
+    few = F.broadcast if len(edges) <= BROADCAST_SOURCES else (lambda x: x)
+    sources = spark.createDataFrame(edges, schema)  # one row per source
+    # Slots: the point's cell names its source, or the few whose arcs meet there; then its rank in the chunk, and what earlier chunks had of that source.
+    width = ROUND // CELLS
+    arcs = few(sources.where("_mx_low < _mx_high").withColumn("_mx_cell", F.explode(F.sequence(F.floor(F.col("_mx_low") / width), F.floor((F.col("_mx_high") - 1) / width)))))
     slot = spark.range(slots).select((F.col("id") / CHUNK).cast("bigint").alias("_mx_chunk"), "id", F.pmod(F.pmod(F.col("id"), F.lit(ROUND)) * F.lit(GOLDEN), F.lit(ROUND)).alias("_mx_point"))
-    slot = slot.join(sources, (F.col("_mx_point") >= F.col("_mx_low")) & (F.col("_mx_point") < F.col("_mx_high"))).select("_mx_chunk", "id", "_mx_i", "_mx_blocks")
+    slot = slot.withColumn("_mx_cell", F.floor(F.col("_mx_point") / width)).join(arcs, "_mx_cell").where("_mx_point >= _mx_low AND _mx_point < _mx_high").select("_mx_chunk", "id", "_mx_i", "_mx_blocks")
     per = slot.groupBy("_mx_i", "_mx_chunk").agg(F.count(F.lit(1)).alias("_mx_n"))
     before = per.select("_mx_i", "_mx_chunk", (F.sum("_mx_n").over(W.partitionBy("_mx_i").orderBy("_mx_chunk")) - F.col("_mx_n")).alias("_mx_before"))
     rank = F.row_number().over(W.partitionBy("_mx_i", "_mx_chunk").orderBy("id")) - 1
@@ -95,23 +88,59 @@ def mix(
     taken = taken.where(F.col("_mx_r") < max_repeats * F.col("_mx_blocks")).select("_mx_i", (F.col("_mx_r") % F.col("_mx_blocks")).alias("_mx_block"))
     times = taken.groupBy("_mx_i", "_mx_block").agg(F.count(F.lit(1)).alias("_mx_times"))
     # Documents on their source's line, cut at block ends.
-    start = by_range.select("_mx_source", "_mx_range", (F.sum("_mx_sum").over(W.partitionBy("_mx_source").orderBy("_mx_range")) - F.col("_mx_sum")).alias("_mx_start"))
-    within = ranged.groupBy("_mx_source", "_mx_range", "_mx_key").agg(F.sum("_mx_size").alias("_mx_size"), F.count(F.lit(1)).alias("_mx_rows"))
-    sofar = F.sum("_mx_size").over(W.partitionBy("_mx_source", "_mx_range").orderBy("_mx_key")) - F.col("_mx_size")
-    placed = within.withColumn("_mx_from", sofar).alias("w").join(
-        start.alias("s"), F.col("w._mx_source").eqNullSafe(F.col("s._mx_source")) & (F.col("w._mx_range") == F.col("s._mx_range"))
-    ).select("w._mx_source", "w._mx_key", "w._mx_size", "w._mx_rows", (F.col("w._mx_from") + F.col("s._mx_start")).alias("_mx_from"))
-    placed = placed.alias("p").join(sources.alias("q"), F.col("p._mx_source").eqNullSafe(F.col("q._mx_source"))).select("p.*", "_mx_i")
+    named = few(sources.select("_mx_i", F.col("_mx_source").alias("_mx_s"), "source_size", "target"))
+    numbered = rows.join(named, F.col("_mx_source").eqNullSafe(F.col("_mx_s"))).drop("_mx_s")
+    ranged = numbered.withColumn("_mx_range", (F.conv(F.substring("_mx_key", 1, 8), 16, 10).cast("bigint") * F.lit(ranges) / F.lit(ROUND)).cast("int"))
+    by_range = ranged.groupBy("_mx_i", "_mx_range").agg(F.sum("_mx_size").alias("_mx_sum"))
+    start = by_range.select("_mx_i", "_mx_range", (F.sum("_mx_sum").over(W.partitionBy("_mx_i").orderBy("_mx_range")) - F.col("_mx_sum")).alias("_mx_start"))
+    within = ranged.groupBy("_mx_i", "_mx_range", "_mx_source", "_mx_key", "source_size", "target").agg(F.sum("_mx_size").alias("_mx_size"), F.count(F.lit(1)).alias("_mx_rows"))
+    sofar = F.sum("_mx_size").over(W.partitionBy("_mx_i", "_mx_range").orderBy("_mx_key")) - F.col("_mx_size")
+    placed = within.withColumn("_mx_at", sofar).join(start, ["_mx_i", "_mx_range"]).withColumn("_mx_from", F.col("_mx_at") + F.col("_mx_start"))
     to = F.col("_mx_from") + F.col("_mx_size")
     blocks = F.sequence((F.col("_mx_from") / block).cast("bigint"), ((to - 1) / block).cast("bigint"))
-    pieces = placed.where(F.col("_mx_size") > 0).withColumn("_mx_block", F.explode(blocks))
+    pieces = placed.withColumn("_mx_block", F.explode(F.when(F.col("_mx_size") > 0, blocks).otherwise(F.array(F.lit(-1).cast("bigint")))))
     overlap = F.least(to, (F.col("_mx_block") + 1) * block) - F.greatest(F.col("_mx_from"), F.col("_mx_block") * block)
-    got = pieces.join(times, ["_mx_i", "_mx_block"]).groupBy("_mx_i", "_mx_key").agg(F.sum(overlap * F.col("_mx_times")).alias("_mx_taken"), F.first("_mx_rows").alias("_mx_rows"))
-    named = base.alias("d").join(sources.alias("q"), F.col(f"d.{source_col}").eqNullSafe(F.col("q._mx_source"))).select("d.*", "_mx_i", F.col("q.source_size").alias("_mx_ss"), F.col("q.target").alias("_mx_t"))
-    share_of = F.coalesce((F.col("_mx_taken") / F.col("_mx_rows")).cast("bigint"), F.lit(0).cast("bigint"))
-    out = named.join(got, ["_mx_i", "_mx_key"], "left").withColumns({"size": F.col("_mx_size"), "source_size": F.col("_mx_ss"), "target": F.col("_mx_t"), "taken": share_of})
+    got = pieces.join(times, ["_mx_i", "_mx_block"], "left").groupBy("_mx_i", "_mx_key").agg(
+        F.sum(F.when(F.col("_mx_size") > 0, overlap * F.coalesce("_mx_times", F.lit(0))).otherwise(0)).alias("_mx_taken"), *(F.first(c).alias(c) for c in ("_mx_source", "_mx_rows", "_mx_from", "source_size", "target")),
+    )
+    return got.select("_mx_source", "_mx_key", (F.col("_mx_taken") / F.col("_mx_rows")).cast("bigint").alias("_mx_taken"), "_mx_from", "source_size", "target")
+
+
+def mix(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+    weights=WEIGHTS, share: float = SHARE, max_repeats: int = MAX_REPEATS, block_tokens: int = BLOCK_TOKENS,
+) -> DataFrame:
+    """All columns of ``df`` with ``size``, ``source_size``, ``target``, ``taken``. ``df`` is read twice.
+
+    Every source's documents stand in the order of their id's MD5 on one line of words, cut into
+    blocks of equal length. Slot i of the schedule maps the golden-ratio point i * GOLDEN mod 2^32
+    through the cumulative targets to a source; the r-th slot of a source takes its block r, going
+    round at most ``max_repeats`` times. ``taken`` is the number of a document's words in the blocks
+    taken, repeats counted.
+
+    Blocks have ``block_tokens`` words, fewer if the mix has under 4,096 blocks (then 1/4,096 of it),
+    so a source misses its target by little more than one block. Words are counted once, into a narrow table.
+    Positions on the line are sums over hash ranges plus sums within a range, and slots are counted
+    by chunk before they are ranked, so no window holds a whole source. The driver sees one row per source, as
+    its targets are shares of a whole; sources are broadcast up to BROADCAST_SOURCES.
+
+    Null text: size 0, taken 0. Null source: a source of its own, last. Rows that repeat (same id and text)
+    take alike, rounded down. Empty tables give empty results. Columns named like the four new ones are replaced;
+    names starting with ``_mx_`` are reserved.
+    """
+    new = {"size", "source_size", "target", "taken"}
+    rows = materialize(measured(df, id_col, text_col, source_col), "sizes")
+    got = taken_words(rows, weights, share, max_repeats, block_tokens).select("_mx_source", "_mx_key", "_mx_taken", F.col("source_size").alias("_mx_ss"), F.col("target").alias("_mx_t"))
+    size = F.regexp_count(text_of(text_col), F.lit(WORD)).cast("bigint")
+    key = F.md5(F.concat_ws(":", F.col(id_col).cast("string"), F.md5(text_of(text_col))))
+    base = df.withColumns({"_mx_size": size, "_mx_k": key})
+    out = base.join(got, (F.col("_mx_k") == F.col("_mx_key")) & F.col(source_col).eqNullSafe(F.col("_mx_source")))
+    out = out.withColumns({"size": F.col("_mx_size"), "source_size": F.col("_mx_ss"), "target": F.col("_mx_t"), "taken": F.col("_mx_taken")})
     return out.select(*[c for c in df.columns if c not in new], "size", "source_size", "target", "taken")
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    rows = materialize(measured(read(spark, sf_dir, "documents")), "sizes")
+    got = taken_words(rows).select(F.col("_mx_source").alias("_s"), F.col("_mx_key").alias("_k"), "_mx_taken", "source_size", "target")
+    out = rows.join(got, (F.col("_mx_key") == F.col("_k")) & F.col("_mx_source").eqNullSafe(F.col("_s")))
+    return out.select(F.col("_mx_id").alias("doc_id"), F.col("_mx_size").alias("size"), "source_size", "target", F.col("_mx_taken").alias("taken"))

@@ -7,7 +7,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from glyphmill.llm.common import materialize, read, text_of
@@ -169,9 +168,8 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     sets = materialize(base.mapInArrow(scan, "id bigint, n bigint, sid binary, keys array<bigint>"), "sketches")
     reps = sets.where("n > 0 AND id IS NOT NULL").groupBy("sid").agg(F.min("id").alias("rep"), F.first("keys").alias("keys"))
     members = reps.select("rep", F.explode("keys").alias("key"))
-    by_key = W.partitionBy("key")
-    listed = members.select("rep", F.min("rep").over(by_key).alias("pivot"), F.max("rep").over(by_key).alias("_most")).where("pivot < _most")
-    groups = materialize(listed.select("pivot", "rep").distinct(), "groups")
+    lists = members.groupBy("key").agg(F.min("rep").alias("pivot"), F.max("rep").alias("_most")).where("pivot < _most").select("key", "pivot")
+    groups = materialize(members.join(lists, "key").select("pivot", "rep").distinct(), "groups")
     ids = groups.select(F.col("rep").alias("id")).distinct()
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 

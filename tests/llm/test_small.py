@@ -83,6 +83,61 @@ def test_mixing(docs, none):
     assert mixing.targets([("a", 10), ("b", 100), (None, 1)])[0][2] == 20.0
 
 
+def plain_targets(sizes, weights, share, most):
+    """Share by share: what is over goes back to the rest until nothing is."""
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    w = {s: weights[i % len(weights)] for i, s in enumerate(names)}
+    out, left = {}, share * sum(sizes.values())
+    while True:
+        free = [s for s in names if s not in out]
+        each = {s: left * w[s] / sum(w[x] for x in free) for s in free}
+        over = [s for s in free if each[s] > most * sizes[s]]
+        if not over:
+            return out | each
+        for s in over:
+            out[s] = most * sizes[s]
+            left -= out[s]
+
+
+def test_mixing_against_every_word(spark, docs):
+    """Every word of every source on its line, every slot of the schedule one by one."""
+    rng = random.Random(3)
+    rows = [(i, " ".join(["w"] * rng.randrange(0, 60)), rng.choice(["a", "a", "a", "b", "c", None])) for i in range(300)] + [(7, "one two three", "a"), (7, "one two three", "a"), (None, "x y", "b"), (8, None, "c")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = mixing.mix(df, block_tokens=5).collect()
+    key = lambda i, t: hashlib.md5(f"{'' if i is None else str(i) + ':'}{hashlib.md5((t or '').encode()).hexdigest()}".encode()).hexdigest()
+    n = {r: len(words(r[1])) for r in rows}
+    sizes = collections.Counter()
+    for r in rows:
+        sizes[r[2]] += n[r]
+    targets = plain_targets(sizes, mixing.WEIGHTS, mixing.SHARE, mixing.MAX_REPEATS)
+    total = sum(targets.values())
+    block = int(max(1, min(5, total // 4096)))
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    ends, cum = [], 0.0
+    for s in names:
+        cum += targets[s]
+        ends.append(round(cum / total * mixing.ROUND))
+    ranks, times = collections.Counter(), collections.Counter()
+    for i in range(-(-int(total * 1000) // (block * 1000)) if total != int(total) else -(-int(total) // block)):
+        point = i * mixing.GOLDEN % mixing.ROUND
+        s = next(s for s, e in zip(names, ends) if point < e)
+        blocks = -(-sizes[s] // block)
+        if ranks[s] < 2 * blocks:
+            times[s, ranks[s] % blocks] += 1
+        ranks[s] += 1
+    want = collections.Counter()
+    for s in names:
+        at = 0
+        grouped = collections.Counter(r for r in rows if r[2] == s)
+        for r in sorted(grouped, key=lambda r: key(r[0], r[1])):
+            whole = n[r] * grouped[r]
+            want[r] = sum(times[s, w // block] for w in range(at, at + whole)) // grouped[r]
+            at += whole
+    for r in got:
+        assert r["taken"] == want[r["doc_id"], r["text"], r["source"]] and abs(r["target"] - targets[r["source"]]) < 1e-6
+
+
 def test_near_dedup(spark, docs, none):
     big = [(100 + i, edited(BASE, RNG.randrange(4))) for i in range(40)]
     every = docs.select("doc_id", "text").unionByName(spark.createDataFrame(big, "doc_id bigint, text string"))

@@ -10,6 +10,7 @@ import xxhash
 from glyphmill.llm.lattice import words_of
 
 WORDS_KEPT = 300_000
+ODD = 0x9E3779B97F4A7C15
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -19,6 +20,23 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def hashes(data: np.ndarray, length: int) -> np.ndarray:
+    """64 bits for each string of ``length`` bytes: polynomials of powers of two, joined, and mixed at the end."""
+    part, have, out, n = data.astype(np.uint64) + np.uint64(1), 1, None, 0
+    while True:
+        if length & have:
+            if out is None:
+                out = part
+            else:  # the longer part goes in front
+                whole = len(data) - n - have + 1
+                out = part[:whole] * np.uint64(ODD ** (have + n) % (1 << 64)) + out[have : have + whole]
+            n += have
+        if 2 * have > length:
+            return mixed(out)
+        part = part[: len(part) - have] * np.uint64(ODD**have % (1 << 64)) + part[have:]
+        have *= 2
+
+
 class Shingler:
     """Distinct shingles of ``n`` words in ascending order of their hashes; a shorter text is one shingle, an empty one none."""
 

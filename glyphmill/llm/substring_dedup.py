@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphmill.llm.common import discard, materialize, read, text_of
-from glyphmill.llm.shingles import mixed
+from glyphmill.llm.shingles import hashes, mixed
 from glyphmill.llm.stream import by_group
 from glyphmill.llm.suffix_array import expanded, suffix_array, suffix_arrays
 
@@ -26,27 +26,9 @@ MEET = 2000
 #: Width of the cells of anchor offsets that such groups are dealt out by, level after level; cells of 1 have one class a group.
 CELLS = (4, 1)
 MEET_BYTES = 1 << 20
-ODD = 0x9E3779B97F4A7C15
 BROADCAST_IDS = 1_000_000
 
 
-def hashes(data: np.ndarray, length: int) -> np.ndarray:
-    """64 bits for each string of ``length`` bytes: polynomials of powers of two, joined, and mixed at the end."""
-    part, have, out, n = data.astype(np.uint64) + np.uint64(1), 1, None, 0
-    while True:
-        if length & have:
-            if out is None:
-                out = part
-            else:  # the longer part goes in front
-                whole = len(data) - n - have + 1
-                out = part[:whole] * np.uint64(ODD ** (have + n) % (1 << 64)) + out[have : have + whole]
-            n += have
-        if 2 * have > length:
-            return mixed(out)
-        part = part[: len(part) - have] * np.uint64(ODD**have % (1 << 64)) + part[have:]
-        have *= 2
-
-
 def windows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """For each string of LENGTH bytes in each text: the text's number, its start and its anchor.
 

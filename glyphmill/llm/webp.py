@@ -13,9 +13,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from glyphmill.llm.common import read, text_of
+from glyphmill.llm.shingles import hashes
 
 UNIT = 64
 MOST = 1 << 14  # pixels a side
+#: Samples that a copy has at least; shorter ones cost more time than they save room.
+LEAST_COPY = 32
+#: What the format allows.
+LONGEST_COPY, FARTHEST = 4096, (1 << 20) - 120
 
 # Fixed values of the format.
 CODE_LENGTH_ORDER = [17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15]
@@ -172,6 +177,8 @@ def read_pixels(r: BitReader, width: int, height: int, main: bool) -> np.ndarray
     total = width * height
     if groups == 1 and not cache_size and (fast := plain_pixels(r, codes[0], total)) is not None:
         return fast
+    if groups == 1 and not cache_size and codes[0][0].only is None and codes[0][0].uniform and all(c.only is not None for c in codes[0][1:4]):
+        return run_pixels(r, codes[0], width, total)
     out = [0] * total
     cache, cached = [0] * cache_size, 0
 
@@ -194,12 +201,7 @@ def read_pixels(r: BitReader, width: int, height: int, main: bool) -> np.ndarray
             i += 1
         elif s < 256 + LENGTH_SYMBOLS:
             length = run_value(r, s - 256)
-            d = run_value(r, group[4].read(r))
-            if d > 120:
-                d -= 120
-            else:
-                x, y = NEAR[d - 1]
-                d = max(1, x + y * width)
+            d = distance(r, group[4], width)
             if d > i or i + length > total:
                 raise ValueError("a copy from outside the image")
             for j in range(i, i + length):
@@ -214,6 +216,49 @@ def read_pixels(r: BitReader, width: int, height: int, main: bool) -> np.ndarray
     return np.array(out, np.uint32)
 
 
+def distance(r: BitReader, code: Code, width: int) -> int:
+    d = run_value(r, code.read(r))
+    if d > 120:
+        return d - 120
+    x, y = NEAR[d - 1]
+    return max(1, x + y * width)
+
+
+def run_pixels(r: BitReader, group: list[Code], width: int, total: int) -> np.ndarray:
+    """Pixels where green has one code length and the others one symbol: literals run by run, copies one by one.
+
+    What follows is read as if it were all literals, a stretch at a time, up to the first symbol that is a copy.
+    """
+    green, k = group[0], group[0].uniform
+    rest = np.uint32(group[1].only << 16 | group[2].only | group[3].only << 24)
+    bits = np.unpackbits(np.frombuffer(r.data, np.uint8), bitorder="little")
+    out = np.empty(total, np.uint32)
+    i, ahead = 0, 256
+    while i < total:
+        n = min(ahead, total - i, (r.n - r.at) // k)
+        if n <= 0:
+            raise ValueError("the stream ends early")
+        index = np.packbits(bits[r.at : r.at + n * k].reshape(n, k), axis=1, bitorder="little").astype(np.int64)
+        symbol = green.table[index[:, 0] if k <= 8 else index[:, 0] | index[:, 1] << 8, 0]
+        stop = np.flatnonzero(symbol > 255)
+        run = int(stop[0]) if len(stop) else n
+        out[i : i + run] = symbol[:run].astype(np.uint32) << np.uint32(8) | rest
+        i += run
+        r.at += run * k
+        if run == n:
+            ahead = min(2 * ahead, 1 << 16)
+            continue
+        ahead = max(64, 2 * run)
+        r.at += k
+        length = run_value(r, int(symbol[run]) - 256)
+        d = distance(r, group[4], width)
+        if d > i or i + length > total or r.at > r.n:
+            raise ValueError("a copy from outside the image")
+        out[i : i + length] = np.resize(out[i - d : i - d + min(d, length)], length)  # repeats itself where it overlaps
+        i += length
+    return out
+
+
 def plain_pixels(r: BitReader, group: list[Code], total: int) -> np.ndarray | None:
     """All pixels at once where every code has one length and none of its symbols is a copy or a cache entry."""
     green, red, blue, alpha, _ = group
@@ -347,64 +392,184 @@ def read_webp(data: bytes) -> np.ndarray:
     return p
 
 
-def put_code(w: BitWriter, k: int) -> None:
-    """A prefix code whose first 2^k symbols all have k bits; for k = 0, one that always means symbol 0."""
-    if not k:
-        for value, bits in ((1, 1), (0, 1), (0, 1), (0, 1)):
+def phased(n: int) -> list[int]:
+    """Code lengths of n symbols that use up all codes, as even as can be; one symbol takes no bits."""
+    if n == 1:
+        return [1]
+    k = (n - 1).bit_length()
+    short = (1 << k) - n
+    return [k - 1] * short + [k] * (n - short)
+
+
+def codes_of(lengths: list[int]) -> dict[int, tuple[int, int]]:
+    """Symbol: (code, bits) with the first bit of the code lowest, as the stream has it."""
+    if sum(map(bool, lengths)) == 1:
+        return {s: (0, 0) for s, n in enumerate(lengths) if n}
+    return {s: (int(f"{code:0{n}b}"[::-1], 2), n) for (n, code), s in canonical(lengths).items()}
+
+
+def steps_of(lengths: list[int]) -> list[tuple[int, int, int]]:
+    """Code lengths as (symbol, extra, extra bits): 16 repeats the last one that is not 0, 17 and 18 are runs of 0."""
+    out, last, i = [], 8, 0
+    while i < len(lengths):
+        n, j = lengths[i], i
+        while j < len(lengths) and lengths[j] == n:
+            j += 1
+        left = j - i
+        if n and n != last:
+            out.append((n, 0, 0))
+            last, left = n, left - 1
+        while left >= 3:
+            most = 6 if n else 138
+            take = min(left, most)
+            out.append((16, take - 3, 2) if n else (18, take - 11, 7) if take >= 11 else (17, take - 3, 3))
+            left -= take
+        out += [(n, 0, 0)] * left
+        i = j
+    return out
+
+
+def put_code(w: BitWriter, lengths: list[int]) -> None:
+    """A prefix code by the code lengths of its symbols; a code of one symbol below 256 in the short form."""
+    used = [s for s, n in enumerate(lengths) if n]
+    if len(used) == 1 and used[0] < 256:
+        for value, bits in ((1, 1), (0, 1), (1, 1), (used[0], 8)):
             w.put(value, bits)
         return
-    n = 1 << k
-    steps = [] if k == 8 else [(k, 0)]  # 16 repeats the last length 3 to 6 times, and 8 counts as the first
-    left = n - len(steps)
-    while left >= 3:
-        times = 6 if left >= 9 or left == 6 else min(left, 5) if left - 5 != 1 and left - 5 != 2 else 3
-        steps.append((16, times))
-        left -= times
-    steps += [(k, 0)] * left
-    used = sorted({s for s, _ in steps})
+    while lengths and not lengths[-1]:
+        lengths = lengths[:-1]
+    steps = steps_of(lengths)
+    if len(steps) < 2:
+        raise AssertionError("two steps at least")
+    kinds = sorted({s for s, _, _ in steps})
+    first = [0] * 19
+    for s, n in zip(kinds, phased(len(kinds)), strict=True):
+        first[s] = n
     w.put(0, 1)
-    count = max(4, 1 + max(CODE_LENGTH_ORDER.index(s) for s in used))
+    count = max(4, 1 + max(CODE_LENGTH_ORDER.index(s) for s in kinds))
     w.put(count - 4, 4)
     for s in CODE_LENGTH_ORDER[:count]:
-        w.put(int(s in used), 3)
+        w.put(first[s], 3)
     w.put(1, 1)  # the number of steps follows; lengths after them are 0
-    bits = max(2, (len(steps) - 2).bit_length() + 1 & ~1) if len(steps) > 2 else 2
-    if len(steps) < 2:
-        raise AssertionError("two steps at least")
+    bits = max(2, (max(1, len(steps) - 2)).bit_length() + 1 & ~1)
     w.put((bits - 2) // 2, 3)
     w.put(len(steps) - 2, bits)
-    for s, times in steps:
-        if len(used) == 2:
-            w.put(used.index(s), 1)
-        if s == 16:
-            w.put(times - 3, 2)
+    codes = codes_of(first)
+    for s, extra, n in steps:
+        w.put(*codes[s])
+        w.put(extra, n)
 
 
 def shape_of(n: int) -> tuple[int, int]:
     """Height and width for n samples, n a positive multiple of 64: rows of 64 as long as they fit, else wider ones."""
-    across = max(1, -(-n // (UNIT * MOST)))
-    width = UNIT * across
-    if width > MOST:
-        raise ValueError("too many samples for one image")
+    width = UNIT * max(1, -(-n // (UNIT * MOST)))
     return -(-n // width), width
 
 
+def run_symbol(value: int) -> tuple[int, int, int]:
+    """Symbol, extra and extra bits of a length or distance: the inverse of ``run_value``."""
+    v = value - 1
+    if v < 4:
+        return v, 0, 0
+    extra = v.bit_length() - 2
+    half = v >> extra & 1
+    return 2 * extra + 2 + half, v - ((2 + half) << extra), extra
+
+
+def copies_in(samples: np.ndarray) -> list[tuple[int, int, int]]:
+    """(start, length, distance) of stretches that repeat what is before, from the left, LEAST_COPY samples at least.
+
+    The nearest earlier place with the same hash of so many samples is compared and followed as far as it is equal.
+    """
+    if len(samples) < 2 * LEAST_COPY:
+        return []
+    h = hashes(samples, LEAST_COPY)
+    order = np.argsort(h, kind="stable")
+    same = h[order[1:]] == h[order[:-1]]
+    at, before = order[1:][same], order[:-1][same]
+    by = np.argsort(at)
+    at, before = at[by], before[by]
+    near = at - before <= FARTHEST
+    at, before = at[near].tolist(), before[near].tolist()
+    out, end = [], 0
+    for p, q in zip(at, before, strict=True):
+        if p < end:
+            continue
+        n, most = 0, len(samples) - p
+        step = 4 * LEAST_COPY
+        while n < most:
+            a, b = samples[p + n : p + n + step], samples[q + n : q + n + step]
+            differ = np.flatnonzero(a != b[: len(a)])
+            if len(differ):
+                n += int(differ[0])
+                break
+            n += len(a)
+            step *= 2
+        if n >= LEAST_COPY:
+            while n:
+                take = min(n, LONGEST_COPY)
+                out.append((p, take, p - q))
+                p, q, n = p + take, q + take, n - take
+            end = p
+    return out
+
+
 @lru_cache(maxsize=64)
 def tables(main: int, k: int) -> np.ndarray:
     """Bits that say: no colour cache, (in the main image) no groups, green in k bits, everything else 0."""
     w = BitWriter()
     w.put(0, 1 + main)
-    for bits in (k, 0, 0, 0, 0):
-        put_code(w, bits)
+    put_code(w, [k] * (1 << k) if k else [1])
+    for _ in range(4):
+        put_code(w, [1])
     return w.bits()
 
 
-def write_webp(samples: np.ndarray) -> bytes:
-    """8-bit samples as the green channel of a lossless image, with a palette of the levels that occur.
+def copied_image(index: np.ndarray, n: int, copies: list[tuple[int, int, int]]) -> np.ndarray | None:
+    """Bits of an image of levels 0 to n - 1 with copies; None if its literals and lengths don't fit 256 codes.
 
-    Up to 16 levels share a pixel as the format bundles them; more take a prefix code of as many
-    bits as their number needs. The last row is filled up with the first level; the reader of the
-    samples knows their number. At most 2^28 samples fit.
+    Literals and copy lengths have codes of one length, what is left over goes to levels that don't occur.
+    """
+    lengths = [run_symbol(c[1]) for c in copies]
+    far = [run_symbol(c[2] + 120) for c in copies]
+    used = sorted({s for s, _, _ in lengths})
+    k = (n + len(used) - 1).bit_length()
+    literals = (1 << k) - len(used)
+    if k > 8 or literals > 256:
+        return None
+    green = [k] * literals + [0] * (256 - literals) + [k * (s in used) for s in range(LENGTH_SYMBOLS)]
+    kinds = sorted({s for s, _, _ in far})
+    distances = [0] * DISTANCE_SYMBOLS
+    for s, bits in zip(kinds, phased(len(kinds)), strict=True):
+        distances[s] = bits
+    w = BitWriter()
+    w.put(0, 2)
+    put_code(w, green)
+    for _ in range(3):
+        put_code(w, [1])
+    put_code(w, distances)
+    of_length, of_distance = codes_of(green), codes_of(distances)
+    literal = np.unpackbits(index.astype(np.uint8)[:, None], axis=1)[:, 8 - k :]
+    parts, at = [w.bits()], 0
+    for (p, n_, _), (ls, lx, lb), (ds, dx, db) in zip(copies, lengths, far, strict=True):
+        parts.append(literal[at:p].reshape(-1))
+        c = BitWriter()
+        c.put(*of_length[256 + ls])
+        c.put(lx, lb)
+        c.put(*of_distance[ds])
+        c.put(dx, db)
+        parts.append(c.bits())
+        at = p + n_
+    parts.append(literal[at:].reshape(-1))
+    return np.concatenate(parts)
+
+
+def write_image(samples: np.ndarray) -> bytes:
+    """Up to 2^28 8-bit samples as the green channel of a lossless image, with a palette of the levels that occur.
+
+    Up to 16 levels share a pixel as the format bundles them. More have a prefix code of as many bits as
+    their number needs; stretches that repeat earlier ones are copies where that makes the image smaller. The last
+    row is filled up with the first level; the reader of the samples knows their number.
     """
     height, width = shape_of(len(samples))
     levels, index = np.unique(samples, return_inverse=True)
@@ -412,13 +577,13 @@ def write_webp(samples: np.ndarray) -> bytes:
     full[: len(samples)] = index
     n = len(levels)
     pack = 3 if n <= 2 else 2 if n <= 4 else 1 if n <= 16 else 0
-    grid = full.reshape(height, width)
     if pack:
         each = 8 >> pack
-        grid = (grid.reshape(height, -1, 1 << pack) << each * np.arange(1 << pack)).sum(-1)
-        k = 8
-    else:
-        k = (n - 1).bit_length()
+        full = (full.reshape(-1, 1 << pack) << each * np.arange(1 << pack)).sum(-1)
+    k = 8 if pack else (n - 1).bit_length()
+    image = np.concatenate([tables(1, k), np.unpackbits(full.astype(np.uint8)[:, None], axis=1)[:, 8 - k :].reshape(-1)])
+    if not pack and (copies := copies_in(full.astype(np.uint8))) and (other := copied_image(full, n, copies)) is not None and len(other) < len(image):
+        image = other
     w = BitWriter()
     w.put(width - 1, 14)
     w.put(height - 1, 14)
@@ -427,20 +592,30 @@ def write_webp(samples: np.ndarray) -> bytes:
     w.put(3, 2)
     w.put(n - 1, 8)
     step = np.diff(levels, prepend=np.uint8(0))  # a palette holds differences
-    body = np.unpackbits(grid.reshape(-1).astype(np.uint8)[:, None], axis=1)[:, 8 - k :].reshape(-1)
-    bits = np.concatenate([w.bits(), tables(0, 8), np.unpackbits(step), np.array([0], np.uint8), tables(1, k), body])
+    bits = np.concatenate([w.bits(), tables(0, 8), np.unpackbits(step), np.array([0], np.uint8), image])
     stream = b"\x2f" + np.packbits(bits, bitorder="little").tobytes()
     chunk = b"VP8L" + len(stream).to_bytes(4, "little") + stream + b"\0" * (len(stream) & 1)
     return b"RIFF" + (4 + len(chunk)).to_bytes(4, "little") + b"WEBP" + chunk
 
 
+def write_webp(samples: np.ndarray, most: int = MOST * MOST) -> bytes:
+    """Samples as one lossless file, or several behind each other where one image can't hold them."""
+    return b"".join(write_image(samples[a : a + most]) for a in range(0, len(samples), most))
+
+
 def padded(text: bytes) -> bytes:
     return text + b"\0" * (-len(text) % UNIT or (0 if text else UNIT))
 
 
 def samples_of(media: bytes, n: int) -> np.ndarray:
-    """The first n green samples of a file."""
-    return (read_webp(media) >> 8 & 255).astype(np.uint8).reshape(-1)[:n]
+    """The first n green samples of the files that stand in ``media`` behind each other; what an image holds beyond them fills it up."""
+    out, at, left = [], 0, n
+    while left > 0:
+        size = 8 + int.from_bytes(media[at + 4 : at + 8], "little")
+        found = (read_webp(media[at : at + size]) >> 8 & 255).astype(np.uint8).reshape(-1)[:left]
+        out.append(found)
+        at, left = at + size, left - len(found)
+    return np.concatenate(out)
 
 
 def features(samples: np.ndarray) -> str:
@@ -458,7 +633,7 @@ def media_column(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     bytes with zero bytes up to a positive multiple of 64; digests and features come from the samples
     decoded from the file. Null texts count as empty (64 zero bytes). Repeated rows give equal
     values; an empty table gives an empty result. Other columns aren't read. Texts over 2^28 bytes
-    don't fit one image and stop the job with an error. Memory: one text and its image at a time.
+    become several files behind each other. Memory: one text and its image at a time.
     """
     kind = df.schema[id_col].dataType
     fields = [("n_bytes", T.LongType()), ("media", T.BinaryType()), ("payload_bytes", T.LongType()), ("payload_sha256", T.StringType()), ("tail_crc32", T.LongType()), ("media_bytes", T.LongType()), ("media_sha256", T.StringType()), ("feature", T.StringType())]

@@ -471,5 +471,119 @@ def test_copies_and_cache():
     assert got[:4].tolist() == [a, b, b, a] and got[4] == cache.get(0, 0) and got[5] == got[4]
 
 
+def test_media_of_texts_with_copies():
+    rng = random.Random(2)
+    some = 0
+    for _ in range(400):
+        levels = rng.choice([2, 5, 17, 40, 100, 200, 256])
+        b = bytes(rng.randrange(levels) for _ in range(rng.randrange(1500)))
+        for _ in range(rng.randrange(4)):
+            if b:
+                i = rng.randrange(len(b))
+                b += b[i : i + rng.randrange(300)] + bytes(rng.randrange(levels) for _ in range(rng.randrange(50)))
+        p = np.frombuffer(webp.padded(b), np.uint8)
+        some += bool(webp.copies_in(p))
+        for start, n, d in webp.copies_in(p):
+            assert all(p[start + j] == p[start + j - d] for j in range(n))
+        assert webp.samples_of(webp.write_webp(p), len(p)).tobytes() == p.tobytes()
+        assert webp.samples_of(webp.write_webp(p, most=128), len(p)).tobytes() == p.tobytes()  # several files
+    assert some > 100
+    repeated = np.frombuffer(webp.padded(b"The quick brown fox jumps over the lazy dog, 0123.\n" * 2000), np.uint8)
+    media = webp.write_webp(repeated)
+    assert len(media) < len(repeated) / 100 and webp.samples_of(media, len(repeated)).tobytes() == repeated.tobytes()
+
+
+def plain_prediction(mode, left, top, top_left, top_right):
+    """One channel; modes 11 to 13 need all channels and are below."""
+    avg = lambda a, b: (a + b) // 2
+    return {1: left, 2: top, 3: top_right, 4: top_left, 5: avg(avg(left, top_right), top), 6: avg(left, top_left), 7: avg(left, top), 8: avg(top_left, top), 9: avg(top, top_right), 10: avg(avg(left, top_left), avg(top, top_right))}[mode]
+
+
+def predict(mode, px, y, x, w):
+    black = (255, 0, 0, 0)
+    if x == 0 and y == 0 or mode == 0 and x and y:
+        return black
+    if y == 0:
+        return px[y][x - 1]
+    if x == 0:
+        return px[y - 1][x]
+    l, t, tl = px[y][x - 1], px[y - 1][x], px[y - 1][x - 1]
+    tr = px[y - 1][x + 1] if x + 1 < w else px[y][0]
+    if mode == 11:
+        p = [a + b - c for a, b, c in zip(l, t, tl)]
+        return l if sum(abs(a - b) for a, b in zip(p, l)) < sum(abs(a - b) for a, b in zip(p, t)) else t
+    clip = lambda v: max(0, min(255, v))
+    if mode == 12:
+        return [clip(a + b - c) for a, b, c in zip(l, t, tl)]
+    if mode == 13:
+        return [clip((a + b) // 2 + int(((a + b) // 2 - c) / 2)) for a, b, c in zip(l, t, tl)]
+    return [plain_prediction(mode, *v) for v in zip(l, t, tl, tr)]
+
+
+def pixels_to(w, px):
+    """Pixels as literals with codes of eight bits for each channel; no cache, one distance symbol."""
+    webp.put_code(w, [8] * 256)
+    for _ in range(3):
+        webp.put_code(w, [8] * 256)
+    webp.put_code(w, [1])
+    for a, r, g, b in px:
+        for v in (g, r, b, a):
+            w.put(int(f"{v:08b}"[::-1], 2), 8)
+
+
+@pytest.mark.parametrize("mode", range(14))
+def test_each_predictor_undoes_what_a_plain_one_does(mode):
+    rng = random.Random(mode)
+    wd, ht = 7, 6
+    px = [[tuple(rng.randrange(256) for _ in range(4)) for _ in range(wd)] for _ in range(ht)]
+    left = [tuple((p - q) % 256 for p, q in zip(px[y][x], predict(mode, px, y, x, wd))) for y in range(ht) for x in range(wd)]
+    w = Bits()
+    head(w, wd, ht)
+    w.put(1, 1), w.put(0, 2), w.put(1, 3), w.put(0, 1)  # predictor, tiles of 8
+    for v in (mode, 0, 0, 255, 0):
+        w.simple(v)
+    w.put(0, 1), w.put(0, 1), w.put(0, 1)
+    pixels_to(w, left)
+    got = webp.read_webp(w.file())
+    assert [[tuple(int(p) >> s & 255 for s in (24, 16, 8, 0)) for p in row] for row in got] == px
+
+
+def test_cross_colour_undoes_what_a_plain_one_does():
+    rng = random.Random(5)
+    wd, ht = 6, 5
+    signed = lambda v: v - 256 if v > 127 else v
+    for _ in range(5):
+        rb, gb, gr = (rng.randrange(256) for _ in range(3))
+        px = [tuple(rng.randrange(256) for _ in range(4)) for _ in range(wd * ht)]
+        delta = lambda t, c: signed(t) * signed(c) >> 5
+        made = [(a, (r - delta(gr, g)) % 256, g, (b - delta(gb, g) - delta(rb, r)) % 256) for a, r, g, b in px]
+        w = Bits()
+        head(w, wd, ht)
+        w.put(1, 1), w.put(1, 2), w.put(1, 3), w.put(0, 1)
+        for v in (gb, rb, gr, 255, 0):
+            w.simple(v)
+        w.put(0, 1), w.put(0, 1), w.put(0, 1)
+        pixels_to(w, made)
+        got = webp.read_webp(w.file()).reshape(-1)
+        assert [tuple(int(p) >> s & 255 for s in (24, 16, 8, 0)) for p in got] == px
+
+
+def test_groups_of_codes_by_tile():
+    # Two tiles of four columns: green is one symbol in each, a different one.
+    w = Bits()
+    head(w, 8, 2)
+    w.put(0, 1), w.put(0, 1)  # no transform, no cache
+    w.put(1, 1), w.put(0, 3)  # groups, tiles of 4
+    w.put(0, 1)
+    w.simple(0, 1)  # the group's low byte is green
+    for v in (0, 0, 255, 0):
+        w.simple(v)
+    w.put(0, 1), w.put(1, 1)
+    for green in (7, 9):
+        for v in (green, 1, 2, 255, 0):
+            w.simple(v)
+    assert (webp.read_webp(w.file()) >> 8 & 255).tolist() == [[7] * 4 + [9] * 4] * 2
+
+
 def test_near_offsets():
     assert webp.NEAR[:8] == [(0, 1), (1, 0), (1, 1), (-1, 1), (0, 2), (2, 0), (1, 2), (-1, 2)] and len(webp.NEAR) == 120 and webp.NEAR[-1] == (8, 7)

@@ -2,18 +2,19 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the
 columns of ``documents``, with ``n_chars`` of the text as it then is. Stages are written as
-Parquet and reread in between. Null texts count as empty throughout; see each operator for the
-rest of its edge cases.
+Parquet and reread in between. Null texts count as empty throughout, null ids and sources stay, rows that
+repeat are rows of their own until near copies go (rows of one id are then one document: all of them
+stay or go), and other columns are left out; see each operator for the rest of its edge cases.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphmill.llm import quality
 from glyphmill.llm.bpe import bpe_encode, default_tokenizer
-from glyphmill.llm.common import SPACE, materialize, read, ship, text_of
+from glyphmill.llm.common import SPACE, WORD, materialize, read, ship, text_of
 from glyphmill.llm.line_dedup import line_dedup
 from glyphmill.llm.mixing import mix
 from glyphmill.llm.near_dedup import near_dedup
@@ -31,13 +32,13 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Documents that the classifier gives 0.3 or more; it learns from the labelled ones (a bounded sample)."""
     ship(spark)
     model = quality.learn(docs, read(spark, sf_dir, "labels"))
-    return _documents(quality.score(docs, model, out_col="_score").where(F.col("_score") >= quality.THRESHOLD))
+    return _documents(quality.score(docs.select(*COLUMNS), model, out_col="_score").where(F.col("_score") >= quality.THRESHOLD))
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, without the boilerplate lines of its source."""
     ship(spark)
-    return _documents(line_dedup(docs, "doc_id", "text", "source", LINE_RATIO, LINE_DOCS))
+    return _documents(line_dedup(docs.select(*COLUMNS), "doc_id", "text", "source", LINE_RATIO, LINE_DOCS))
 
 
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,14 +48,23 @@ def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _documents(docs.join(gone, "doc_id", "left_anti"))
 
 
+def first_words(text: Column, n: Column) -> Column:
+    """The text up to its n-th word, white space as it is."""
+    between = F.split(text, WORD)
+    words = F.filter(F.split(text, f"[{SPACE}]+"), lambda w: w != "")
+    return F.array_join(F.zip_with(F.slice(between, F.lit(1), n), F.slice(words, F.lit(1), n), lambda a, w: F.concat(a, w)), "")
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each time the mix takes a document whole, and one with its first words where it takes a part."""
+    """A row for each time the mix takes a document whole, and one with its first words where it takes a part.
+
+    Blocks are taken from the start of a source's line, so what is taken of a document in part are its first words.
+    """
     ship(spark)
-    mixed = mix(docs).where("taken > 0")
+    mixed = mix(docs.select(*COLUMNS)).where("taken > 0")
     whole, part = F.floor(F.col("taken") / F.col("size")).cast("int"), (F.col("taken") % F.col("size")).cast("int")
     times = mixed.withColumns({"_part": part, "_copy": F.explode(F.sequence(F.lit(1), whole + F.when(part > 0, 1).otherwise(0)))}).withColumn("_whole", whole)
-    words = F.split(F.regexp_replace(text_of(), f"^[{SPACE}]+", ""), f"[{SPACE}]+")
-    cut = F.array_join(F.slice(words, F.lit(1), F.greatest(F.col("_part"), F.lit(1))), " ")
+    cut = first_words(text_of(), F.greatest(F.col("_part"), F.lit(1)))
     return _documents(times.withColumn("text", F.when(F.col("_copy") <= F.col("_whole"), F.col("text")).otherwise(cut)))
 
 

@@ -98,7 +98,7 @@ def taken_words(rows: DataFrame, weights=WEIGHTS, share: float = SHARE, max_repe
     placed = within.withColumn("_mx_at", sofar).join(start, ["_mx_i", "_mx_range"]).withColumn("_mx_from", F.col("_mx_at") + F.col("_mx_start"))
     to = F.col("_mx_from") + F.col("_mx_size")
     blocks = F.sequence((F.col("_mx_from") / block).cast("bigint"), ((to - 1) / block).cast("bigint"))
-    pieces = placed.withColumn("_mx_block", F.explode(F.when(F.col("_mx_size") > 0, blocks).otherwise(F.array(F.lit(-1).cast("bigint")))))
+    pieces = placed.withColumn("_mx_block", F.explode(F.when(F.col("_mx_size") > 0, blocks).otherwise(F.array(-1 - F.pmod(F.xxhash64("_mx_key"), F.lit(1 << 20))))))  # rows without words spread out
     overlap = F.least(to, (F.col("_mx_block") + 1) * block) - F.greatest(F.col("_mx_from"), F.col("_mx_block") * block)
     got = pieces.join(times, ["_mx_i", "_mx_block"], "left").groupBy("_mx_i", "_mx_key").agg(
         F.sum(F.when(F.col("_mx_size") > 0, overlap * F.coalesce("_mx_times", F.lit(0))).otherwise(0)).alias("_mx_taken"), *(F.first(c).alias(c) for c in ("_mx_source", "_mx_rows", "_mx_from", "source_size", "target")),

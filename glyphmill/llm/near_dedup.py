@@ -18,7 +18,8 @@ WORDS = 5
 SIMILARITY = 80
 SKETCH = 96
 MISS = 1e-8
-BLOCK = 700
+#: Members and bytes of sets that a block of a group has, about; two blocks meet in a task.
+BLOCK, BLOCK_BYTES = 700, 32 << 20
 #: Up to so many ids are broadcast to find their texts again; more are joined.
 BROADCAST_IDS = 1_000_000
 
@@ -77,7 +78,7 @@ def linked(sets: list[np.ndarray], percent: int, left: int | None = None, k: int
 
     Overlaps of the sketches come from the inverted lists of retained values (a product of 0/1
     matrices over the values that occur twice). Below the smaller of two sketches' largest values
-    both are complete, so overlap over union there estimates the similarity; pairs more than five
+    both are complete, so overlap over union there estimates the similarity; pairs more than six
     standard errors under the threshold go. The others are verified on the full sets, likeliest
     first, unless earlier links already join them.
     """
@@ -120,7 +121,7 @@ def linked(sets: list[np.ndarray], percent: int, left: int | None = None, k: int
     union = count_i + count_j - o
     estimate = o / union
     t = percent / 100
-    good = np.flatnonzero(estimate >= np.where(uncut, t - 1e-6, t - 5 * np.sqrt(t * (1 - t) / union)))
+    good = np.flatnonzero(estimate >= np.where(uncut, t - 1e-6, t - 6 * np.sqrt(t * (1 - t) / union)))
     parent, out = list(range(m)), []
     for p in good[np.argsort(-estimate[good], kind="stable")].tolist():
         x, y = int(i[p]), int(j[p])
@@ -145,11 +146,13 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     linked sets share one). A list's smallest id is its pivot; a pivot's group is all that its lists
     hold, so any two that share a list meet in a group, and the rows dealt out are one a list member
     at most. Inside groups ``linked`` finds overlaps, estimates and verifies, and emits a spanning
-    forest. A group of over BLOCK members is cut into blocks, and pairs of blocks go to different
-    tasks, so no task holds it whole.
+    forest. A group that is more than a block (BLOCK members, BLOCK_BYTES) meets its pivot first, pair by pair: what is linked to the
+    pivot need not meet each other. The rest is cut into blocks, which meet each other and the
+    blocks of the linked ones, every pair of blocks in a task of its own, so no task holds the group
+    and a group of copies of one text costs a row a member.
 
     Sets are of 64-bit shingle hashes; verification is exact on them. Ids are whole numbers. Rows that
-    repeat an id are one document; a null id is its own component and stays (component_id null,
+    repeat an id are one document, linked with whatever one of its texts is linked with; n_shingles is each row's own. A null id is its own component and stays (component_id null,
     kept false). Null texts count as empty; texts without words have no shingles and no links. Other
     columns aren't read; an empty table gives an empty result.
     """
@@ -166,10 +169,10 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) for s in sets], pa.binary()), lists], names=["id", "n", "sid", "keys"])
 
     sets = materialize(base.mapInArrow(scan, "id bigint, n bigint, sid binary, keys array<bigint>"), "sketches")
-    reps = sets.where("n > 0 AND id IS NOT NULL").groupBy("sid").agg(F.min("id").alias("rep"), F.first("keys").alias("keys"))
-    members = reps.select("rep", F.explode("keys").alias("key"))
+    reps = sets.where("n > 0 AND id IS NOT NULL").groupBy("sid").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    members = reps.select("rep", "n", F.explode("keys").alias("key"))
     lists = members.groupBy("key").agg(F.min("rep").alias("pivot"), F.max("rep").alias("_most")).where("pivot < _most").select("key", "pivot")
-    groups = materialize(members.join(lists, "key").select("pivot", "rep").distinct(), "groups")
+    groups = materialize(members.join(lists, "key").groupBy("pivot", "rep").agg(F.max("n").alias("n")), "groups")
     ids = groups.select(F.col("rep").alias("id")).distinct()
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
@@ -178,12 +181,32 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([of(t).tobytes() for t in b.column(1).to_pylist()], pa.binary())], names=["rep", "set"])
 
-    full = materialize(base.join(ids, "id").dropDuplicates(["id"]).mapInArrow(again, "rep bigint, set binary"), "sets")
-    sizes = groups.groupBy("pivot").agg(F.count(F.lit(1)).alias("m"))
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    placed = groups.join(sizes.withColumn("nb", blocks), "pivot").withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("nb") - 1))
-    placed = placed.withColumn("other", other).select("pivot", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "rep", "mine")
+    full = base.join(ids, "id").mapInArrow(again, "rep bigint, set binary").withColumn("_s", F.xxhash64("set"))
+    full = materialize(full.dropDuplicates(["rep", "_s"]).drop("_s"), "sets")
+    blocks_of = lambda count, size: F.ceil(F.greatest(F.col(count) / BLOCK, F.col(size) * 8 / BLOCK_BYTES)).cast("int")
+    sizes = groups.groupBy("pivot").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("size")).withColumn("nb", blocks_of("m", "size"))
+    large = materialize(sizes.where("nb > 1").select("pivot"), "large-groups")
+
+    def star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            hit = []
+            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                common = len(np.intersect1d(p, q, assume_unique=True)) if min(len(p), len(q)) * 100 >= max(len(p), len(q)) * similarity else 0
+                hit.append(100 * common >= similarity * (len(p) + len(q) - common))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(hit, pa.bool_())], names=["pivot", "rep", "near"])
+
+    rays = groups.join(large, "pivot").join(full, "rep").join(full.select(F.col("rep").alias("pivot"), F.col("set").alias("first")), "pivot").select("pivot", "rep", "first", "set")
+    rays = materialize(rays.mapInArrow(star, "pivot bigint, rep bigint, near boolean").groupBy("pivot", "rep").agg(F.max("near").alias("near")), "rays")
+    small = groups.join(large, "pivot", "left_anti").select("pivot", "rep", F.lit(0).alias("mine"), F.lit(0).alias("lo"), F.lit(0).alias("hi"))
+    far = F.when(~F.col("near"), 1).otherwise(0)
+    cut = groups.join(rays, ["pivot", "rep"])
+    per = cut.groupBy("pivot").agg(F.sum(far).alias("fm"), F.sum(far * F.col("n")).alias("fs"), F.sum(1 - far).alias("nm"), F.sum((1 - far) * F.col("n")).alias("ns"))
+    per = per.select("pivot", blocks_of("fm", "fs").alias("fb"), blocks_of("nm", "ns").alias("nb")).where("fb > 0")  # no far member: nothing left to meet
+    cut = cut.join(per, "pivot").withColumn("mine", F.when(F.col("near"), F.col("fb") + F.pmod(F.xxhash64("rep"), F.col("nb"))).otherwise(F.pmod(F.xxhash64("rep"), F.col("fb"))).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.when(F.col("near"), F.col("fb") - 1).otherwise(F.col("fb") + F.col("nb") - 1)))
+    cut = cut.withColumn("other", other).select("pivot", "rep", "mine", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"))
+    placed = small.unionByName(cut).select("pivot", "lo", "hi", "rep", "mine")
 
     def meet(key: tuple, rows: pa.Table) -> Iterator[pa.RecordBatch]:
         _, lo, hi = key
@@ -199,6 +222,11 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
                 yield pa.RecordBatch.from_arrays([pa.array(rep[list(a)]), pa.array(rep[list(b)])], names=["a", "b"])
 
     links = by_group(placed.join(full, "rep"), ["pivot", "lo", "hi"], meet, "a bigint, b bigint")
+    links = links.unionByName(rays.where("near AND pivot < rep").select(F.col("pivot").alias("a"), F.col("rep").alias("b")))
+    # Rows of one id with different texts: their sets' representatives are linked.
+    several = sets.where("n > 0 AND id IS NOT NULL").groupBy("id").agg(F.min(F.xxhash64("sid")).alias("x"), F.max(F.xxhash64("sid")).alias("y")).where("x <> y").select("id")
+    one = sets.where("n > 0").join(several, "id").select("id", "sid").distinct().join(reps.select("sid", "rep"), "sid")
+    links = links.unionByName(one.select(F.least("id", "rep").alias("a"), F.greatest("id", "rep").alias("b")).where("a < b"))
     found = components(links)
     named = sets.join(reps.select("sid", "rep"), "sid", "left").select("id", "n", F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("rep")).otherwise(F.col("id")).alias("rep"))
     out = named.join(found, F.col("rep") == F.col("node"), "left").withColumn("component_id", F.coalesce("component", "rep"))

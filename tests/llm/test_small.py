@@ -163,6 +163,33 @@ def test_near_dedup(spark, docs, none):
     assert near_dedup.near_dedup(none).count() == 0
 
 
+def test_near_dedup_of_groups_of_many_blocks_and_rows_of_one_id(spark, docs, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", 3)  # read on the driver
+    rng = random.Random(8)
+    base = " ".join("".join(rng.choices("abcdefgh", k=4)) for _ in range(90))
+    rows = [(i, base if i % 5 == 0 else edited(base, rng.randrange(6))) for i in range(60)]
+    rows += [(100, base + " more words at the end of it"), (101, "nothing in common with others here"), (101, rows[3][1]), (102, "a b c d e f"), (102, "a b c d e f g h i j k l")]
+    got = {}
+    for r in near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id bigint, text string")).collect():
+        assert got.setdefault(r["doc_id"], r["component_id"]) == r["component_id"]
+    sets = collections.defaultdict(list)
+    for i, t in rows:
+        w = words(t)
+        sets[i].append({tuple(w[k : k + 5]) for k in range(len(w) - 4)})
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in itertools.combinations(sorted(sets), 2):
+        if any(100 * len(x & y) >= 80 * len(x | y) for x in sets[a] for y in sets[b]):
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    assert got == {i: find(i) for i in sets}
+
+
 def test_blocks_find_what_one_matrix_finds():
     sets = [np.sort(np.array(RNG.sample(range(1, 400), 60), np.uint64)) for _ in range(5)]
     sets += [np.unique(np.append(s[2:], np.uint64(1000 + i))) for i, s in enumerate(sets)]

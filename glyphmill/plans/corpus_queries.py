@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 
 from glyphmill.functions import lexicon as L
 from glyphmill.functions import text as X
+from glyphmill.functions.vectors import cosine
 from glyphmill.operators import corpus as C
 from glyphmill.operators import metrics as M
 from glyphmill.operators import validate as V
 from glyphmill.plans import detector_sql as S
 from glyphmill.plans.detector_sql import q
 from glyphmill.plans.fixtures import BASE, TEXTS, quoted
-from glyphmill.operators import retrieval as R
 from glyphmill.operators.rewrite import rescored
 from glyphmill.plans.detector_sql import LAYERS
 from glyphmill.plans.fixtures import DOCUMENTS_SQL
@@ -272,7 +272,7 @@ PER_QUERY = """SELECT {keys}, coalesce(count(*) FILTER (place <= 3 AND relevance
 def candidate_lists(spark, sf_dir):
     e = read(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
     asked = written(e.where("vec_id % 50 = 0").toDF("q", "x", "ql"), "asked")
-    met = against(e, asked).where("q <> vec_id").select("q", F.col("vec_id").alias("ord"), F.round(R.cosine(F.col("x"), F.col("embedding")), 6).alias("sem"), F.when(F.col("ql") == F.col("label"), 2).when(F.abs(F.col("ql") - F.col("label")) == 1, 1).otherwise(0).alias("relevance"))
+    met = against(e, asked).where("q <> vec_id").select("q", F.col("vec_id").alias("ord"), F.round(cosine(F.col("x"), F.col("embedding")), 6).alias("sem"), F.when(F.col("ql") == F.col("label"), 2).when(F.abs(F.col("ql") - F.col("label")) == 1, 1).otherwise(0).alias("relevance"))
     # The planner keeps the first twelve of each task before it deals rows out by query.
     near = met.withColumn("r", F.row_number().over(W.partitionBy("q").orderBy(F.desc("sem"), "ord"))).where("r <= 12").drop("r")
     return near.withColumn("hard", (F.col("relevance") == 0) & (F.col("ord") % 2 == 0))

@@ -137,6 +137,6 @@ def against(rows: DataFrame, asked: DataFrame) -> DataFrame:
     if n <= BLOCK_ROWS:
         return rows.crossJoin(F.broadcast(asked))
     blocks, parts = -(-n // BLOCK_ROWS), max(1, rows.sparkSession.sparkContext.defaultParallelism)
-    left = rows.withColumn("_part", (F.rand(7) * parts).cast("int")).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    left = rows.withColumn("_part", F.pmod(F.xxhash64(*rows.columns), F.lit(parts)).cast("int")).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     right = asked.withColumn("_block", F.pmod(F.xxhash64(*asked.columns[:1]), F.lit(blocks)).cast("int")).withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     return left.join(right, ["_block", "_part"]).drop("_block", "_part")

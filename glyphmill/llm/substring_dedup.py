@@ -351,8 +351,12 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             if not len(first):
                 continue
             t, s, n = text[first], at[first], count
-            out = [part[x][y : y + z + LENGTH - 1] for x, y, z in zip(t.tolist(), s.tolist(), n.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(anchor[first].view(np.int64)), pa.array(ids[owner[t]].astype(np.int64)), pa.array(own[owner[t]].astype(np.int64)), pa.array(s + offset[t]), pa.array(n), pa.array(out, pa.binary())], names=["h", "id", "t", "start", "n", "context"])
+            begin = np.cumsum([0, *map(len, part)])[t] + s
+            size = n + LENGTH - 1
+            ends = np.concatenate([[0], np.cumsum(size)])
+            data_ = np.frombuffer(b"".join(part), np.uint8)[expanded(begin, size)]
+            out = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data_)])
+            yield pa.RecordBatch.from_arrays([pa.array(anchor[first].view(np.int64)), pa.array(ids[owner[t]].astype(np.int64)), pa.array(own[owner[t]].astype(np.int64)), pa.array(s + offset[t]), pa.array(n), out], names=["h", "id", "t", "start", "n", "context"])
 
     texts = originals.select("chunk", "id", "t", F.lit(None).cast("bigint").alias("bucket"), F.col("text").alias("data"))
     asked = shared.select("chunk", F.lit(None).cast("bigint").alias("id"), F.lit(None).cast("bigint").alias("t"), "bucket", F.col("packed").alias("data"))
@@ -376,33 +380,38 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     touched = F.broadcast(touched) if touched.count() <= BROADCAST_IDS else touched
 
     def finish(key: tuple, rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        mask = np.array([-1 if x is None else x for x in rows.column("mask").to_pylist()])
+        marks = rows.column("mask").to_numpy(zero_copy_only=False)
+        is_doc = np.isnan(marks) if marks.dtype.kind == "f" else np.zeros(len(marks), bool)
         ids, own = rows.column("id").to_numpy(), rows.column("t").to_numpy()
-        start = rows.column("start").to_numpy(zero_copy_only=False)
-        text, copy = rows.column("text").to_pylist(), rows.column("copy").to_pylist()
-        of: dict[tuple[int, int], list[int]] = {}
-        for i in np.flatnonzero(mask >= 0).tolist():
-            of.setdefault((int(ids[i]), int(own[i])), []).append(i)
+        docs_at = np.flatnonzero(is_doc)
+        texts = rows.column("text").take(pa.array(docs_at)).to_pylist()
+        size = np.array([len(t) for t in texts], np.int64)
+        first = np.cumsum(size + 1) - size - 1  # a place behind each text
+        # Rows of one document have one place to add to.
+        number = {(i, t): k for k, (i, t) in enumerate(zip(ids[docs_at].tolist(), own[docs_at].tolist(), strict=True))}
+        at = np.flatnonzero(~is_doc)
+        at = at[np.lexsort((own[at], ids[at]))]
+        i, t = ids[at], own[at]
+        edge = np.flatnonzero(np.concatenate([[True], (i[1:] != i[:-1]) | (t[1:] != t[:-1])])) if len(at) else np.empty(0, np.int64)
+        of = np.repeat(np.array([number.get(k, -1) for k in zip(i[edge].tolist(), t[edge].tolist(), strict=True)], np.int64), np.diff(np.append(edge, len(at))))
+        at, of = at[of >= 0], of[of >= 0]
+        mask = marks[at].astype(np.int64)
+        base = first[of] + rows.column("start").to_numpy(zero_copy_only=False)[at].astype(np.int64)
+        total = int(size.sum()) + len(size) + 1
+        up, down = [], []
+        for bit in range(RUN):  # a run of windows begins or ends here
+            here = mask >> bit & 1 > 0
+            up.append(base[here & (mask << 1 >> bit & 1 == 0)] + bit)
+            down.append(base[here & (mask >> bit + 1 & 1 == 0)] + bit + LENGTH)
+        gone = np.bincount(np.concatenate(up), minlength=total) - np.bincount(np.concatenate(down), minlength=total)
+        away = np.cumsum(gone) > 0
         out = []
-        for i in np.flatnonzero(mask < 0).tolist():
-            t = text[i]
-            gone = np.zeros(len(t) + 1, np.int32)
-            if copy[i] and len(t) >= LENGTH:
-                gone[0], gone[-1] = 1, -1
-            elif not copy[i]:
-                for j in of.get((int(ids[i]), int(own[i])), ()):
-                    m, s = int(mask[j]), int(start[j])
-                    while m:
-                        o = (m & -m).bit_length() - 1
-                        e = o
-                        while m >> e & 1:
-                            e += 1
-                        gone[s + o] += 1
-                        gone[s + e - 1 + LENGTH] -= 1
-                        m &= ~((1 << e) - 1)
-            away = np.cumsum(gone[:-1]) > 0
-            edges = np.flatnonzero(np.diff(np.concatenate([[0], away.view(np.int8), [0]])))
-            out.append((int(ids[i]), len(t), np.frombuffer(t, np.uint8)[~away].tobytes(), [{"start": a, "end": b} for a, b in edges.reshape(-1, 2).tolist()]))
+        # Rows that repeat a document have the places of the last of them.
+        for d, text in zip(docs_at.tolist(), texts, strict=True):
+            k = int(first[number[int(ids[d]), int(own[d])]])
+            cut = away[k : k + len(text)]
+            edges = np.flatnonzero(np.diff(np.concatenate([[0], cut.view(np.int8), [0]])))
+            out.append((int(ids[d]), len(text), np.frombuffer(text, np.uint8)[~cut].tobytes(), [{"start": a, "end": b} for a, b in edges.reshape(-1, 2).tolist()]))
             if len(out) >= 500:
                 yield batch_of(out)
                 out = []
@@ -417,8 +426,8 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     null = lambda t: F.lit(None).cast(t)
     marked = docs.join(touched, ["id", "t"], "left")
-    left = marked.where("cut AND copy IS NULL").select("chunk", "id", "t", null("bigint").alias("start"), null("bigint").alias("mask"), "text", F.lit(False).alias("copy"))
-    right = covered.select("chunk", "id", "t", "start", "mask", null("binary").alias("text"), null("boolean").alias("copy"))
+    left = marked.where("cut AND copy IS NULL").select("chunk", "id", "t", null("bigint").alias("start"), null("bigint").alias("mask"), "text")
+    right = covered.select("chunk", "id", "t", "start", "mask", null("binary").alias("text"))
     schema = "id bigint, n_bytes bigint, kept binary, spans array<struct<start:bigint,end:bigint>>"
     changed = by_group(left.unionByName(right), ["chunk"], finish, schema)
     # Copies lose all, documents without a covered byte nothing: they need no dealing out.

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column
@@ -76,12 +77,26 @@ def ascii_bounds(pattern: str) -> str:
     return pattern.replace(r"\b", B0)
 
 
+#: Without any of these no replacement of the chain they guard applies; one look spares most texts the chain.
+MARKED = r"[`\[#>*_~|]|[-+]\s|\d[.)]\s|---|[ \t][ \t\n]|\n\n\n"
+CITING = r"[\[(@]|https?://|(?i:DOI:)|[\w-]\.[\w-]"
+
+
+def once(c: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a column that is computed once, however often ``f`` uses it."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
+def guarded(c: Column, guard: str, steps: Sequence[tuple[str, str]]) -> Column:
+    return once(c, lambda t: F.when(F.regexp_like(t, F.lit(guard)), chain(t, steps)).otherwise(t))
+
+
 def strip_markdown(c: Column) -> Column:
-    return chain(c, MARKDOWN)
+    return guarded(c, MARKED, MARKDOWN)
 
 
 def clean_academic(c: Column) -> Column:
-    return chain(c, [*CODE, *MARKDOWN, *CODE, *((ascii_bounds(p), to) for p, to in CITED)])
+    return guarded(guarded(c, MARKED, [*CODE, *MARKDOWN, *CODE]), CITING, [(ascii_bounds(p), to) for p, to in CITED])
 
 
 def words(c: Column) -> Column:
@@ -101,11 +116,14 @@ SENTENCE = r"[^.!?]+[.!?]+[\"”']?|\S.+$"
 
 def sentences(c: Column, min_words: int = 4, by_space: bool = False) -> Column:
     """Sentences of at least ``min_words`` words, white space collapsed."""
-    norm = F.trim(F.regexp_replace(c, r"\s+", " "))
-    found = extract(norm, SENTENCE)
-    found = F.when(norm == "", F.array().cast("array<string>")).when(F.size(found) == 0, F.array(norm)).otherwise(found)
     count = (lambda s: F.size(space_words(s))) if by_space else count_words
-    return F.filter(F.transform(found, lambda s: F.trim(s)), lambda s: count(s) >= min_words)
+    some = (lambda a: F.filter(a, lambda s: count(s) >= min_words)) if min_words else (lambda a: a)
+
+    def cut(t: Column) -> Column:
+        found = once(extract(t, SENTENCE), lambda a: F.when(F.size(a) > 0, F.transform(a, lambda s: F.trim(s))).otherwise(F.array(t)))
+        return F.when(t == "", F.array().cast("array<string>")).otherwise(some(found))
+
+    return once(F.trim(F.regexp_replace(c, r"\s+", " ")), cut)
 
 
 def sentences_after_marks(c: Column) -> Column:
@@ -203,7 +221,9 @@ def clean_wikitext(c: Column) -> Column:
 
 
 def alternation(terms: Sequence[str]) -> str:
-    return B0 + "(?:" + "|".join(terms) + ")" + B1
+    """Any of the terms between ASCII word boundaries; shorter where each term begins and ends with a word character."""
+    inside = all(re.match(r"\w.*[\w\]]$|\w$", t, re.A) for t in terms)
+    return ("(?<![0-9A-Za-z_])" if inside else B0) + "(?:" + "|".join(terms) + ")" + ("(?![0-9A-Za-z_])" if inside else B1)
 
 
 def count_terms(c: Column, terms: Sequence[str]) -> Column:
@@ -231,8 +251,7 @@ def ngrams(tokens: Column, n: int) -> Column:
 
 
 def diversity(tokens: Column, n: int) -> Column:
-    grams = ngrams(tokens, n)
-    return F.when(F.size(grams) > 0, F.size(F.array_distinct(grams)) / F.size(grams)).otherwise(F.lit(1.0))
+    return once(ngrams(tokens, n), lambda grams: F.when(F.size(grams) > 0, F.size(F.array_distinct(grams)) / F.size(grams)).otherwise(F.lit(1.0)))
 
 
 def jaccard(a: Column, b: Column, empty: float = 0.0) -> Column:

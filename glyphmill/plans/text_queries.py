@@ -95,7 +95,7 @@ TABLE = {
     "K15_citations": (lambda: {"cites": X.extract(N(), X.ascii_bounds(X.CITE)), "links": X.extract(N(), "(?i)https?://\\S+|" + X.B0 + "DOI:\\S+"), "quotes": X.extract(N(), '"[^"]+"|“[^”]+”|\'[^\']{4,}\'')}, {"cites": f"regexp_extract_all({T0}, {q(S.CITE)})", "links": f"regexp_extract_all({T0}, '(?i)https?://{BS}S+|{BS}bDOI:{BS}S+')", "quotes": f"regexp_extract_all({T0}, '\"[^\"]+\"|“[^”]+”|''[^'']{{4,}}''')"}),
     "K16_proper_nouns": (lambda: {"n": F.size(F.array_distinct(X.extract(N(), X.PROPER)))}, {"n": f"CAST(len(list_distinct(regexp_extract_all({T0}, '{BS}s[A-ZÀ-Þ][a-zà-ÿ]+'))) AS INT)"}),
     "K20_openers": (lambda: {"openers": F.transform(X.sentences(N()), X.opener)}, {"openers": f"[{S.opener('x')} FOR x IN {S.sentences(T0)}]"}),
-    "K21_sections": (lambda: {"sections": F.filter(F.array(*map(F.lit, L.SECTIONS)), lambda s: F.regexp_like(LOW(), F.concat(F.lit(X.B0), s, F.lit(X.B1))))}, {"sections": f"[x FOR x IN {S.array(L.SECTIONS)} IF regexp_matches(lower({T0}), '{BS}b' || x || '{BS}b')]"}),
+    "K21_sections": (lambda: {"sections": F.array_compact(F.array(*(F.when(F.regexp_like(LOW(), F.lit(X.B0 + s + X.B1)), F.lit(s)) for s in L.SECTIONS)))}, {"sections": f"[x FOR x IN {S.array(L.SECTIONS)} IF regexp_matches(lower({T0}), '{BS}b' || x || '{BS}b')]"}),
     "L01_language_exclusions": (lambda: {"n": F.size(F.array_distinct(X.language_exclusions(N())))}, {"n": f"CAST(len(list_distinct(list_concat(flatten([[x FOR x IN regexp_split_to_array(lower(m), '[^a-zà-ÿ]+') IF x <> ''] FOR m IN regexp_extract_all({T0}, '{BS}b[A-ZÀ-Þ][a-zà-ÿ]+(?:{BS}s+[A-ZÀ-Þ][a-zà-ÿ]+)+')]), [lower(x) FOR x IN regexp_extract_all({T0}, '{BS}b[A-ZÀ-Þ]{{2,}}{BS}b')]))) AS INT)"}),
 }
 

@@ -93,6 +93,14 @@ def greedy_kept(sets: DataFrame, id_col: str = "id", set_col: str = "set", thres
     return accept(rows, "all", "id", "keys").select("id")
 
 
+def greedy_removed(pairs: DataFrame) -> DataFrame:
+    """C09 for links (i, j), i < j, that are there: ids that a smaller id, itself not removed, removes."""
+    key = F.concat_ws(":", "i", "j")
+    ends = pairs.select(F.col("i").alias("id"), key.alias("key")).unionByName(pairs.select(F.col("j").alias("id"), key.alias("key")))
+    rows = ends.groupBy("id").agg(F.collect_set("key").alias("keys")).withColumn("all", F.lit(0))
+    return rows.select("id").join(accept(rows, "all", "id", "keys").select("id"), "id", "left_anti")
+
+
 def two_sided(units: DataFrame, sets: DataFrame, threshold: float = 0.8) -> DataFrame:
     """Units that stay of (unit, id, text) rows: in order, a unit goes with all its sides if one is equal to, or like, a side of a unit that stayed.
 

@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from glyphmill.operators import corpus, detector, greedy
+from glyphmill.operators import corpus, detector, greedy, summary
 from glyphmill.plans.fixtures import BASE, texts
 
 
@@ -38,9 +38,10 @@ def test_split_keeps_units_together(spark):
 
 
 def test_greedy_operators(spark):
-    rows = spark.createDataFrame([(1, 0, "a", ["x", "y"], 3.0, 2), (1, 1, "b", ["x", "y"], 2.0, 2), (1, 2, "c", ["z"], 1.0, 2)], "doc_id bigint, pos int, sent string, words array<string>, total double, keep int")
-    assert [r["sent"] for r in greedy.pick_sentences(rows).orderBy("pos").collect()] == ["a", "c"]
+    rows = [(1, 0, "a", ["x", "y"], 3.0, 2), (1, 1, "b", ["x", "y"], 2.0, 2), (1, 2, "c", ["z"], 1.0, 2), (1, 3, "d", ["u"], 0.5, 2)]  # up to three stay whole
+    rows = spark.createDataFrame([(*r, [4], 0.0, 0.0) for r in rows], "doc_id bigint, pos int, sent string, tokens array<string>, total double, keep int, counts array<int>, orphan double, generic double")
+    assert [r["sent"] for r in summary.pick(rows).orderBy("pos").collect()] == ["a", "c"]
     c = spark.createDataFrame([(1, 1, "h", "t"), (1, 2, "h", "u"), (1, 3, "g", "u"), (1, 4, None, "")], "q int, i int, host string, title string")
     assert [r["i"] for r in greedy.dedupe_candidates(c, "q", "i", ["host", "title"]).orderBy("i").collect()] == [1, 3, 4]
-    got = spark.createDataFrame([(["aa", "bb", "cccc"],), ([],)], "s array<string>").select(greedy.pack(F.col("s"), 5, 6).alias("c")).collect()
+    got = spark.createDataFrame([(["aa", "bb", "cccc"],), ([],)], "s array<string>").select(greedy.pack(F.col("s"), 5).alias("c")).collect()
     assert got[0]["c"] == ["aa bb", "cccc"] and got[1]["c"] == []

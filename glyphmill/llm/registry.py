@@ -10,6 +10,7 @@ from glyphmill.llm.mixing import op8_mixing
 from glyphmill.llm.near_dedup import op7_near_dedup
 from glyphmill.llm.pii import op6_pii
 from glyphmill.llm.quality import op4_quality
+from glyphmill.llm.simhash import op11_simhash
 from glyphmill.llm.substring_dedup import op5_substring
 from glyphmill.llm.webp import op2_media
 
@@ -24,5 +25,6 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_line_dedup": op9_line_dedup,
     "op10_bpe": op10_bpe,
+    "op11_simhash": op11_simhash,
 }
 ORACLE_SQL = {"op1_exact_dedup": OP1_SQL, "op9_line_dedup": OP9_SQL}

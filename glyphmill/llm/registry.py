@@ -5,6 +5,7 @@ from __future__ import annotations
 from glyphmill.llm.bpe import op10_bpe
 from glyphmill.llm.exact_dedup import OP1_SQL, op1_exact_dedup
 from glyphmill.llm.lattice import op3_lattice
+from glyphmill.llm.lexical import OP12_SQL, op12_lexical
 from glyphmill.llm.line_dedup import OP9_SQL, op9_line_dedup
 from glyphmill.llm.mixing import op8_mixing
 from glyphmill.llm.near_dedup import op7_near_dedup
@@ -26,5 +27,6 @@ QUERIES = {
     "op9_line_dedup": op9_line_dedup,
     "op10_bpe": op10_bpe,
     "op11_simhash": op11_simhash,
+    "op12_lexical": op12_lexical,
 }
-ORACLE_SQL = {"op1_exact_dedup": OP1_SQL, "op9_line_dedup": OP9_SQL}
+ORACLE_SQL = {"op1_exact_dedup": OP1_SQL, "op9_line_dedup": OP9_SQL, "op12_lexical": OP12_SQL}

@@ -119,7 +119,7 @@ def split_units(df: DataFrame, stratum: list[str], unit: str, seed: int = 42) ->
     count = units.groupBy(*stratum).agg(F.count(F.lit(1)).alias("_n"))
     part = F.greatest(F.lit(1), F.bround(F.col("_n") * 0.2, 0).cast("int"))
     part = F.when(part * 2 >= F.col("_n"), F.floor(F.col("_n") * 20 / 100).cast("int")).otherwise(part)
-    placed = numbered(units.withColumn("_o", seeded(seed, unit)), "_o", "_r", stratum).join(F.broadcast(count.withColumn("_k", part)), stratum)
+    placed = numbered(units.withColumn("_o", seeded(seed, unit)), "_o", "_r", stratum).join(count.withColumn("_k", part), stratum)
     named = F.when(F.col("_r") < F.col("_k"), "test").when(F.col("_r") < F.col("_k") * 2, "dev").otherwise("train")
     return df.join(placed.select(*stratum, unit, named.alias("split")), [*stratum, unit])
 

@@ -7,6 +7,7 @@ import os
 import tempfile
 import uuid
 import zipfile
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -99,32 +100,27 @@ def discard(*tables: DataFrame) -> None:
             at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def numbered(df: DataFrame, order: str, name: str = "place", by: list[str] | None = None) -> DataFrame:
-    """``df`` with ``name``: 0, 1, ... in ``order`` (a whole-number or hexadecimal column) within ``by``, ties in any order.
+def numbered(df: DataFrame, order: str, name: str = "place", by: list[str] | None = None, ties: list[str] | None = None) -> DataFrame:
+    """``df`` with ``name``: 0, 1, ... in ``order`` within ``by``, null first; equal values go by ``ties``, then in any order.
 
-    Rows are counted by range of ``order`` first; a window numbers them within a range, and what
-    the ranges before hold is added. So no window has more than a range, about RANGE_ROWS rows where
-    the order's values are spread evenly. A null order comes first.
+    More than RANGE_ROWS rows are dealt out by ranges of (by, order, ties, row), whose boundaries Spark samples from the rows themselves, and
+    written; rows are counted by range, a window numbers them within a range, and what the ranges before hold is added. So no window has more than a
+    range, about RANGE_ROWS rows, however the values are spread: far outliers, clusters, and a value or group that a third of all rows have
+    only move the boundaries.
     """
-    by = by or []
-    hexadecimal = dict(df.dtypes)[order] == "string"
-    if hexadecimal:
-        at = F.conv(F.left(F.col(order), F.lit(8)), 16, 10).cast("bigint")
-        low, high, n = 0, (1 << 32) - 1, df.count()
-    else:
-        at = F.col(order).cast("bigint")
-        low, high, n = df.agg(F.min(at), F.max(at), F.count(F.lit(1))).first()
-    width = max(1, -(-((high or 0) - (low or 0) + 1) * RANGE_ROWS // max(1, n)))
-    ranged = df.withColumn("_range", F.coalesce(F.floor((at - F.lit(low or 0)) / F.lit(width)), F.lit(-1)))
+    by, ties = by or [], ties or []
+    columns, parts = df.columns, -(-df.count() // RANGE_ROWS)
+    within = [F.asc_nulls_first(c) for c in (order, *ties)]
+    if parts <= 1:
+        return df.withColumn(name, (F.row_number().over(W.partitionBy(*by or [F.lit(0)]).orderBy(*within)) - 1).cast("bigint"))
+    ranged = df.withColumn("_row", F.monotonically_increasing_id()).repartitionByRange(parts, *map(F.asc_nulls_first, by), *within, "_row")
+    ranged = written(ranged.withColumn("_range", F.spark_partition_id()), "ranged")
     before = ranged.groupBy(*by, "_range").agg(F.count(F.lit(1)).alias("_n"))
-    before = before.select(*by, "_range", (F.sum("_n").over(W.partitionBy(*by, F.lit(0)).orderBy("_range")) - F.col("_n")).alias("_before"))
-    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"b.{c}")) for c in [*by, "_range"]]
-    condition = same[0]
-    for x in same[1:]:
-        condition = condition & x
-    inside = F.row_number().over(W.partitionBy(*by, "_range").orderBy(order)) - 1
-    placed = ranged.withColumn("_inside", inside).alias("r").join(before.alias("b"), condition)
-    return placed.select(*[f"r.{c}" for c in df.columns], (F.col("_inside") + F.col("_before")).cast("bigint").alias(name))
+    before = before.select(*by, "_range", (F.sum("_n").over(W.partitionBy(*by or [F.lit(0)]).orderBy("_range")) - F.col("_n")).alias("_before"))
+    same = reduce(Column.__and__, (F.col(f"r.{c}").eqNullSafe(F.col(f"b.{c}")) for c in [*by, "_range"]))
+    inside = F.row_number().over(W.partitionBy(*by, "_range").orderBy(*within, "_row")) - 1
+    placed = ranged.withColumn("_inside", inside).alias("r").join(before.alias("b"), same)
+    return placed.select(*[f"r.{c}" for c in columns], (F.col("_inside") + F.col("_before")).cast("bigint").alias(name))
 
 
 def against(rows: DataFrame, asked: DataFrame) -> DataFrame:

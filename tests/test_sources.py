@@ -126,6 +126,24 @@ def test_numbering_by_ranges(spark, monkeypatch):
     assert tables.numbered(df.where("false"), "n").count() == 0
 
 
+def test_ranges_follow_the_values(spark, monkeypatch):
+    """One id of 2^62, clustered ids, a value and a group that most rows have: no range is much larger than the others."""
+    monkeypatch.setattr(tables, "RANGE_ROWS", 500)
+    seen = []
+    monkeypatch.setattr(tables, "written", lambda df, *a, kept=tables.written: seen.append(kept(df, *a)) or seen[-1])
+    rng = random.Random(3)
+    values = [1 << 62, -(1 << 62)] + [rng.choice([10, 1 << 40]) + rng.randrange(3000) for _ in range(4000)] + [5] * 4000 + [None] * 300
+    rows = [(v, rng.choice("abc") if i % 3 else "hot", i) for i, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "n bigint, g string, t int")
+    got = tables.numbered(df, "n", ties=["t"]).collect()
+    by_place = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[2]))
+    assert [(r["n"], r["t"]) for r in sorted(got, key=lambda r: r["place"])] == [(n, t) for n, _, t in by_place]
+    tables.numbered(df, "n", by=["g"]).collect()
+    for ranged in seen:
+        sizes = [r["count"] for r in ranged.groupBy("_range").count().collect()]
+        assert len(sizes) >= 15 and max(sizes) <= 1200
+
+
 def test_query_set_in_blocks(spark, monkeypatch):
     rows, asked = spark.range(50), spark.range(23).toDF("q")
     want = {(a, b) for a in range(50) for b in range(23)}

@@ -10,6 +10,7 @@ from glyphmill.llm.line_dedup import OP9_SQL, op9_line_dedup
 from glyphmill.llm.mixing import op8_mixing
 from glyphmill.llm.near_dedup import op7_near_dedup
 from glyphmill.llm.pii import op6_pii
+from glyphmill.llm.prefix_trie import OP13_SQL, op13_prefix_trie
 from glyphmill.llm.quality import op4_quality
 from glyphmill.llm.simhash import op11_simhash
 from glyphmill.llm.substring_dedup import op5_substring
@@ -28,5 +29,6 @@ QUERIES = {
     "op10_bpe": op10_bpe,
     "op11_simhash": op11_simhash,
     "op12_lexical": op12_lexical,
+    "op13_prefix_trie": op13_prefix_trie,
 }
-ORACLE_SQL = {"op1_exact_dedup": OP1_SQL, "op9_line_dedup": OP9_SQL, "op12_lexical": OP12_SQL}
+ORACLE_SQL = {"op1_exact_dedup": OP1_SQL, "op9_line_dedup": OP9_SQL, "op12_lexical": OP12_SQL, "op13_prefix_trie": OP13_SQL}

@@ -11,6 +11,7 @@ from glyphmill.functions import text as X
 from glyphmill.functions.vectors import cosine
 from glyphmill.operators import corpus as C
 from glyphmill.operators import metrics as M
+from glyphmill.operators.neighbours import nearest
 from glyphmill.operators import validate as V
 from glyphmill.plans import detector_sql as S
 from glyphmill.plans.detector_sql import q
@@ -271,11 +272,12 @@ PER_QUERY = """SELECT {keys}, coalesce(count(*) FILTER (place <= 3 AND relevance
 
 def candidate_lists(spark, sf_dir):
     e = read(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
-    asked = written(e.where("vec_id % 50 = 0").toDF("q", "x", "ql"), "asked")
-    met = against(e, asked).where("q <> vec_id").select("q", F.col("vec_id").alias("ord"), F.round(cosine(F.col("x"), F.col("embedding")), 6).alias("sem"), F.when(F.col("ql") == F.col("label"), 2).when(F.abs(F.col("ql") - F.col("label")) == 1, 1).otherwise(0).alias("relevance"))
-    # The planner keeps the first twelve of each task before it deals rows out by query.
-    near = met.withColumn("r", F.row_number().over(W.partitionBy("q").orderBy(F.desc("sem"), "ord"))).where("r <= 12").drop("r")
-    return near.withColumn("hard", (F.col("relevance") == 0) & (F.col("ord") % 2 == 0))
+    near = nearest(e.select("vec_id", "embedding"), e.where("vec_id % 50 = 0").select("vec_id", "embedding"), 12, exact=True)
+    label = lambda name: e.select(F.col("vec_id").alias(name), F.col("label").alias(f"{name}_label"))
+    x, y = F.col("q_label"), F.col("ord_label")
+    lists = near.select("q", F.col("id").alias("ord"), F.col("sim").alias("sem")).join(label("q"), "q").join(label("ord"), "ord")
+    lists = lists.select("q", "ord", "sem", F.when(x == y, 2).when(F.abs(x - y) == 1, 1).otherwise(0).alias("relevance"))
+    return lists.withColumn("hard", (F.col("relevance") == 0) & (F.col("ord") % 2 == 0))
 
 
 def in_order(lists):

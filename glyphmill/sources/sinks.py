@@ -1,10 +1,8 @@
-"""Writing: rows that aren't there yet, one keyed row in place of another, reports, a summary as JSON."""
+"""Writing: rows that aren't there yet, one keyed row in place of another, reports, a summary as JSON; tables that change are in ``versions``."""
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -13,36 +11,17 @@ def unseen(rows: DataFrame, there: DataFrame, key: str) -> DataFrame:
     return rows.join(there.select(key), key, "left_anti").dropDuplicates([key])
 
 
-def append_new(rows: DataFrame, path: str, key: str) -> None:
-    """IO7: append the rows whose key the table at ``path`` doesn't have; a run that is repeated adds nothing."""
-    spark = rows.sparkSession
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    if at.getFileSystem(conf).exists(at):
-        rows = unseen(rows, spark.read.schema(rows.schema).parquet(path), key)
-    rows.write.mode("append").parquet(path)
-
-
 def replaced(rows: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """IO8: ``rows`` with those of ``new`` in place of the rows with their keys; keys that aren't there are not added. Null keys match nothing."""
+    """IO8: ``rows`` with those of ``new`` in place of the rows with their keys; keys that aren't there are not added. Null keys match nothing.
+
+    Of several new rows with one key the greatest by its other columns, in their order, counts.
+    """
     other = [c for c in rows.columns if c != key]
-    marked = new.select(key, F.struct(*other).alias("_new"))
+    marked = new.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(F.struct(*other)).alias("_new"))
     joined = rows.join(marked, key, "left")
     return joined.select(key, *(F.when(F.col("_new").isNotNull(), F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c) for c in other)).select(*rows.columns)
 
 
-def replace_rows(spark: SparkSession, path: str, new: DataFrame, key: str) -> None:
-    """IO8: ``replaced`` at ``path``: written beside it, then put in its place by renaming, so a reader sees the old table or the new one."""
-    beside, old = f"{path}.{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
-    replaced(spark.read.parquet(path), new, key).write.parquet(beside)
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path
-    fs = p(path).getFileSystem(conf)
-    if not (fs.rename(p(path), p(old)) and fs.rename(p(beside), p(path))):
-        raise OSError(f"{path} could not be replaced")
-    fs.delete(p(old), True)
-
-
 def write_reports(reports: DataFrame, path: str, column: str = "report") -> None:
     """IO16: reports as text files; line ends inside a report stay."""
     reports.select(column).write.mode("overwrite").text(path)

@@ -12,6 +12,7 @@ from glyphmill.operators import greedy
 from glyphmill.operators import rewrite as H
 from glyphmill.plans.source_queries import FILES
 from glyphmill.sources import files, providers, sinks, tables
+from glyphmill.sources.versions import Versions
 
 
 def test_folder_of_files(spark, tmp_path):
@@ -47,15 +48,19 @@ def test_registry(spark, tmp_path):
 
 
 def test_sinks(spark, tmp_path):
-    at = str(tmp_path / "rows")
+    table = Versions(spark, str(tmp_path / "rows"))
     frame = lambda *rows: spark.createDataFrame(list(rows), "id long, v string")
-    sinks.append_new(frame((1, "a"), (2, "b")), at, "id")
-    sinks.append_new(frame((2, "z"), (3, "c"), (3, "c")), at, "id")
-    sinks.append_new(frame((2, "z"), (3, "c")), at, "id")
-    assert sorted(map(tuple, spark.read.parquet(at).collect())) == [(1, "a"), (2, "b"), (3, "c")]
-    sinks.replace_rows(spark, at, frame((2, "new"), (9, "no")), "id")
-    assert sorted(map(tuple, spark.read.parquet(at).collect())) == [(1, "a"), (2, "new"), (3, "c")]
-    assert [p.name for p in tmp_path.iterdir()] == ["rows"]
+    now = lambda n=None: sorted(map(tuple, table.read(n).collect()))
+    assert table.read() is None and table.replace_rows(frame((1, "x")), "id") == -1
+    table.append_new(frame((1, "a"), (2, "b")), "id")
+    table.append_new(frame((2, "z"), (3, "c"), (3, "c")), "id")
+    table.append_new(frame((2, "z"), (3, "c")), "id")
+    assert now() == [(1, "a"), (2, "b"), (3, "c")]
+    kept = set(table.entry(table.number())["files"])
+    at = table.replace_rows(frame((2, "new"), (9, "no"), (2, "newer"), (None, "null")), "id")
+    assert now() == [(1, "a"), (2, "newer"), (3, "c")] and now(at - 1) == [(1, "a"), (2, "b"), (3, "c")]
+    assert set(table.entry(at)["files"]) & kept  # files without such a key stay
+    assert table.append_new(frame((7, "s")), "id", ("q", 4)) == at + 1 == table.append_new(frame((7, "s"), (8, "t")), "id", ("q", 4))
     sinks.write_reports(frame((1, "one\ntwo")), str(tmp_path / "reports"), "v")
     assert [r[0] for r in spark.read.text(str(tmp_path / "reports")).collect()] == ["one", "two"]
     assert frame((1, None)).select(sinks.payload(n=F.col("id"), v=F.col("v"))).first()[0] == '{"n":1,"v":null}'
@@ -99,6 +104,41 @@ def test_pages_of_a_server(spark):
     server.shutdown()
 
 
+def test_two_writers_and_a_reader(spark, tmp_path):
+    """Writers at once add the same and other keys and change rows: nothing is lost or doubled, and a reader always finds a table."""
+    path, errors, seen = str(tmp_path / "rows"), [], []
+    frame = lambda rows: spark.createDataFrame(rows, "id long, v string")
+    Versions(spark, path).append_new(frame([(i, "first") for i in range(10)]), "id")
+    done = threading.Event()
+
+    def write(n):
+        try:
+            table = Versions(spark, path)
+            for r in range(3):
+                table.append_new(frame([(100 + r, "shared"), (1000 * n + r, f"w{n}")]), "id")
+                table.replace_rows(frame([(n, f"by {n}, {r}")]), "id")
+        except Exception as e:
+            errors.append(e)
+
+    def look():
+        while not done.is_set():
+            try:
+                seen.append(Versions(spark, path).read().count())
+            except Exception as e:
+                errors.append(e)
+
+    writers, reader = [threading.Thread(target=write, args=(n,)) for n in (1, 2)], threading.Thread(target=look)
+    for t in [*writers, reader]:
+        t.start()
+    for t in writers:
+        t.join()
+    done.set()
+    reader.join()
+    want = [(i, f"by {i}, 2" if i in (1, 2) else "first") for i in range(10)] + [(100 + r, "shared") for r in range(3)] + [(1000 * n + r, f"w{n}") for n in (1, 2) for r in range(3)]
+    assert not errors and sorted(map(tuple, Versions(spark, path).read().collect())) == sorted(want)
+    assert seen == sorted(seen) and seen[0] >= 10
+
+
 def test_accept_in_order(spark):
     rng = random.Random(6)
     rows = [(q, i, [f"k{rng.randrange(25)}" for _ in range(rng.randrange(4))]) for q in range(3) for i in range(60)] + [(9, i, [f"c{i}", f"c{i + 1}"]) for i in range(12)]

@@ -1,4 +1,4 @@
-"""Candidates from outside: pages of an HTTP interface as a data source, and providers' answers as candidate rows.
+"""Candidates from outside: pages of an HTTP interface as a data source and as a stream, and providers' answers as candidate rows.
 
 The answers' shapes are those of the providers' public interfaces.
 """
@@ -8,12 +8,13 @@ from __future__ import annotations
 import json
 import time
 import urllib.error
+import urllib.parse
 import urllib.request
 from collections.abc import Iterator
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from glyphmill.functions import text as X
 
@@ -91,6 +92,110 @@ class HttpPagesReader(DataSourceReader):
                 time.sleep(float(o.get("delay", "0")))
 
 
+class CursorPages(DataSource):
+    """IO11: the pages behind cursors as a stream of (url, page, cursor, status, body, reason); its offsets are cursors.
+
+    Options as for HttpPages, and batch (pages of an address that a batch takes at most, 8). A page names the next one's cursor
+    at ``cursor`` (a path); the first is ``*``. An address ends with a page that names none, or after max_pages (0: no bound). The driver follows the cursors
+    and keeps nothing else of a page; tasks read the pages, one a partition. Spark writes a batch's offsets before it
+    runs, so after a failure the same pages are read again, and a page that can't be read fails the batch rather than being lost.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "cursor_pages"
+
+    def schema(self) -> str:
+        return "url string, page int, cursor string, status int, body string"
+
+    def streamReader(self, schema) -> DataSourceStreamReader:
+        return CursorPagesReader(dict(self.options))
+
+
+class CursorPage(InputPartition):
+    def __init__(self, url: str, page: int, cursor: str):
+        self.url, self.page, self.cursor = url, page, cursor
+
+
+class CursorPagesReader(DataSourceStreamReader):
+    """An offset has, for each address, the number and cursor of the next page; a cursor of "" says that there is none."""
+
+    def __init__(self, options: dict):
+        self.pages, self.options = HttpPagesReader(options), options
+        self.front = self.initialOffset()
+        self.walked: dict[tuple[str, int], str] = {}
+
+    def initialOffset(self) -> dict:
+        return {url: {"page": 0, "cursor": "*"} for url in json.loads(self.options["urls"])}
+
+    def page(self, url: str, cursor: str) -> tuple[int, str]:
+        status, body, why = self.pages.get(url.replace("{cursor}", urllib.parse.quote(cursor, safe="*")))
+        if why:
+            raise OSError(f"{url}: {why}")
+        return status, body
+
+    def after(self, url: str, page: int, cursor: str) -> dict:
+        """The place behind a page."""
+        if (url, page + 1) not in self.walked:
+            found = json.loads(self.page(url, cursor)[1])
+            for part in self.options["cursor"].split("."):
+                found = (found or {}).get(part)
+            self.walked[url, page + 1] = str(found or "")
+            time.sleep(float(self.options.get("delay", "0")))
+        return {"page": page + 1, "cursor": self.walked[url, page + 1]}
+
+    def steps(self, url: str, start: dict, end_page: int) -> Iterator[tuple[dict, dict]]:
+        """Places from ``start`` on with the places behind them, up to page ``end_page``."""
+        while start["cursor"] and start["page"] < end_page:
+            behind = self.after(url, **start)
+            yield start, behind
+            start = behind
+
+    def latestOffset(self) -> dict:
+        most, batch, out = int(self.options.get("max_pages", "0")), int(self.options.get("batch", "8")), {}
+        for url, place in self.front.items():
+            bound = min(place["page"] + batch, most or place["page"] + batch)
+            try:
+                for _, behind in self.steps(url, place, bound):
+                    place = behind
+            except OSError:
+                pass  # what was followed so far is a batch; the next one asks again
+            out[url] = place
+        self.front = out
+        return out
+
+    def partitions(self, start: dict, end: dict) -> list[CursorPage]:
+        for url, place in end.items():  # after a restart Spark tells where the stream is
+            if place["page"] > self.front.get(url, {"page": -1})["page"]:
+                self.front[url] = place
+        return [CursorPage(url, at["page"], at["cursor"]) for url, place in start.items() for at, _ in self.steps(url, place, end[url]["page"])]
+
+    def read(self, partition: CursorPage) -> Iterator[tuple]:
+        status, body = self.page(partition.url, partition.cursor)
+        yield partition.url, partition.page, partition.cursor, status, body
+
+    def commit(self, end: dict) -> None:
+        self.walked = {(url, page): c for (url, page), c in self.walked.items() if page >= end.get(url, {"page": 0})["page"]}
+
+
+def gated_works(works: DataFrame, order: list[str], before: str = "2022-01-01") -> DataFrame:
+    """IO11: ``works`` (abstract, doi, licenses in order of preference, pub_date) with ``license`` and ``dropped``: why a work isn't kept, or null.
+
+    In ``order``: no abstract; a doi that a work kept before has; no license; no date, or one not before ``before``. A doi is
+    taken by the first work that passes everything else, which is an aggregation by doi; works without a doi are never doubles.
+    """
+    doi, text = F.trim(F.coalesce("doi", F.lit(""))), F.trim(F.coalesce("abstract", F.lit("")))
+    named = F.filter(F.coalesce("licenses", F.array().cast("array<string>")), lambda x: F.coalesce(x, F.lit("")) != "")
+    license_, date = F.trim(F.coalesce(F.get(named, F.lit(0)), F.lit(""))), F.trim(F.coalesce("pub_date", F.lit("")))
+    rows = works.withColumns({"license": license_, "_doi": F.when(doi != "", doi), "_place": F.struct(*order)})
+    rows = rows.withColumn("_why", F.when(text == "", "no_abstract").when(F.col("license") == "", "bad_license_empty").when((date == "") | (date >= before), "bad_date"))
+    first = rows.where("_why IS NULL AND _doi IS NOT NULL").groupBy("_doi").agg(F.min("_place").alias("_first"))
+    rows = rows.join(first, "_doi", "left")
+    seen = F.coalesce(F.col("_first") < F.col("_place"), F.lit(False))
+    dropped = F.when(F.col("_why") == "no_abstract", F.col("_why")).when(seen, "dup_doi").otherwise(F.col("_why"))
+    return rows.select(*works.columns, "license", dropped.alias("dropped"))
+
+
 def _candidates(items: Column, one) -> Column:
     return F.coalesce(F.transform(items, one), F.array()).cast(f"array<{CANDIDATE}>")
 

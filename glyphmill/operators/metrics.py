@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from glyphmill.sources.tables import numbered
+from glyphmill.sources.tables import numbered, running
 
 
 def confusion(df: DataFrame, positive: Column, predicted: Column, by: list[str] | None = None) -> DataFrame:
@@ -20,20 +20,18 @@ def confusion(df: DataFrame, positive: Column, predicted: Column, by: list[str]
 
 
 def auc(df: DataFrame, positive: Column, score: str, by: list[str] | None = None) -> DataFrame:
-    """Chance that a positive outscores a negative, ties half. Ranks come from counts per distinct score."""
+    """Chance that a positive outscores a negative, ties half. Ranks come from counts per distinct score, added up by ranges of scores."""
     by = by or []
     per = df.groupBy(*by, score).agg(F.count_if(positive).alias("p"), F.count_if(~positive).alias("n"))
-    w = W.partitionBy(*by).orderBy(score)
-    below = F.sum("n").over(w) - F.col("n")
-    ranked = per.withColumn("wins", F.col("p") * (below + F.col("n") / 2))
-    return ranked.groupBy(*by).agg(F.try_divide(F.sum("wins"), F.sum("p") * F.sum("n")).alias("auc"))
+    ranked = running(per, score, ["n"], by).withColumn("wins", F.col("p") * (F.col("n_before") + F.col("n") / 2))
+    return ranked.groupBy(*by).agg(F.try_divide(F.sum("wins"), F.sum("p").cast("double") * F.sum("n")).alias("auc"))
 
 
 def quantiles(df: DataFrame, score: str) -> DataFrame:
-    """Median, upper median (the value at n // 2) and the value at floor(0.9 n), from counts per distinct score."""
+    """Median, upper median (the value at n // 2) and the value at floor(0.9 n), from counts per distinct score, added up by ranges of scores."""
     per = df.where(F.col(score).isNotNull()).groupBy(score).agg(F.count(F.lit(1)).alias("k"))
-    run = per.withColumns({"to": F.sum("k").over(W.orderBy(score)), "n": F.sum("k").over(W.orderBy(F.lit(0)).rowsBetween(W.unboundedPreceding, W.unboundedFollowing))})
-    at = lambda i: F.max(F.when((F.col("to") > i) & (F.col("to") - F.col("k") <= i), F.col(score)))
+    run = running(per, score, ["k"]).crossJoin(F.broadcast(df.agg(F.count(score).alias("n"))))  # one row
+    at = lambda i: F.max(F.when((F.col("k_before") + F.col("k") > i) & (F.col("k_before") <= i), F.col(score)))
     n = F.col("n")
     return run.agg(((at(F.floor((n - 1) / 2)) + at(F.floor(n / 2))) / 2).alias("med"), at(F.floor(n / 2)).alias("upper_median"), at(F.floor(n * 0.9)).alias("q90"))
 

@@ -123,6 +123,31 @@ def numbered(df: DataFrame, order: str, name: str = "place", by: list[str] | Non
     return placed.select(*[f"r.{c}" for c in columns], (F.col("_inside") + F.col("_before")).cast("bigint").alias(name))
 
 
+def running(df: DataFrame, order: str, amounts: list[str], by: list[str] | None = None) -> DataFrame:
+    """``df`` with ``<amount>_before``: the sum of each amount over the rows of ``by`` whose ``order`` is lower, null first. ``order`` is distinct within ``by``.
+
+    Sums by range come first: more than RANGE_ROWS rows are dealt out by ranges of (by, order) as Spark samples them, a window adds up within
+    a range, and what the ranges before hold is added. No window holds more than a range.
+    """
+    by, total = by or [], {a: F.sum(a) for a in amounts}
+    first = F.asc_nulls_first(order)
+    parts = -(-df.count() // RANGE_ROWS)
+    ranged = df.withColumn("_range", F.lit(0))
+    if parts > 1:
+        ranged = df.repartitionByRange(parts, *map(F.asc_nulls_first, by), first).withColumn("_range", F.spark_partition_id())
+        ranged = written(ranged, "ranged")
+    window = W.partitionBy(*by, "_range").orderBy(first)
+    inside = ranged.withColumns({f"{a}_before": t.over(window) - F.col(a) for a, t in total.items()})
+    if parts <= 1:
+        return inside.drop("_range")
+    sums = ranged.groupBy(*by, "_range").agg(*(t.alias(f"_{a}") for a, t in total.items()))
+    earlier = W.partitionBy(*by or [F.lit(0)]).orderBy("_range")  # a row a range
+    sums = sums.select(*by, "_range", *((F.sum(f"_{a}").over(earlier) - F.col(f"_{a}")).alias(f"_{a}_to") for a in amounts))
+    same = reduce(Column.__and__, (F.col(f"r.{c}").eqNullSafe(F.col(f"b.{c}")) for c in [*by, "_range"]))
+    added = inside.alias("r").join(sums.alias("b"), same)
+    return added.select(*(F.col(f"r.{c}") for c in df.columns), *((F.col(f"r.{a}_before") + F.col(f"b._{a}_to")).alias(f"{a}_before") for a in amounts))
+
+
 def against(rows: DataFrame, asked: DataFrame) -> DataFrame:
     """Every row with every row of a query set, in blocks: a set of up to BLOCK_ROWS is broadcast, a larger one dealt out.
 

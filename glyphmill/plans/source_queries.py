@@ -45,12 +45,26 @@ def docx(paragraphs: list[str]) -> bytes:
     return out.getvalue()
 
 
-def pdf(pages: list[list[str]]) -> bytes:
-    """A small file: one deflated content a page, a text item a string."""
-    parts = [b"1 0 obj << /Type /Catalog /Pages 2 0 R >> endobj", b"2 0 obj << /Type /Pages /Count %d /Kids [%s] >> endobj" % (len(pages), b" ".join(b"%d 0 R" % (3 + 2 * i) for i in range(len(pages))))]
+def pdf(pages: list[list[str]], font: str = "") -> bytes:
+    """A small file: one deflated content a page, a text item a string.
+
+    ``font``: "mapped" sets the text in two-byte codes of a font with a map to Unicode (small letters as a range, the rest as pairs), found through the
+    parent's resources; "glyphs" does without the map.
+    """
+    n = 3 + 2 * len(pages)
+    codes = {c: 300 + ord(c) if "a" <= c <= "z" else 900 + i for i, c in enumerate(sorted({c for p in pages for x in p for c in x}))}
+    held = b" /Resources << /ProcSet [/PDF] /Font << /F1 %d 0 R >> >>" % n if font else b""
+    parts = [b"1 0 obj << /Type /Catalog /Pages 2 0 R >> endobj", b"2 0 obj << /Type /Pages /Count %d /Kids [%s]%s >> endobj" % (len(pages), b" ".join(b"%d 0 R" % (3 + 2 * i) for i in range(len(pages))), held)]
+    latin = lambda x: b"(" + x.encode("cp1252").replace(b"\\", b"\\\\").replace(b"(", b"\\(").replace(b")", b"\\)") + b") Tj"
+    coded = lambda x: b"<" + "".join(f"{codes[c]:04x}" for c in x).encode() + b"> Tj"
     for i, items in enumerate(pages):
-        shown = zlib.compress(b"BT " + b" ".join(b"(" + x.encode("cp1252").replace(b"\\", b"\\\\").replace(b"(", b"\\(").replace(b")", b"\\)") + b") Tj" for x in items) + b" ET")
+        shown = zlib.compress(b"BT " + (b"/F1 11 Tf " if font else b"") + b" ".join(map(coded if font else latin, items)) + b" ET")
         parts += [b"%d 0 obj << /Type /Page /Parent 2 0 R /Contents %d 0 R >> endobj" % (3 + 2 * i, 4 + 2 * i), b"%d 0 obj << /Length %d /Filter /FlateDecode >> stream\n" % (4 + 2 * i, len(shown)) + shown + b"\nendstream endobj"]
+    if font:
+        pairs = "\n".join(f"<{k:04X}> <{c.encode('utf-16-be').hex()}>" for c, k in codes.items() if not "a" <= c <= "z")
+        table = zlib.compress(f"1 begincodespacerange <0000> <FFFF> endcodespacerange\n1 beginbfrange <{300 + ord('a'):04X}> <{300 + ord('z'):04X}> <0061> endbfrange\n9 beginbfchar\n{pairs}\nendbfchar".encode())
+        parts += [b"%d 0 obj << /Type /Font /Subtype /Type0 /Encoding /Identity-H%s >> endobj" % (n, b" /ToUnicode %d 0 R" % (n + 1) if font == "mapped" else b"")]
+        parts += [b"%d 0 obj << /Length %d /Filter /FlateDecode >> stream\n" % (n + 1, len(table)) + table + b"\nendstream endobj"]
     return b"%PDF-1.4\n" + b"\n".join(parts)
 
 
@@ -58,6 +72,7 @@ def pdf(pages: list[list[str]]) -> bytes:
 FILES = [
     ("a.docx", None, docx(["Satu dua tiga", "empat lima enam tujuh"]), None, "Satu dua tiga\n\nempat lima enam tujuh"), ("b.PDF", None, pdf([["Satu dua", "(tiga)"], ["empat lima enam"]]), None, "Satu dua (tiga)\nempat lima enam"),
     ("c.pdf", None, pdf([["dua", "kata"]]), "unreadable", None), ("d.docx", None, b"no archive", "unreadable", None), ("e.doc", None, b"x", "old_word", None), ("f.png", None, b"x", "unsupported", None), ("noext", None, b"x", "unsupported", None),
+    ("j.pdf", None, pdf([["Naïve café — λόγος", "ditulis dengan"], ["huruf sendiri 🎉"]], "mapped"), None, "Naïve café — λόγος ditulis dengan\nhuruf sendiri 🎉"), ("k.pdf", None, pdf([["lima kata yang tidak terbaca sama sekali"]], "glyphs"), "unreadable", None),
     ("g.txt", (8 << 20) + 1, b"x", "too_large", None), ("h.md", None, "  satu dua tiga empat lima \n".encode(), None, "satu dua tiga empat lima"), ("i.pdf", None, pdf([[f"halaman {i} berisi kata"] for i in range(33)]), None, "\n".join(f"halaman {i} berisi kata" for i in range(30))),
 ]
 TRIM = f"left({S.trimmed(T0)}, {L.MAX_CHARS})"

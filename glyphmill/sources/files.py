@@ -68,46 +68,104 @@ def _objects(data: bytes) -> dict[int, bytes]:
     return found
 
 
-def _string(raw: bytes) -> str:
+def _entry(body: bytes, key: bytes) -> bytes:
+    """What stands behind a key of a dictionary: a dictionary, or else the line's next words."""
+    m = re.search(rb"/" + key + rb"(?![A-Za-z0-9])\s*", body)
+    if not m:
+        return b""
+    if body[m.end() : m.end() + 2] != b"<<":
+        return body[m.end() : m.end() + 40]
+    depth = 0
+    for x in re.finditer(rb"<<|>>", body[m.end() :]):
+        depth += 1 if x.group() == b"<<" else -1
+        if not depth:
+            return body[m.end() : m.end() + x.end()]
+    return b""
+
+
+class Font:
+    """How a font's codes read: by its map to Unicode; without one as Latin text or UTF-16, or not at all if its codes are glyph numbers."""
+
+    def __init__(self, body: bytes, objects: dict[int, bytes]):
+        self.codes: dict[bytes, str] = {}
+        self.lengths: list[int] = []
+        found = re.match(rb"(\d+)\s+\d+\s+R", _entry(body, b"ToUnicode"))
+        table = _stream(objects.get(int(found.group(1)), b"")) if found else b""
+        self.glyphs = not table and bool(re.search(rb"/Subtype\s*/Type0\b", body))
+        code = rb"<([0-9A-Fa-f\s]*)>"
+        raw = lambda h: bytes.fromhex(re.sub(rb"\s", b"", h).decode())
+        said = lambda b: b.decode("utf-16-be", "replace")
+        for part in re.findall(rb"begincodespacerange(.*?)endcodespacerange", table, re.S):
+            self.lengths += [len(raw(low)) for low, _ in re.findall(code + rb"\s*" + code, part)]
+        for part in re.findall(rb"beginbfchar(.*?)endbfchar", table, re.S):
+            self.codes |= {raw(k): said(raw(v)) for k, v in re.findall(code + rb"\s*" + code, part)}
+        for part in re.findall(rb"beginbfrange(.*?)endbfrange", table, re.S):
+            for low, high, one, several in re.findall(code + rb"\s*" + code + rb"\s*(?:" + code + rb"|\[(.*?)\])", part, re.S):
+                start, n = int.from_bytes(raw(low)), len(raw(low))
+                goals = [raw(x) for x in re.findall(code, several)]
+                for i in range(min(int.from_bytes(raw(high)) - start + 1, 1 << 16)):
+                    goal = goals[i] if i < len(goals) else raw(one)[:-2] + (int.from_bytes(raw(one)[-2:]) + i & 0xFFFF).to_bytes(2) if one else b""
+                    self.codes[(start + i).to_bytes(n)] = said(goal)
+        self.lengths = sorted(set(self.lengths) | {len(k) for k in self.codes})
+
+    def read(self, data: bytes) -> str:
+        if self.glyphs:
+            raise ValueError("a font without a map to Unicode")
+        if not self.codes:
+            return data[2:].decode("utf-16-be", "replace") if data[:2] == b"\xfe\xff" else data.decode("cp1252", "replace")
+        out, i = [], 0
+        while i < len(data):
+            n = next((n for n in self.lengths if data[i : i + n] in self.codes), self.lengths[-1])
+            out.append(self.codes.get(data[i : i + n], "\ufffd"))
+            i += n
+        return "".join(out)
+
+
+def _bytes(raw: bytes) -> bytes:
+    """What a string in round brackets, or in hexadecimal ones, stands for."""
     if raw[:1] == b"<":
-        out = bytes.fromhex((h := re.sub(rb"[^0-9A-Fa-f]", b"", raw).decode()) + "0" * (len(h) & 1))
-    else:
-        plain = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f", b"\n": b""}
-        out = re.sub(rb"\\([0-7]{1,3}|.|\n)", lambda m: bytes([int(m.group(1), 8) & 255]) if m.group(1)[:1].isdigit() else plain.get(m.group(1), m.group(1)), raw[1:-1], flags=re.S)
-    return out[2:].decode("utf-16-be", "replace") if out[:2] == b"\xfe\xff" else out.decode("cp1252", "replace")
+        return bytes.fromhex((h := re.sub(rb"[^0-9A-Fa-f]", b"", raw).decode()) + "0" * (len(h) & 1))
+    plain = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f", b"\n": b""}
+    return re.sub(rb"\\([0-7]{1,3}|.|\n)", lambda m: bytes([int(m.group(1), 8) & 255]) if m.group(1)[:1].isdigit() else plain.get(m.group(1), m.group(1)), raw[1:-1], flags=re.S)
 
 
 def pdf_text(data: bytes, most: int = MOST_PAGES) -> str:
     """IO2: the text items of the first pages, a blank between, a line a page.
 
-    Pages are followed from the catalogue; contents may be deflated and objects packed. Strings are read as
-    Latin text or UTF-16: fonts with an encoding of their own, and scans, give no readable text.
+    Pages are followed from the catalogue; contents may be deflated and objects packed. Strings are read by the map to Unicode of the font that is
+    set, else as Latin text or UTF-16. A file that sets text in glyph numbers without such a map can't be read, which is an error; scans give no text.
     """
     objects = _objects(data)
-    refs = lambda key, body: [int(n) for n in re.findall(rb"(\d+)\s+\d+\s+R", m.group(1))] if (m := re.search(rb"/" + key + rb"\s*(\[[^\]]*\]|\d+\s+\d+\s+R)", body)) else []
+    numbers = lambda raw: [int(n) for n in re.findall(rb"(\d+)\s+\d+\s+R", raw)]
+    refs = lambda key, body: numbers(m.group(1)) if (m := re.search(rb"/" + key + rb"\s*(\[[^\]]*\]|\d+\s+\d+\s+R)", body)) else []
+    whole = lambda raw: raw if raw[:2] == b"<<" else objects.get(n[0], b"") if (n := numbers(raw)) else b""
 
-    def pages(number: int, seen: frozenset[int]) -> Iterator[bytes]:
+    def pages(number: int, seen: frozenset[int], resources: bytes) -> Iterator[tuple[bytes, bytes]]:
         body = objects.get(number, b"")
         if number in seen:
             return
+        resources = whole(_entry(body, b"Resources")) or resources  # those of the parent hold where a page has none
         if kids := refs(b"Kids", body):
             for k in kids:
-                yield from pages(k, seen | {number})
+                yield from pages(k, seen | {number}, resources)
         elif b"/Page" in body:
-            yield body
+            yield body, resources
 
     roots = [n for b in objects.values() if re.search(rb"/Type\s*/Catalog\b", b) for n in refs(b"Pages", b)]
-    found = [p for n in roots for p in pages(n, frozenset())] or [b for _, b in sorted(objects.items()) if re.search(rb"/Type\s*/Page\b", b)]
-    lines = []
-    for page in found[:most]:
+    found = [p for n in roots for p in pages(n, frozenset(), b"")] or [(b, whole(_entry(b, b"Resources"))) for _, b in sorted(objects.items()) if re.search(rb"/Type\s*/Page\b", b)]
+    lines, latin = [], Font(b"", objects)
+    for page, resources in found[:most]:
+        fonts = {name: Font(objects.get(int(n), b""), objects) for name, n in re.findall(rb"/([^\s/<>\[\]()]+)\s+(\d+)\s+\d+\s+R", whole(_entry(resources, b"Font")))}
         content = b"\n".join(_stream(objects.get(n, b"")) for n in refs(b"Contents", page))
-        items = []
-        for m in re.finditer(rb"(\[(?:\\.|\((?:\\.|[^\\()])*\)|[^\]\\(])*\]|\((?:\\.|[^\\()])*\)|<[0-9A-Fa-f\s]*>)\s*(?:TJ|Tj|'|\")", content, re.S):
-            if m.group(1)[:1] == b"[":
-                parts = re.findall(rb"\((?:\\.|[^\\()])*\)|<[0-9A-Fa-f\s]*>|-?\d+(?:\.\d+)?", m.group(1), re.S)
-                items.append("".join(_string(p) if p[:1] in b"(<" else " " if float(p) < -200 else "" for p in parts))
+        items, font = [], latin
+        for m in re.finditer(rb"/([^\s/<>\[\]()]+)\s+-?[\d.]+\s+Tf\b|(\[(?:\\.|\((?:\\.|[^\\()])*\)|[^\]\\(])*\]|\((?:\\.|[^\\()])*\)|<[0-9A-Fa-f\s]*>)\s*(?:TJ|Tj|'|\")", content, re.S):
+            if m.group(1):
+                font = fonts.get(m.group(1), latin)
+            elif m.group(2)[:1] == b"[":
+                parts = re.findall(rb"\((?:\\.|[^\\()])*\)|<[0-9A-Fa-f\s]*>|-?\d+(?:\.\d+)?", m.group(2), re.S)
+                items.append("".join(font.read(_bytes(p)) if p[:1] in b"(<" else " " if float(p) < -200 else "" for p in parts))
             else:
-                items.append(_string(m.group(1)))
+                items.append(font.read(_bytes(m.group(2))))
         lines.append(" ".join(items))
     return "\n".join(lines)
 

@@ -123,11 +123,11 @@ def replace(spark, sf_dir):
     return K.replaced(d, new, "doc_id")
 
 
-@query("IO09_registry", f"WITH {DOCUMENTS_SQL} SELECT doc_id AS id, CASE WHEN doc_id % 3 = 0 THEN 'ai' ELSE 'human' END AS label, 'set/' || doc_id || '.txt' AS file, {T0} AS text FROM d WHERE doc_id % 2 = 0")
+@query("IO09_registry", f"WITH {DOCUMENTS_SQL} SELECT doc_id AS id, CASE WHEN doc_id % 3 = 0 THEN 'ai' ELSE 'human' END AS label, 'set/' || doc_id || '.txt' AS file, {T0} AS text FROM d")
 def registry(spark, sf_dir):
     d, i = documents(spark, sf_dir), F.col("doc_id")
     path = F.concat(F.lit("set/"), i.cast("string"), F.lit(".txt"))
-    entries = d.where(i % 2 == 0).select(i.alias("id"), F.when(i % 3 == 0, "ai").otherwise("human").alias("label"), path.alias("file"))
+    entries = d.select(i.alias("id"), F.when(i % 3 == 0, "ai").otherwise("human").alias("label"), path.alias("file"))
     return R.registered(entries, d.select(path.alias("file"), F.coalesce("text", F.lit("")).alias("text")))
 
 

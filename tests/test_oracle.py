@@ -15,7 +15,8 @@ SOME = [
     "C17_even_stride", "C18_mixture_plan", "C19_mixture", "X03_auc", "X04_X06_baseline_quantiles", "X05_slices", "X10_X11_rank_quality", "X12_rerank", "X13_threshold_sweep", "A01_A02_agreement",
     "A03_agreement_rate", "A06_review_queue", "A07_candidate_faults", "P01_request_contract", "P02_P07_failures", "P03_score_payload", "P03_material_payload", "P04_fallback", "P05_selected_text",
     "P06_stale_results", "P09_prompts", "IO01_IO04_files", "IO06_tolerant_lines", "IO10_provider_rows", "IO13_first_word_a_slot", "IO15_atom_entries", "IO17_summary_payload", "ST_event_windows",
-    "ST_distinct_texts",
+    "ST_distinct_texts", "SQL_K03_sentences", "SQL_L02_language", "IO11_gated_works", "IO12_as_of_revision", "IO12_sampled_titles", "IO12_sample_counters", "R08_nearest", "R09_R12_passing",
+    "ST_event_sessions", "P06_newest_state",
 ]
 
 

@@ -179,19 +179,10 @@ def strip_tags(c: Column) -> Column:
 
 
 def fnv1a32(c: Column) -> Column:
-    """FNV-1a over all UTF-16 units, 8 hex digits. The running product has no built-in function that is linear in time."""
-
-    @F.pandas_udf("string")
-    def digest(s: pd.Series) -> pd.Series:
-        def one(x: str) -> str:
-            h = 2166136261
-            for u in memoryview(x.encode("utf-16-le", "surrogatepass")).cast("H"):
-                h = (h ^ u) * 16777619 & 0xFFFFFFFF
-            return f"{h:08x}"
-
-        return s.map(lambda x: None if x is None else one(x))
-
-    return digest(c)
+    """FNV-1a over all UTF-16 units, 8 hex digits: a fold over the units, four hex digits each."""
+    units = F.transform(F.regexp_extract_all(F.hex(F.encode(c, "UTF-16BE")), F.lit("[0-9A-F]{4}"), F.lit(0)), lambda u: F.conv(u, 16, 10).cast("bigint"))
+    step = lambda h, u: (h.bitwiseXOR(u) * F.lit(16777619)).bitwiseAND(F.lit(0xFFFFFFFF))
+    return F.when(c.isNotNull(), F.lower(F.lpad(F.hex(F.aggregate(units, F.lit(2166136261).cast("bigint"), step)), 8, "0")))
 
 
 def nfkc(c: Column) -> Column:

@@ -31,12 +31,19 @@ def test_summary_takes_one_sentence_a_paragraph_and_swaps_orphans(spark):
     rows = [(1, i, f"s{i}", [f"w{i}"], float(10 - i), 3, [3, 3, 2], 0.5 if i == 3 else 0.0, 0.6) for i in range(8)]
     rows += [(2, i, f"s{i}", ["same" if i < 3 else f"w{i}"], float(10 - i), 4, [8], 0.5, 0.0) for i in range(8)]
     df = spark.createDataFrame(rows, "doc_id bigint, pos int, sent string, tokens array<string>, total double, keep int, counts array<int>, orphan double, generic double")
-    found = summary.pick(df).collect()
+    def whole(rows):
+        part = F.array_sort(F.collect_list(F.struct("pos", "sent", "tokens", "total", "orphan", "generic")))
+        return rows.groupBy("doc_id").agg(part.alias("parts"), F.first("counts").alias("counts"), F.first("keep").alias("keep")).withColumn("n", F.size("parts"))
+
+    found = summary.pick(whole(df)).collect()
     assert {(r["doc_id"], r["pos"]) for r in found} == {(1, 0), (1, 4), (1, 6), (2, 0), (2, 3), (2, 4), (2, 5)}
     assert {(r["doc_id"], r["of"], r["generic_left"], r["orphan_left"]) for r in found} == {(1, 8, 3, 0), (2, 8, 0, 4)}
     few = df.where("doc_id = 2 AND pos < 3").withColumn("counts", F.array(F.lit(3)))
-    assert summary.pick(few).count() == 3
-    assert summary.paragraph_of([2, 1], 3) == [0, 0, 1] and summary.paragraph_of([2, 2], 3) == [0, 0, 0]
+    assert summary.pick(whole(few)).count() == 3
+    places = spark.createDataFrame([([2, 1], 3), ([2, 2], 3), ([3], 3), ([1, 0, 2], 3), ([], 0)], "c array<int>, n int").select(summary.paragraph_of(F.col("c"), F.col("n")).alias("p"))
+    assert [r["p"] for r in places.collect()] == [[0, 0, 1], [0, 0, 0], [0, 0, 0], [0, 2, 2], []]
+    plan = summary.summarize(spark.createDataFrame([(1, "a b c d.")], "doc_id bigint, text string"))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Python" not in plan and "Pandas" not in plan
 
 
 def fnv(text):

@@ -27,8 +27,11 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 # Wider candidates.
-SPELT = re.compile(r"[A-Za-z0-9._%+-]{1,64}\x20?[\[(<{]?\x20?(?:at|AT)\x20?[\])>}]?\x20?[A-Za-z0-9-]{1,63}(?:\x20?(?:[\[(<{]\x20?)?(?:\.|dot|DOT)\x20?(?:[\])>}]\x20?)?[A-Za-z0-9-]{2,63}){1,4}(?![A-Za-z0-9])")
-SPELT_HINT = re.compile(r"[\[(<{]\x20?(?:at|AT)\x20?[\])>}]|\x20dot\x20|\[dot\]|\(dot\)")
+OPEN, SHUT = r"\x20?[\[(<{]\x20?", r"\x20?[\])>}]\x20?"
+SPELT_AT = rf"(?:\x20(?:at|AT)\x20|{OPEN}(?:at|AT|@){SHUT})"
+SPELT_DOT = rf"(?:\.|\x20(?:dot|DOT)\x20|{OPEN}(?:\.|dot|DOT){SHUT})"  # a plain dot with a blank behind it ends a sentence
+SPELT = re.compile(rf"[A-Za-z0-9._%+-]{{1,64}}{SPELT_AT}[A-Za-z0-9-]{{1,63}}(?:{SPELT_DOT}[A-Za-z0-9-]{{2,63}}){{1,4}}(?![A-Za-z0-9])")
+SPELT_HINT = re.compile(r"[\[(<{]\x20?(?:at|AT|@)\x20?[\])>}]|\x20(?:dot|DOT)\x20|[\[(<{]\x20?(?:dot|DOT)")
 GROUPS = re.compile(r"(?<![0-9A-Za-z.])\(?[0-9]{2,5}\)?(?:[\x20.-]{1,2}\(?[0-9]{2,5}\)?){1,5}(?![0-9A-Za-z])")
 
 # Gazetteers.
@@ -42,6 +45,13 @@ NEAR = {
     "card": re.compile(r"(?i)\b(?:card|credit|debit|visa|mastercard|amex|payment|karte|kreditkarte|carte|tarjeta|pago)\b"),
     "phone": re.compile(r"(?i)\b(?:tel|phone|mobile|call|fax|cell|telefon|anruf|appel|telefono|llamar|whatsapp)\b"),
 }
+# How each kind is usually written.
+FORM = {
+    "email": re.compile(r"^[A-Za-z0-9][A-Za-z0-9._%+-]*\s?[\[(<{]?\s?(?:@|at|AT).*(?:\.|dot|DOT)[\s\])>}]{0,3}[A-Za-z]{2,24}$"),
+    "ip": re.compile(r"^(?:(?:[1-9]?[0-9]|1[0-9][0-9]|2[0-4][0-9]|25[0-5])(?:\.|$)){4}$"),
+    "card": re.compile(r"^(?:[0-9]{13}|[0-9]{15,16}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{1,4}|[0-9]{4}([ -])[0-9]{6}\2[0-9]{5})$"),
+    "phone": re.compile(r"^(?:\+[1-9]|\(?0[1-9]|\([2-9][0-9]{2}\)|[2-9][0-9]{2}([ .-])[0-9]{3}\1[0-9]{4}$)"),
+}
 AGAINST = re.compile(r"(?i)\b(?:version|license|licence|isbn|issn|doi|order|invoice|page|section|token|sha|uuid|release)\b")
 
 
@@ -111,30 +121,33 @@ def candidates(text: str) -> list[tuple[int, int, int, bool]]:
 
 
 def votes(text: str, a: int, k: int, b: int) -> tuple[str, str]:
-    """The labelers' votes (+ - 0) and the span's feature key, each of a bounded number of values."""
+    """The labelers' votes (+ - 0) and the span's feature key, each of a bounded number of values.
+
+    None of them asks what the base patterns ask: how the kind is usually written (FORM), a gazetteer of endings, issuers and
+    calling codes, the checksum (cards), words before that speak for it, words before that speak against it, and whether it stands apart.
+    """
     kind, span = KINDS[k], text[a:b]
     digits = digits_of(span)
     before = text[max(0, a - WINDOW) : a]
-    octets = span.split(".")
-    well = (  # regex: the strict form of the kind
-        "@" in span if k == 0 else len(octets) == 4 and all(len(o.lstrip("0")) < 4 and int(o or 256) <= 255 for o in octets if o.isdigit()) if k == 1 else 14 <= len(digits) <= 19 if k == 2 else span.startswith("+") and 10 <= len(digits) <= 15
-    )
+    form = bool(FORM[kind].search(span))
     if k == 0:
         known = span.rsplit(".", 1)[-1].rsplit(" ", 1)[-1].lower() in ENDINGS
     elif k == 1:
-        known = not any(len(o) > 1 and o[0] == "0" for o in octets) and octets[0] != "0"
+        known = not any(o[0] == "0" for o in span.split(".")[:1])
     elif k == 2:
         known = digits.startswith(ISSUERS)
+    elif "+" in span:
+        known = digits.startswith(CALLING)
     else:
-        known = digits.startswith(CALLING) if "+" in span else len(digits) in (10, 11)
+        known = 9 <= len(digits) <= 11 if digits[0] == "0" else len(digits) == 10 and digits[0] != "1"
     check = luhn(digits) if k == 2 else None  # checksum: cards only
-    near = True if NEAR[kind].search(before) else False if AGAINST.search(before) else None
+    near, against = bool(NEAR[kind].search(before)), bool(AGAINST.search(before))
     outside = (text[a - 1 : a] if a else "") + text[b : b + 1]
     apart = not any(c.isalnum() or c in "_=\"'" for c in outside)
-    v = "".join("0" if x is None else "+" if x else "-" for x in (well, known, check, near, apart))
+    v = "".join("0" if x is None else "+" if x else "-" for x in (form, known, check, near or None, False if against else None, apart))
     shape = "s" if re.search(r"[\x20().-]", span) else "r"
     size = min(len(digits), 20)
-    return v, f"{k}{shape}{size:02d}{'n' if near else 'a' if near is False else 'o'}{'i' if apart else 'j'}{'w' if well else 'x'}{'k' if known else 'u'}{'c' if check else 'f'}"
+    return v, f"{k}{shape}{size:02d}{'n' if near else 'o'}{'a' if against else 'o'}{'i' if apart else 'j'}{'w' if form else 'x'}{'k' if known else 'u'}{'c' if check else 'f'}"
 
 
 def em(patterns: dict[str, float], rounds: int = EM_ROUNDS) -> dict[str, float]:
@@ -167,7 +180,7 @@ def feature_vector(key: str) -> np.ndarray:
     k, at = int(key[0]), 29 * int(key[0])
     del k
     out[at + int(key[2:4])] = 1
-    out[at + 21 : at + 29] = [key[1] == "s", key[4] == "n", key[4] == "a", key[5] == "i", key[6] == "w", key[7] == "k", key[8] == "c", 1]
+    out[at + 21 : at + 29] = [key[1] == "s", key[4] == "n", key[5] == "a", key[6] == "i", key[7] == "w", key[8] == "k", key[9] == "c", 1]
     out[-1] = 1
     return out
 

@@ -111,20 +111,34 @@ def test_run_is_its_stages_one_after_the_other(spark, docs, labels):
     assert Counter((r["doc_id"], tuple(r["ids"])) for r in P.run(spark, labels).collect()) == want
 
 
-def test_pipeline_drops_planted_lines_and_keeps_others(spark):
-    """The line stage under its own ratio and floor, against brute force."""
+@pytest.mark.parametrize("ratio", [P.LINE_RATIO, 0.3])
+def test_pipeline_drops_planted_lines_and_keeps_others(spark, ratio):
+    """The line stage at its ratio and another, against brute force."""
     rows = []
-    for source, n, planted in (("a", 40, 13), ("b", 40, 12), ("c", 20, 9), (None, 30, 30)):
+    for source, n, planted in (("a", 200, 65), ("b", 200, 12), ("c", 20, 9), (None, 150, 150), ("d", 160, 12)):
         for i in range(n):
-            lines = [f"only {source} {i}", "often but rarely enough" if i % 4 == 0 else "", "  planted line \t" if i < planted else f"other {i}"]
+            lines = [f"only {source} {i}", "often but rarely enough" if i % 16 == 0 else "", "  planted line \t" if i < planted else f"other {i}"]
             rows.append((len(rows), "\n".join(lines), "en", source, 0))
     df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
-    got = {r["doc_id"]: r for r in P.drop_lines(spark, df, "").collect()}
+    got = {r["doc_id"]: r for r in P.drop_lines(spark, df, "", ratio).collect()}
     docs, held = Counter(r[3] for r in rows), Counter()
     for _, t, _, s, _ in rows:
         held.update((s, x) for x in {y.strip(" \t\r") for y in t.split("\n")} - {""})
-    gone = {k for k, n in held.items() if n >= P.LINE_DOCS and n > P.LINE_RATIO * docs[k[0]]}
-    assert gone == {("a", "planted line"), (None, "planted line")}
+    gone = {k for k, n in held.items() if n >= P.LINE_DOCS and n > ratio * docs[k[0]]}
+    assert gone == {("a", "planted line"), (None, "planted line")} | ({("d", "planted line")} if ratio < 0.075 else set())
     for i, t, _, s, _ in rows:
         want = "\n".join(x for x in t.split("\n") if (s, x.strip(" \t\r")) not in gone)
         assert (got[i]["text"], got[i]["n_chars"]) == (want, len(want))
+
+
+def test_line_stage_on_the_given_tables(spark):
+    """On sf0.1 one line goes, the one planted in every source (9 to 13% of each), wherever it stands alone; every other line stays."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    got = {r["doc_id"]: r["text"] for r in P.drop_lines(spark, docs, "").select("doc_id", "text").collect()}
+    dropped, touched = Counter(), 0
+    for r in docs.select("doc_id", "text").collect():
+        before, after = (r["text"] or "").split("\n"), got[r["doc_id"]].split("\n")
+        if before != after:
+            touched += 1
+            dropped.update(x.strip(" \t\r") for x in (Counter(before) - Counter(after)).elements())
+    assert len(dropped) == 1 and touched >= 1000 and next(iter(dropped)).startswith("The and attion to thanedble")

@@ -38,14 +38,13 @@ def exact_first(df: DataFrame, key: Column, id_col: str) -> DataFrame:
     return df.join(first, id_col, "left_semi")
 
 
-def near_classes(sets: DataFrame, id_col: str = "id", set_col: str = "set", threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
-    """Sets that are alike: (id, rep) of every non-empty set, and links (a, b, jaccard) between representatives, a < b.
+def classes_and_keys(sets: DataFrame, id_col: str, set_col: str, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(id, rep) of every non-empty set, (rep, h) of every class of equal sets, and (rep, n, x): the rare elements by which classes can meet.
 
     Equal sets (of 64-bit element hashes) are one class; its smallest id represents it, so copies never meet as
     pairs. Elements of one class alone can't be shared. A set whose shared elements are too few for the threshold
-    has no link; of the others only the rarest shared elements are joined: in one order of elements two
-    such sets share one among the first |s| - ceil(t |s|) + 1 of each. Sizes that can't reach the
-    threshold don't meet, and the whole sets verify.
+    has no link; of the others only the rarest shared elements count: in one order of elements two
+    such sets share one among the first |s| - ceil(t |s|) + 1 of each.
     """
     hashed = sets.select(F.col(id_col).alias("id"), F.array_sort(F.transform(F.array_distinct(set_col), lambda x: F.xxhash64(x))).alias("h")).where(F.size("h") > 0)
     hashed = written(hashed.withColumn("c", F.sha2(F.to_json("h"), 256)), "sets")
@@ -56,13 +55,28 @@ def near_classes(sets: DataFrame, id_col: str = "id", set_col: str = "set", thre
     shared = elements.groupBy("x").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     per = elements.join(shared, "x").groupBy("rep", "n").agg(F.array_sort(F.collect_list(F.struct("df", "x"))).alias("s"))
     first = F.col("n") - F.ceil(F.col("n") * threshold) + 1 - (F.col("n") - F.size("s"))
-    keys = written(per.withColumn("m", first.cast("int")).where("m > 0").select("rep", "n", F.explode(F.slice("s", F.lit(1), F.col("m"))).alias("e")).select("rep", "n", F.col("e.x").alias("x")), "rare-elements")
+    keys = per.withColumn("m", first.cast("int")).where("m > 0").select("rep", "n", F.explode(F.slice("s", F.lit(1), F.col("m"))).alias("e")).select("rep", "n", F.col("e.x").alias("x"))
+    return members, reps, written(keys, "rare-elements")
+
+
+def verified(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, jaccard) of those pairs (a, b) whose whole sets are alike."""
+    full = pairs.join(reps.select(F.col("rep").alias("a"), F.col("h").alias("p")), "a").join(reps.select(F.col("rep").alias("b"), F.col("h").alias("q")), "b")
+    common = F.size(F.array_intersect("p", "q"))
+    return full.select("a", "b", (common / (F.size("p") + F.size("q") - common)).alias("jaccard")).where(F.col("jaccard") >= threshold)
+
+
+def near_classes(sets: DataFrame, id_col: str = "id", set_col: str = "set", threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
+    """Sets that are alike: (id, rep) of every non-empty set, and every link (a, b, jaccard) between representatives, a < b.
+
+    Classes that share a rare element meet if their sizes can reach the threshold, and the whole sets verify. Many different sets that
+    are all alike have as many links as pairs; ``greedy_kept`` does without.
+    """
+    members, reps, keys = classes_and_keys(sets, id_col, set_col, threshold)
     a, b = keys.alias("a"), keys.alias("b")
     fits = (F.col("a.x") == F.col("b.x")) & (F.col("a.rep") < F.col("b.rep")) & (F.col("a.n") >= threshold * F.col("b.n")) & (F.col("b.n") >= threshold * F.col("a.n"))
     pairs = a.join(b, fits).select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b")).distinct()
-    full = pairs.join(reps.select(F.col("rep").alias("a"), F.col("h").alias("p")), "a").join(reps.select(F.col("rep").alias("b"), F.col("h").alias("q")), "b")
-    common = F.size(F.array_intersect("p", "q"))
-    return members, full.select("a", "b", (common / (F.size("p") + F.size("q") - common)).alias("jaccard")).where(F.col("jaccard") >= threshold)
+    return members, verified(pairs, reps, threshold)
 
 
 def near_pairs(sets: DataFrame, id_col: str = "id", set_col: str = "set", threshold: float = 0.8) -> DataFrame:
@@ -86,11 +100,41 @@ def conflict_keys(members: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def greedy_kept(sets: DataFrame, id_col: str = "id", set_col: str = "set", threshold: float = 0.8) -> DataFrame:
-    """Ids that stay when, by ascending id, each id that stays removes the later ones that are like it; removed ones remove none."""
-    members, links = near_classes(sets, id_col, set_col, threshold)
-    keys = conflict_keys(written(members, "members"), links).groupBy("id").agg(F.collect_set("key").alias("keys"))
-    rows = sets.select(F.col(id_col).alias("id")).join(keys, "id", "left").select(F.lit(0).alias("all"), "id", F.coalesce("keys", F.array().cast("array<string>")).alias("keys"))
-    return accept(rows, "all", "id", "keys").select("id")
+    """Ids that stay when, by ascending id, each id that stays removes the later ones that are like it; removed ones remove none.
+
+    Rounds of stars: a class that is the first of all its rare elements stays, as nothing before it can remove it; it meets the other classes of
+    those elements, and those like it go. What meets is a class with the first of an element, so a round makes at most a
+    row for each rare element of each class, and a million edits of one page are settled by their first, not pair by pair. There are as many
+    rounds as the longest chain of classes that wait for each other. Copies stay or go with their class, whose smallest id is the one that stays.
+    """
+    members, reps, left = classes_and_keys(sets, id_col, set_col, threshold)
+    empty = sets.select(F.col(id_col).alias("id")).join(members.select("id"), "id", "left_anti")
+    gone = None
+    while not left.isEmpty():
+        first = left.groupBy("x").agg(F.min_by("n", "rep").alias("first_n"), F.min("rep").alias("first"))
+        met = left.join(first, "x")
+        now = written(met.groupBy("rep").agg(F.bool_and(F.col("first") == F.col("rep")).alias("ok")).where("ok").select("rep"), "stay")
+        fits = (F.col("rep") > F.col("first")) & (F.col("n") >= threshold * F.col("first_n")) & (F.col("first_n") >= threshold * F.col("n"))
+        star = written(met.where(fits).join(now.select(F.col("rep").alias("first")), "first", "left_semi").select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct(), "stars")
+        out = written(verified(star, reps, threshold).select(F.col("b").alias("rep")).distinct(), "gone")
+        gone = out if gone is None else gone.unionByName(out)
+        left = written(left.join(now.unionByName(out), "rep", "left_anti"), "rare-elements")
+    stay = reps.select(F.col("rep").alias("id"))
+    stay = stay if gone is None else stay.join(gone.select(F.col("rep").alias("id")), "id", "left_anti")
+    return stay.unionByName(empty)
+
+
+def cross_source(members: DataFrame, links: DataFrame, sources: DataFrame) -> DataFrame:
+    """(a, b, jaccard): links of classes, and classes with themselves, with members of different sources (id, source; null is one of its own).
+
+    Which sources a class has is an aggregation: two classes have different ones unless both have one and the same.
+    """
+    of = members.join(sources, "id").groupBy("rep").agg(F.min(F.struct(F.col("source").isNull().alias("none"), "source")).alias("low"), F.max(F.struct(F.col("source").isNull().alias("none"), "source")).alias("high"))
+    of = written(of, "class-sources")
+    same = of.where(~F.col("low").eqNullSafe(F.col("high"))).select(F.col("rep").alias("a"), F.col("rep").alias("b"), F.lit(1.0).alias("jaccard"))
+    side = lambda k: of.select(F.col("rep").alias(k), F.struct("low", "high").alias(f"of_{k}"))
+    one = (F.col("of_a.low").eqNullSafe(F.col("of_a.high"))) & F.col("of_a").eqNullSafe(F.col("of_b"))
+    return same.unionByName(links.join(side("a"), "a").join(side("b"), "b").where(~one).select("a", "b", "jaccard"))
 
 
 def greedy_removed(pairs: DataFrame) -> DataFrame:

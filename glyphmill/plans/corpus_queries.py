@@ -102,6 +102,27 @@ def near(spark, sf_dir):
     return C.near_pairs(shingle_sets(spark, sf_dir)).select("i", "j", F.round("jaccard", 6).alias("jaccard"))
 
 
+REPS = "h AS (SELECT id, min(id) OVER (PARTITION BY list_sort(g)) AS rep FROM s)"
+
+
+@query("C09_near_links", f"WITH {SHINGLED}, {REPS}, np AS (FROM ({NEAR})) SELECT i AS a, j AS b, jaccard FROM np WHERE i IN (SELECT rep FROM h) AND j IN (SELECT rep FROM h)")
+def near_links(spark, sf_dir):
+    """Links between classes of equal shingle sets; who is in a class is C09_near_members."""
+    return C.near_classes(shingle_sets(spark, sf_dir))[1].select("a", "b", F.round("jaccard", 6).alias("jaccard"))
+
+
+@query("C09_near_members", f"WITH {SHINGLED}, {REPS} SELECT id, rep FROM h")
+def near_members(spark, sf_dir):
+    return C.near_classes(shingle_sets(spark, sf_dir))[0]
+
+
+@query("C10_cross_source_links", f"WITH {SHINGLED}, {REPS}, m AS (SELECT rep, list(DISTINCT coalesce(source, chr(0))) AS of FROM h JOIN documents ON doc_id = id GROUP BY rep), np AS (FROM ({NEAR}) WHERE i IN (SELECT rep FROM h) AND j IN (SELECT rep FROM h)) SELECT i AS a, j AS b, jaccard FROM np JOIN m x ON x.rep = i JOIN m y ON y.rep = j WHERE len(list_distinct(list_concat(x.of, y.of))) > 1 UNION ALL SELECT rep, rep, 1.0 FROM m WHERE len(of) > 1")
+def cross_links(spark, sf_dir):
+    members, links = C.near_classes(shingle_sets(spark, sf_dir))
+    source = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source")
+    return C.cross_source(members, links, source).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
+
+
 #: Ids in order; one that is not gone removes its later partners.
 GREEDY = """e AS MATERIALIZED (SELECT i, list(j) AS js FROM {pairs} GROUP BY i), o AS MATERIALIZED (SELECT i, js, row_number() OVER (ORDER BY i) AS r FROM e),
 g(r, gone) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT o.r, CASE WHEN list_contains(gone, o.i) THEN gone ELSE list_distinct(list_concat(gone, js)) END FROM g JOIN o ON o.r = g.r + 1), z AS (SELECT arg_max(gone, r) AS gone FROM g)"""

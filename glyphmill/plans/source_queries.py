@@ -187,10 +187,27 @@ def literal(x) -> str:
 FIELDS = "title, abstract, authors, year, venue, doi, url, citations, tier, source, pageid"
 
 
-@query("IO10_provider_rows", f"SELECT * FROM (VALUES {', '.join(f'({i}, {k}, ' + ', '.join(map(literal, row)) + ')' for i, (_, _, rows) in enumerate(ANSWERS) for k, row in enumerate(rows))}) v(answer, place, {FIELDS})")
+#: An answer for each document, of three providers in turn, beside the own ones.
+TITLE = f"left(trim(regexp_replace(coalesce(text, ''), '{BS}s+', ' ', 'g')), 300)"
+BY_DOCUMENT = f"""SELECT doc_id AS answer, 0 AS place, {TITLE} AS title, '' AS abstract, CASE WHEN doc_id % 3 = 1 THEN [x FOR x IN [source, lang] IF x <> ''] ELSE []::VARCHAR[] END AS authors, CAST(2000 + doc_id % 20 AS INT) AS year,
+ CASE doc_id % 3 WHEN 0 THEN 'OpenAlex' ELSE coalesce(source, '') END AS venue, CASE WHEN doc_id % 2 = 0 THEN '10.1/' || doc_id ELSE '' END AS doi,
+ CASE doc_id % 3 WHEN 0 THEN CASE WHEN doc_id % 2 = 0 THEN '10.1/' || doc_id ELSE 'https://o.example/' || doc_id END WHEN 1 THEN 'https://s.example/' || doc_id ELSE CASE WHEN doc_id % 2 = 0 THEN 'https://doi.org/10.1/' || doc_id ELSE '' END END AS url,
+ CAST(doc_id % 50 AS INT) AS citations, {q(V.PAPER)} AS tier, CASE doc_id % 3 WHEN 0 THEN 'OpenAlex' WHEN 1 THEN 'Semantic Scholar' ELSE 'Crossref' END AS source, NULL::VARCHAR AS pageid FROM documents"""
+
+
+@query("IO10_provider_rows", f"SELECT * FROM (VALUES {', '.join(f'({-1 - i}, {k}, ' + ', '.join(map(literal, row)) + ')' for i, (_, _, rows) in enumerate(ANSWERS) for k, row in enumerate(rows))}) v(answer, place, {FIELDS}) UNION ALL {BY_DOCUMENT}")
 def providers(spark, sf_dir):
-    rows = spark.createDataFrame([(i, kind, json.dumps(body)) for i, (kind, body, _) in enumerate(ANSWERS)], "answer int, kind string, body string").coalesce(1)
-    b = F.col("body")
+    own = spark.createDataFrame([(-1 - i, kind, json.dumps(body)) for i, (kind, body, _) in enumerate(ANSWERS)], "answer bigint, kind string, body string").coalesce(1)
+    i, year = F.col("doc_id"), 2000 + F.col("doc_id") % 20
+    doi = F.when(i % 2 == 0, F.concat(F.lit("10.1/"), i.cast("string")))
+    at = lambda host: F.concat(F.lit(f"https://{host}.example/"), i.cast("string"))
+    name = lambda *cs: F.array(*(F.struct(F.col(c).alias("name")) for c in cs))
+    works = F.to_json(F.struct(F.array(F.struct(at("o").alias("id"), F.col("text").alias("title"), doi.alias("doi"), year.alias("publication_year"), (i % 50).alias("cited_by_count"))).alias("results")))
+    papers = F.to_json(F.struct(F.array(F.struct(F.col("text").alias("title"), year.alias("year"), F.col("source").alias("venue"), (i % 50).alias("citationCount"), at("s").alias("url"), F.struct(doi.alias("DOI")).alias("externalIds"), name("source", "lang").alias("authors"))).alias("data")))
+    listed = F.to_json(F.struct(F.struct(F.array(F.struct(doi.alias("DOI"), F.array("text").alias("title"), F.col("source").alias("publisher"), F.struct(F.array(F.array(year)).alias("date-parts")).alias("published"), (i % 50).alias("is-referenced-by-count"))).alias("items")).alias("message")))
+    kind = F.when(i % 3 == 0, "works").when(i % 3 == 1, "papers").otherwise("registrations")
+    made = read(spark, sf_dir, "documents").select(i.alias("answer"), kind.alias("kind"), F.when(i % 3 == 0, works).when(i % 3 == 1, papers).otherwise(listed).alias("body"))
+    b, rows = F.col("body"), own.unionByName(made)
     found = F.when(F.col("kind") == "works", V.works(b)).when(F.col("kind") == "registrations", V.registrations(b)).when(F.col("kind") == "papers", V.papers(b)).when(F.col("kind") == "medical", V.medical(F.array(F.lit("7")), b)).when(F.col("kind") == "encyclopedia", V.encyclopedia(b, "id")).otherwise(V.items(b))
     return rows.select("answer", F.posexplode(found).alias("place", "c")).select("answer", "place", "c.*")
 

@@ -256,7 +256,7 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     least = digests.groupBy("sha", "n").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("m")).where("m > 1")
     copies = materialize(digests.join(least, ["sha", "n"]).where("id > low").select("id", "t", F.lit(True).alias("copy")).distinct(), "copies")
     copies = F.broadcast(copies) if copies.count() <= BROADCAST_IDS else copies
-    docs = base.join(copies, ["id", "t"], "left").withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(n_chunks)))
+    docs = base.join(copies, ["id", "t"], "left").withColumn("chunk", F.pmod(F.xxhash64("id", "t"), F.lit(n_chunks)))
     originals = docs.where("copy IS NULL").select("chunk", "id", "t", "text")
 
     def placed(anchor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -373,7 +373,7 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     verdicts = classes.select("h", "c", "low", "high").join(masks(together, tables), ["h", "c"], "left").where("mask IS NOT NULL OR low < high")
     hits = contexts.select("h", "c", "id", "t", "start", "n").join(verdicts, ["h", "c"])
     whole = F.when(F.col("id") > F.col("low"), F.expr("shiftleft(1L, cast(n AS int)) - 1")).otherwise(F.coalesce("mask", F.lit(0)))
-    covered = hits.withColumn("mask", whole).where("mask <> 0").select(F.pmod(F.xxhash64("id"), F.lit(n_chunks)).alias("chunk"), "id", "t", "start", "mask")
+    covered = hits.withColumn("mask", whole).where("mask <> 0").select(F.pmod(F.xxhash64("id", "t"), F.lit(n_chunks)).alias("chunk"), "id", "t", "start", "mask")
     covered = materialize(covered, "covered")
     discard(*tables)  # what follows reads the covered stretches and the texts
     touched = covered.select("id", "t", F.lit(True).alias("cut")).distinct()

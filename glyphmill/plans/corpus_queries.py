@@ -8,18 +8,17 @@ from pyspark.sql import functions as F
 
 from glyphmill.functions import lexicon as L
 from glyphmill.functions import text as X
-from glyphmill.functions.vectors import cosine
 from glyphmill.operators import corpus as C
 from glyphmill.operators import metrics as M
-from glyphmill.operators.neighbours import nearest
 from glyphmill.operators import validate as V
+from glyphmill.operators.neighbours import nearest
 from glyphmill.plans import detector_sql as S
 from glyphmill.plans.detector_sql import q
 from glyphmill.plans.fixtures import BASE, TEXTS, quoted
 from glyphmill.operators.rewrite import rescored
 from glyphmill.plans.detector_sql import LAYERS
 from glyphmill.plans.fixtures import DOCUMENTS_SQL
-from glyphmill.sources.tables import against, kept, numbered, read, spread, written
+from glyphmill.sources.tables import kept, numbered, read, spread, written
 
 BS = chr(92)
 SPACES = "regexp_split_to_array(coalesce(text, ''), '\\s+')"

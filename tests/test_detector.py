@@ -40,6 +40,8 @@ def test_split_keeps_units_together(spark):
 def test_greedy_operators(spark):
     rows = [(1, 0, "a", ["x", "y"], 3.0, 2), (1, 1, "b", ["x", "y"], 2.0, 2), (1, 2, "c", ["z"], 1.0, 2), (1, 3, "d", ["u"], 0.5, 2)]  # up to three stay whole
     rows = spark.createDataFrame([(*r, [4], 0.0, 0.0) for r in rows], "doc_id bigint, pos int, sent string, tokens array<string>, total double, keep int, counts array<int>, orphan double, generic double")
+    part = F.array_sort(F.collect_list(F.struct("pos", "sent", "tokens", "total", "orphan", "generic")))
+    rows = rows.groupBy("doc_id").agg(part.alias("parts"), F.first("counts").alias("counts"), F.first("keep").alias("keep")).withColumn("n", F.size("parts"))
     assert [r["sent"] for r in summary.pick(rows).orderBy("pos").collect()] == ["a", "c"]
     c = spark.createDataFrame([(1, 1, "h", "t"), (1, 2, "h", "u"), (1, 3, "g", "u"), (1, 4, None, "")], "q int, i int, host string, title string")
     assert [r["i"] for r in greedy.dedupe_candidates(c, "q", "i", ["host", "title"]).orderBy("i").collect()] == [1, 3, 4]

@@ -1,5 +1,6 @@
 """Near dedupe of dense groups: many edits of one page, settled without their pairs."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from glyphmill.functions import text as X
@@ -46,3 +47,14 @@ def test_greedy_on_small_sets(spark):
     got = sorted(r["id"] for r in corpus.greedy_kept(spark.createDataFrame(rows, "id int, set array<string>")).collect())
     assert got == [1, 3, 4, 7, 8]  # 5 is 0.8 like 1; 7 and 8 are 4 of 6
     assert corpus.greedy_kept(spark.createDataFrame([], "id int, set array<string>")).count() == 0
+
+
+def test_sequential_ids_past_four_digits_and_without_source_equal_the_sql(spark, tmp_path):
+    from glyphmill.plans import corpus_queries as Q
+
+    duckdb = pytest.importorskip("duckdb")
+    path = f"{tmp_path}/documents.parquet"
+    spark.range(10_020).select(F.col("id").alias("doc_id"), F.when(F.col("id") > 5, "web").alias("source")).coalesce(1).write.parquet(path)
+    con = duckdb.connect()
+    con.execute(f"create view documents as from '{path}/*.parquet'")
+    assert sorted(map(tuple, Q.sequential(spark, str(tmp_path)).collect())) == sorted(con.execute(Q.ORACLE_SQL["C13_sequential_ids"]).fetchall())

@@ -95,13 +95,20 @@ TABLE = {
     "K15_citations": (lambda: {"cites": X.extract(N(), X.ascii_bounds(X.CITE)), "links": X.extract(N(), "(?i)https?://\\S+|" + X.B0 + "DOI:\\S+"), "quotes": X.extract(N(), '"[^"]+"|“[^”]+”|\'[^\']{4,}\'')}, {"cites": f"regexp_extract_all({T0}, {q(S.CITE)})", "links": f"regexp_extract_all({T0}, '(?i)https?://{BS}S+|{BS}bDOI:{BS}S+')", "quotes": f"regexp_extract_all({T0}, '\"[^\"]+\"|“[^”]+”|''[^'']{{4,}}''')"}),
     "K16_proper_nouns": (lambda: {"n": F.size(F.array_distinct(X.extract(N(), X.PROPER)))}, {"n": f"CAST(len(list_distinct(regexp_extract_all({T0}, '{BS}s[A-ZÀ-Þ][a-zà-ÿ]+'))) AS INT)"}),
     "K20_openers": (lambda: {"openers": F.transform(X.sentences(N()), X.opener)}, {"openers": f"[{S.opener('x')} FOR x IN {S.sentences(T0)}]"}),
-    "K21_sections": (lambda: {"sections": F.array_compact(F.array(*(F.when(F.regexp_like(LOW(), F.lit(X.B0 + s + X.B1)), F.lit(s)) for s in L.SECTIONS)))}, {"sections": f"[x FOR x IN {S.array(L.SECTIONS)} IF regexp_matches(lower({T0}), '{BS}b' || x || '{BS}b')]"}),
+    "K21_sections": (lambda: {"sections": X.once(LOW(), lambda low: F.array_compact(F.array(*(F.when(F.contains(low, F.lit(s)) & F.regexp_like(low, F.lit(X.B0 + s + X.B1)), F.lit(s)) for s in L.SECTIONS))))}, {"sections": f"[x FOR x IN {S.array(L.SECTIONS)} IF regexp_matches(lower({T0}), '{BS}b' || x || '{BS}b')]"}),
     "L01_language_exclusions": (lambda: {"n": F.size(F.array_distinct(X.language_exclusions(N())))}, {"n": f"CAST(len(list_distinct(list_concat(flatten([[x FOR x IN regexp_split_to_array(lower(m), '[^a-zà-ÿ]+') IF x <> ''] FOR m IN regexp_extract_all({T0}, '{BS}b[A-ZÀ-Þ][a-zà-ÿ]+(?:{BS}s+[A-ZÀ-Þ][a-zà-ÿ]+)+')]), [lower(x) FOR x IN regexp_extract_all({T0}, '{BS}b[A-ZÀ-Þ]{{2,}}{BS}b')]))) AS INT)"}),
 }
 
 
-def _spark(columns):
-    return lambda spark, sf_dir: kept(documents(spark, sf_dir), w=W(), sw=X.space_words(N())).select("doc_id", *(c.alias(k) for k, c in columns().items()))
+def _spark(name, columns):
+    # What a query does not use is not computed: the planner leaves nothing out of what is kept.
+    tokens = {"K07_ngram_diversity": {"w": W}, "K08_shingles": {"sw": lambda: X.space_words(N())}}.get(name, {})
+
+    def run(spark, sf_dir):
+        df = documents(spark, sf_dir)
+        return (kept(df, **{k: f() for k, f in tokens.items()}) if tokens else df).select("doc_id", *(c.alias(k) for k, c in columns().items()))
+
+    return run
 
 
 def _sql(columns) -> str:
@@ -110,7 +117,7 @@ def _sql(columns) -> str:
     return f"WITH {with_tokens} SELECT doc_id, {out} FROM e"
 
 
-QUERIES = {k: _spark(a) for k, (a, _) in TABLE.items()}
+QUERIES = {k: _spark(k, a) for k, (a, _) in TABLE.items()}
 ORACLE_SQL = {k: _sql(b) for k, (_, b) in TABLE.items()}
 ORACLE_SQL["K07_ngram_diversity"] = ORACLE_SQL["K07_ngram_diversity"].replace("SELECT doc_id, round", "SELECT doc_id, coalesce(round").replace(", 6) AS bi, round", ", 6), 1) AS bi, coalesce(round").replace(", 6) AS tri", ", 6), 1) AS tri")
 

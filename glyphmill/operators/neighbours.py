@@ -17,6 +17,8 @@ SAMPLE, CELLS = 32_768, 1_024
 #: Rows, and probes, of a cell that meet in one task; larger cells are cut by a hash of the id.
 BLOCK_ROWS, BLOCK_ASKED = 50_000, 20_000
 ROUNDS = 12
+#: Rows, and rows of the query set, of a block whose products one task makes.
+MET_ROWS = 1_000
 
 
 def units(column: pa.Array, size: int) -> np.ndarray:
@@ -32,6 +34,59 @@ def units(column: pa.Array, size: int) -> np.ndarray:
     return np.where(np.isfinite(norm) & (norm > 0), out / np.where(norm > 0, norm, 1), 0.0)
 
 
+def products(there: pa.Array, asked: pa.Array) -> np.ndarray:
+    """Cosines of every asked vector (a line) with every other: 0 where one is missing, has a null or no length, or sizes differ; not a number where one holds such."""
+
+    def parts(column: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        lists = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+        sizes = np.where(np.asarray(lists.is_null()), -1, np.asarray(lists.value_lengths().fill_null(0)))
+        values = lists.values.cast(pa.float64())
+        void, odd = np.asarray(values.is_null()), ~np.isfinite(np.asarray(values.fill_null(0.0)))
+        starts, by = np.asarray(lists.offsets)[:-1], {}
+        for size in np.unique(sizes[sizes > 0]).tolist():
+            at = np.flatnonzero(sizes == size)
+            unit = units(lists.take(pa.array(at)), size)
+            cells = starts[at][:, None] + np.arange(size)
+            unit[odd[cells].any(axis=1) & ~void[cells].any(axis=1)] = np.nan
+            by[size] = at, unit, void[cells].any(axis=1)
+        return by
+
+    left, right = parts(asked), parts(there)
+    out = np.zeros((len(asked), len(there)))
+    for size in left.keys() & right.keys():
+        (i, x, no), (j, y, none) = left[size], right[size]
+        sims = x @ y.T
+        sims[no] = 0.0
+        sims[:, none] = 0.0
+        out[np.ix_(i, j)] = sims
+    return out
+
+
+def cosines(rows: DataFrame, asked: DataFrame, digits: int = 6) -> DataFrame:
+    """(q, v, sim) of every one of ``asked`` (q, x) with every row (v, vector) but itself: rounded cosines, as ``products`` has them.
+
+    As many rows as there are pairs. Both sides are cut into blocks by a hash of the id, and a task multiplies a block with a block, so
+    none holds more than about MET_ROWS squared, whatever the tables' sizes. Rows without an id meet none.
+    """
+    ship(rows.sparkSession)
+    rows, asked = rows.toDF("v", "vector").where("v IS NOT NULL"), asked.toDF("q", "x").where("q IS NOT NULL")
+    n, m = (max(1, -(-df.count() // MET_ROWS)) for df in (rows, asked))
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    block = lambda c, k: F.pmod(F.xxhash64(c), F.lit(k)).cast("int")
+    left = rows.select(block("v", n).alias("a"), every(m).alias("b"), F.col("v").cast("bigint").alias("v"), "vector")
+    right = asked.select(every(n).alias("a"), block("q", m).alias("b"), F.col("q").cast("bigint").alias("q"), "x")
+
+    def meet(there: pa.Table, of: pa.Table) -> pa.Table:
+        if not len(there) or not len(of):
+            return pa.table({"q": pa.array([], pa.int64()), "v": pa.array([], pa.int64()), "sim": pa.array([], pa.float64())})
+        v, q = there.column("v").to_numpy(), of.column("q").to_numpy()
+        sims = np.round(products(there.column("vector"), of.column("x")), digits) + 0.0
+        other = q[:, None] != v[None, :]
+        return pa.table({"q": np.repeat(q, len(v))[other.ravel()], "v": np.tile(v, len(q))[other.ravel()], "sim": sims[other]})
+
+    return left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInArrow(meet, "q bigint, v bigint, sim double")
+
+
 def fitted(sample: np.ndarray, cells: int, seed: int = 42) -> np.ndarray:
     """Centroids of length 1: rounds of assignment and averaging on the sample, from rows drawn with a fixed seed."""
     some = sample[np.abs(sample).sum(axis=1) > 0]

@@ -53,3 +53,24 @@ def test_no_rows(spark):
     for a, b in ((none, none), (none, some), (some, none)):
         assert neighbours.nearest(a, b, exact=True).count() == 0
         assert neighbours.nearest(a, b).count() == 0
+
+
+def test_cosines_of_all_pairs_as_products_of_blocks(spark, rows, monkeypatch):
+    """Every pair in blocks of any size, as one by one: missing vectors, other sizes, nulls, no length, not a number; no expression for each pair."""
+    from pyspark.sql import functions as F
+
+    from glyphmill.functions.vectors import cosine
+    from glyphmill.operators import neighbours
+    from glyphmill.plans import registry
+
+    odd = [(3000, [float("nan")] + [1.0] * 15), (3050, [2.0] * 7), (3100, None), (3150, [0.0] * 16), (3200, [None] + [float("nan")] * 15)]
+    every = spark.createDataFrame(rows + odd, "vec_id bigint, embedding array<float>")
+    asked = every.where("vec_id % 50 = 0").toDF("q", "x")
+    plain_ = every.crossJoin(asked).where("q <> vec_id").select("q", "vec_id", F.round(cosine(F.col("x"), F.col("embedding")), 6))
+    key = lambda df: sorted((r[0], r[1], f"{r[2]:.6f}") for r in df.collect())
+    want = key(plain_)
+    for most in (7, 100, 1_000):
+        monkeypatch.setattr(neighbours, "MET_ROWS", most)
+        assert key(neighbours.cosines(every, asked)) == want
+    plan = registry.QUERIES["R08_cosine"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "NestedLoop" not in plan and "Join" not in plan and "zip_with" not in plan

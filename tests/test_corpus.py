@@ -1,5 +1,7 @@
 """Near dedupe of dense groups: many edits of one page, settled without their pairs."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -49,6 +51,28 @@ def test_greedy_on_small_sets(spark):
     assert corpus.greedy_kept(spark.createDataFrame([], "id int, set array<string>")).count() == 0
 
 
+def test_a_chain_of_sets_that_only_share_elements_takes_no_round_each(spark, monkeypatch):
+    """Neighbours share seven of ten elements and are not alike; every eleventh is like the one before."""
+    made, keep = [], corpus.written
+    monkeypatch.setattr(corpus, "written", lambda df, name, *a: made.append(name) or keep(df, name, *a))
+    rows = [(i, [f"e{j}" for j in range(3 * i, 3 * i + 10)]) for i in range(40)] + [(100 + i, [f"e{j}" for j in range(33 * i, 33 * i + 9)]) for i in range(3)]
+    got = sorted(r["id"] for r in corpus.greedy_kept(spark.createDataFrame(rows, "id int, set array<string>")).collect())
+    assert got == list(range(40))
+    assert len(made) <= 8
+
+
+def test_links_of_random_sets_equal_brute_force(spark):
+    """Sets of all sizes that share many elements: none that can have a link drops out by its first elements."""
+    rng = random.Random(5)
+    sets = []
+    for _ in range(60):
+        base = rng.sample(range(400), rng.choice([1, 2, 5, 9, 10, 20, 41, 100]))
+        sets += [set(base[rng.choice([0, 0, 1, len(base) // 9]) :]) | set(rng.sample(range(400), rng.choice([0, 1, len(base) // 9]))) for _ in range(4)]
+    want = {(i, j) for j, b in enumerate(sets) for i, a in enumerate(sets[:j]) if a and b and len(a & b) >= 0.8 * len(a | b)}
+    rows = spark.createDataFrame([(i, [str(x) for x in s]) for i, s in enumerate(sets)], "id int, set array<string>")
+    assert {(r["i"], r["j"]) for r in corpus.near_pairs(rows).collect()} == want and len(want) > 100
+
+
 def test_sequential_ids_past_four_digits_and_without_source_equal_the_sql(spark, tmp_path):
     from glyphmill.plans import corpus_queries as Q
 

@@ -39,16 +39,17 @@ def quoted(s: str) -> str:
 
 def replaced(c: str, steps: Sequence[tuple[str, str]]) -> str:
     for pattern, to in steps:
-        c = f"regexp_replace({c}, {quoted(pattern)}, {quoted(to)})"
+        step = lambda x, p=pattern, to=to: f"regexp_replace({x}, {quoted(p)}, {quoted(to)})"
+        c = once(c, "q", f"CASE WHEN regexp_like(q, {quoted(X.NEEDED[pattern])}) THEN {step('q')} ELSE q END") if pattern in X.NEEDED else step(c)
     return c
 
 
-def among(x: str, terms: Sequence[str]) -> str:
-    return f"{x} IN ({', '.join(map(quoted, terms))})"
+def guarded(c: str, guard: str, steps: Sequence[tuple[str, str]]) -> str:
+    return once(c, "m", f"CASE WHEN regexp_like(m, {quoted(guard)}) THEN {replaced('m', steps)} ELSE m END")
 
 
-NAMES = X.B0 + r"[A-ZÀ-Þ][a-zà-ÿ]+(?:\s+[A-ZÀ-Þ][a-zà-ÿ]+)+"
-CAPITALS = X.B0 + "[A-ZÀ-Þ]{2,}" + X.B1
+def among(x: str, terms: Sequence[str]) -> str:
+    return f"{x} IN ({', '.join(map(quoted, terms))})"
 
 
 def once(x: str, name: str, body: str) -> str:
@@ -61,10 +62,10 @@ def words(c: str) -> str:
 
 
 def names(c: str) -> str:
-    return f"array_union(flatten(transform(regexp_extract_all({c}, {quoted(NAMES)}, 0), m -> filter(split(lower(m), '[^a-zà-ÿ]+'), x -> x <> ''))), transform(regexp_extract_all({c}, {quoted(CAPITALS)}, 0), x -> lower(x)))"
+    return f"array_union(flatten(transform(regexp_extract_all({c}, {quoted(X.CAPITALISED)}, 0), m -> filter(split(lower(m), '[^a-zà-ÿ]+'), x -> x <> ''))), transform(regexp_extract_all({c}, {quoted(X.CAPITALS)}, 0), x -> lower(x)))"
 
 
-CLEAN = replaced("coalesce(t, '')", [*X.CODE, *X.MARKDOWN, *X.CODE, *((X.ascii_bounds(p), to) for p, to in X.CITED)])
+CLEAN = guarded(guarded("coalesce(t, '')", X.MARKED, [*X.CODE, *X.MARKDOWN, *X.CODE]), X.CITING, [(X.ascii_bounds(p), to) for p, to in X.CITED])
 COUNTS = "STRUCT<id: INT, en: INT, n: INT>"
 TALLY = f"named_struct('id', size(filter(f, x -> {among('x', L.ID_FW)})), 'en', size(filter(f, x -> {among('x', L.EN_FW)})), 'n', size(w))"
 FREE = f"filter(w, x -> {among('x', L.ID_FW + L.EN_FW)} AND NOT array_contains(e, x))"

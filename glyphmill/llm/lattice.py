@@ -27,6 +27,10 @@ PRIME = np.uint64(0x100000001B3)
 SLICE_CHARS = 1 << 19
 #: Characters up to which products of piece probabilities stay far from underflow.
 LINEAR = 24
+#: Sums of products under this are computed again from logarithms.
+TINY = 1e-200
+#: Bits of the filter that rules out most strings that are no pieces, and what spreads hashes over it.
+FILTER_BITS, SPREAD = 17, np.uint64(0x9E3779B97F4A7C15)
 #: Distinct words that a task counts before it passes them on.
 TABLE_WORDS = 300_000
 
@@ -82,6 +86,16 @@ class Lattice:
                 by_length.setdefault(len(p), []).append((self.hash(p), i))
         self.longest = max(by_length)
         self.table = {k: (np.array([h for h, _ in sorted(v)], np.uint64), np.array([i for _, i in sorted(v)])) for k, v in by_length.items()}
+        self.filter = {k: np.zeros(1 << FILTER_BITS, bool) for k in self.table}
+        for k, (keys, _) in self.table.items():
+            self.filter[k][self.slot(keys)] = True
+        self.single = np.full(0x110000, -1)
+        for h, i in by_length.get(1, []):
+            self.single[h - 1] = i
+
+    @staticmethod
+    def slot(h: np.ndarray) -> np.ndarray:
+        return ((h * SPREAD) >> np.uint64(64 - FILTER_BITS)).view(np.int64)
 
     @staticmethod
     def hash(s: str) -> int:
@@ -93,19 +107,21 @@ class Lattice:
     def arcs(self, codes: np.ndarray) -> list[np.ndarray]:
         """For each length k from 1: which piece starts at each position of each row with k characters; -1 for none."""
         rows, n = codes.shape
-        prefix = np.zeros((rows, n + 1), np.uint64)
+        codes = np.ascontiguousarray(codes.T)  # positions by rows: long loops, as words are short and many
+        prefix = np.zeros((n + 1, rows), np.uint64)
         for j in range(n):
-            prefix[:, j + 1] = prefix[:, j] * PRIME + codes[:, j] + np.uint64(1)
-        out = []
-        for k in range(1, min(n, self.longest) + 1):
-            power = np.uint64(pow(int(PRIME), k, 1 << 64))
-            h = prefix[:, k:] - prefix[:, :-k] * power
-            if k not in self.table:
-                out.append(np.full(h.shape, -1))
-                continue
-            keys, ids = self.table[k]
-            at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-            out.append(np.where(keys[at] == h, ids[at], -1))
+            prefix[j + 1] = prefix[j] * PRIME + codes[j] + np.uint64(1)
+        out = [self.single[codes.astype(np.int64)].T]
+        for k in range(2, min(n, self.longest) + 1):
+            found = np.full((n - k + 1, rows), -1)
+            out.append(found.T)
+            if k in self.table:
+                keys, ids = self.table[k]
+                h = (prefix[k:] - prefix[:-k] * np.uint64(pow(int(PRIME), k, 1 << 64))).reshape(-1)
+                able = np.flatnonzero(self.filter[k][self.slot(h)])  # most strings are no pieces; only these are looked up
+                h = h[able]
+                at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+                found.reshape(-1)[able] = np.where(keys[at] == h, ids[at], -1)
         return out
 
     def unknown(self, codes: np.ndarray, arcs: list[np.ndarray], log_p: np.ndarray) -> np.ndarray:
@@ -148,8 +164,10 @@ class Lattice:
         """Expected uses of each piece over all segmentations of the rows, each counted ``times``."""
         arcs = self.arcs(codes)
         spelt = self.unknown(codes, arcs, log_p)
-        if codes.shape[1] <= LINEAR:
-            return self.expected_short(codes, times, log_p, arcs, spelt)
+        by = self.expected_short if codes.shape[1] <= LINEAR else self.expected_long
+        return by(codes, times, log_p, arcs, spelt)
+
+    def expected_long(self, codes: np.ndarray, times: np.ndarray, log_p: np.ndarray, arcs: list[np.ndarray], spelt: np.ndarray) -> np.ndarray:
         alpha, beta = self.forward(codes, arcs, log_p, spelt), self.backward(codes, arcs, log_p, spelt)
         total = alpha[:, -1:]
         padded = np.append(log_p, -np.inf)
@@ -166,37 +184,62 @@ class Lattice:
                 out[self.bytes_at[b]] += w[i, j]
         return out
 
-    def expected_short(self, codes: np.ndarray, times: np.ndarray, log_p: np.ndarray, arcs: list[np.ndarray], spelt: np.ndarray) -> np.ndarray:
-        """The same by sums of products, for words too short for them to vanish."""
-        rows, n = codes.shape
+    @staticmethod
+    def ways(arcs: list[np.ndarray], log_p: np.ndarray, spelt: np.ndarray) -> list[np.ndarray]:
+        """Probability of the piece of each length at each position: positions by rows; 0 for none."""
         p = np.append(np.exp(log_p), 0.0)
-        bare = np.isfinite(spelt)
-        ways = [p[ids] for ids in arcs]
-        ways[0] = ways[0] + np.where(bare, np.exp(spelt), 0.0)
-        alpha, beta = np.zeros((n + 1, rows)), np.zeros((n + 1, rows))
-        ways = [np.ascontiguousarray(w.T) for w in ways]
-        alpha[0] = beta[n] = 1
+        out = [p[np.ascontiguousarray(ids.T)] for ids in arcs]
+        if (bare := np.isfinite(spelt)).any():
+            out[0] += np.where(bare, np.exp(spelt), 0.0).T
+        return out
+
+    @staticmethod
+    def sums(ways: list[np.ndarray], rows: int, n: int) -> np.ndarray:
+        """Summed weight of all segmentations of each prefix: positions by rows."""
+        alpha = np.zeros((n + 1, rows))
+        alpha[0] = 1
         for j in range(1, n + 1):
             for k in range(1, min(j, len(ways)) + 1):
                 alpha[j] += alpha[j - k] * ways[k - 1][j - k]
-            i = n - j
+        return alpha
+
+    def expected_short(self, codes: np.ndarray, times: np.ndarray, log_p: np.ndarray, arcs: list[np.ndarray], spelt: np.ndarray) -> np.ndarray:
+        """The same by sums of products, for words too short for them to vanish; those of characters spelt in bytes, where they do, by logarithms."""
+        rows, n = codes.shape
+        ways = self.ways(arcs, log_p, spelt)
+        alpha = self.sums(ways, rows, n)
+        if (low := alpha[n] < TINY).any():
+            parts = [(by, (codes[on], times[on], log_p, [ids[on] for ids in arcs], spelt[on])) for by, on in ((self.expected_short, ~low), (self.expected_long, low)) if on.any()]
+            return sum(by(*part) for by, part in parts)
+        beta = np.zeros((n + 1, rows))
+        beta[n] = 1
+        for i in range(n - 1, -1, -1):
             for k in range(1, min(n - i, len(ways)) + 1):
                 beta[i] += ways[k - 1][i] * beta[i + k]
         scale = times / alpha[n]
-        out = np.zeros(self.n + 1)
+        out = np.zeros(self.n)
         for k, ids in enumerate(arcs, 1):
             w = alpha[:-k] * ways[k - 1] * beta[k:] * scale
-            if k == 1 and bare.any():
-                for i, j in zip(*np.nonzero(bare), strict=True):
+            if k == 1:
+                for i, j in zip(*np.nonzero(np.isfinite(spelt)), strict=True):
                     for b in chr(int(codes[i, j])).encode("utf-8", "replace"):
                         out[self.bytes_at[b]] += w[j, i]
-                w = np.where(bare.T, 0.0, w)
-            out += np.bincount(ids.T.reshape(-1) % (self.n + 1), w.reshape(-1), self.n + 1)
-        return out[: self.n]
+            ids = ids.T.reshape(-1)
+            at = np.flatnonzero(ids >= 0)
+            out += np.bincount(ids[at], w.reshape(-1)[at], self.n)
+        return out
 
     def log_prob(self, codes: np.ndarray, log_p: np.ndarray) -> np.ndarray:
         arcs = self.arcs(codes)
-        return self.forward(codes, arcs, log_p, self.unknown(codes, arcs, log_p))[:, -1]
+        spelt = self.unknown(codes, arcs, log_p)
+        if codes.shape[1] > LINEAR:
+            return self.forward(codes, arcs, log_p, spelt)[:, -1]
+        whole = self.sums(self.ways(arcs, log_p, spelt), *codes.shape)[-1]
+        low = whole < TINY
+        out = np.log(np.where(low, 1.0, whole))
+        if low.any():
+            out[low] = self.forward(codes[low], [ids[low] for ids in arcs], log_p, spelt[low])[:, -1]
+        return out
 
 
 def grouped(words: list[str]) -> Iterator[tuple[list[int], np.ndarray]]:

@@ -101,6 +101,26 @@ def test_expected_uses_by_enumeration(word):
     assert np.allclose(table.log_prob(codes, np.log(p)), np.log(total))
 
 
+def test_short_words_of_unknown_characters_do_not_vanish():
+    pieces, w = lattice.pieces_of(lattice.default_pieces())
+    table = lattice.Lattice(pieces)
+    codes = next(lattice.grouped(["\U0001f9ff" * 20, "a" * 10 + "\U0001f9ff" * 10, "perhaps" + "x" * 13]))[1]
+    times = np.array([2.0, 1.0, 3.0])
+    arcs = table.arcs(codes)
+    spelt = table.unknown(codes, arcs, w)
+    assert np.allclose(table.expected(codes, times, w), table.expected_long(codes, times, w, arcs, spelt), rtol=1e-9)
+    assert np.allclose(table.log_prob(codes, w), table.forward(codes, arcs, w, spelt)[:, -1], rtol=1e-12)
+
+
+def test_pieces_are_found_behind_the_filter():
+    pieces, _ = lattice.pieces_of(lattice.default_pieces())
+    table, ids = lattice.Lattice(pieces), {p: i for i, p in enumerate(pieces)}
+    for word in ["perhaps", "xqzvvk", "Überraschung", "a", "\U0001f9ff"]:
+        text = lattice.MARK + word
+        for k, found in enumerate(table.arcs(next(lattice.grouped([word]))[1]), 1):
+            assert found[0].tolist() == [ids.get(text[i : i + k], -1) for i in range(len(text) - k + 1)]
+
+
 def test_em_finds_the_labelers_reliabilities():
     rng = random.Random(9)
     right = [0.95, 0.8, 0.9, 0.6, 0.75]

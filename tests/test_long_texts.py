@@ -28,7 +28,7 @@ def long_texts(spark, tmp_path_factory):
     return str(sf)
 
 
-@pytest.mark.parametrize("name", ["F10_bands", "F13_F14_fusion", "IO16_report"])
+@pytest.mark.parametrize("name", ["F10_bands", "F13_F14_fusion", "IO16_report", "S29_reasons"])
 def test_long_texts_match_sql(spark, long_texts, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
